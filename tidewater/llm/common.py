@@ -56,3 +56,19 @@ def fold(id_col: Column, parts: int) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_built: dict[str, object] = {}
+
+
+def built(key: str, make, only: bool = False):
+    """What make() gives, made once in a Python worker for each key. only: forget what other keys hold."""
+    if key not in _built:
+        if only:
+            _built.clear()
+        _built[key] = make()
+    return _built[key]
+
+
+def token() -> str:
+    return uuid.uuid4().hex

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from tidewater.llm import exact_dedup, mixing, sharding
+from tidewater.llm import decontamination, exact_dedup, language_id, mixing, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_quality": quality.op2_quality,
+    "op3_language_id": language_id.op3_language_id,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 SQL = {
+    "op5_decontamination": decontamination.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
