@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontamination, exact_dedup, language_id, mixing, quality, sharding, url_filter
+from tidewater.llm import decontamination, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality": quality.op2_quality,
     "op3_language_id": language_id.op3_language_id,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
