@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLANS = ("retrieval", "indexing")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _name in PLANS:
+    _plan = import_module(f"tidewater.plans.{_name}")
+    QUERIES |= _plan.QUERIES
+    SQL |= _plan.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["bm25_topk"](spark, sf_dir)
+    """Hybrid retrieval: BM25 and exact vectors, fused by rank and grouped by file."""
+    return QUERIES["rrf_hybrid"](spark, sf_dir)
