@@ -45,7 +45,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
 def top(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
     """The k best for each query, with rank0 from 0. Spark plans a WindowGroupLimit, so no query's rows are all sorted."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(tie)))
-    return df.withColumn("rank0", (rank - 1).cast("bigint")).where(F.col("rank0") < k)
+    return df.withColumn("_nth", rank).where(F.col("_nth") <= k).withColumn("rank0", (F.col("_nth") - 1).cast("bigint")).drop("_nth")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
