@@ -12,7 +12,12 @@ CJK = r"[一-鿿]"
 
 def tokenize(text: Column, pattern: str = TOKEN) -> Column:
     """Lower-cased runs of letters and digits, as an array. Null text: an empty array."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+
+
+def n_tokens(text: Column, pattern: str = TOKEN) -> Column:
+    """How many tokens tokenize() would give, without making them."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)), F.lit(0))
 
 
 def tokenize_cjk(text: Column) -> Column:

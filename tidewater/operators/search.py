@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import tokenize
+from tidewater.functions.text import n_tokens, tokenize
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Numbers of the query vectors that are broadcast at once; more queries run in blocks of so many.
@@ -18,20 +18,20 @@ VECTORS = 1 << 22
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, dl, term, tf. dl, the number of tokens, stands beside each term, so that scoring needs no second join."""
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode("toks").alias("term"))
+    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
     return toks.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n and avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(F.col(text_col)))).alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(n_tokens(F.col(text_col))).alias("avgdl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
     """query_id, id, score of every document that has a term of the query. Terms of no query are dropped before they are
     counted; the one row of corpus figures joins as a broadcast."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(query_col)))).alias("term"))
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))  # outer: no filter that would tokenise once more
     tf = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(docs, text_col))

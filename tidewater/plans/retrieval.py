@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import clean, tokenize
 from tidewater.functions.vectors import hash_embed, norm, truncated
 from tidewater.operators import search as S
+from tidewater.sources.tables import read_spread
 
 QUERY = "erheat thnt oned estion leaux ciónmente scher the"
 STOP = ["the", "and", "of", "to", "de", "la", "der", "die"]
@@ -15,7 +16,8 @@ KNN, ARM, TOP = 10, 50, 10
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_spread(spark, path) if name == "documents" else spark.read.parquet(path)
 
 
 def one_query(spark: SparkSession) -> DataFrame:
