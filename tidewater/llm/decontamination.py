@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import built, token
+from tidewater.sources.tables import read_spread
 
 WINDOW = 13
 #: Bytes of patterns in an automaton. A larger benchmark is scanned for in blocks of so many, one after another.
@@ -128,7 +129,7 @@ def items_digest(items):
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
-    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = decontaminate(read_spread(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import built, fold, token
+from tidewater.sources.tables import read_spread
 
 STEPS, HIDDEN, BATCH = 64, 8, 4096
 #: Rows that the network is trained on at most, shared evenly by the languages, and the characters taken of each.
@@ -214,4 +215,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(read_spread(spark, f"{sf_dir}/documents.parquet"))

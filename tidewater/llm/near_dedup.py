@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
 from tidewater.llm.hashing import LOWER, P, Q, chunks, mixed, word_hashes
+from tidewater.sources.tables import read_spread
 
 SHINGLE, PERMUTATIONS, ROWS = 2, 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -287,4 +288,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(read_spread(spark, f"{sf_dir}/documents.parquet"))
