@@ -17,14 +17,13 @@ from tidewater.llm.near_dedup import CELLS, near_dedup
 from tidewater.llm.sharding import shard_by_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Mean probability of the predicted language under which a document is rejected.
-SURE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; lang becomes the predicted one."""
+    """Documents that have a language; lang becomes the predicted one. An unsure prediction is no reason to reject: with few
+    rows to learn from, whole kinds of clean texts get one."""
     out = identify(docs, keep=COLUMNS)
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= SURE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return out.where(F.col("lang_pred") != UND).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
