@@ -70,5 +70,12 @@ def built(key: str, make, only: bool = False):
     return _built[key]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of so many rows at most, as texts can be long. A setting below Spark's own 10000 is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) >= 10000:
+        spark.conf.set(key, rows)
+
+
 def token() -> str:
     return uuid.uuid4().hex

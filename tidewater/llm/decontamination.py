@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import built, token
+from tidewater.llm.common import bounded_batches, built, token
 from tidewater.sources.tables import read_spread
 
 WINDOW = 13
@@ -98,6 +98,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, keep, n_words, n_hit, item_ids, spans and contaminated (n_hit > 0 and n_hit >= share of n_words) for each row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = [(token(), spark.sparkContext.broadcast(b)) for b in blocks(benchmark, item_col, item_text, window)]
     per = round(1 / share)
 
@@ -116,10 +117,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out["item_ids"].append(sorted(items))
                 out["spans"].append(spans(text, hit))
             rest = [pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["item_ids"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), *rest], [*(c for c in batch.schema.names if c != "_text"), *out])
+            yield pa.RecordBatch.from_arrays([*(batch.column("_text" if c == text_col else c) for c in back), *rest], [*back, *out])
 
-    base = docs.select(F.col(id_col), *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "_text")
+    back = [id_col, *(c for c in keep if c != id_col)]  # a text that is kept goes to Python once
+    base = docs.select(*[c for c in back if c != text_col], F.col(text_col).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in back)
     out = base.mapInArrow(run, f"{kinds}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start: bigint, end: bigint>>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
 

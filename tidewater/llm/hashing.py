@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 P = 0x9E3779B97F4A7C55  # an odd base, which has an inverse modulo 2**64
 Q = pow(P, -1, 1 << 64)

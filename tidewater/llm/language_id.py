@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import built, fold, token
+from tidewater.llm.common import bounded_batches, built, fold, token
 from tidewater.sources.tables import read_spread
 
 STEPS, HIDDEN, BATCH = 64, 8, 4096
@@ -192,6 +192,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, out: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, keep, held_out, lang_pred, score for each row."""
+    bounded_batches(docs.sparkSession)
     langs, net = learn(docs, id_col, text_col, lang_col, folds, out)
     shared, key = docs.sparkSession.sparkContext.broadcast(net), token()  # a few thousand numbers
 
@@ -206,12 +207,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 names = [langs[b] if k else UND for b, k in zip(best, known, strict=True)]
                 score = np.where(known, p.max(1), 0.0)
                 part = batch.slice(i, 512)
-                cols = [c for c in batch.schema.names if c != "_in"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*cols, "lang_pred", "score"])
+                cols = [*back, "held_out"]
+                yield pa.RecordBatch.from_arrays([*(part.column("_in" if c == text_col else c) for c in cols), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*cols, "lang_pred", "score"])
 
-    base = docs.select(F.col(id_col), *[c for c in keep if c != id_col], (fold(F.col(id_col), folds) == out).alias("held_out"), F.col(text_col).cast("string").alias("_in"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "_in")
-    return base.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    back = [id_col, *(c for c in keep if c != id_col)]  # a text that is kept goes to Python once
+    base = docs.select(*[c for c in back if c != text_col], (fold(F.col(id_col), folds) == out).alias("held_out"), F.col(text_col).cast("string").alias("_in"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in back)
+    return base.mapInArrow(run, f"{kinds}, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

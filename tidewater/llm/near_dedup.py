@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import bounded_batches, written
 from tidewater.llm.hashing import LOWER, P, Q, chunks, mixed, word_hashes
 from tidewater.sources.tables import read_spread
 
@@ -36,6 +36,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 WORDS64, AGREE = -(-2 * PERMUTATIONS // 64), 124
 #: Rows of a bucket up to which its pairs are joined; larger buckets are worked on in blocks of some BLOCK rows.
 SMALL, BLOCK = 16, 128
+#: Rows of a batch that are Python objects at once.
+SLICE = 512
 #: Cells of the bitmap that says which texts are needed again.
 CELLS = 1 << 18
 
@@ -92,7 +94,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
             for i, j in chunks(texts):
                 g, many = shingle_sets(texts[i:j], size)
@@ -136,7 +138,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
 
     def run(batches):
         last, held = None, set()
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             linked, distance = [], []
             for tx, ty in zip(batch.column("_tx").to_pylist(), batch.column("_ty").to_pylist(), strict=True):
                 if ty != last:
@@ -206,7 +208,7 @@ def linked_blocks(members: DataFrame, size: int, share: int) -> DataFrame:
 
     def run(batches):
         now, rows = None, []
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if now is not None and r[:3] != now and rows:
                     yield from given(links(rows))
@@ -242,6 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, share: int = 80) -> DataFrame:
     """id, n_shingles, component_id, kept for each row."""
+    bounded_batches(docs.sparkSession)
     signed = written(sign(docs, id_col, text_col, size), "near-signatures")
     same = signed.where("_n > 0 and _id is not null").groupBy("_one", "_two").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
     same = written(same.drop("_m"), "near-sets")
