@@ -140,3 +140,15 @@ def test_probabilities_of_a_context_sum_to_one():
     for past in product(b"t \n", repeat=3):
         base = sum(b << (8 * (k + 1)) for k, b in enumerate(reversed(past)))
         assert (10 ** tree.fresh(np.array([base | b for b in range(256)], "i8"))).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_tree_holds_every_context(spark):
+    """Scores are those of one tree of all grams of the training texts, contexts met once in over 262,144 bytes included."""
+    rows = [(r.doc_id, r.text) for r in docs(spark).orderBy("doc_id").limit(700).collect()]
+    got = {r.doc_id: r for r in M.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    code, _ = M.grams([t.encode() for i, t in rows if not got[i].held_out])
+    assert len(code) > 1 << 18
+    levels = [np.unique(code & ((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(M.DEPTH + 1)]
+    tree = M.Tree(levels)
+    for i, t in rows:
+        assert got[i].score == pytest.approx(tree.fresh(M.grams([t.encode()])[0]).sum(), rel=1e-5)

@@ -4,11 +4,13 @@ A text is coded as its words (runs without ASCII white space, A-Z lower-cased),
 end. Each byte is eight binary choices, and each choice has a context tree over the DEPTH bytes before it. A node's estimate is
 Krichevsky-Trofimov's, (n1 + 1/2) / (n0 + n1 + 1); going up from the leaves, a node's block probability is the mean of its own
 and the product of its children's, which gives the weight of its own estimate against the deeper ones. A choice's probability
-is that mixture along its context; where a deeper context isn't in the tree, the deepest one that is has the rest.
+is that mixture along its context; where a deeper context wasn't met in training, the deepest one that was has the rest.
 
-Counts are over all training texts. The tree holds the contexts with at least 1 / CONTEXTS of the training bytes, so at most
-CONTEXTS for each depth whatever the corpus, and what other contexts hold is one more child of their parent. Word counts are
-looked up in a broadcast table for words with at least 1 / FREQUENT of all tokens, and by a join for all the rest.
+Counts are over all training texts, and the tree holds every context met in them. It is never in one place: grams are dealt
+out by the TOP + 1 bytes before the byte, so that each subtree of such a context is built where its grams are, a few subtrees at
+a time; only the levels up to TOP, of 65,536 contexts at most, are brought together and broadcast. Texts are dealt into blocks
+of about BLOCK bytes; distinct grams of each block are joined to their probabilities, which come back to the block's texts. Word
+counts are looked up in a broadcast table for words with at least 1 / FREQUENT of all tokens, and by a join for all the rest.
 
 Null text counts as empty: one token, the end. Null ids count as the empty text for the fold. Repeated rows each get a row and,
 in training folds, each count. Without training rows every byte has probability 1/256. An empty table gives an empty result.
@@ -17,6 +19,8 @@ Other columns are ignored. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,9 +31,9 @@ from tidewater.llm.common import bounded_batches, built, fold, token, written
 from tidewater.llm.hashing import LOWER, chunks, word_hashes
 from tidewater.sources.tables import read_spread
 
-DEPTH, CONTEXTS, FREQUENT = 5, 1 << 18, 1 << 18
-#: Distinct keys that a task counts before it hands them on, and slots of a worker's table of known byte probabilities.
-HELD, SLOTS = 1 << 21, 22
+DEPTH, TOP, FREQUENT = 5, 2, 1 << 18
+#: Bytes of text in a block, grams of the subtrees that are built at a time, and counts whose gamma function is in a table.
+BLOCK, HELD, TABLE = 1 << 25, 1 << 18, 1 << 16
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 WORDS, GRAMS = 0, 1
 
@@ -70,34 +74,64 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at, END), many + 1
 
 
-def count(docs: DataFrame, text_col: str) -> DataFrame:
-    """kind, key, n: how often each word (by hash) and each gram is in the texts."""
+def blocked(base: DataFrame) -> DataFrame:
+    """_id, _text, _train with _row, and _block: consecutive rows of a task with about BLOCK bytes of text."""
+    kind = base.schema["_id"].dataType.simpleString()
+
+    def run(batches):
+        block, held = uuid.uuid4().int >> 65, 0
+        for batch in batches:
+            of = []
+            for n in pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist():
+                if held and held + n > BLOCK:
+                    block, held = uuid.uuid4().int >> 65, 0
+                held += n
+                of.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], [*batch.schema.names, "_block"])
+
+    return base.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, f"_id {kind}, _text string, _train boolean, _row bigint, _block bigint")
+
+
+def count(texts: DataFrame) -> DataFrame:
+    """kind, block, key, n: each gram of a block, and how often it is in its training texts; each word (by hash) of those."""
 
     def run(batches):
         held: list[list] = [[], []]
 
-        def given(kind):
-            keys, n = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
-            held[kind] = []
-            for i in range(0, len(keys), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, "i4")), pa.array(keys[part], pa.int64()), pa.array(n[part], pa.int64())], ["kind", "key", "n"])
+        def given(block):
+            for kind in (WORDS, GRAMS):
+                keys, n = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True))) if held[kind] else (np.zeros(0, "i8"),) * 2
+                held[kind] = []
+                for i in range(0, len(keys), 1 << 18):
+                    k, m = keys[i : i + (1 << 18)], n[i : i + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, "i4")), pa.array(np.full(len(k), block, "i8")), pa.array(k, pa.int64()), pa.array(m, pa.int64())], ["kind", "block", "key", "n"])
 
+        now = None
         for batch in batches:
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
-            for i, j in chunks(texts):
-                held[WORDS].append(counted(tokens(texts[i:j])[0].view("i8")))
-                held[GRAMS].append(counted(grams(texts[i:j])[0]))
+            train, block = batch.column("_train").to_pylist(), batch.column("_block").to_pylist()
+            begin = 0
+            for end in range(1, len(texts) + 1):
+                if end < len(texts) and block[end] == block[begin]:
+                    continue
+                if now is not None and now != block[begin]:
+                    yield from given(now)
+                now = block[begin]
+                for used in (True, False):
+                    some = [texts[i] for i in range(begin, end) if train[i] == used]
+                    for i, j in chunks(some):
+                        keys, n = counted(grams(some[i:j])[0])
+                        held[GRAMS].append((keys, n * used))
+                        if used:
+                            held[WORDS].append(counted(tokens(some[i:j])[0].view("i8")))
                 for kind in (WORDS, GRAMS):
-                    if sum(len(k) for k, _ in held[kind]) > HELD:
+                    if len(held[kind]) > 8:
                         held[kind] = [counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))]
-                        if len(held[kind][0][0]) > HELD // 2:
-                            yield from given(kind)
-        for kind in (WORDS, GRAMS):
-            if held[kind]:
-                yield from given(kind)
+                begin = end
+        if now is not None:
+            yield from given(now)
 
-    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.select("_text", "_train", "_block").mapInArrow(run, "kind int, block bigint, key bigint, n bigint")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -109,87 +143,142 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - down
 
 
+HALVES, WHOLES = log_gamma(np.arange(TABLE) + 0.5), log_gamma(np.arange(TABLE) + 1.0)
+
+
+def log_gamma_of(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    """log_gamma(n + more) for counts n, small ones from their table."""
+    out, large = table[np.minimum(n, TABLE - 1).astype("i8")], np.flatnonzero(n >= TABLE)
+    out[large] = log_gamma(n[large] + more)
+    return out
+
+
 def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
+    return log_gamma_of(n0, HALVES, 0.5) + log_gamma_of(n1, HALVES, 0.5) - np.log(np.pi) - log_gamma_of(n0 + n1, WHOLES, 1.0)
+
+
+def nodes(code: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Node codes (context << 8 | bits so far with a leading 1), sorted, with the zeros and ones after them, of sorted grams
+    (context << 8 | byte) and their counts."""
+    context, byte = code >> 8, code & 255
+    parts: list[list] = [[], [], []]
+    for bit in range(8):
+        at, one = (context << 8) | ((1 << bit) | (byte >> (8 - bit))), (byte >> (7 - bit)) & 1
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, "i8")
+        w = n.astype("f8")
+        parts[0].append(at[first])
+        parts[1].append(np.add.reduceat(w * (1 - one), first) if len(at) else w)
+        parts[2].append(np.add.reduceat(w * one, first) if len(at) else w)
+    order = np.argsort(np.concatenate(parts[0]))
+    return [np.concatenate(x)[order] for x in parts]
 
 
 class Tree:
-    """For each depth: sorted node codes (context << 8 | bits so far with a leading 1), estimate of a 1, and own weight."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each depth, grams (context << 8 | byte) of the contexts it holds, and their counts."""
-        found = []
-        for code, n in levels:
-            context, byte = code >> 8, code & 255
-            nodes, zeros, ones = [], [], []
-            for bit in range(8):
-                at, one = (context << 8) | ((1 << bit) | (byte >> (8 - bit))), (byte >> (7 - bit)) & 1
-                order = np.argsort(at, kind="stable")
-                at, w, one = at[order], n[order].astype("f8"), one[order]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, "i8")
-                nodes.append(at[first])
-                ones.append(np.add.reduceat(w * one, first) if len(at) else w)
-                zeros.append(np.add.reduceat(w * (1 - one), first) if len(at) else w)
-            order = np.argsort(np.concatenate(nodes))
-            found.append([np.concatenate(x)[order] for x in (nodes, zeros, ones)])
+    """For each depth: sorted node codes, estimate of a 1, and own weight. top: nodes of the least depth, with their zeros, ones
+    and log block probabilities."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, deep: tuple | None = None):
+        """levels: for each depth from first on, all grams met (context << 8 | byte), sorted, and their counts. deep: for nodes of
+        the last of them, sorted, the sum of their children's log block probabilities; without it they have no children."""
+        found = [nodes(code, n) for code, n in levels]
         self.levels: list = [None] * len(found)
         below = None
-        for d in range(len(found) - 1, -1, -1):
-            at, n0, n1 = found[d]
-            own = log_block(n0, n1)
-            if below is None:
-                whole = own
+        for k in range(len(found) - 1, -1, -1):
+            at, n0, n1 = found[k]
+            own = whole = log_block(n0, n1)
+            if below is not None or deep is not None:
+                if below is not None:
+                    codes, _, _, inner = below
+                    up = np.searchsorted(at, (((codes >> 8) & ((1 << (8 * (first + k))) - 1)) << 8) | (codes & 255))
+                else:
+                    up, inner = np.searchsorted(at, deep[0]), deep[1]
+                whole = np.logaddexp(own, np.bincount(up, weights=inner, minlength=len(at))) - np.log(2)
+                self.levels[k] = (at, ((n1 + 0.5) / (n0 + n1 + 1)).astype("f4"), np.exp(np.minimum(own - np.log(2) - whole, 0)).astype("f4"))
             else:
-                codes, m0, m1, deep = below
-                mask = (1 << (8 * d)) - 1
-                up = np.searchsorted(at, (((codes >> 8) & mask) << 8) | (codes & 255))
-                add = lambda w: np.bincount(up, weights=w, minlength=len(at))  # noqa: B023, E731
-                rest = log_block(np.maximum(n0 - add(m0), 0), np.maximum(n1 - add(m1), 0))  # the contexts that the tree doesn't hold
-                whole = np.logaddexp(own, add(deep) + rest) - np.log(2)
-            self.levels[d] = (at, ((n1 + 0.5) / (n0 + n1 + 1)).astype("f4"), np.exp(np.minimum(own - np.log(2) - whole, 0)).astype("f4"))
+                self.levels[k] = (at, ((n1 + 0.5) / (n0 + n1 + 1)).astype("f4"), np.ones(len(at), "f4"))
             below = (at, n0, n1, whole)
-
-    @classmethod
-    def of(cls, levels: list) -> Tree:
-        """The tree of these finished levels, with an empty table of known grams."""
-        out = cls([])
-        out.levels, out.keys, out.values = levels, np.full(1 << SLOTS, -1, "i8"), np.zeros(1 << SLOTS, "f4")
-        return out
+        self.top = below
 
     def fresh(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte after its context."""
-        out = np.zeros(len(code))
-        for bit in range(8):
-            s, one = (1 << bit) | ((code & 255) >> (8 - bit)), ((code >> (7 - bit)) & 1).astype(bool)
-            p, rest, last, live = np.zeros(len(code)), np.ones(len(code)), np.full(len(code), 0.5), np.ones(len(code), bool)
-            for d, (nodes, estimate, weight) in enumerate(self.levels):
-                at = (((code >> 8) & ((1 << (8 * d)) - 1)) << 8) | s
-                i = np.minimum(np.searchsorted(nodes, at), max(len(nodes) - 1, 0))
-                live &= (nodes[i] == at) if len(nodes) else False
-                if not live.any():
-                    break
-                e, w = np.where(live, estimate[i], 0), np.where(live, weight[i], 0)
-                p += rest * w * e
-                rest *= 1 - w
-                last = np.where(live, e, last)
-            p = np.clip(p + rest * last, 1e-12, 1 - 1e-12)
-            out += np.log10(np.where(one, p, 1 - p))
-        return out
-
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """As fresh(), by way of a table of grams met before."""
-        slot = ((code.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype("i8")
-        out, new = self.values[slot].astype("f8"), np.flatnonzero(self.keys[slot] != code)
-        if len(new):
-            keys, _ = counted(code[new])
-            values = self.fresh(keys).astype("f4")  # as the table holds them, so that scores don't depend on its state
-            at = ((keys.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype("i8")
-            self.keys[at], self.values[at] = keys, 0
-            kept = self.keys[at] == keys
-            self.values[at[kept]] = values[kept]
-            out[new] = values[np.searchsorted(keys, code[new])]
-        return out
+        """log10 probability of each gram's byte after its context, for a tree from the root on."""
+        return byte_logs(self.levels, code)
+
+
+def byte_logs(levels: list, code: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's byte after its context, by a tree's levels from the root on."""
+    out = np.zeros(len(code))
+    for bit in range(8):
+        s, one = (1 << bit) | ((code & 255) >> (8 - bit)), ((code >> (7 - bit)) & 1).astype(bool)
+        p, rest, last, live = np.zeros(len(code)), np.ones(len(code)), np.full(len(code), 0.5), np.ones(len(code), bool)
+        for d, (held, estimate, weight) in enumerate(levels):
+            at = (((code >> 8) & ((1 << (8 * d)) - 1)) << 8) | s
+            i = np.minimum(np.searchsorted(held, at), max(len(held) - 1, 0))
+            live &= (held[i] == at) if len(held) else False
+            if not live.any():
+                break
+            e, w = np.where(live, estimate[i], 0), np.where(live, weight[i], 0)
+            p += rest * w * e
+            rest *= 1 - w
+            last = np.where(live, e, last)
+        p = np.clip(p + rest * last, 1e-12, 1 - 1e-12)
+        out += np.log10(np.where(one, p, 1 - p))
+    return out
+
+
+def subtrees(batches):
+    """For grams and counts that come sorted by the TOP + 1 bytes before them: the grams of whole contexts of so many bytes, about
+    HELD at a time, with their tree from that depth on. Grams of count 0 aren't in the tree."""
+
+    def built_of(key, n):
+        met = n > 0
+        return key, Tree([counted(key[met] & ((1 << (8 * (d + 1))) - 1), n[met]) for d in range(TOP + 1, DEPTH + 1)], TOP + 1)
+
+    held, many = [], 0
+    for batch in batches:
+        held.append((batch.column("key").to_numpy(), batch.column("n").to_numpy()))
+        many += batch.num_rows
+        if many < HELD:
+            continue
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        context = (key >> 8) & ((1 << (8 * (TOP + 1))) - 1)
+        last = np.flatnonzero(context != context[-1])
+        end = int(last[-1]) + 1 if len(last) else 0
+        if end:
+            yield built_of(key[:end], n[:end])
+        held, many = [(key[end:], n[end:])], len(key) - end
+    if many:
+        yield built_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """key, log: log10 probability of each gram's byte, by the tree of all grams of a count above 0."""
+    spark = counts.sparkSession
+    dealt = counts.withColumn("_of", F.shiftright("key", 8).bitwiseAND((1 << (8 * (TOP + 1))) - 1)).repartition("_of").sortWithinPartitions("_of").select("key", "n")
+
+    def rising(batches):
+        for _, tree in subtrees(batches):
+            at, n0, n1, whole = tree.top
+            up = (((at >> 8) & ((1 << (8 * TOP)) - 1)) << 8) | (at & 255)
+            keys, back = np.unique(up, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(back, weights=whole, minlength=len(keys)))], ["node", "whole"])
+
+    # At most 65,536 contexts of 256 bytes, and as many nodes.
+    low = counts.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * (TOP + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    deep = dealt.mapInArrow(rising, "node bigint, whole double").groupBy("node").agg(F.sum("whole").alias("whole")).orderBy("node").toArrow()
+    code, n = low["code"].to_numpy(), low["n"].to_numpy()
+    levels = [counted(code & ((1 << (8 * (d + 1))) - 1), n) for d in range(TOP + 1)]
+    tree = Tree(levels, 0, (deep["node"].to_numpy(), deep["whole"].to_numpy()))
+    shared, name = spark.sparkContext.broadcast(tree.levels), token()
+
+    def falling(batches):
+        top = built(name, lambda: shared.value)
+        for keys, tree in subtrees(batches):
+            for i in range(0, len(keys), 1 << 16):
+                part = np.sort(keys[i : i + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(byte_logs([*top, *tree.levels], part).astype("f4"))], ["key", "log"])
+
+    return dealt.mapInArrow(falling, "key bigint, log float")
 
 
 def sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -201,9 +290,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; fold 0 is held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    counts = written(count(docs.where(fold(F.col(id_col), folds) != 0), text_col), "lm-counts")
-    total = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    (n, v), (n_bytes, _) = total.get(WORDS, (0, 0)), total.get(GRAMS, (0, 0))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), (fold(F.col(id_col), folds) != 0).alias("_train"))
+    kind = base.schema["_id"].dataType.simpleString()
+    texts = written(blocked(base), "lm-texts")
+    pairs = written(count(texts), "lm-pairs")
+    counts = written(pairs.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    n, v = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = n + 0.1 * (v + 1)
     words = counts.where(F.col("kind") == WORDS)
     table = words.where(F.col("n") >= n / FREQUENT).select("key", "n").toArrow() if n else None  # at most FREQUENT rows
@@ -211,42 +303,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     order = np.argsort(keys.view("u8"))
     frequent = (keys.view("u8")[order], np.log10((value[order] + 0.1) / denominator))
 
-    levels, found = None, counts.where(F.col("kind") == GRAMS).select("key", "n")
-    for d in range(DEPTH + 1):
-        context = F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)
-        held = found.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= n_bytes / CONTEXTS).select("context")
-        at = found.withColumn("context", context).join(F.broadcast(held), "context", "left_semi")  # CONTEXTS rows at most
-        at = at.groupBy(F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).select(F.lit(d).alias("d"), "code", "n")
-        levels = at if levels is None else levels.union(at)
-    got = levels.toArrow()  # at most CONTEXTS contexts of 256 bytes for each depth
-    depth, code, often = (got[c].to_numpy() for c in ("d", "code", "n"))
-    tree = Tree([(code[depth == d], often[depth == d]) for d in range(DEPTH + 1)])
-    shared, key = spark.sparkContext.broadcast((tree.levels, frequent)), token()
-
-    def model():
-        levels, frequent = shared.value
-        return Tree.of(levels), frequent
-
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kind = base.schema["_id"].dataType.simpleString()
-
-    def run(batches):
-        tree, (words, logs) = built(key, model)
-        for batch in batches:
+    logs = written(gram_logs(counts.where(F.col("kind") == GRAMS).select("key", "n")), "lm-logs")
+    known = pairs.where(F.col("kind") == GRAMS).select("block", "key").join(logs, "key").withColumnRenamed("block", "_block")
+    shared, name = spark.sparkContext.broadcast(frequent), token()
+
+    def run(rows: pa.Table, grams_of: pa.Table) -> pa.Table:
+        words, logs = built(name, lambda: shared.value)
+        held, value = grams_of["key"].to_numpy(), grams_of["log"].to_numpy()
+        order = np.argsort(held)
+        held, value = held[order], value[order].astype("f8")
+        out = []
+        for batch in rows.to_batches():
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
             for i, j in chunks(texts):
                 code, size = grams(texts[i:j])
+                order = np.argsort(code)
+                score = np.empty(len(code))
+                score[order] = value[np.searchsorted(held, code[order])]
                 h, many = tokens(texts[i:j])
                 at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
                 known = (words[at] == h) if len(words) else np.zeros(len(h), bool)
                 part = np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(h))
                 rare = np.concatenate([[0], np.cumsum(many - sums(known.astype("i8"), many))])
                 lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(h[~known].view("i8"), pa.int64()))
-                cols = [batch.column("_id").slice(i, j - i), pa.array(many, pa.int64()), pa.array(size, pa.int64()), pa.array(sums(known.astype("i8"), many), pa.int64()), pa.array(sums(part, many)), pa.array(sums(tree.score(code), size)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["_id", "_tokens", "_bytes", "_known", "_base", "_score", "_rare"])
+                cols = [*(batch.column(c).slice(i, j - i) for c in ("_id", "_row")), pa.array(many, pa.int64()), pa.array(size, pa.int64()), pa.array(sums(known.astype("i8"), many), pa.int64()), pa.array(sums(part, many)), pa.array(sums(score, size)), lists]
+                out.append(pa.RecordBatch.from_arrays(cols, ["_id", "_row", "_tokens", "_bytes", "_known", "_base", "_score", "_rare"]))
+        return pa.Table.from_batches(out)
 
-    scored = base.mapInArrow(run, f"_id {kind}, _tokens bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<bigint>")
-    rows = written(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+    scored = texts.select("_id", "_text", "_row", "_block").groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, f"_id {kind}, _row bigint, _tokens bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<bigint>")
+    rows = written(scored, "lm-rows")
     rare = rows.select("_row", F.explode("_rare").alias("key")).join(words.select("key", "n"), "key")
     found = written(rare.groupBy("_row").agg(F.count(F.lit(1)).alias("_more"), F.sum(F.log10((F.col("n") + 0.1) / F.lit(float(denominator)))).alias("_sum")), "lm-rare")
     none = float(np.log10(0.1 / denominator))
