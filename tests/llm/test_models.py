@@ -152,3 +152,11 @@ def test_tree_holds_every_context(spark):
     tree = M.Tree(levels)
     for i, t in rows:
         assert got[i].score == pytest.approx(tree.fresh(M.grams([t.encode()])[0]).sum(), rel=1e-5)
+
+
+def test_six_bytes_of_context(spark):
+    """The end of each word is settled by its first letter, six bytes before."""
+    draw = np.random.default_rng(0)
+    rows = [(i, " ".join("abbbbbx" if x else "cbbbbby" for x in draw.integers(0, 2, 400))) for i in range(40)]
+    got = M.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()
+    assert got and all(r.bits_per_byte < 0.18 for r in got)

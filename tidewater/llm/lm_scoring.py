@@ -31,7 +31,7 @@ from tidewater.llm.common import bounded_batches, built, fold, token, written
 from tidewater.llm.hashing import LOWER, chunks, word_hashes
 from tidewater.sources.tables import read_spread
 
-DEPTH, TOP, FREQUENT = 5, 2, 1 << 18
+DEPTH, TOP, FREQUENT = 6, 2, 1 << 18
 #: Bytes of text in a block, grams of the subtrees that are built at a time, and counts whose gamma function is in a table.
 BLOCK, HELD, TABLE = 1 << 25, 1 << 18, 1 << 16
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
