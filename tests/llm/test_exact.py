@@ -186,3 +186,18 @@ def test_rules(spark):
 def test_all_queries_registered():
     n = collections.Counter(int(k[2:].split("_")[0]) for k in queries.QUERIES)
     assert n == collections.Counter(range(1, 11))
+
+
+def test_license_headers_over_lines_and_in_prose(spark):
+    text = dict(license_scan.TEMPLATES)
+
+    def wrapped(name, width, mark):
+        w = text[name].split()
+        return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    code = "\nimport os\n" + "value = other + 1\n" * 60
+    files = [("a/bsd.py", "#!/bin/python\n" + wrapped("BSD-3-Clause", 11, "# ") + code), ("b/mit.c", wrapped("MIT", 10, " * ") + code), ("c/gpl.py", wrapped("GPL-3.0", 13, "# ") + code),
+             ("d/prose.txt", "some words of another kind come first " * 20 + text["MPL-2.0"] + " and then many more words of prose follow here" * 20), ("e/plain.py", code)]
+    got = {r.path: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")).collect()}
+    assert [(got[p].license, got[p].found, got[p].line) for p, _ in files] == [("BSD-3-Clause", "header", 1), ("MIT", "header", 0), ("GPL-3.0", "header", 0), ("MPL-2.0", "header", 0), (None, "none", None)]
+    assert all(got[p].score > 0.99 for p, _ in files[:4])
