@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,27 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     return _own[app]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared folder, in folders by some columns, and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that written() made, from the since-th on. Only for results that have been read to their end."""
-    jvm = spark.sparkContext._jvm
     for session, path in _written[since:]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(session, path)
     del _written[since:]
 
 
@@ -58,14 +64,32 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bits of a bitmap of keys, which bounds what is broadcast to 4 MB and its index, whatever the number of keys.
+BITS = 1 << 25
+
+
+def bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """One bit for the hash of each key, in pieces of 4 KB, as a written table."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return written(keys.select(F.shiftright(at, 15).cast("int").alias("_piece"), at.bitwiseAND(32767).alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bitmap")
+
+
+def marked(df: DataFrame, key: Column, bits: DataFrame, name: str = "_hit") -> DataFrame:
+    """df with whether the bit of its key is set: true for all keys of the bitmap, and for few others while it is sparse."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    df = df.withColumn("_piece", F.shiftright(at, 15).cast("int")).withColumn("_bit", at.bitwiseAND(32767).cast("int")).join(F.broadcast(bits), "_piece", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn(name, F.coalesce(F.call_function("getbit", byte, F.col("_bit").bitwiseAND(7)) == 1, F.lit(False))).drop("_piece", "_bit", "_bits")
+
+
 _built: dict[str, object] = {}
 
 
-def built(key: str, make, only: bool = False):
-    """What make() gives, made once in a Python worker for each key. only: forget what other keys hold."""
+def built(key: str, make):
+    """What make() gives, made once in a Python worker for each key. The latest few are held."""
     if key not in _built:
-        if only:
-            _built.clear()
+        while len(_built) >= 4:
+            del _built[next(iter(_built))]
         _built[key] = make()
     return _built[key]
 

@@ -1,27 +1,17 @@
-"""Vectorised 64-bit hashes of the words of many texts at once."""
+"""Words of many texts at once, as numbers."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from hashlib import blake2b
+
 import numpy as np
 
-#: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once, and words of a vocabulary after which a new one is begun.
+CHUNK, HELD = 1 << 20, 1 << 18
 
-P = 0x9E3779B97F4A7C55  # an odd base, which has an inverse modulo 2**64
-Q = pow(P, -1, 1 << 64)
+P = 0x9E3779B97F4A7C55
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2**64 for i up to n."""
-    if base not in _powers or len(_powers[base]) <= n:
-        out = np.full(max(n + 1, CHUNK + 4096), base, "u8")
-        out[0] = 1
-        _powers[base] = np.cumprod(out)
-    return _powers[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,24 +20,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the number of words of each text."""
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER), "u1")
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype("i1")))
-    begin, end = edge[::2], edge[1::2]
-    run = np.zeros(len(data) + 1, "u8")
-    np.cumsum((data.astype("u8") + np.uint64(1)) * powers(P, len(data))[: len(data)], out=run[1:])
-    h = mixed((run[end] - run[begin]) * powers(Q, len(data))[begin])
-    first = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return h, np.diff(np.searchsorted(begin, first))
+class Vocabulary(dict):
+    """Numbers for words, in the order in which they are first met, and a hash of each."""
+
+    def __init__(self):
+        self.hashes = np.zeros(1024, "u8")
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[n] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
+@dataclass
+class Coded:
+    """The words of some texts: their numbers, how many each text has, the hash of each number, and a digest of each text's words
+    (None for none)."""
+
+    ids: np.ndarray
+    words: np.ndarray
+    hashes: np.ndarray
+    digests: list[bytes | None]
+
+    @staticmethod
+    def of(texts: list[bytes], vocabulary: Vocabulary) -> tuple[Vocabulary, Coded]:
+        """With the vocabulary that goes on to the next texts."""
+        if len(vocabulary) > HELD:
+            vocabulary = Vocabulary()
+        split = [t.translate(LOWER).split() for t in texts]
+        ids = np.array([n for w in split for n in map(vocabulary.__getitem__, w)], "i8")
+        digests = [blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in split]
+        return vocabulary, Coded(ids, np.array([len(w) for w in split], "i8"), vocabulary.hashes[: len(vocabulary)], digests)
 
 
-def chunks(texts: list[bytes]):
+def chunks(texts: list[bytes], size: int = CHUNK):
     begin, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
-        if held >= CHUNK or i - begin >= 8000:
+        if held >= size or i - begin >= 8000:
             yield begin, i + 1
             begin, held = i + 1, 0
     if begin < len(texts):

@@ -5,8 +5,9 @@ one whole sequence where it has fewer words. Documents are linked where their se
 80 / 100; signatures in bands of ROWS values find candidates (a pair at 0.8 is missed with probability 3e-6), and links are
 confirmed on full sets, made from the texts. Components of links are the groups; the smallest id of each stays.
 
-How hot groups stay linear. Documents with the same set are one node. In each bucket of a band only the pairs of the
-smallest node with the others are confirmed; where the components found so far leave a bucket with several, those pairs
+How hot groups stay linear. Documents with the same words in the same order are one node, known by a 128-bit digest; all other
+equality, of words, shingles and sets, is decided on the words. In each bucket of a band only the pairs of the smallest
+node with the others are confirmed; where the components found so far leave a bucket with several, those pairs
 across components are confirmed that the triangle inequality of Jaccard distance, the sizes of the sets and one bit of each
 value of the signatures leave open. So links between different components are kept, and pairs within the component of a
 bucket's smallest node are never formed. Nothing but counts comes to the driver.
@@ -25,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, written
-from tidewater.llm.hashing import LOWER, P, Q, chunks, mixed, word_hashes
+from tidewater.llm.common import bitmap, bounded_batches, marked, written
+from tidewater.llm.hashing import LOWER, Coded, P, Vocabulary, chunks, mixed
 from tidewater.sources.tables import read_spread
 
 SHINGLE, PERMUTATIONS, ROWS = 2, 80, 5
@@ -38,25 +39,29 @@ WORDS64, AGREE = -(-2 * PERMUTATIONS // 64), 124
 SMALL, BLOCK = 16, 128
 #: Rows of a batch that are Python objects at once.
 SLICE = 512
-#: Cells of the bitmap that says which texts are needed again.
-CELLS = 1 << 18
 
 _draw = np.random.default_rng(20)
 _A = _draw.integers(0, 1 << 31, PERMUTATIONS, dtype="u4") * np.uint32(2) + np.uint32(1)
 _B = _draw.integers(0, 1 << 32, PERMUTATIONS, dtype="u4")
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """51-bit hashes of distinct shingles, sorted within each text, and the number of them for each text."""
-    h, words = word_hashes(texts)
+
+
+def shingle_sets(coded: Coded, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct shingles of each text, and the number of them. Shingles are told apart by their words."""
+    ids, words = coded.ids, coded.words
     k = np.minimum(size, words)
     many = np.where(words > 0, words - k + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), many)
+    doc = np.repeat(np.arange(len(words)), many)
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(words) - words, many)
-    g, short = k[doc].astype("u8"), k[doc]
-    for i in range(size):
-        g = np.where(i < short, mixed(g * np.uint64(P) + h[np.minimum(at + i, len(h) - 1)]), g) if len(h) else g
-    key = np.sort((doc.astype("u8") << np.uint64(51)) | (g >> np.uint64(13)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & np.uint64((1 << 51) - 1), np.bincount((key >> np.uint64(51)).astype("i8"), minlength=len(texts))
+    if not len(at):
+        return np.zeros(0, "u8"), many
+    code, short = ids[at], k[doc]
+    g = mixed(short.astype("u8") * np.uint64(P) + coded.hashes[code])
+    for i in range(1, size):
+        nth = ids[np.minimum(at + i, len(ids) - 1)]
+        g = np.where(i < short, mixed(g * np.uint64(P) + coded.hashes[nth]), g)
+        code = np.unique(code * len(coded.hashes) + nth, return_inverse=True)[1]  # ranks, so that products stay small
+    _, first, many = np.unique(doc * (int(code.max()) + 1) + code, return_index=True, return_counts=True)
+    return g[first], np.bincount(doc[first], minlength=len(words))
 
 
 def signatures(g: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -89,30 +94,28 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles, two hashes of the whole set, and the band keys (null for empty sets)."""
+    """id, n_shingles, a 128-bit digest of the words in their order, the band keys and the bits of the signature."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches):
+        vocabulary = Vocabulary()
         for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
             for i, j in chunks(texts):
-                g, many = shingle_sets(texts[i:j], size)
+                vocabulary, coded = Coded.of(texts[i:j], vocabulary)
+                g, many = shingle_sets(coded, size)
                 full = np.flatnonzero(many)
-                one, two = np.zeros(j - i, "u8"), np.zeros(j - i, "u8")
                 at, flat, bits = np.zeros(j - i, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
                 if len(full):
-                    first = (np.cumsum(many) - many)[full]
-                    one[full] = np.add.reduceat(mixed(g), first)
-                    two[full] = np.add.reduceat(mixed(g ^ np.uint64(Q)), first)
                     sig = signatures(g, many[full])
                     flat, bits = band_keys(sig).reshape(-1).view("i8"), sketches(sig).reshape(-1)
                     at[full] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]), pa.int32()), pa.array(flat, pa.int64()))
                 small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at // BANDS * WORDS64)]), pa.int32()), pa.array(bits, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(many, pa.int64()), pa.array(one.view("i8")), pa.array(two.view("i8")), lists, small], ["_id", "_n", "_one", "_two", "_bands", "_bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(many, pa.int64()), pa.array(coded.digests, pa.binary()), lists, small], ["_id", "_n", "_same", "_bands", "_bits"])
 
-    return base.mapInArrow(run, f"_id {kind}, _n bigint, _one bigint, _two bigint, _bands array<bigint>, _bits array<bigint>")
+    return base.mapInArrow(run, f"_id {kind}, _n bigint, _same binary, _bands array<bigint>, _bits array<bigint>")
 
 
 def shingles(text: str | None, size: int) -> set:
@@ -121,12 +124,11 @@ def shingles(text: str | None, size: int) -> set:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_i, _t for distinct ids (_i). Only texts whose id shares a cell of a bounded bitmap with one of them are moved."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
+    """_i, _t for distinct ids (_i). Only texts whose id shares a bit of a bounded bitmap with one of them are moved."""
     ids = written(ids, "near-ids")
-    cells = ids.select(cell(F.col("_i")).alias("_c")).distinct()
-    base = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn("_c", cell(F.col("_i")))
-    return written(base.join(F.broadcast(cells), "_c", "left_semi").drop("_c").join(ids, "_i", "left_semi").dropDuplicates(["_i"]), "near-texts")
+    base = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
+    base = marked(base, F.col("_i"), bitmap(ids, F.col("_i"))).where("_hit").drop("_hit")
+    return written(base.join(ids, "_i", "left_semi").dropDuplicates(["_i"]), "near-texts")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, share: int) -> DataFrame:
@@ -246,10 +248,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n_shingles, component_id, kept for each row."""
     bounded_batches(docs.sparkSession)
     signed = written(sign(docs, id_col, text_col, size), "near-signatures")
-    same = signed.where("_n > 0 and _id is not null").groupBy("_one", "_two").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    same = signed.where("_n > 0 and _id is not null").groupBy("_same").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
     same = written(same.drop("_m"), "near-sets")
     rep = F.coalesce("_rep", "_id")
-    nodes = signed.join(same, ["_one", "_two"], "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), rep).alias("_rep"), *(F.when(F.col("_id") == rep, F.col(c)).alias(c) for c in ("_bands", "_bits")))
+    nodes = signed.join(same, "_same", "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), rep).alias("_rep"), *(F.when(F.col("_id") == rep, F.col(c)).alias(c) for c in ("_bands", "_bits")))
     nodes = written(nodes, "near-nodes")
     members = nodes.where("_bands is not null").select(F.explode("_bands").alias("_key"), F.col("_rep").alias("_x"))
     heads = members.groupBy("_key").agg(F.min("_x").alias("_y"), F.max("_x").alias("_z")).where("_y < _z").drop("_z")
