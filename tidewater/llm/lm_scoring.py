@@ -6,42 +6,54 @@ Krichevsky-Trofimov's, (n1 + 1/2) / (n0 + n1 + 1); going up from the leaves, a n
 and the product of its children's, which gives the weight of its own estimate against the deeper ones. A choice's probability
 is that mixture along its context; where a deeper context wasn't met in training, the deepest one that was has the rest.
 
-Counts are over all training texts, and the tree holds every context met in them. It is never in one place: grams are dealt
-out by the TOP + 1 bytes before the byte, so that each subtree of such a context is built where its grams are, a few subtrees at
-a time; only the levels up to TOP, of 65,536 contexts at most, are brought together and broadcast. Texts are dealt into blocks
-of about BLOCK bytes; distinct grams of each block are joined to their probabilities, which come back to the block's texts. Word
-counts are looked up in a broadcast table for words with at least 1 / FREQUENT of all tokens, and by a join for all the rest.
+Counts are over all training texts, and the tree holds every context met in them. It is never in one place. A scan cuts its
+texts into blocks of about BLOCK bytes, and writes each block's texts, its distinct grams with their counts and its distinct
+words with theirs, all packed; grams are dealt into buckets by the TOP + 1 bytes before the byte, and words by their hash. So
+rows are few and small, whatever the number of grams. A bucket meets the grams of all blocks, builds the subtrees of its
+contexts and gives each block the probabilities of its own grams; only the levels up to TOP, of 65,536 contexts at most, are
+brought together and broadcast. A word's count comes back to the blocks that have it in the same way, and is exact.
 
 Null text counts as empty: one token, the end. Null ids count as the empty text for the fold. Repeated rows each get a row and,
 in training folds, each count. Without training rows every byte has probability 1/256. An empty table gives an empty result.
-Other columns are ignored. Texts of any length are read whole.
+Other columns are ignored. Texts of any length are read whole; a long one is a block of its own.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bounded_batches, built, fold, token, written
-from tidewater.llm.hashing import LOWER, chunks, word_hashes
+from tidewater.llm.hashing import LOWER, chunks, mixed
 from tidewater.sources.tables import read_spread
 
-DEPTH, TOP, FREQUENT = 6, 2, 1 << 18
-#: Bytes of text in a block, grams of the subtrees that are built at a time, and counts whose gamma function is in a table.
-BLOCK, HELD, TABLE = 1 << 25, 1 << 18, 1 << 16
-END = np.uint64(0xFFFFFFFFFFFFFFFF)
-WORDS, GRAMS = 0, 1
+DEPTH, TOP = 6, 2
+#: Bytes of text in a block and of the pieces that it is worked on in, buckets at least and at most, grams that are looked up at
+#: a time, and counts whose gamma function is in a table.
+BLOCK, PIECE, BUCKETS, HELD, TABLE = 1 << 25, 1 << 22, (256, 1 << 16), 1 << 16, 1 << 16
+TEXTS, GRAMS, WORDS = 0, 1, 2
+NODE, LOW, TOKENS, DISTINCT = 0, 1, 2, 3
+
+
+def coding(text: bytes) -> bytes:
+    return b" ".join([*text.translate(LOWER).split(), b"\n"])
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each coded byte the byte and the DEPTH before it, latest lowest; and the number of coded bytes of each text."""
+    return grams_of([coding(t) for t in texts])
+
+
+def grams_of(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\n" * DEPTH
-    coded = [b" ".join([*t.translate(LOWER).split(), b"\n"]) for t in texts]
     size = np.array([len(c) for c in coded], "i8")
     data = np.frombuffer(pad + pad.join(coded), "u1")
     code = data.astype("i8")
@@ -53,6 +65,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[real], size
 
 
+def turned(code: np.ndarray) -> np.ndarray:
+    """Grams with the order of the bytes before the byte reversed, so that grams of like ends sort together."""
+    return (((code >> 8).byteswap().view("u8") >> np.uint64(64 - 8 * DEPTH)).view("i8") << 8) | (code & 255)
+
+
 def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each is there."""
     if not len(keys):
@@ -67,71 +84,101 @@ def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(n, first)
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts, ends included, and the number of tokens of each."""
-    h, many = word_hashes(texts)
-    at = np.cumsum(many)
-    return np.insert(h, at, END), many + 1
-
-
-def blocked(base: DataFrame) -> DataFrame:
-    """_id, _text, _train with _row, and _block: consecutive rows of a task with about BLOCK bytes of text."""
-    kind = base.schema["_id"].dataType.simpleString()
+def packed(values: np.ndarray) -> bytes:
+    """Bytes of whole numbers or floats, compressed plane by plane."""
+    return pa.compress(np.ascontiguousarray(values.view("u1").reshape(-1, values.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    """What packed() was given."""
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1")
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Block:
+    """What a scan has met of a block: its training and other grams and words with their counts in training texts."""
+
+    def __init__(self):
+        self.key, self.size, self.grams, self.words = uuid.uuid4().int >> 65, 0, [], Counter()
+
+    def add(self, coded: list[bytes], train: np.ndarray) -> None:
+        """Every gram and word is held, those of other texts with a count of 0."""
+        code, size = grams_of(coded)
+        self.size += len(code)
+        code = (code << 1) | np.repeat(~train, size)
+        code.sort()
+        key = code >> 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "i8")
+        self.grams.append((key[first], np.add.reduceat(1 - (code & 1), first) if len(key) else key))
+        if sum(len(k) for k, _ in self.grams[1:]) > len(self.grams[0][0]):
+            self.merge()
+        for used in (True, False):
+            some = [c for c, t in zip(coded, train, strict=True) if t == used]
+            if used:
+                self.words.update(b" ".join(some).split())
+                self.words[b""] += len(some)  # ends
+            else:
+                self.words.update(dict.fromkeys({b"", *b" ".join(some).split()}, 0))
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        self.grams = [counted(*(np.concatenate(x) for x in zip(*self.grams, strict=True)))]
+        return self.grams[0]
+
+    def rows(self, buckets: int):
+        """(kind, bucket, keys, counts) of each bucket that has some, packed."""
+        keys, n = self.merge()
+        at = turned(keys)
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        bucket = (mixed((at >> (8 * (DEPTH - TOP))).view("u8")) % np.uint64(buckets)).astype("u2")
+        order = np.argsort(bucket, kind="stable")
+        at, n, bucket = at[order], n[order], bucket[order]
+        for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(bucket)) + 1) if len(at) else ():
+            yield GRAMS, int(bucket[some[0]]), packed(np.diff(at[some], prepend=0)), packed(n[some].astype("u4"))
+        dealt: dict[int, list[bytes]] = {}
+        for w in self.words:
+            dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
+        for b, some in dealt.items():
+            some.sort()
+            yield WORDS, b, pa.compress(b" ".join(some), codec="zstd", asbytes=True) if some != [b""] else b"", packed(np.array([self.words[w] for w in some], "i8"))
+
+
+def scanned(docs: DataFrame, buckets: int) -> DataFrame:
+    """_id, _text, _train -> rows by kind. TEXTS: the coded texts of a piece of a block, with their ids, lengths and folds;
+    GRAMS and WORDS: those of a block and bucket."""
+    kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        block, held = uuid.uuid4().int >> 65, 0
-        for batch in batches:
-            of = []
-            for n in pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist():
-                if held and held + n > BLOCK:
-                    block, held = uuid.uuid4().int >> 65, 0
-                held += n
-                of.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], [*batch.schema.names, "_block"])
-
-    return base.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, f"_id {kind}, _text string, _train boolean, _row bigint, _block bigint")
+        schema = None
 
-
-def count(texts: DataFrame) -> DataFrame:
-    """kind, block, key, n: each gram of a block, and how often it is in its training texts; each word (by hash) of those."""
-
-    def run(batches):
-        held: list[list] = [[], []]
+        def row(what, block, bucket=None, ids=None, size=b"", data=b"", n=b""):
+            values = [[what], [block], [bucket], [ids], [size], [data], [n]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
         def given(block):
-            for kind in (WORDS, GRAMS):
-                keys, n = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True))) if held[kind] else (np.zeros(0, "i8"),) * 2
-                held[kind] = []
-                for i in range(0, len(keys), 1 << 18):
-                    k, m = keys[i : i + (1 << 18)], n[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, "i4")), pa.array(np.full(len(k), block, "i8")), pa.array(k, pa.int64()), pa.array(m, pa.int64())], ["kind", "block", "key", "n"])
-
-        now = None
+            for what, bucket, keys, n in block.rows(buckets):
+                yield row(what, block.key, bucket, data=keys, n=n)
+
+        block = Block()
         for batch in batches:
+            of = batch.schema.field("_id").type
+            schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(of)), ("size", pa.binary()), ("data", pa.binary()), ("n", pa.binary())])
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
-            train, block = batch.column("_train").to_pylist(), batch.column("_block").to_pylist()
-            begin = 0
-            for end in range(1, len(texts) + 1):
-                if end < len(texts) and block[end] == block[begin]:
-                    continue
-                if now is not None and now != block[begin]:
-                    yield from given(now)
-                now = block[begin]
-                for used in (True, False):
-                    some = [texts[i] for i in range(begin, end) if train[i] == used]
-                    for i, j in chunks(some):
-                        keys, n = counted(grams(some[i:j])[0])
-                        held[GRAMS].append((keys, n * used))
-                        if used:
-                            held[WORDS].append(counted(tokens(some[i:j])[0].view("i8")))
-                for kind in (WORDS, GRAMS):
-                    if len(held[kind]) > 8:
-                        held[kind] = [counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))]
-                begin = end
-        if now is not None:
-            yield from given(now)
-
-    return texts.select("_text", "_train", "_block").mapInArrow(run, "kind int, block bigint, key bigint, n bigint")
+            train = batch.column("_train").to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in chunks(texts, PIECE):
+                if block.size and block.size + sum(map(len, texts[i:j])) > BLOCK:
+                    yield from given(block)
+                    block = Block()
+                coded = [coding(t) for t in texts[i:j]]
+                block.add(coded, train[i:j])
+                size = np.array([len(c) for c in coded], "i8")
+                yield row(TEXTS, block.key, ids=batch.column("_id").slice(i, j - i).to_pylist(), size=size.tobytes(), data=pa.compress(b"".join(coded), codec="zstd", asbytes=True))
+        if block.size:
+            yield from given(block)
+
+    return docs.mapInArrow(run, f"kind int, block bigint, bucket int, ids array<{kind}>, size binary, data binary, n binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -226,59 +273,92 @@ def byte_logs(levels: list, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def subtrees(batches):
-    """For grams and counts that come sorted by the TOP + 1 bytes before them: the grams of whole contexts of so many bytes, about
-    HELD at a time, with their tree from that depth on. Grams of count 0 aren't in the tree."""
-
-    def built_of(key, n):
-        met = n > 0
-        return key, Tree([counted(key[met] & ((1 << (8 * (d + 1))) - 1), n[met]) for d in range(TOP + 1, DEPTH + 1)], TOP + 1)
-
-    held, many = [], 0
+def grouped(batches, columns: tuple[str, ...]):
+    """(kind, bucket), rows of columns: of batches that come sorted by kind and bucket."""
+    now, held = None, []
     for batch in batches:
-        held.append((batch.column("key").to_numpy(), batch.column("n").to_numpy()))
-        many += batch.num_rows
-        if many < HELD:
-            continue
-        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        context = (key >> 8) & ((1 << (8 * (TOP + 1))) - 1)
-        last = np.flatnonzero(context != context[-1])
-        end = int(last[-1]) + 1 if len(last) else 0
-        if end:
-            yield built_of(key[:end], n[:end])
-        held, many = [(key[end:], n[end:])], len(key) - end
-    if many:
-        yield built_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
-def gram_logs(counts: DataFrame) -> DataFrame:
-    """key, log: log10 probability of each gram's byte, by the tree of all grams of a count above 0."""
-    spark = counts.sparkSession
-    dealt = counts.withColumn("_of", F.shiftright("key", 8).bitwiseAND((1 << (8 * (TOP + 1))) - 1)).repartition("_of").sortWithinPartitions("_of").select("key", "n")
+        for r in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", *columns)), strict=True):
+            if now is not None and r[:2] != now:
+                yield now, held
+                held = []
+            now = r[:2]
+            held.append(r[2:])
+    if held:
+        yield now, held
+
+
+def subtree(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, list, Tree]:
+    """For the packed grams of all blocks in a bucket: those of each block and all of them, as turned, the grams of each depth
+    from TOP + 1 on with their counts, and their tree. Grams of count 0 aren't in the tree."""
+    each = [np.cumsum(unpacked(data, "i8")) for data, _ in rows]
+    at, n = counted(np.concatenate(each), np.concatenate([unpacked(n, "u4") for _, n in rows]).astype("i8"))
+    code, met = turned(at), n > 0
+    code, n = code[met], n[met]
+    levels = [counted(code & ((1 << (8 * (d + 1))) - 1), n) for d in range(TOP + 1, DEPTH + 1)]
+    return each, at, levels, Tree(levels, TOP + 1)
+
+
+def words_of(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ") if data else [b""]
+
+
+def word_counts(rows: list[tuple]) -> tuple[list[list[bytes]], Counter]:
+    """For the packed words of all blocks in a bucket: those of each block, and the count of each."""
+    each, total = [words_of(data) for data, _ in rows], Counter()
+    for words, (_, n) in zip(each, rows, strict=True):
+        for w, c in zip(words, unpacked(n, "i8").tolist(), strict=True):
+            total[w] += c
+    return each, total
+
+
+def looked_up(parts: DataFrame) -> tuple[DataFrame, int, int]:
+    """kind, block, data, value: for each row of GRAMS the log10 probabilities of its grams, for each row of WORDS the counts
+    of its words in all training texts; and the number of training tokens, all and distinct."""
+    spark = parts.sparkSession
+    dealt = parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
 
     def rising(batches):
-        for _, tree in subtrees(batches):
-            at, n0, n1, whole = tree.top
-            up = (((at >> 8) & ((1 << (8 * TOP)) - 1)) << 8) | (at & 255)
-            keys, back = np.unique(up, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(back, weights=whole, minlength=len(keys)))], ["node", "whole"])
-
-    # At most 65,536 contexts of 256 bytes, and as many nodes.
-    low = counts.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * (TOP + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    deep = dealt.mapInArrow(rising, "node bigint, whole double").groupBy("node").agg(F.sum("whole").alias("whole")).orderBy("node").toArrow()
-    code, n = low["code"].to_numpy(), low["n"].to_numpy()
-    levels = [counted(code & ((1 << (8 * (d + 1))) - 1), n) for d in range(TOP + 1)]
-    tree = Tree(levels, 0, (deep["node"].to_numpy(), deep["whole"].to_numpy()))
+        for (kind, _), rows in grouped(batches, ("data", "n")):
+            if kind == WORDS:
+                total = word_counts(rows)[1]
+                out = [(TOKENS, 0, float(total.total())), (DISTINCT, 0, float(sum(c > 0 for c in total.values())))]
+                what, code, value = (np.array(x) for x in zip(*out, strict=True))
+            else:
+                _, _, levels, tree = subtree(rows)
+                at, n0, n1, whole = tree.top
+                up = (((at >> 8) & ((1 << (8 * TOP)) - 1)) << 8) | (at & 255)
+                keys, back = np.unique(up, return_inverse=True)
+                low, n = counted(levels[0][0] & ((1 << (8 * (TOP + 1))) - 1), levels[0][1])
+                what, code = np.repeat([NODE, LOW], [len(keys), len(low)]), np.concatenate([keys, low])
+                value = np.concatenate([np.bincount(back, weights=whole, minlength=len(keys)), n.astype("f8")])
+            yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(code, pa.int64()), pa.array(value, pa.float64())], ["what", "code", "value"])
+
+    # Nodes of at most 65,536 contexts: 256 grams and 255 choices each.
+    got = dealt.select("kind", "bucket", "data", "n").mapInArrow(rising, "what int, code bigint, value double").groupBy("what", "code").agg(F.sum("value").alias("value")).orderBy("what", "code").toArrow()
+    what, code, value = (got[c].to_numpy() for c in ("what", "code", "value"))
+    low, n = code[what == LOW], value[what == LOW].astype("i8")
+    levels = [counted(low & ((1 << (8 * (d + 1))) - 1), n) for d in range(TOP + 1)]
+    tree = Tree(levels, 0, (code[what == NODE], value[what == NODE]))
     shared, name = spark.sparkContext.broadcast(tree.levels), token()
 
     def falling(batches):
-        top = built(name, lambda: shared.value)
-        for keys, tree in subtrees(batches):
-            for i in range(0, len(keys), 1 << 16):
-                part = np.sort(keys[i : i + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(byte_logs([*top, *tree.levels], part).astype("f4"))], ["key", "log"])
+        for (kind, _), rows in grouped(batches, ("block", "data", "n")):
+            packs = [r[1:] for r in rows]
+            if kind == WORDS:
+                each, total = word_counts(packs)
+                values = [packed(np.array([total[w] for w in words], "i8")) for words in each]
+            else:
+                each, at, _, tree = subtree(packs)
+                levels, code = [*built(name, lambda: shared.value), *tree.levels], turned(at)
+                logs, order = np.empty(len(at), "f4"), np.argsort(code)
+                for i in range(0, len(at), HELD):
+                    logs[order[i : i + HELD]] = byte_logs(levels, code[order[i : i + HELD]])
+                values = [packed(logs[np.searchsorted(at, keys)]) for keys in each]
+            for (block, data, _), value in zip(rows, values, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([value], pa.binary())], ["kind", "block", "data", "value"])
 
-    return dealt.mapInArrow(falling, "key bigint, log float")
+    out = dealt.select("kind", "bucket", "block", "data", "n").mapInArrow(falling, "kind int, block bigint, data binary, value binary")
+    return out, int(value[what == TOKENS].sum()), int(value[what == DISTINCT].sum())
 
 
 def sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -288,61 +368,51 @@ def sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; fold 0 is held out."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), (fold(F.col(id_col), folds) != 0).alias("_train"))
     kind = base.schema["_id"].dataType.simpleString()
-    texts = written(blocked(base), "lm-texts")
-    pairs = written(count(texts), "lm-pairs")
-    counts = written(pairs.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    n, v = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = min(BUCKETS[1], max(BUCKETS[0], total // BLOCK))
+    parts = written(scanned(base, buckets), "lm-blocks", ("kind",))
+    found, n, v = looked_up(parts.where(F.col("kind") != TEXTS).select("kind", "bucket", "block", "data", "n"))
+    found = written(found, "lm-values")
     denominator = n + 0.1 * (v + 1)
-    words = counts.where(F.col("kind") == WORDS)
-    table = words.where(F.col("n") >= n / FREQUENT).select("key", "n").toArrow() if n else None  # at most FREQUENT rows
-    keys, value = (table["key"].to_numpy(), table["n"].to_numpy()) if n else (np.zeros(0, "i8"), np.zeros(0, "i8"))
-    order = np.argsort(keys.view("u8"))
-    frequent = (keys.view("u8")[order], np.log10((value[order] + 0.1) / denominator))
-
-    logs = written(gram_logs(counts.where(F.col("kind") == GRAMS).select("key", "n")), "lm-logs")
-    known = pairs.where(F.col("kind") == GRAMS).select("block", "key").join(logs, "key").withColumnRenamed("block", "_block")
-    shared, name = spark.sparkContext.broadcast(frequent), token()
-
-    def run(rows: pa.Table, grams_of: pa.Table) -> pa.Table:
-        words, logs = built(name, lambda: shared.value)
-        held, value = grams_of["key"].to_numpy(), grams_of["log"].to_numpy()
+
+    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+        logs, counts = [], {}
+        for what, data, value in zip(values["kind"].to_pylist(), values["data"], values["value"], strict=True):
+            if what == WORDS:
+                counts.update(zip(words_of(data.as_py()), unpacked(value.as_py(), "i8").tolist(), strict=True))
+            else:
+                logs.append((turned(np.cumsum(unpacked(data.as_py(), "i8"))), unpacked(value.as_py(), "f4")))
+        held, value = (np.concatenate(x) for x in zip(*logs, strict=True)) if logs else (np.zeros(0, "i8"), np.zeros(0, "f4"))
         order = np.argsort(held)
         held, value = held[order], value[order].astype("f8")
         out = []
-        for batch in rows.to_batches():
-            texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
-            for i, j in chunks(texts):
-                code, size = grams(texts[i:j])
-                order = np.argsort(code)
-                score = np.empty(len(code))
-                score[order] = value[np.searchsorted(held, code[order])]
-                h, many = tokens(texts[i:j])
-                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-                known = (words[at] == h) if len(words) else np.zeros(len(h), bool)
-                part = np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(h))
-                rare = np.concatenate([[0], np.cumsum(many - sums(known.astype("i8"), many))])
-                lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(h[~known].view("i8"), pa.int64()))
-                cols = [*(batch.column(c).slice(i, j - i) for c in ("_id", "_row")), pa.array(many, pa.int64()), pa.array(size, pa.int64()), pa.array(sums(known.astype("i8"), many), pa.int64()), pa.array(sums(part, many)), pa.array(sums(score, size)), lists]
-                out.append(pa.RecordBatch.from_arrays(cols, ["_id", "_row", "_tokens", "_bytes", "_known", "_base", "_score", "_rare"]))
+        for ids, size, data in zip(texts["ids"].combine_chunks(), texts["size"], texts["data"], strict=True):
+            size = np.frombuffer(size.as_py(), "i8")
+            end = np.cumsum(size)
+            coded = zstandard.ZstdDecompressor().decompress(data.as_py())
+            each = [coded[b - k : b] for b, k in zip(end.tolist(), size.tolist(), strict=True)]
+            code, split = grams_of(each)[0], [c.split() for c in each]
+            order = np.argsort(code)
+            score = np.empty(len(code))
+            score[order] = value[np.searchsorted(held, code[order])]
+            many = np.array([len(w) + 1 for w in split], "i8")
+            c = np.array([counts[w] for words in split for w in (*words, b"")], "i8")
+            cols = [ids.values, pa.array(many), pa.array(size), pa.array(sums((c > 0).astype("i8"), many)), pa.array(sums(np.log10((c + 0.1) / denominator), many)), pa.array(sums(score, size))]
+            out.append(pa.RecordBatch.from_arrays(cols, ["_id", "_tokens", "_bytes", "_known", "_base", "_score"]))
         return pa.Table.from_batches(out)
 
-    scored = texts.select("_id", "_text", "_row", "_block").groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, f"_id {kind}, _row bigint, _tokens bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<bigint>")
-    rows = written(scored, "lm-rows")
-    rare = rows.select("_row", F.explode("_rare").alias("key")).join(words.select("key", "n"), "key")
-    found = written(rare.groupBy("_row").agg(F.count(F.lit(1)).alias("_more"), F.sum(F.log10((F.col("n") + 0.1) / F.lit(float(denominator)))).alias("_sum")), "lm-rare")
-    none = float(np.log10(0.1 / denominator))
-    more = F.coalesce("_more", F.lit(0))
-    return rows.drop("_rare").join(found, "_row", "left").select(
+    texts = parts.where(F.col("kind") == TEXTS).select("block", "ids", "size", "data")
+    rows = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"_id {kind}, _tokens bigint, _bytes bigint, _known bigint, _base double, _score double")
+    return rows.select(
         F.col("_id").alias(id_col),
         (fold(F.col("_id"), folds) == 0).alias("held_out"),
         F.col("_tokens").alias("n_tokens"),
-        (F.col("_known") + more).cast("bigint").alias("n_known"),
+        F.col("_known").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_sum", F.lit(0.0)) + (F.col("_tokens") - F.col("_known") - more) * none).alias("base_score"),
+        F.col("_base").alias("base_score"),
         F.col("_score").alias("score"),
         (-F.col("_score") / F.log10(F.lit(2.0)) / F.col("_bytes")).alias("bits_per_byte"),
     )
