@@ -1,8 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
 Words are runs of letters a-z (A-Z lower-cased), digits and characters beyond ASCII. A window is WINDOW consecutive words
-of an item; an item of fewer words, but not none, is one window. Texts are normalised to words with single spaces, scanned
-once, and every word inside an occurrence of a window is hit. Spans are offsets, in characters, in the original text.
+of an item; an item of fewer words, but not none, is one window. The automaton's symbols are words: a number for each word of
+the benchmark, and 0 for all others. Texts are normalised to words and scanned once, and every word inside an occurrence of a
+window is hit. Spans are offsets, in characters, in the original text; they are looked for in texts with hits alone.
+
+The benchmark's words, once each window's item, are broadcast, and each Python worker builds the automaton once; it takes about
+half a kilobyte for each word of the benchmark. A benchmark of over MOST bytes is refused, as it couldn't be held.
 
 Null and empty texts have no words and are not contaminated. Null or empty items have no window; a null item id counts as
 the empty string. Items that share a window are all reported; repeated rows of documents each get a row, repeated items
@@ -12,6 +16,7 @@ count once. Empty tables give an empty result, or one without hits. Other column
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 import ahocorasick
 import numpy as np
@@ -24,8 +29,8 @@ from tidewater.llm.common import bounded_batches, built, token
 from tidewater.sources.tables import read_spread
 
 WINDOW = 13
-#: Bytes of patterns in an automaton. A larger benchmark is scanned for in blocks of so many, one after another.
-BLOCK = 4 << 20
+#: Bytes of a benchmark's words that are taken at most.
+MOST = 1 << 26
 
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
@@ -36,82 +41,68 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows(item: bytes, size: int = WINDOW) -> set[tuple[str, int]]:
-    """Windows of an item as (padded text, number of words). Bytes stand for themselves (latin-1), so that texts stay compact."""
-    w = words(item)
-    n = min(size, len(w))
-    return {(" " + b" ".join(w[i : i + n]).decode("latin-1") + " ", n) for i in range(len(w) - n + 1)} if n else set()
-
-
-def automaton(patterns: list[tuple[str, int, list[str]]]):
-    a = ahocorasick.Automaton()
-    for key, n, items in patterns:
-        a.add_word(key, (n, items))
-    a.make_automaton()
-    return a
-
-
-def scan(text: bytes, automata) -> tuple[int, np.ndarray, set]:
-    """Number of words, the words that are hit, and the items."""
-    w = words(text)
-    if not w:
-        return 0, np.zeros(0, "i8"), set()
-    plain, items, found = " " + b" ".join(w).decode("latin-1") + " ", set(), []
-    for a in automata:
-        for end, (n, ids) in a.iter(plain) if len(a) else ():
-            found.append((end, n))
+class Matcher:
+    """The automaton over the windows of items, which are given as (id, words)."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+        self.numbers: dict[bytes, int] = {}
+        found: dict[tuple, set] = {}
+        for item, w in items:
+            code, n = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in w], min(size, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                found.setdefault(tuple(code[i : i + n]), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in found.items():
+            self.automaton.add_word(window, (len(window), tuple(sorted(ids))))
+        self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, np.ndarray, set]:
+        """Number of words, the words that are hit, and the items."""
+        w, items = words(text), set()
+        if not w or not self.numbers:
+            return len(w), np.zeros(0, "i8"), items
+        number = self.numbers.get
+        edge = np.zeros(len(w) + 1, "i8")
+        for end, (n, ids) in self.automaton.iter(tuple([number(x, 0) for x in w])):
+            edge[end - n + 1] += 1
+            edge[end + 1] -= 1
             items.update(ids)
-    if not found:
-        return len(w), np.zeros(0, "i8"), items
-    gaps = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), "u1") == 32)
-    end, n = np.array(sorted(set(found))).T
-    last = np.searchsorted(gaps, end)  # words up to the gap that ends the window
-    edge = np.zeros(len(w) + 1, "i8")
-    np.add.at(edge, last - n, 1)
-    np.add.at(edge, last, -1)
-    return len(w), np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
+        return len(w), np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
 
 
 def spans(text: bytes, hit: np.ndarray) -> list[dict]:
     """Runs of hit words as character offsets in the original text."""
-    at = [m.span() for m in ORIGINAL_WORD.finditer(text)]
-    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
-    chars = lambda b: len(text[:b].decode("utf-8", "replace"))
-    return [{"start": chars(at[r[0]][0]), "end": chars(at[r[-1]][1])} for r in runs]
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
-    """The benchmark's windows, each with its items, in blocks of BLOCK bytes."""
-    now, held = {}, 0
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        for key, n in windows((row[1] or "").encode(), size):
-            if (key, n) not in now:
-                now[key, n] = set()
-                held += len(key)
-            now[key, n].add(row[0] or "")
-        if held > BLOCK:
-            yield [(k, n, sorted(v)) for (k, n), v in now.items()]
-            now, held = {}, 0
-    yield [(k, n, sorted(v)) for (k, n), v in now.items()]
+    if not len(hit):
+        return []
+    at = np.array([m.span() for m in ORIGINAL_WORD.finditer(text)])
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, "u1") & 0xC0) != 0x80)])
+    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+    return [{"start": int(chars[at[r[0]][0]]), "end": int(chars[at[r[-1]][1]])} for r in runs]
+
+
+def read_items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[str, list[bytes]]]:
+    """Id and words of each item; refused over MOST bytes."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).distinct()
+    held = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    if held > MOST:
+        raise ValueError(f"a benchmark of {held} bytes; {MOST} at most")
+    return sorted((r[0], words(r[1].encode())) for r in rows.collect())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, keep, n_words, n_hit, item_ids, spans and contaminated (n_hit > 0 and n_hit >= share of n_words) for each row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = [(token(), spark.sparkContext.broadcast(b)) for b in blocks(benchmark, item_col, item_text, window)]
-    per = round(1 / share)
+    shared, key = spark.sparkContext.broadcast(read_items(benchmark, item_col, item_text)), token()
+    part = Fraction(str(share))
 
     def run(batches):
-        def automata():
-            for key, b in shared:  # of several blocks, one is held at a time
-                yield built(key, lambda b=b: automaton(b.value), only=len(shared) > 1)
-
+        matcher = built(key, lambda: Matcher(shared.value, window))
         for batch in batches:
             out = {"n_words": [], "n_hit": [], "item_ids": [], "spans": []}
             for text in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b""):
                 text = text.as_py()
-                n, hit, items = scan(text, automata())
+                n, hit, items = matcher.scan(text)
                 out["n_words"].append(n)
                 out["n_hit"].append(len(hit))
                 out["item_ids"].append(sorted(items))
@@ -123,7 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(*[c for c in back if c != text_col], F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in back)
     out = base.mapInArrow(run, f"{kinds}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start: bigint, end: bigint>>")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part.denominator >= F.col("n_words") * part.numerator))
 
 
 def items_digest(items):
