@@ -1,6 +1,7 @@
 """Operators on small fixtures: what has no SQL form, and the cases the tables don't hold."""
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -16,47 +17,97 @@ from tidewater.sources import corpus, session_files
 from tidewater.streaming import fold
 
 
-def test_chunk_headings_tables_code():
+def chunked(spark, text, **kw):
+    rows = chunk.chunks(spark.createDataFrame([(1, text)], "doc_id int, text string"), **kw).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(len(rows)))
+    return [(r.heading, r.text, r.start) for r in rows]
+
+
+def test_chunk_headings_tables_code(spark):
     text = "<!-- made by x -->\n# A\nintro\n## B\n|a|b|\n|1|2|\n---\n```py\n# not a heading\n```\n*note*\n# C\n" + "句子很长很长很长很长。" * 80
-    got = chunk.chunk_markdown(text)
-    assert [c[0] for c in got][:2] == ["A", "A > B"]
-    assert "made by" not in got[0][1] and "---" not in got[1][1] and "*note*" not in got[1][1] and "# not a heading" in got[1][1]
+    got = chunked(spark, text)
+    assert got[:2] == [("A", "# A\nintro", 0), ("A > B", "## B\n|a|b|\n|1|2|\n```py\n# not a heading\n```", 9)]
     long = [c for c in got if c[0] == "C"]
     assert len(long) >= 3 and all(len(c[1]) <= 450 + chunk.SHORTEST for c in long)
     assert long[1][1].startswith(long[0][1][-50:].strip()[:10]) and [c[2] for c in got] == sorted(c[2] for c in got)
 
 
-def test_chunk_unclosed_fence_oversize_and_empty():
-    assert chunk.chunk_markdown("") == chunk.chunk_markdown(None) == chunk.chunk_markdown("<!-- x -->") == []
-    got = chunk.chunk_markdown("~~~\n" + "x" * 900)
-    assert len(got) > 1 and chunk.chunk_markdown("~~~\n" + "x" * 900, atomic=True)[0][1].count("x") == 900
-
+def test_chunk_unclosed_fence_oversize_and_empty(spark):
+    assert chunked(spark, "") == chunked(spark, None) == chunked(spark, "<!-- x -->") == []
+    got = chunked(spark, "~~~\n" + "x" * 900)
+    assert len(got) > 1 and chunked(spark, "~~~\n" + "x" * 900, atomic=True)[0][1].count("x") == 900
+    assert chunked(spark, "~~~\n```\n# in\n~~~\n# out") == [("", "~~~\n```\n# in\n~~~", 0), ("out", "# out", 16)]
+
+
+def packed_by_hand(text, budget, shortest, overlap):
+    """Chunks of prose without marks of any kind: sentences to the budget, tails ahead, short ones joined."""
+    units = [u + "\n" for u in re.findall(r"[^。]*。|[^。]+", text)]
+    units = [piece for u in units for piece in ([u] if len(u) <= budget else [u[i : i + 200] for i in range(0, len(u), 200)])]
+    groups, size = [[]], 0
+    for u in units:
+        if size and size + len(u) > budget:
+            groups.append([])
+            size = 0
+        groups[-1].append(u)
+        size += len(u)
+    out, tail, at = [], "", 0
+    for g in groups:
+        now = "".join(g).strip()
+        now = f"{tail}\n{now}".strip() if tail else now
+        if len(now) < shortest and out:
+            out[-1] = (out[-1][0] + "\n" + now, out[-1][1])
+        else:
+            out.append((now, at))
+        at, tail = at + len(now), now[len(now) - min(overlap, len(now)) :]
+    return out
+
+
+@pytest.mark.parametrize("how", [(450, 120, 50), (200, 60, 20), (130, 40, 0)])
+def test_chunk_packing_matches_brute_force(spark, how):
+    draw = np.random.default_rng(8)
+    texts = ["".join("词" * n + "。" for n in draw.integers(1, draw.choice([20, 150, 500]), draw.integers(1, 14))) for _ in range(60)]
+    rows = chunk.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), **dict(zip(("target", "shortest", "overlap"), how, strict=True))).orderBy("doc_id", "seq").collect()
+    for i, text in enumerate(texts):
+        assert [(r.text, r.start) for r in rows if r.doc_id == i] == packed_by_hand(text, max(80, how[0] - how[2]), how[1], how[2])
+
+
+def test_split_paragraphs(spark):
+    text = ["一句话。" * 60 + "尾。", "很长，" * 100, "", None, "一" * 500]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(chunk.split_paragraphs(F.col("t"))).collect()]
+    assert all("".join(g) == (t or "") for g, t in zip(got, text, strict=True)) and got[2] == got[3] == []
+    assert all(len(p) <= 208 for g in got for p in g) and len(got[0][-1]) >= 24 and got[1][0] == "很长，" * 52 and len(got[4][0]) == 156
+
+
+def found(spark, *texts, people=()):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    return [(r.id, r.kind, r.text, r.anchor, round(r.confidence, 2)) for r in clues.extract(df, ["id"], people=people).orderBy("id", "begin").collect()]
+
+
+def test_clue_rules(spark):
+    got = found(spark, "我们会在九月五号之前把材料收齐。", "已到的货我们会把说明书收齐。", "你们公司要尽快确定", "下周三验收", "请张伟来负责，2024-05-01必须交", "请技术经理来", "技术经理来", "由华东设计院王主任答复", "示例必须如此", None, "人员不能少，王主任负责")
+    assert got == [
+        (0, "deadline", "时间节点：九月五号之前", "九月五号之前", 0.85), (1, "commitment", "已到的货我们会把说明书收齐", "已到的货我们会把说明书收齐", 0.7), (2, "requirement", "你们公司要尽快确定", "你们公司要尽快确定", 0.7),
+        (3, "deadline", "时间节点：下周三", "下周三", 0.7), (4, "person", "张伟来", "张伟来", 0.5), (4, "deadline", "时间节点：2024-05-01", "2024-05-01", 0.85), (5, "person", "请技术经理", "请技术经理", 0.7),
+        (7, "org", "由华东设计院", "由华东设计院", 0.8), (10, "requirement", "人员不能少", "人员不能少", 0.65),
+    ]
 
-@given(st.text(alphabet="ab。！\n #|", max_size=400))
-@settings(max_examples=60, deadline=None)
-def test_chunk_keeps_words(text):
-    joined = "".join(c[1] for c in chunk.chunk_markdown(text))
-    assert text.count("b") <= joined.count("b") or "#" in text
 
+def test_clue_people_and_dedupe(spark):
+    assert (0, "person", "Ann", "Ann", 0.9) in found(spark, "Ann spoke", people=("Ann",))
+    got = spark.sql("select array('abc', 'ab', 'xyz', 'yz', 'q') as a").select(clues.keep_longest(F.col("a"))).first()[0]
+    assert got == ["abc", "xyz", "q"]
 
-def test_split_paragraphs():
-    got = chunk.split_paragraphs("一句话。" * 60 + "尾。")
-    assert all(len(p) <= 208 for p in got) and "".join(got) == "一句话。" * 60 + "尾。"
 
+def test_clues_of_a_model(spark):
+    reply = '[{"type": "risk", "anchor": "late", "text": "may be late", "confidence": 3, "actor": "Bob", "due": "May"}, {"type": "risk", "anchor": "absent"}, {"type": "odd", "anchor": "late"}, {"type": "term", "anchor": "b"}]'
+    got = clues.from_model(spark.createDataFrame([(1, "we may be late, Bob", reply)], "id int, text string, reply string"), ["id"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "risk", "may be late", "late", 1.0, "Bob", ""), (1, "term", "b", "b", 0.6, "", "")]
 
-def test_clue_kinds():
-    kinds = lambda t: {c["kind"] for c in clues.classify(t)}
-    assert {"commitment", "deadline"} <= kinds("我们会在九月五号之前把材料收齐。")
-    assert [c["anchor"] for c in clues.classify("九月五号之前交")] == ["九月五号之前"]
-    assert "requirement" in kinds("你们公司要尽快确定") and "deadline" in kinds("下周三验收")
-    assert all(c["anchor"] in t for t in ["请张伟来负责", "2024-05-01必须交"] for c in clues.classify(t))
-    assert not [c for c in clues.classify("你们公司的事") if c["kind"] == "org"]
 
-
-def test_clue_people_and_dedupe(spark):
-    assert "Ann" in {c["anchor"] for c in clues.classify("Ann spoke", clues.LATIN, people=("Ann",))}
-    got = spark.sql("select array('abc', 'ab', 'xyz', 'yz', 'q') as a").select(clues.keep_longest(F.col("a"))).first()[0]
-    assert got == ["abc", "xyz", "q"]
+def test_board_merges_what_holds_one_another(spark):
+    rows = [("s", "risk", "short", 0.5, "", 1.0), ("s", "risk", "a short one", 0.9, "Bob", 2.0), ("s", "risk", "other", 0.1, "", 3.0), ("s", "term", "short", 0.2, "", 4.0)]
+    df = spark.createDataFrame([(s, k, t, "", c, a, "", False, at) for s, k, t, c, a, at in rows], "session string, kind string, text string, anchor string, confidence double, actor string, due string, pinned boolean, t double")
+    assert sorted((r.kind, r.text, r.confidence, r.actor, r.t) for r in clues.board(df, ["session"]).collect()) == [("risk", "a short one", 0.9, "Bob", 1.0), ("risk", "other", 0.1, "", 3.0), ("term", "short", 0.2, "", 4.0)]
 
 
 def test_fuzzy_and_fixes(spark):
@@ -76,7 +127,7 @@ title: 'x'
 meeting_date: 2024/5/6
 ---
 # M
-与会人员：张伟、李娜
+参会人员：张伟、李娜
 - **[甲方要求]** 软件部署调通完成。（期限：9月5日前）
 - **[承诺]** 我方月底前提交报告
 - **[怪]** 其他事项需要记录
@@ -86,24 +137,49 @@ SECTIONED = """## 1. 关键决策
 - 采用新的方案推进
 ### 小标题
 - 会议日期不变更
+王强说的没有标记的一行
+- **李四**：负责对接现场
 ## 2. 行动项
 - [ ] **张伟** 完成接口联调
 - [x] 整理文档资料（李娜）
-- 无
+- 本次会议未产生明确行动项。
+- 没有方框的事项（赵六）
 ## 3. 后续跟进
 - 下周前提交报告
 """
 
 
 def test_event_extraction(spark):
-    m = spark.createDataFrame([("d/2024-01-02-a.md", MINUTES), ("d/2023-03-04.md", SECTIONED)], "path string, text string")
-    rows = {(r.type, r.content, r.deadline, r.owner, r.date) for r in events.extract_rules(m).collect()}
-    assert ("甲方要求", "软件部署调通完成。", "9月5日前", "", "2024-05-06") in rows
-    assert ("己方承诺", "我方月底前提交报告", "月底前", "", "2024-05-06") in rows and ("其他", "其他事项需要记录", "", "", "2024-05-06") in rows
-    assert ("决策", "采用新的方案推进", "", "", "2023-03-04") in rows and ("行动项", "完成接口联调", "", "张伟", "2023-03-04") in rows
-    assert ("行动项", "整理文档资料", "", "李娜", "2023-03-04") in rows and ("己方承诺", "下周前提交报告", "下周前", "", "2023-03-04") in rows
-    assert not [r for r in rows if "短" in r[1] or r[1] == "无" or "小标题" in r[1]]
-    assert {r.name for r in events.attendees(m).collect()} == {"张伟", "李娜"}
+    free = "大家讨论了现场的安排。9月5日前完成现场布线工作！时间 地点未定。"
+    m = spark.createDataFrame([("d/2024-01-02-a.md", MINUTES), ("d/2023-03-04.md", SECTIONED), ("d/free.txt", free)], "path string, text string")
+    reply = '[{"type": "行动项", "content": "完成现场布线工作", "deadline": "9月5日前", "owner": "甲"}, {"type": "怪", "content": "讨论了现场的安排内容", "deadline": "9月9日"}, {"content": "会议地点 线上腾讯会议"}, {"content": "1 林浩然 甲方单位"}, {"content": "短"}]'
+    out = events.extract(m, spark.createDataFrame([("d/free.txt", 0, reply), ("d/2023-03-04.md", 0, reply)], "path string, batch int, reply string"))
+    rows = {r.path: [] for r in out.collect()}
+    for r in out.orderBy("path", "seq").collect():
+        rows[r.path].append((r.seq, r.type, r.content, r.deadline, r.owner, r.section, r.date))
+    assert rows["d/2024-01-02-a.md"] == [
+        (1, "甲方要求", "软件部署调通完成。", "9月5日前", "", "标注", "2024-05-06"), (2, "己方承诺", "我方月底前提交报告", "月底前", "", "标注", "2024-05-06"), (3, "其他", "其他事项需要记录", "", "", "标注", "2024-05-06"),
+    ]
+    date = "2023-03-04"
+    assert rows["d/2023-03-04.md"] == [
+        (1, "决策", "采用新的方案推进", "", "", "决策", date), (2, "决策", "会议日期不变更", "", "", "决策", date), (3, "决策", "王强说的没有标记的一行", "", "", "决策", date), (4, "决策", "负责对接现场", "", "李四", "决策", date),
+        (5, "行动项", "完成接口联调", "", "张伟", "行动项", date), (6, "行动项", "整理文档资料", "", "李娜", "行动项", date), (7, "行动项", "没有方框的事项（赵六）", "", "", "行动项", date), (8, "己方承诺", "下周前提交报告", "下周前", "", "跟进", date),
+    ]
+    assert [r[1:5] for r in rows["d/free.txt"]] == [("行动项", "完成现场布线工作", "9月5日前", "甲"), ("其他", "讨论了现场的安排内容", "", "")]
+    assert events.clauses(m.where("path = 'd/free.txt'"), 2).orderBy("batch").collect()[0].prompt.startswith("1. 大家讨论了现场的安排。\n2. 9月5日前")
+    assert {(r.name, r.org) for r in events.attendees(m).collect()} == {("张伟", ""), ("李娜", "")}
+
+
+def test_attendees_of_tables(spark):
+    text = "参会方：甲、未定、王小明\n| 1 | 王小明 | 甲方 |\n| 2 | 李四 | 乙方 |\n"
+    got = events.attendees(spark.createDataFrame([("p", text)], "path string, text string")).collect()
+    assert {(r.name, r.org) for r in got} == {("王小明", ""), ("李四", "乙方")}
+
+
+@pytest.mark.parametrize("name", ["客户要求", "业主确认", "确认", "承诺", "待办", "决定", "客户确认", "要求", "任务", "风险"])
+def test_types(spark, name):
+    want = {"客户要求": "甲方要求", "业主确认": "甲方确认", "确认": "甲方确认", "承诺": "己方承诺", "待办": "行动项", "决定": "决策", "客户确认": "甲方确认", "要求": "甲方要求", "风险": "风险"}
+    assert spark.range(1).select(events.known_type(F.lit(name))).first()[0] == want.get(name, "其他")
 
 
 def test_upsert_is_idempotent(spark):
@@ -115,7 +191,7 @@ def test_upsert_is_idempotent(spark):
 
 def test_model_array(spark):
     replies = ["<think>x</think>```json\n[{\"type\": \"a\"}]\n```", "sure: [{\"type\": \"b\"},]", "broken {\"type\": \"c\"} and {\"type\": \"d\"} tail"]
-    df = spark.createDataFrame([(r,) for r in replies], "r string").select(events.parse_model_array(F.col("r"), "struct<type: string>").alias("a"))
+    df = spark.createDataFrame([(r,) for r in replies], "r string").select(T.parse_model_array(F.col("r"), "struct<type: string>").alias("a"))
     assert [[x.type for x in r.a] for r in df.collect()] == [["a"], ["b"], ["c", "d"]]
 
 
@@ -197,6 +273,36 @@ def test_fold_cases():
     assert run_fold(("嗯", 0, 1, 2)) == []
 
 
+def table_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@given(st.text(alphabet="ab。c", max_size=12), st.text(alphabet="ab。c", max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_common_and_seam(a, b):
+    assert fold.common(a, b) == table_lcs(a, b)
+    assert fold.seam(a, b) == max((b[:n] for n in range(2, min(len(a), len(b)) + 1) if a.endswith(b[:n])), key=len, default="")
+    assert fold.similarity(a, b) == (0 if not a or not b else 1 if a in b or b in a else table_lcs(a, b) / min(len(a), len(b)))
+
+
+def test_fold_rules():
+    base = ("今天讨论三号楼的施工进度", 10.0, 14.0, 30)
+    assert run_fold(base, ("今天讨论三号", 10.1, 12.6, 30)) == [(base[0], 10, 14)]  # heard again, but shorter
+    assert run_fold(base, ("今天讨论三号楼", 10.1, 14.0, 30)) == [("今天讨论三号楼", 10.0, 14.0)]  # shorter, of the whole time
+    assert run_fold(base, ("施工进度和材料", 12.0, 16.0, 30)) == [("今天讨论三号楼的施工进度和材料", 10, 16)]
+    assert run_fold(base, ("三号楼的施工", 11.5, 13.0, 30)) == [(base[0], 10, 14)]  # nothing new
+    assert len(run_fold(("说完了这一句。", 0, 2, 9), ("接着说下一件", 2.2, 4, 9))) == 2 and len(run_fold(("还没有说完", 0, 2, 9), ("接着说下一件", 2.4, 4, 9))) == 1
+    assert len(run_fold(("还没有说完", 0, 2, 9), ("接着说下一件", 2.6, 4, 9))) == 2 and len(run_fold(("还没有说完，", 0, 2, 9), ("接着说下一件", 2.8, 4, 9))) == 1
+    rows = []
+    fold.fold(rows, *base)
+    assert fold.fold(rows, base[0], 10.0, 14.2, 15) is None and rows[0].end == 14.2 and rows[0].open and rows[0].revisions == 0
+    assert len(run_fold(base, (base[0], 41.0, 45.0, 60))) == 2  # out of reach
+
+
 def test_stream_fold_equals_batch(spark, tmp_path):
     spans = [(1, "今天的进度汇报例会", 0.0, 3.0, 3.5), (1, "今天的进度汇报例会先说时间", 0.1, 4.0, 5.0), (2, "另外一个会议开始了。", 0.0, 2.0, 2.5), (1, "下面说第二件事情。", 6.0, 8.0, 9.0)]
     kinds = "session bigint, text string, start double, end double, window_end double"

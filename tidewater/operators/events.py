@@ -7,20 +7,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import contains_ci, event_key, first_match
+from tidewater.functions.text import contains_ci, event_key, first_match, parse_model_array, strip
 from tidewater.operators import search
 
 TYPES = ["决策", "行动项", "甲方要求", "甲方确认", "己方承诺", "风险", "进度", "议题", "其他"]
 
-# Words that mean a type, section headings, and patterns of dates and deadlines.
-SYNONYMS = {"决定": "决策", "待办": "行动项", "任务": "行动项", "要求": "甲方要求", "确认": "甲方确认", "承诺": "己方承诺", "问题": "风险", "隐患": "风险", "进展": "进度", "讨论": "议题"}
-SECTIONS = [("纪要", r"^#{2,4}\s*\d*[.、]?\s*会议纪要\s*$"), ("摘要", r"^#{2,4}\s*\d*[.、]?\s*会议摘要"), ("决策", r"^#{2,4}\s*\d*[.、]?\s*(关键决策|决策)"), ("行动项", r"^#{2,4}\s*\d*[.、]?\s*(行动项|待办)"), ("跟进", r"^#{2,4}\s*\d*[.、]?\s*(后续跟进|后续)"), ("议题", r"^#{2,4}\s*\d*[.、]?\s*(议题要点|议题)")]
-DEADLINES = [r"\d{1,2}\s*月\s*\d{1,2}\s*日\s*(?:前|之前|以前|左右)?", r"\d{4}\s*[-/年.]\s*\d{1,2}\s*[-/月.]\s*\d{1,2}\s*日?\s*(?:前|之前)?", r"(?:本周|下周|本月|下月|节前|月底|年底)[一二三四五六日天]?\s*(?:前|之前)?", r"\d+\s*(?:个)?(?:工作日|天|周|月)(?:内|以内|之内)"]
-DATES = [r"(\d{4})[-/年.](\d{1,2})[-/月.](\d{1,2})", r"(\d{4})(\d{2})(\d{2})"]
-METADATA = r"^(?:提交版本|提交日期|会议信息|会议纪要|会议类型|会议内容|会议地点|日期|时间|记录单位|序号|与会人员|结构化事件|数据来源|项目)(?![\p{L}\p{N}_])"
+# Words that mean a type, section headings, and patterns of lines, owners, dates and deadlines.
+SYNONYMS = {"客户要求": "甲方要求", "业主确认": "甲方确认", "确认": "甲方确认", "承诺": "己方承诺", "待办": "行动项", "决定": "决策", "客户确认": "甲方确认", "要求": "甲方要求"}
+SECTIONS = [
+    ("纪要", r"^#{2,4}\s*\d*[.、]?\s*会议纪要\s*$"),
+    ("摘要", r"^#{2,4}\s*\d*[.、]?\s*会议摘要"),
+    ("决策", r"^#{2,4}\s*\d*[.、]?\s*(关键决策|决策)"),
+    ("行动项", r"^#{2,4}\s*\d*[.、]?\s*(行动项|待办)"),
+    ("跟进", r"^#{2,4}\s*\d*[.、]?\s*(后续跟进|后续)"),
+    ("议题", r"^#{2,4}\s*\d*[.、]?\s*(议题要点|议题)"),
+]
 INLINE = r"^\s*[-*•]\s*\*\*\[\s*([^\]]{1,10})\s*\]\*\*\s*(.*)$"
 SUFFIX = r"[（(]\s*(?:期限|截止|deadline)\s*[:：]\s*([^）)]+)[）)]\s*$"
-SECTION_TYPE = {"决策": "决策", "行动项": "行动项", "跟进": "己方承诺", "议题": "议题"}
+METADATA = r"^(?:提交版本|提交日期|会议信息|会议纪要|会议类型|会议内容|会议地点|日期|时间|记录单位|序号|与会人员|结构化事件|数据来源|项目)(?![\p{L}\p{N}_])"
+DATES = [r"(\d{4})[-/年.](\d{1,2})[-/月.](\d{1,2})", r"(\d{4})(\d{2})(\d{2})"]
+DEADLINES = [
+    r"\d{1,2}\s*月\s*\d{1,2}\s*日\s*(?:前|之前|以前|左右)?",
+    r"\d{4}\s*[-/年.]\s*\d{1,2}\s*[-/月.]\s*\d{1,2}\s*日?\s*(?:前|之前)?",
+    r"(?:本周|下周|本月|下月|节前|月底|年底)[一二三四五六日天]?\s*(?:前|之前)?",
+    r"\d+\s*(?:个)?(?:工作日|天|周|月)(?:内|以内|之内)",
+]
+OWNER_BOLD = r"^\s*[-*]\s*\[[ xX]?\]?\s*\*\*(.+?)\*\*\s*[:：]?\s*(.*)$"
+OWNER_TRAIL = r"^\s*[-*]\s*\[[ xX]?\]?\s*(.+?)\s*[（(]([^（()）]{1,12})[)）]\s*$"
+BOLD = r"^\*\*(.+?)\*\*\s*[:：]?\s*(.*)$"
+CHECKBOX = r"^[-*]\s*\[[ xX]?\]?\s*"
+BULLET = r"^[-*•]\s*"
+ACTION = r"^[-*]\s*(\[[ xX]?\]\s*)?"
+NOTHING = r"未(?:产生|形成|提及|记录|明确)|无(?:明确|具体)?(?:行动项|待办)"
+ATTENDEES = r"参会[人方员][^\n]*[:：]\s*(.+)"
+ATTENDEE_ROW = r"(?m)^\|\s*(\d+)\s*\|\s*([^|]{1,12})\s*\|\s*([^|]{0,16})\s*\|"
+ROSTER = r"^\d+\s+\S+\s+\S+$|^(?:职务|序号|单位|备注)(?![\p{L}\p{N}_])"
+INLINE_SECTION, MODEL_SECTION, OTHER, LEAST, LEAST_MODEL, BATCH = "标注", "llm", "其他", 4, 8, 6
+#: Sections in the order in which their events are numbered, with the type of their events.
+SECTION_TYPE = {"决策": "决策", "行动项": "行动项", "议题": "议题", "跟进": "己方承诺"}
 
 
 def normalize_date(text: Column) -> Column:
@@ -75,47 +99,113 @@ def sections(minutes: DataFrame) -> DataFrame:
     return lines.withColumn("label", label).withColumn("section", F.last("label", True).over(w)).where(F.col("section").isNotNull() & F.col("label").isNull()).drop("label")
 
 
-def known_type(name: Column) -> Column:
-    out = F.when(name.isin(TYPES), name)
-    for k, v in SYNONYMS.items():
-        out = out.when(name == k, v)
-    return out.otherwise("其他")
+def known_type(name: Column, synonyms: dict[str, str] = SYNONYMS) -> Column:
+    """The name's type, by synonyms too; what is none is other."""
+    of = F.create_map(*[F.lit(x) for kv in ({t: t for t in TYPES} | synonyms).items() for x in kv])
+    return F.coalesce(F.try_element_at(of, name), F.lit(OTHER))
 
 
-def gate(rows: DataFrame) -> DataFrame:
-    """Accept rows whose content, tidied, has 4 characters and is no metadata; lift the deadline; number what is accepted."""
+def accepted(rows: DataFrame) -> DataFrame:
+    """path, pos, type, content, owner, section -> events of rows whose tidied content is long enough and no metadata, numbered
+    from 1 by section and position. A deadline in brackets at the end leaves the content."""
     tidy = F.regexp_replace(F.regexp_replace("content", r"\s+", " "), r"^[ \-–—·]+|[ \-–—·]+$", "")
-    lifted = F.regexp_extract(tidy, SUFFIX, 1)
-    rows = rows.withColumn("deadline", F.when(lifted != "", F.trim(lifted)).otherwise(find_deadline(tidy))).withColumn("content", F.trim(F.regexp_replace(tidy, SUFFIX, "")))
-    rows = rows.where((F.length("content") >= 4) & ~F.rlike("content", F.lit(METADATA))).withColumn("type", known_type(F.col("type")))
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1)
+    rows = rows.withColumn("content", tidy).where((F.length("content") >= LEAST) & ~F.rlike("content", F.lit(METADATA)))
+    lifted, bare = F.trim(F.regexp_extract("content", SUFFIX, 1)), F.trim(F.regexp_replace("content", SUFFIX, ""))
+    rows = rows.withColumn("deadline", F.when(lifted != "", lifted).otherwise(find_deadline(bare))).withColumn("content", bare)
+    place = F.coalesce(F.array_position(F.lit(list(SECTION_TYPE)), F.col("section")), F.lit(0))
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy(place, "pos")))
+
+
+def inline_rows(lines: DataFrame) -> DataFrame:
+    """Bullets that name their own type, wherever they stand."""
+    raw = lines.where(F.rlike("line", F.lit(INLINE))).select("path", "pos", F.trim(F.regexp_extract("line", INLINE, 1)).alias("type"), F.trim(F.regexp_extract("line", INLINE, 2)).alias("content"))
+    return raw.select("path", "pos", known_type(F.col("type")).alias("type"), "content", F.lit("").alias("owner"), F.lit(INLINE_SECTION).alias("section"))
+
+
+def section_rows(parts: DataFrame) -> DataFrame:
+    """Lines of sections as (type, content, owner): each section has its own marks. Quotes, tables, headings and blank lines
+    are none, and an action list's statement that there is nothing isn't either."""
+    s, section = strip(F.col("line")), F.col("section")
+    some = parts.withColumn("line", s).where((F.col("line") != "") & ~F.rlike("line", F.lit(r"^[>|#]")))
+    line = F.col("line")
+    marked, boxed, action = F.rlike(line, F.lit(BULLET)), F.rlike(line, F.lit(CHECKBOX)) & F.rlike(line, F.lit(r"^[-*]\s*\[")), F.rlike(line, F.lit(r"^[-*]"))
+    item, bold = F.regexp_replace(line, BULLET, ""), lambda c, p, g: F.trim(F.regexp_extract(c, p, g))
+    owned = F.rlike(item, F.lit(BOLD))
+    decided = [
+        (boxed, F.regexp_replace(line, CHECKBOX, ""), F.lit("")), (marked & owned, bold(item, BOLD, 2), bold(item, BOLD, 1)), (marked, item, F.lit("")), (F.lit(True), line, F.lit("")),
+    ]
+    acted = [
+        (F.rlike(line, F.lit(NOTHING)) | ~action, F.lit(None), F.lit("")), (F.rlike(line, F.lit(OWNER_BOLD)), bold(line, OWNER_BOLD, 2), bold(line, OWNER_BOLD, 1)),
+        (F.rlike(line, F.lit(OWNER_TRAIL)), bold(line, OWNER_TRAIL, 1), bold(line, OWNER_TRAIL, 2)), (F.lit(True), F.regexp_replace(line, ACTION, ""), F.lit("")),
+    ]
+    listed = [(marked, item, F.lit(""))]
+    cases = [(section == name, rules) for name, rules in (("决策", decided), ("行动项", acted), ("议题", listed), ("跟进", listed))]
+    first = lambda n: F.coalesce(*[F.when(here, chosen(rules, n)) for here, rules in cases])
+
+    def chosen(rules: list, n: int) -> Column:
+        out = None
+        for rule in rules:
+            out = F.when(rule[0], rule[n]) if out is None else out.when(rule[0], rule[n])
+        return out
+
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in SECTION_TYPE.items() for x in kv]), section)
+    return some.where(section.isin(list(SECTION_TYPE))).select("path", "pos", kind.alias("type"), first(1).alias("content"), first(2).alias("owner"), "section").where("content is not null and content != ''")
 
 
 def extract_rules(minutes: DataFrame) -> DataFrame:
-    """path, text -> events. Bullets that name their own type win for a document; else its sections are read.
+    """path, text -> events. Where bullets name their own type, a document's events are these; else those of its sections."""
+    lines = minutes.select("path", F.posexplode(F.split(body(F.col("text")), "\r\n|\r|\n")).alias("pos", "line"))
+    named = inline_rows(lines)
+    parted = section_rows(sections(minutes).join(named.select("path").distinct(), "path", "left_anti"))
+    return dated(accepted(named.unionByName(parted)), minutes)
 
-    In sections headings are never events, "none" statements are dropped, and an owner (bold, or in brackets at the end)
-    belongs to the row it stands in. Follow-ups become promises."""
-    lines = minutes.select("path", F.posexplode(F.split(body(F.col("text")), "\n")).alias("pos", "line"))
-    inline = lines.where(F.rlike("line", F.lit(INLINE))).select("path", "pos", F.trim(F.regexp_extract("line", INLINE, 1)).alias("type"), F.regexp_extract("line", INLINE, 2).alias("content"), F.lit("").alias("owner"), F.lit("").alias("section"))
-    named = gate(inline)
-    s = sections(minutes).join(inline.select("path").distinct(), "path", "left_anti").where(F.col("section").isin(list(SECTION_TYPE)) & ~F.rlike("line", F.lit(r"^\s*#")) & F.rlike("line", F.lit(r"^\s*(?:[-*•]|\d+[.、])")))
-    item = F.regexp_replace("line", r"^\s*(?:[-*•]|\d+[.、])\s*(?:\[[ xX]?\]\s*)?", "")
-    bold, tail = F.regexp_extract(item, r"^\*\*([^*]+?)\*\*\s*[:：]?\s*", 1), F.regexp_extract(item, r"[（(]([^（()）:：]{1,12})[)）]\s*$", 1)
-    acts = F.col("section").isin("行动项", "跟进")
-    owner = F.when(acts & (bold != ""), F.trim(bold)).when(acts & (tail != ""), F.trim(tail)).otherwise("")
-    content = F.when(acts & (bold != ""), F.regexp_replace(item, r"^\*\*[^*]+?\*\*\s*[:：]?\s*", "")).when(acts & (tail != ""), F.regexp_replace(item, r"\s*[（(][^（()）:：]{1,12}[)）]\s*$", "")).otherwise(F.regexp_replace(item, r"\*\*", ""))
-    kind = F.coalesce(*[F.when(F.col("section") == k, F.lit(v)) for k, v in SECTION_TYPE.items()])
-    parted = gate(s.select("path", "pos", kind.alias("type"), content.alias("content"), owner.alias("owner"), "section").where(~F.rlike("content", F.lit(r"^(?:无|暂无|没有)[。.]?$"))))
-    dated = minutes.select("path", meeting_id(F.col("path")).alias("meeting_id"), meeting_date(F.col("text"), F.col("path")).alias("date"))
-    out = named.unionByName(parted).join(dated, "path")
-    return out.select("meeting_id", "date", "type", "content", "deadline", "owner", "section", F.concat_ws("#", "path", "section").alias("source_ref"), "seq")
+
+def dated(rows: DataFrame, minutes: DataFrame) -> DataFrame:
+    about = minutes.select("path", meeting_id(F.col("path")).alias("meeting_id"), meeting_date(F.col("text"), F.col("path")).alias("date"))
+    ref = F.when(F.col("section") == MODEL_SECTION, F.col("path")).otherwise(F.concat_ws("#", "path", F.nullif("section", F.lit(""))))
+    return rows.join(about, "path").select("meeting_id", "date", "type", "content", "deadline", "owner", "section", ref.alias("source_ref"), "seq", "path")
+
+
+def clauses(minutes: DataFrame, batch: int = BATCH) -> DataFrame:
+    """path, batch, prompt: a document's clauses, numbered, so many to a prompt for a model."""
+    parts = F.filter(F.transform(F.split("text", r"(?<=[。；！？])"), strip), lambda c: c != "")
+    numbered = F.transform(parts, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c))
+    groups = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(batch)), lambda k: F.array_join(F.slice(numbered, k + 1, F.lit(batch)), "\n"))).otherwise(F.array().cast("array<string>"))
+    return minutes.select("path", F.posexplode(groups).alias("batch", "prompt"))
+
+
+def from_model(minutes: DataFrame, replies: DataFrame) -> DataFrame:
+    """Events of a model's replies (path, batch, reply; JSON arrays), as far as they hold: content of 8 characters that is no
+    metadata or roster, a known type, and a deadline that stands in the text, else the first that the content has."""
+    item = "struct<type: string, content: string, deadline: string, owner: string>"
+    got = replies.select("path", "batch", F.posexplode(parse_model_array(F.col("reply"), item)).alias("at", "e")).join(minutes, "path")
+    said = lambda f: F.trim(F.coalesce(F.col(f"e.{f}"), F.lit("")))
+    rows = got.select("path", "text", F.struct("batch", "at").alias("pos"), known_type(said("type"), {}).alias("type"), said("content").alias("content"), said("deadline").alias("_due"), said("owner").alias("owner"), F.lit(MODEL_SECTION).alias("section"))
+    rows = rows.where((F.length("content") >= LEAST_MODEL) & ~F.rlike("content", F.lit(METADATA)) & ~F.rlike("content", F.lit(ROSTER)))
+    rows = rows.withColumn("deadline", F.when(grounded(F.col("_due"), F.col("text")), F.col("_due")).otherwise(find_deadline(F.col("content")))).drop("_due", "text")
+    return dated(rows.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("pos"))), minutes)
+
+
+def extract(minutes: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """Rules first; a document of which they make nothing gets the events of a model's replies, where there are any."""
+    ruled = extract_rules(minutes).withColumn("extractor", F.lit("rule"))
+    if replies is None:
+        return ruled
+    rest = minutes.join(ruled.select("path").distinct(), "path", "left_anti")
+    return ruled.unionByName(from_model(rest, replies).withColumn("extractor", F.lit("llm")))
 
 
 def attendees(minutes: DataFrame) -> DataFrame:
-    """path, name of those listed in a line of attendees, 2 to 12 characters each."""
-    listed = F.regexp_extract("text", r"(?m)^.*(?:与会人员|参会人员|attendees)\s*[:：]\s*(.+)$", 1)
-    return minutes.select("path", F.explode(F.array_distinct(F.split(listed, r"[、,，\s]+"))).alias("name")).where(F.length("name").between(2, 12))
+    """path, name, org of those listed in the first line of attendees, 2 to 12 characters each, and in rows of tables."""
+    text = body(F.col("text"))
+    listed = F.transform(F.split(F.regexp_extract(text, ATTENDEES, 1), r"[、,，\s]+"), lambda n: F.regexp_replace(n, r"^[（）() ]+|[（）() ]+$", ""))
+    listed = F.filter(listed, lambda n: F.length(n).between(2, 12) & ~F.startswith(n, F.lit("未")))
+    person = lambda n, o: F.struct(n.alias("name"), o.alias("org"))
+    rows = F.zip_with(F.regexp_extract_all(text, F.lit(ATTENDEE_ROW), F.lit(2)), F.regexp_extract_all(text, F.lit(ATTENDEE_ROW), F.lit(3)), lambda n, o: person(F.trim(n), F.trim(o)))
+    people = F.concat(F.transform(F.array_distinct(listed), lambda n: person(n, F.lit(""))), F.filter(rows, lambda r: r["name"] != ""))
+    out = minutes.select("path", F.posexplode(people).alias("pos", "p")).select("path", "pos", "p.*")
+    first = Window.partitionBy("path", "name").orderBy("pos")
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("path", "name", "org")
 
 
 def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -178,16 +268,3 @@ def grounded(deadline: Column, text: Column) -> Column:
     """Whether a model's deadline stands in the text, spaces aside."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
     return (deadline != "") & F.contains(bare(text), bare(deadline))
-
-
-def parse_model_array(reply: Column, schema: str) -> Column:
-    """A model's JSON array: fenced, bracketed, or as what objects can be saved one by one."""
-    from tidewater.functions.text import scrub_model_output
-
-    text = scrub_model_output(reply)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    bare = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    parsed = lambda c: F.from_json(F.regexp_replace(F.when(c != "", c), r",\s*([\]}])", "$1"), f"array<{schema}>")
-    objects = F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1))
-    saved = F.filter(F.transform(objects, lambda o: F.from_json(o, schema)), lambda o: o.isNotNull())
-    return F.coalesce(parsed(fenced), parsed(bare), saved)

@@ -14,4 +14,6 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if max(len(df.inputFiles()), size // ROW_GROUP) < cores else df
+    if size // ROW_GROUP >= cores or len(df.inputFiles()) >= cores:  # files are listed for small tables alone
+        return df
+    return df.repartition(cores)
