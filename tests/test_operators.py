@@ -92,6 +92,49 @@ def test_clue_rules(spark):
     ]
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_clue_rules_query(spark):
+    """Every event's utterance, by what its kind of event says."""
+    from tidewater import registry
+
+    got = {}
+    for r in registry.QUERIES["clue_rules"](spark, SF).collect():
+        got.setdefault(r.event_id, set()).add((r.kind, r.anchor))
+    for e in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect():
+        i = e.event_id
+        if e.event_type == "click":
+            want = {("deadline", f"{i % 12 + 1}月{i % 28 + 1}日之前"), ("requirement", "软件必须通过测试")}
+        elif e.event_type == "error":
+            want = {("requirement", "你们公司要尽快确定"), ("deadline", f"{i % 9 + 1}号"), ("person", "张伟")}
+        elif e.event_type == "view":
+            want = {("deadline", "下周三"), ("deadline", f"{i % 5 + 1}天内")}  # the organisation would begin in the date
+        else:
+            want = {("commitment", "我方负责现场布线"), ("deadline", f"2024-{i % 12 + 1}-{i % 28 + 1}")}
+        assert got[i] == want, e
+
+
+def test_clue_board_query(spark):
+    """Turns of a conversation and role, whose words hold one another, are one clue."""
+    from tidewater import registry
+
+    marks = re.compile(T.PUNCTUATION)
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for r in rows:
+        norm, groups = marks.sub("", r.text), want.setdefault((r.conv_id, r.role), [])
+        same = next((g for g in groups if norm in g[0] or g[0] in norm), None)
+        if same:
+            groups[groups.index(same)] = max(same, (norm, r.text), key=lambda g: len(g[1]))
+        else:
+            groups.append((norm, r.text))
+    got = {}
+    for r in registry.QUERIES["clue_board"](spark, SF).collect():
+        got.setdefault((r.session, r.kind), []).append((r.norm, r.text))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_clue_people_and_dedupe(spark):
     assert (0, "person", "Ann", "Ann", 0.9) in found(spark, "Ann spoke", people=("Ann",))
     got = spark.sql("select array('abc', 'ab', 'xyz', 'yz', 'q') as a").select(clues.keep_longest(F.col("a"))).first()[0]
@@ -216,11 +259,61 @@ def test_rrf_filter_keeps_global_ranks(spark):
     assert twice["a"] == pytest.approx(2 / 61)
 
 
+@pytest.fixture(scope="module")
+def library(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "gamma gamma alpha"), (4, None), (5, "delta")], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(i, [float(i == j) for j in range(1, 6)]) for i in range(1, 6)], "vec_id bigint, embedding array<float>")
+    meta = spark.createDataFrame([(i, f"f{i}", "xy"[i % 2]) for i in range(1, 6)], "id bigint, path string, source string")
+    return docs, search.build_index(docs), vectors, meta
+
+
+def test_index_scores_as_texts_do(spark, library):
+    docs, index, _, _ = library
+    q = spark.createDataFrame([(0, "alpha gamma"), (1, "delta absent"), (2, ""), (3, None)], "query_id bigint, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(search.bm25(index, q)) == rows(search.bm25(docs, q)) != []
+    plan = search.top(search.bm25(index, q), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+
+
+def test_search_modes(spark, library):
+    _, index, vectors, meta = library
+    q = spark.createDataFrame([(0, "alpha", [0.0, 1.0, 0.0, 0.0, 0.0]), (1, "  ", [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id bigint, query string, embedding array<float>")
+    hits = lambda **kw: [(r.query_id, r.path) for r in search.search(index, vectors, q, meta, **kw).orderBy("query_id", "rank0").collect()]
+    assert hits(mode="bm25") == [(0, "f1"), (0, "f3")] and hits(mode="vector", k=1) == [(0, "f2")]
+    assert hits(mode="hybrid")[0] in {(0, "f1"), (0, "f2"), (0, "f3")} and len(hits(mode="hybrid")) == 5 and not [h for h in hits() if h[0] == 1]
+    assert hits(mode="hybrid", embedder="a", stored_embedder="b") == hits(mode="bm25") and hits(mode="vector", embedder="a", stored_embedder="b") == []
+    assert hits(mode="bm25", source=F.col("source") == "x") == [] and search.pool(50, True) == 200 and search.pool(50, False) == 50
+    with pytest.raises(ValueError):
+        hits(mode="other")
+
+
+def test_process_and_refine(spark, library):
+    _, index, _, _ = library
+    segs = spark.createDataFrame([("s1", "beta and delta")], "seg_id string, text string")
+    words = spark.createDataFrame([("s1", "delta"), ("s1", "absent")], "seg_id string, term string")
+    got = {(r.term, r.id) for r in search.process(index, segs, words).collect()}
+    assert got == {("", 1), ("", 2), ("", 5), ("delta", 5)}
+    assert [r.id for r in search.refine(index, spark.createDataFrame([(0, "delta")], "query_id bigint, term string")).collect()] == [5]
+
+
+def test_corpora(spark, library, tmp_path):
+    library[0].write.parquet(str(tmp_path / "a"))
+    found, wrong = search.open_corpora(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}, {"a": "m@5"})
+    assert list(found) == ["a"] and wrong == {"b": "missing"}
+    with pytest.raises(ValueError):
+        search.open_corpora(spark, {"b": str(tmp_path / "b")}, {})
+    hits, first = search.union_search(library[0], library[0].select("doc_id", "text"), "GAMMA", ["doc_id"])
+    assert [(r.doc_id, r.total) for r in first.collect()] == [(2, 2), (3, 2)]
+
+
 def test_knn_skips_bad_rows(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.6, 0.8])], "vec_id bigint, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, embedding array<float>")
     assert [r.id for r in search.knn(v, q, 5).orderBy("rank0").collect()] == [1, 4]
     assert search.knn(v, q.limit(0), 5).count() == 0
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [0.0, 1.0])], "query_id bigint, embedding array<float>")
+    assert {r.query_id for r in search.knn(v, odd, 1).collect()} == {0, 3}
 
 
 def test_sync_twice_is_unchanged(spark):

@@ -4,12 +4,16 @@ Queries are a table (query_id, ...), so that many run as one plan; every rank ca
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import n_tokens, tokenize
+from tidewater.sources.shared import fresh_path, stored
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Numbers of the query vectors that are broadcast at once; more queries run in blocks of so many.
@@ -27,19 +31,43 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(n_tokens(F.col(text_col))).alias("avgdl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
-    """query_id, id, score of every document that has a term of the query. Terms of no query are dropped before they are
-    counted; the one row of corpus figures joins as a broadcast."""
+@dataclass
+class Index:
+    """Stored postings: a table of (id, dl, term, tf) in buckets of the id, sorted by term; document frequencies of the terms; the
+    one row of corpus figures; and the name of the tokenizer that made them."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    tokenizer: str = "letters and digits"
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Tokenise once, search often. Buckets of the id let scores be summed and cut to the best of each task without a shuffle."""
+    spark = docs.sparkSession
+    name, path = f"postings_{uuid.uuid4().hex}", fresh_path(spark, "postings")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings(docs, id_col, text_col).repartition(n, "id").write.bucketBy(n, "id").sortBy("term").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    return Index(table, stored(table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stored(corpus_stats(docs, text_col), "figures"))
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
+    """query_id, id, score of every document that has a term of the query; from a stored index, or from texts, whose terms of no
+    query are dropped before they are counted. The one row of corpus figures joins as a broadcast."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(query_col)))).alias("term"))
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))  # outer: no filter that would tokenise once more
-    tf = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text_col))
+    if isinstance(docs, Index):
+        tf, stats = docs.postings, docs.stats
+        df = docs.terms
+    else:
+        toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))  # outer: no filter that would tokenise once more
+        tf = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        df, stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_stats(docs, text_col)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").crossJoin(stats).withColumn("part", part)
+    sought = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # Rounded, so that equal documents tie whatever the order of the sum.
-    return scored.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    return tf.join(sought, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def top(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
@@ -82,8 +110,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
 
 def blocks(queries: DataFrame, vec_col: str):
+    """Query vectors in blocks of VECTORS numbers, null and odd ones left out. A block at a time is in the driver."""
+    width = queries.agg(F.mode(F.size(vec_col)).alias("n")).first().n if queries.take(1) else None
     ids, rows, held = [], [], 0
-    for r in queries.select(F.col("query_id").cast("bigint"), vec_col).where(F.col(vec_col).isNotNull()).toLocalIterator():
+    for r in queries.select(F.col("query_id").cast("bigint"), vec_col).where(F.col(vec_col).isNotNull() & (F.size(vec_col) == F.lit(width)) & ~F.exists(vec_col, lambda x: x.isNull())).toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
         held += len(r[1])
@@ -94,6 +124,66 @@ def blocks(queries: DataFrame, vec_col: str):
         yield np.array(ids), np.array(rows, "f8")
 
 
+def pool(k: int, filtered: bool) -> int:
+    """Candidates of an arm: more where a filter will drop some."""
+    return max(4 * k, 200) if filtered else k
+
+
+MODES = ("hybrid", "bm25", "vector")
+
+
+def search(index: Index, vectors: DataFrame, queries: DataFrame, meta: DataFrame, k: int = 10, candidates: int = 50, mode: str = "hybrid", source: Column | None = None, embedder: str = "", stored_embedder: str = "") -> DataFrame:
+    """The k best files of each query (query_id, query, embedding), by one arm or both. A blank query has no hits, and a mode that
+    isn't one is an error. Where the stored vectors are another embedder's, only the vector arm is left out."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode}: one of {', '.join(MODES)}")
+    asked, n = queries.where(F.trim("query") != ""), pool(candidates, source is not None)
+    arms = []
+    if mode != "vector":
+        arms.append(top(bm25(index, asked), n))
+    if mode != "bm25" and embedder == stored_embedder:
+        arms.append(knn(vectors, asked.select("query_id", "embedding"), n))
+    if not arms:
+        return queries.sparkSession.createDataFrame([], f"query_id bigint, path {meta.schema['path'].dataType.simpleString()}, score double, rank0 bigint")
+    return top(rrf(arms, meta, source=source).withColumn("score", F.round("score", 9)), k, tie="path")
+
+
+def refine(index: Index, terms: DataFrame, k: int = 5) -> DataFrame:
+    """Drill down on single terms (query_id, term): the k best chunks of each."""
+    return top(bm25(index, terms, query_col="term"), k)
+
+
+def process(index: Index, segments: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
+    """For each segment (seg_id, text) its best chunks, and those of each of its keywords (seg_id, term): seg_id, term ('' for the
+    whole segment), id, score, rank0."""
+    whole = segments.select("seg_id", F.lit("").alias("term"), F.col("text").alias("query"))
+    asked = whole.unionByName(keywords.select("seg_id", "term", F.col("term").alias("query"))).withColumn("query_id", F.xxhash64("seg_id", "term"))
+    return top(bm25(index, asked), k).join(asked.select("query_id", "seg_id", "term"), "query_id").select("seg_id", "term", "id", "score", "rank0")
+
+
+def union_search(hits: DataFrame, segments: DataFrame, query: str, order: list[str], keep: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What a search box shows: the corpus's hits, and the first segments that contain the query literally with their number."""
+    said = segments.where(F.contains(F.lower("text"), F.lit(query.lower())))
+    first = said.orderBy(*order).limit(keep).crossJoin(F.broadcast(said.agg(F.count(F.lit(1)).alias("total"))))
+    return hits, first
+
+
+def open_corpora(spark: SparkSession, paths: dict[str, str], dims: dict[str, str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Those corpora that can be read, and what is wrong with the others, or with all: an error where none is usable."""
+    found, wrong = {}, {}
+    for kb, path in paths.items():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found[kb] = spark.read.parquet(path).withColumn("kb", F.lit(kb))
+        else:
+            wrong[kb] = "missing"
+    if not found:
+        raise ValueError(f"no usable corpus: {wrong}")
+    if len({dims.get(kb) for kb in found}) > 1:
+        wrong["*"] = "embedders differ: no vector arm"
+    return found, wrong
+
+
 def rrf(arms: list[DataFrame], meta: DataFrame, path: str = "path", source: Column | None = None) -> DataFrame:
     """Reciprocal rank fusion by file. arms: query_id, id, rank0; meta: id, path and what `source` filters by.
 
@@ -126,8 +216,7 @@ def file_snippets(arms: list[DataFrame], chunks: DataFrame, path: str = "path",
 
 def multi_rrf(hits: DataFrame, k: int, per: int | None = None) -> DataFrame:
     """Fuse corpora by rank. hits: query_id, kb, title, label, id, score. Hits of the same kb, title and label add up."""
-    nth = F.row_number().over(Window.partitionBy("query_id", "kb").orderBy(F.desc("score"), F.asc("id")))
-    ranked = hits.withColumn("nth", nth).where(F.col("nth") <= (per or max(k, 5))).withColumn("part", 1.0 / (RRF + F.col("nth")))
+    ranked = best_of(hits, per or max(k, 5)).withColumn("part", 1.0 / (RRF + F.col("nth")))
     fused = ranked.groupBy("query_id", "kb", "title", "label").agg(F.round(F.sum("part"), 6).alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kb", "title", "label"))
     return fused.withColumn("rank", order.cast("bigint")).where(F.col("rank") <= k).withColumn("score_kind", F.lit("rrf"))
@@ -135,8 +224,17 @@ def multi_rrf(hits: DataFrame, k: int, per: int | None = None) -> DataFrame:
 
 def by_corpus(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each corpus on its own."""
+    return best_of(hits, k).withColumn("rank", F.col("nth").cast("bigint")).drop("nth")
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("query_id", "kb").orderBy(F.desc("score"), F.asc("id")))
-    return hits.withColumn("rank", nth.cast("bigint")).where(F.col("rank") <= k)
+    return hits.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
+def one_corpus(hits: DataFrame, kb: str) -> DataFrame:
+    """A single corpus needs no fusion: its hits, tagged."""
+    return hits.withColumn("kb", F.lit(kb))
 
 
 def pick_terms(query: Column, stop: list[str], most: int = 12) -> Column:

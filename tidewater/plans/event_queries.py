@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import event_key
 from tidewater.operators import events as E
 from tidewater.operators import timeline as W
-from tidewater.plans.retrieval import bm25_sql, table
+from tidewater.plans.retrieval import bm25_sql, index_of, table
 
 
 def event_table(spark, sf):
@@ -57,9 +57,8 @@ def event_dedup(spark, sf):
 
 
 def event_find(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("text").alias("content"))
-    q = table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return E.find(c, q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank0")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return E.find(index_of(spark, sf, "conversations", "conv_id * 1000 + turn"), q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank0")
 
 
 def regex_dates(spark, sf):
@@ -154,7 +153,7 @@ y AS (SELECT doc_id, i, l[i + 1] AS line, CASE WHEN i % 3 = 1 THEN (i // 3) % 4
 z AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS now, count(h) OVER (PARTITION BY doc_id ORDER BY i) AS heads FROM y),
 f AS (SELECT *, last_value(CASE WHEN h <> 2 THEN h END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM z)"""
 
-FIND = bm25_sql("SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 5").replace("SELECT doc_id AS id", "SELECT conv_id * 1000 + turn AS id").replace("FROM documents)", "FROM conversations)")
+FIND = bm25_sql("SELECT item_id AS query_id, text AS query FROM benchmark").replace("SELECT doc_id AS id", "SELECT conv_id * 1000 + turn AS id").replace("FROM documents)", "FROM conversations)")
 
 QUERIES = {
     "event_aggregate": event_aggregate, "event_by_type": event_by_type, "event_list": event_list, "event_timeline": event_timeline, "event_stats": event_stats, "event_dedup": event_dedup, "event_find": event_find,
@@ -175,7 +174,9 @@ SELECT meeting_id, min(seq) AS seq, key FROM k WHERE key <> '' GROUP BY meeting_
     "event_find": f"""WITH {FIND} SELECT query_id, id, round(score, 6) AS score, CAST(rank0 AS BIGINT) AS rank0 FROM bmr WHERE rank0 < 10""",
     "regex_dates": """WITH d AS (SELECT doc_id, doc_id % 150 + 1960 AS y, doc_id % 14 AS m, doc_id % 33 AS d FROM documents)
 SELECT doc_id, CASE WHEN y BETWEEN 2000 AND 2100 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') ELSE '' END AS date FROM d""",
-    "first_pattern_wins": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '9月5日前' ELSE '月底前' END AS deadline FROM documents",
+    "first_pattern_wins": r"""WITH s AS (SELECT doc_id, 'x ' || CASE WHEN doc_id % 3 = 0 THEN '5天内 ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '9月5日前' ELSE '月底前' END AS s FROM documents)
+SELECT doc_id, trim(coalesce(nullif(regexp_extract(s, '\d{1,2}\s*月\s*\d{1,2}\s*日\s*(?:前|之前|以前|左右)?'), ''), nullif(regexp_extract(s, '\d{4}\s*[-/年.]\s*\d{1,2}\s*[-/月.]\s*\d{1,2}\s*日?\s*(?:前|之前)?'), ''),
+  nullif(regexp_extract(s, '(?:本周|下周|本月|下月|节前|月底|年底)[一二三四五六日天]?\s*(?:前|之前)?'), ''), nullif(regexp_extract(s, '\d+\s*(?:个)?(?:工作日|天|周|月)(?:内|以内|之内)'), ''), '')) AS deadline FROM s""",
     "sections_ffill": f"""WITH {MIN} SELECT 'm/' || doc_id || '.md' AS path, CASE sec WHEN 0 THEN '决策' WHEN 1 THEN '行动项' ELSE '议题' END AS section,
 count(*) + count(CASE WHEN h = 2 THEN 1 END) AS n, min(CASE WHEN h = 2 THEN i + heads - 1 ELSE i + heads END) AS first FROM f WHERE sec IS NOT NULL GROUP BY doc_id, sec""",
     "meeting_ids": "SELECT doc_id || '-' || left(sha1('m/' || doc_id || '.md'), 8) AS meeting_id FROM documents",

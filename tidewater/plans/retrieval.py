@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import clean, tokenize
 from tidewater.functions.vectors import hash_embed, norm, truncated
 from tidewater.operators import search as S
+from tidewater.sources.shared import fingerprint
 from tidewater.sources.tables import read_spread
 
 QUERY = "erheat thnt oned estion leaux ciónmente scher the"
@@ -20,6 +21,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_spread(spark, path) if name == "documents" else spark.read.parquet(path)
 
 
+_indexes: dict[tuple[str, str, str], S.Index] = {}
+
+
+def index_of(spark: SparkSession, sf: str, name: str = "documents", id_col: str = "doc_id") -> S.Index:
+    """The stored index of a table's texts, built once a session for the files that the table has."""
+    path = f"{sf}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, fingerprint(spark, path))
+    if key not in _indexes:
+        docs = table(spark, sf, name)
+        _indexes[key] = S.build_index(docs if name == "documents" else docs.withColumn("doc_id", F.expr(id_col)))
+    return _indexes[key]
+
+
 def one_query(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, QUERY)], "query_id bigint, query string")
 
@@ -42,12 +56,12 @@ def corpus_stats(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    hits = S.top(S.bm25(table(spark, sf, "documents"), one_query(spark)), TOP)
+    hits = S.top(S.bm25(index_of(spark, sf), one_query(spark)), TOP)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank0")
 
 
 def bm25_batch(spark, sf):
-    hits = S.top(S.bm25(table(spark, sf, "documents"), many_queries(spark, sf)), TOP)
+    hits = S.top(S.bm25(index_of(spark, sf), many_queries(spark, sf)), TOP)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank0")
 
 
@@ -63,11 +77,11 @@ def knn_batch(spark, sf):
     return S.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf, "vec_id % 100 = 0"), KNN).withColumn("score", F.round("score", 6))
 
 
-def arms(spark, sf):
+def arms(spark, sf, n=ARM):
     docs = table(spark, sf, "documents")
-    lexical = S.top(S.bm25(docs, many_queries(spark, sf)), ARM)
+    lexical = S.top(S.bm25(index_of(spark, sf), many_queries(spark, sf)), n)
     queries = table(spark, sf, "embeddings").join(many_queries(spark, sf).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    dense = S.knn(table(spark, sf, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), queries, ARM)
+    dense = S.knn(table(spark, sf, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), queries, n)
     meta = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "lang")
     return [lexical, dense], meta
 
@@ -78,7 +92,7 @@ def rrf_hybrid(spark, sf):
 
 
 def rrf_source_filter(spark, sf):
-    a, meta = arms(spark, sf)
+    a, meta = arms(spark, sf, S.pool(ARM, True))
     return S.top(S.rrf(a, meta, source=F.col("lang") == "en").withColumn("score", F.round("score", 9)), TOP, tie="path")
 
 
@@ -91,15 +105,14 @@ def file_top3_chunks(spark, sf):
     a, meta = arms(spark, sf)
     found = a[0].select("query_id", "id").union(a[1].select("query_id", "id")).distinct()
     files = found.join(meta, "id").select("query_id", "path").distinct()
-    few = files.where("query_id < 5")
-    chunks = few.join(meta, "path").select("query_id", "path", "id")
+    chunks = files.join(meta, "path").select("query_id", "path", "id")
     out = S.file_snippets(a, chunks)
     return out.select("query_id", "path", F.array_join(F.transform("chunks", lambda c: c["id"].cast("string")), ",").alias("ids"))
 
 
 def corpus_hits(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"), F.col("source").alias("title"), F.lit("").alias("label"))
-    return S.bm25(table(spark, sf, "documents"), many_queries(spark, sf)).join(docs, "id")
+    return S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs, "id")
 
 
 def multi_rrf(spark, sf):
@@ -117,7 +130,7 @@ def query_terms(spark, sf):
 
 def passage_pick(spark, sf):
     q = many_queries(spark, sf).select("query_id", S.pick_terms(F.col("query"), STOP).alias("terms"))
-    hits = S.top(S.bm25(table(spark, sf, "documents"), many_queries(spark, sf)), 3)
+    hits = S.top(S.bm25(index_of(spark, sf), many_queries(spark, sf)), 3)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     rows = hits.select("query_id", "id", F.col("rank0").alias("nth")).join(docs, "id").join(q, "query_id")
     out = S.pick_passage(rows, F.col("terms"), ["query_id"])
@@ -172,14 +185,20 @@ knn AS (SELECT * FROM kr0 WHERE rank0 < {k})"""
 
 MANY = "SELECT item_id AS query_id, text AS query FROM benchmark"
 ONE = f"SELECT CAST(0 AS BIGINT) AS query_id, '{QUERY}' AS query"
-ARMS = bm25_sql(MANY) + ",\n" + knn_sql("vec_id IN (SELECT doc_id FROM documents)", "vec_id IN (SELECT item_id FROM benchmark)", ARM)
+
+
+def arms_sql(n: int) -> str:
+    return bm25_sql(MANY) + ",\n" + knn_sql("vec_id IN (SELECT doc_id FROM documents)", "vec_id IN (SELECT item_id FROM benchmark)", n)
+
+
+ARMS = arms_sql(ARM)
 STOPS = ", ".join(f"'{s}'" for s in STOP)
 
 
-def rrf_sql(where: str = "TRUE") -> str:
-    return f"""{ARMS},
+def rrf_sql(where: str = "TRUE", n: int = ARM) -> str:
+    return f"""{arms_sql(n)},
 meta AS (SELECT doc_id AS id, source AS path FROM documents WHERE {where}),
-parts AS (SELECT query_id, path, 1.0::DOUBLE / (60 + min(rank0) + 1) AS part FROM bmr JOIN meta USING (id) WHERE rank0 < {ARM} GROUP BY query_id, path
+parts AS (SELECT query_id, path, 1.0::DOUBLE / (60 + min(rank0) + 1) AS part FROM bmr JOIN meta USING (id) WHERE rank0 < {n} GROUP BY query_id, path
   UNION ALL SELECT query_id, path, 1.0::DOUBLE / (60 + min(rank0) + 1) FROM knn JOIN meta USING (id) GROUP BY query_id, path),
 fused AS (SELECT query_id, path, round(sum(part), 9) AS score FROM parts GROUP BY query_id, path),
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) - 1 AS BIGINT) AS rank0 FROM fused) WHERE rank0 < {TOP})"""
@@ -209,11 +228,11 @@ SQL = {
     "knn_topk": f"WITH {knn_sql('TRUE', 'vec_id = 7', KNN)} SELECT query_id, id, round(score, 6) AS score, CAST(rank0 AS BIGINT) AS rank0 FROM knn",
     "knn_batch": f"WITH {knn_sql('TRUE', 'vec_id % 100 = 0', KNN)} SELECT query_id, id, round(score, 6) AS score, CAST(rank0 AS BIGINT) AS rank0 FROM knn",
     "rrf_hybrid": f"WITH {rrf_sql()} SELECT query_id, path, score, rank0 FROM best",
-    "rrf_source_filter": f"""WITH {rrf_sql("lang = 'en'")} SELECT query_id, path, score, rank0 FROM best""",
+    "rrf_source_filter": f"""WITH {rrf_sql("lang = 'en'", 200)} SELECT query_id, path, score, rank0 FROM best""",
     "rrf_norm": f"WITH {rrf_sql()} SELECT query_id, path, round(score / max(score) OVER (PARTITION BY query_id), 4) AS score, rank0 FROM best",
     "file_top3_chunks": f"""WITH {ARMS}, lex AS (SELECT * FROM bmr WHERE rank0 < {ARM}),
 found AS (SELECT query_id, id FROM lex UNION SELECT query_id, id FROM knn),
-files AS (SELECT DISTINCT query_id, d.source AS path FROM found JOIN documents d ON d.doc_id = found.id WHERE query_id < 5),
+files AS (SELECT DISTINCT query_id, d.source AS path FROM found JOIN documents d ON d.doc_id = found.id),
 ch AS (SELECT f.query_id, f.path, d.doc_id AS id, coalesce(lex.rank0, 1000000) AS r0, coalesce(knn.rank0, 1000000) AS r1 FROM files f JOIN documents d ON d.source = f.path
   LEFT JOIN lex ON lex.query_id = f.query_id AND lex.id = d.doc_id LEFT JOIN knn ON knn.query_id = f.query_id AND knn.id = d.doc_id),
 nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY r0, r1, id) AS nth FROM ch)

@@ -9,7 +9,7 @@ from tidewater.functions import text as T
 from tidewater.functions.vectors import cosine
 from tidewater.operators import chunk, clues, evaluate, report, state, voice
 from tidewater.operators import search as S
-from tidewater.plans.retrieval import MANY, TOKENS, arms, bm25_sql, many_queries, rrf_sql, table
+from tidewater.plans.retrieval import MANY, ONE, TOKENS, arms, bm25_sql, index_of, many_queries, one_query, rrf_sql, table
 
 STOP = ["the", "and", "of", "to", "is"]
 YEAR = r"[a-z]*tion[a-z]*"
@@ -42,18 +42,26 @@ def clue_merge(spark, sf):
 
 
 def clue_board(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("role").alias("kind"), F.substring("text", 1, 12).alias("text"), F.lit("").alias("anchor"), (F.col("turn") / 10).alias("confidence"), F.lit("").alias("actor"), F.lit("").alias("due"), F.lit(False).alias("pinned"), F.col("turn").cast("double").alias("t"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("role").alias("kind"), "text", F.lit("").alias("anchor"), (F.col("turn") / 10).alias("confidence"), F.lit("").alias("actor"), F.lit("").alias("due"), F.lit(False).alias("pinned"), F.col("turn").cast("double").alias("t"))
     return clues.board(c, ["session"]).select("session", "kind", "norm", "text", F.round("confidence", 6).alias("confidence"), "t")
 
 
 def clue_sorted(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 40")
+    e = table(spark, sf, "events")
     c = e.select(F.col("user_id").alias("session"), F.element_at(F.lit(clues.KINDS), (F.col("event_id") % 10 + 1).cast("int")).alias("kind"), (F.col("event_id") % 17 == 0).alias("pinned"), F.col("value").alias("t"), F.col("event_id").alias("id"))
     return clues.ordered(c).select("session", "id", "place")
 
 
 def clue_rules(spark, sf):
-    return clues.extract(table(spark, sf, "conversations"), ["conv_id", "turn"], pack=clues.LATIN)
+    """Utterances made from events, as no table holds Chinese: each kind of event says something of its own."""
+    e, day = table(spark, sf, "events"), lambda n: (F.col("event_id") % n + 1).cast("string")
+    said = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("我们会在"), day(12), F.lit("月"), day(28), F.lit("日之前交付，软件必须通过测试。")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("你们公司要尽快确定，请张伟"), day(9), F.lit("号来")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("下周"), F.lit("三由华东设计院答复，王主任"), day(5), F.lit("天内回复")))
+        .otherwise(F.concat(F.lit("我方负责现场布线，"), F.col("event_type"), F.lit("不得延期到"), F.lit("2024-"), day(12), F.lit("-"), day(28)))
+    )
+    return clues.extract(e.select("event_id", said.alias("text")), ["event_id"], people=("张伟",)).drop("rule")
 
 
 def keywords_topn(spark, sf):
@@ -61,9 +69,10 @@ def keywords_topn(spark, sf):
 
 
 def keyword_prf(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", T.tokenize(F.col("text")).alias("t"))
-    s = clues.keyword_scores(F.slice("t", 1, 5), F.slice("t", 4, 6))
-    return c.where(F.size("t") >= 9).select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", *[F.round(f"s.{k}", 6).alias(k) for k in ("precision", "recall", "f1", "noise")])
+    """A turn's words as keywords of the turn before."""
+    words = lambda c: F.array_distinct(T.tokenize(F.col(c)))
+    c = turns(spark, sf).select("conv_id", "turn", words("text").alias("got"), words("prev").alias("gold"))
+    return c.select("conv_id", "turn", clues.keyword_scores(F.col("got"), F.col("gold")).alias("s")).select("conv_id", "turn", *[F.round(f"s.{k}", 6).alias(k) for k in ("precision", "recall", "f1", "noise")])
 
 
 def occurrence_count(spark, sf):
@@ -72,8 +81,8 @@ def occurrence_count(spark, sf):
 
 def hamming_candidates(spark, sf):
     targets = table(spark, sf, "part").select(F.lower(F.substring_index("p_name", " ", 1)).alias("target")).distinct()
-    texts = table(spark, sf, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("id"), F.concat(F.lit("x"), F.translate(F.lower("c_mktsegment"), "ae", "eo")).alias("text"))
-    extra = table(spark, sf, "customer").where("c_custkey <= 300").select(F.lower("c_mktsegment").alias("target")).distinct()
+    texts = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("x"), F.translate(F.lower("c_mktsegment"), "ae", "eo")).alias("text"))
+    extra = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("target")).distinct()
     return clues.fuzzy_candidates(texts, targets.union(extra).distinct(), ["id"]).select("id", F.col("at").cast("bigint").alias("at"), "window", "target", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -88,12 +97,12 @@ def turns(spark, sf):
 
 
 def seam_overlap(spark, sf):
-    c = turns(spark, sf).select("conv_id", "turn", F.substring("text", 1, 60).alias("b"), F.concat(F.col("prev"), F.substring("text", 1, F.lit(0) + 12)).alias("a"))
+    c = turns(spark, sf).select("conv_id", "turn", F.col("text").alias("b"), F.concat(F.col("prev"), F.left("text", F.floor(F.length("text") / 2).cast("int"))).alias("a"))
     return c.select("conv_id", "turn", T.seam_overlap(F.col("a"), F.col("b")).cast("bigint").alias("n"))
 
 
 def cer_levenshtein(spark, sf):
-    c = turns(spark, sf).select("conv_id", "turn", *[F.regexp_replace(F.substring(c, 1, 80), r"[^\x00-\x7F]", "?").alias(n) for c, n in (("prev", "a"), ("text", "b"))])
+    c = turns(spark, sf).select("conv_id", "turn", *[F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(n) for c, n in (("prev", "a"), ("text", "b"))])
     return c.select("conv_id", "turn", F.round(T.cer(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
@@ -102,12 +111,12 @@ def char_jaccard(spark, sf):
 
 
 def alias_conflicts(spark, sf):
-    w = table(spark, sf, "documents").select(F.col("source").alias("entity"), F.array_distinct(F.slice(T.tokenize(F.col("text")), 1, 3)).alias("names"))
+    w = table(spark, sf, "documents").select(F.col("source").alias("entity"), F.array_distinct(T.tokenize(F.col("text"))).alias("names"))
     return clues.alias_index(w)[1]
 
 
 def alias_index(spark, sf):
-    w = table(spark, sf, "documents").select(F.col("source").alias("entity"), F.array_distinct(F.slice(T.tokenize(F.col("text")), 1, 3)).alias("names"))
+    w = table(spark, sf, "documents").select(F.col("source").alias("entity"), F.array_distinct(T.tokenize(F.col("text"))).alias("names"))
     return clues.alias_index(w)[0]
 
 
@@ -142,10 +151,11 @@ def isolated_nodes(spark, sf):
 
 
 def minutes_sections(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 3000").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left")
-    rows = e.select(F.col("event_type").alias("kind"), "event_id", F.concat(report.clock(F.col("event_id").cast("double")), F.lit(" "), F.coalesce("c_name", F.lit("?"))).alias("line"))
-    out = report.minutes(rows, ["kind"], ["event_id"], keep=40)
-    return out.select("kind", "n", F.md5(F.col("body").cast("binary")).alias("digest"))
+    """Minutes of sessions of 500 events each."""
+    e = table(spark, sf, "events").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left")
+    rows = e.select(F.floor(F.col("event_id") / 500).alias("session"), F.col("event_type").alias("kind"), "event_id", F.concat(report.clock(F.col("event_id").cast("double")), F.lit(" "), F.coalesce("c_name", F.lit("?"))).alias("line"))
+    out = report.minutes(rows, ["session", "kind"], ["event_id"])
+    return out.select("session", "kind", "n", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 def person_clues(spark, sf):
@@ -161,7 +171,7 @@ def transcript_lines(spark, sf):
 
 
 def prep_items(spark, sf):
-    d = table(spark, sf, "documents").select(F.substring_index("text", ".", 1).alias("topic"), F.col("doc_id").alias("seq"), "source")
+    d = table(spark, sf, "documents").select(F.col("text").alias("topic"), F.col("doc_id").alias("seq"), "source")
     return state.add_prep(d).select("norm", "topic", "seq", F.array_join("sources", ",").alias("sources"))
 
 
@@ -219,15 +229,16 @@ def hit_at_k(spark, sf):
 
 def contamination(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"))
-    hits = S.top(S.bm25(table(spark, sf, "documents"), many_queries(spark, sf)), 5).join(docs, "id").withColumn("rank", F.col("rank0") + 1)
+    hits = S.top(S.bm25(index_of(spark, sf), many_queries(spark, sf)), 5).join(docs, "id").withColumn("rank", F.col("rank0") + 1)
     truth = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("kb"))
     return evaluate.contamination(hits, truth)
 
 
 def topk_type_recall(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("exact"))
-    top8 = table(spark, sf, "events").orderBy(F.desc("value"), "event_id").limit(8).groupBy("event_type").agg(F.count(F.lit(1)).alias("seen"))
-    return e.join(top8, "event_type", "left").select("event_type", "exact", F.coalesce("seen", F.lit(0)).alias("seen"))
+    """How much of each role's turns the 8 turns most like a query show, against the exact count."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role")
+    top8 = S.top(S.bm25(index_of(spark, sf, "conversations", "conv_id * 1000 + turn"), one_query(spark)), 8).join(c, "id").groupBy("role").agg(F.count(F.lit(1)).alias("seen"))
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("exact")).join(top8, "role", "left").select("role", "exact", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
 def coverage_sets(spark, sf):
@@ -246,7 +257,7 @@ def adjacent_overlap(spark, sf):
 
 def score_spread(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("right"))
-    return evaluate.score_spread(S.bm25(table(spark, sf, "documents"), many_queries(spark, sf)).join(docs, "id"))
+    return evaluate.score_spread(S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs, "id"))
 
 
 def branch_histogram(spark, sf):
@@ -262,7 +273,7 @@ TURNS = "t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id
 CHARS = "list_distinct(list_filter(string_split({}, ''), lambda x: x <> ''))"
 KIND = "CASE event_id % 10 WHEN 0 THEN 'requirement' WHEN 1 THEN 'commitment' WHEN 2 THEN 'deadline' WHEN 3 THEN 'decision' WHEN 4 THEN 'risk' WHEN 5 THEN 'agreement' WHEN 6 THEN 'clause' WHEN 7 THEN 'person' WHEN 8 THEN 'org' ELSE 'term' END"
 ANCH = f"a AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{YEAR}') AS w FROM conversations)"
-ALIAS = r"""w AS (SELECT source AS entity, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3]) AS name FROM documents), o AS (SELECT name, count(DISTINCT entity) AS n, min(entity) AS entity FROM w GROUP BY name)"""
+ALIAS = r"""w AS (SELECT source AS entity, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS name FROM documents), o AS (SELECT name, count(DISTINCT entity) AS n, min(entity) AS entity FROM w GROUP BY name)"""
 GRAPH = """e AS (SELECT DISTINCT page_id, trim(unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS target FROM pages), e2 AS (SELECT * FROM e WHERE target <> ''),
 nm AS (SELECT page_id, min(target) AS note FROM e2 GROUP BY page_id), known AS (SELECT DISTINCT note FROM nm), links AS (SELECT DISTINCT nm.note, target FROM e2 JOIN nm USING (page_id)),
 ins AS (SELECT * FROM links WHERE target IN (SELECT note FROM known) AND target <> note),
@@ -288,40 +299,38 @@ SELECT conv_id, turn, anchor, CASE WHEN length(anchor) % 2 = 0 AND length(anchor
 CASE WHEN length(anchor) % 2 = 0 THEN anchor ELSE upper(anchor) END AS text,
 round(greatest(CASE WHEN length(anchor) % 2 = 0 THEN 0.7::DOUBLE END, CASE WHEN length(anchor) % 4 <> 1 THEN length(anchor) / 20.0::DOUBLE END), 6) AS confidence,
 CASE WHEN length(anchor) % 4 <> 1 THEN 'a' ELSE '' END AS actor, '' AS due FROM d WHERE length(anchor) % 2 = 0 OR length(anchor) % 4 <> 1""",
-    "clue_board": r"""WITH c AS (SELECT conv_id, role, turn, substring(text, 1, 12) AS text, regexp_replace(substring(text, 1, 12), '[\s，。、；：？！,.;:?!"''“”‘’()（）\[\]【】—…·-]+', '', 'g') AS norm FROM conversations)
-SELECT conv_id AS session, role AS kind, norm, arg_max(text, (length(text), text)) AS text, round(max(turn / 10.0::DOUBLE), 6) AS confidence, min(CAST(turn AS DOUBLE)) AS t FROM c GROUP BY conv_id, role, norm""",
-    "clue_sorted": "SELECT user_id AS session, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 17 = 0 DESC, event_id % 10, value, event_id) AS BIGINT) AS place FROM events WHERE user_id < 40",
+    "clue_sorted": "SELECT user_id AS session, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 17 = 0 DESC, event_id % 10, value, event_id) AS BIGINT) AS place FROM events",
     "keywords_topn": rf"""WITH a AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM conversations), x AS (SELECT conv_id, turn, w, unnest(range(0, len(w))) AS pos FROM a),
 c AS (SELECT conv_id, turn, w[pos + 1] AS term, count(*) AS n, min(pos) AS pos FROM x WHERE length(w[pos + 1]) BETWEEN 2 AND 8 AND w[pos + 1] NOT IN ('the', 'and', 'of', 'to', 'is') GROUP BY 1, 2, 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, pos) AS BIGINT) AS rank FROM c) SELECT conv_id, turn, term, n, rank FROM r WHERE rank <= 6""",
-    "keyword_prf": r"""WITH a AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations),
-b AS (SELECT conv_id, turn, w[1:5] AS g, w[4:9] AS o FROM a WHERE len(w) >= 9),
-c AS (SELECT conv_id, turn, len(list_filter(g, lambda x: len(list_filter(o, lambda y: contains(x, y) OR contains(y, x))) > 0)) / 5.0::DOUBLE AS p, len(list_filter(o, lambda x: len(list_filter(g, lambda y: contains(x, y) OR contains(y, x))) > 0)) / 6.0::DOUBLE AS r FROM b)
+    "keyword_prf": rf"""WITH {TURNS}, b AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS g, list_distinct(regexp_extract_all(lower(prev), '[\p{{L}}\p{{N}}]+')) AS o FROM p),
+m AS (SELECT conv_id, turn, len(g) AS ng, len(o) AS no, len(list_filter(g, lambda x: len(list_filter(o, lambda y: contains(x, y) OR contains(y, x))) > 0)) AS hg, len(list_filter(o, lambda x: len(list_filter(g, lambda y: contains(x, y) OR contains(y, x))) > 0)) AS ho FROM b),
+c AS (SELECT conv_id, turn, CASE WHEN ng > 0 THEN hg / ng::DOUBLE ELSE 0 END AS p, CASE WHEN no > 0 THEN ho / no::DOUBLE ELSE 0 END AS r FROM m)
 SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(1 - p, 6) AS noise FROM c""",
     "occurrence_count": "SELECT doc_id, CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS BIGINT) AS n FROM documents",
-    "hamming_candidates": """WITH t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS target FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer WHERE c_custkey <= 300),
-x AS (SELECT c_custkey AS id, 'x' || translate(lower(c_mktsegment), 'ae', 'eo') AS s FROM customer WHERE c_custkey <= 300),
+    "hamming_candidates": """WITH t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS target FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer),
+x AS (SELECT c_custkey AS id, 'x' || translate(lower(c_mktsegment), 'ae', 'eo') AS s FROM customer),
 w AS (SELECT id, s, target, unnest(range(1, length(s) - length(target) + 2)) AS pos FROM x, t WHERE length(target) BETWEEN 2 AND 24 AND length(s) >= length(target)),
 h AS (SELECT id, pos, substring(s, pos, length(target)) AS win, target, hamming(substring(s, pos, length(target)), target) AS d FROM w)
 SELECT id, CAST(pos AS BIGINT) AS "at", win AS "window", target, CAST(d AS BIGINT) AS distance FROM h WHERE win <> target AND d <= CASE WHEN length(target) <= 3 THEN 1 ELSE 2 END""",
     "explicit_replace": "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'MACHINERY' WHEN 'MACHINERY' THEN 'CAR' WHEN 'BUILDING' THEN 'BING' ELSE c_mktsegment END || ' X' AS fixed FROM customer",
-    "seam_overlap": f"""WITH {TURNS}, s AS (SELECT conv_id, turn, substring(text, 1, 60) AS b, prev || substring(text, 1, 12) AS a FROM p)
+    "seam_overlap": f"""WITH {TURNS}, s AS (SELECT conv_id, turn, text AS b, prev || left(text, length(text) // 2) AS a FROM p)
 SELECT conv_id, turn, CAST(coalesce(list_max(list_filter(range(2, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS BIGINT) AS n FROM s""",
-    "cer_levenshtein": f"WITH {TURNS}, q AS (SELECT conv_id, turn, regexp_replace(substring(prev, 1, 80), '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(substring(text, 1, 80), '[^\\x00-\\x7F]', '?', 'g') AS b FROM p) SELECT conv_id, turn, round(levenshtein(a, b) / greatest(1, length(a))::DOUBLE, 6) AS cer FROM q",
+    "cer_levenshtein": f"WITH {TURNS}, q AS (SELECT conv_id, turn, regexp_replace(prev, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS b FROM p) SELECT conv_id, turn, round(levenshtein(a, b) / greatest(1, length(a))::DOUBLE, 6) AS cer FROM q",
     "char_jaccard": f"WITH {TURNS}, s AS (SELECT conv_id, turn, {CHARS.format('lower(prev)')} AS a, {CHARS.format('lower(text)')} AS b FROM p) SELECT conv_id, turn, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b))))::DOUBLE, 6) AS similar FROM s",
     "alias_conflicts": f"WITH {ALIAS} SELECT name, n FROM o WHERE n > 1",
     "alias_index": f"WITH {ALIAS} SELECT name, entity FROM o WHERE n = 1",
     "broken_links": f"WITH {GRAPH} SELECT note, target FROM links WHERE target NOT IN (SELECT note FROM known)",
     "link_degree": f"WITH {GRAPH} SELECT note, degree FROM deg",
     "isolated_nodes": f"WITH {GRAPH} SELECT note FROM deg WHERE degree = 0",
-    "minutes_sections": """WITH e AS (SELECT event_type AS kind, event_id, lpad(CAST(event_id // 60 AS VARCHAR), CAST(greatest(2, length(CAST(event_id // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ' ' || coalesce(c_name, '?') AS line
-  FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_id < 3000), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY event_id) AS n FROM e)
-SELECT kind, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM r WHERE n <= 40 GROUP BY kind""",
+    "minutes_sections": """WITH e AS (SELECT event_id // 500 AS session, event_type AS kind, event_id, lpad(CAST(event_id // 60 AS VARCHAR), CAST(greatest(2, length(CAST(event_id // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ' ' || coalesce(c_name, '?') AS line
+  FROM events LEFT JOIN customer ON c_custkey = user_id), r AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY event_id) AS n FROM e)
+SELECT session, kind, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM r GROUP BY session, kind""",
     "person_clues": f"""WITH c AS (SELECT event_id, {KIND} AS kind, CASE WHEN event_id % 3 = 0 THEN 'p' || (user_id % 5) WHEN event_id % 2 = 0 THEN 's' || (user_id % 4) END AS person FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY person, kind ORDER BY event_id) AS n FROM c WHERE person IS NOT NULL AND kind IN ('requirement', 'commitment', 'deadline', 'decision', 'risk'))
 SELECT person, kind, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS clues FROM r WHERE n <= 4 GROUP BY person, kind""",
     "transcript_lines": "SELECT conv_id, turn, '[' || format('{:7.2f}', turn * 1.5::DOUBLE) || '] ' || role || '：' || text AS line FROM conversations",
-    "prep_items": r"""WITH d AS (SELECT doc_id, source, split_part(text, '.', 1) AS topic, regexp_replace(split_part(text, '.', 1), '[\s，。、；：？！,.;:?!"''“”‘’()（）\[\]【】—…·-]+', '', 'g') AS norm FROM documents)
+    "prep_items": r"""WITH d AS (SELECT doc_id, source, text AS topic, regexp_replace(text, '[\s，。、；：？！,.;:?!"''“”‘’()（）\[\]【】—…·-]+', '', 'g') AS norm FROM documents)
 SELECT norm, arg_min(topic, doc_id) AS topic, min(doc_id) AS seq, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM d WHERE length(norm) >= 2 GROUP BY norm""",
     "voice_match": f"WITH {VM} SELECT query_id, person, round(score, 6) AS score, round(second, 6) AS second, score >= 0.6 AND score - second >= 0.1 AS ok FROM r WHERE n = 1",
     "vector_cosine": "WITH f AS (SELECT label, min(vec_id) AS f FROM embeddings GROUP BY label) SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])), 6) AS cos FROM embeddings e JOIN f ON f.label = e.label JOIN embeddings h ON h.vec_id = f.f",
@@ -332,7 +341,8 @@ SELECT norm, arg_min(topic, doc_id) AS topic, min(doc_id) AS seq, array_to_strin
 SELECT count(*) AS queries, round(avg(CASE WHEN r < 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN r < 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_3 FROM m""",
     "contamination": f"""WITH {bm25_sql(MANY)}, o AS (SELECT bmr.query_id, rank0 + 1 AS rank, lang = CASE WHEN bmr.query_id % 2 = 0 THEN 'en' ELSE 'fr' END AS ok FROM bmr JOIN documents ON doc_id = bmr.id WHERE rank0 < 5)
 SELECT query_id, bool_or(rank = 1 AND ok) AS top1, bool_or(rank <= 3 AND ok) AS in_top3, bool_and(rank > 3 OR ok) AS clean FROM o GROUP BY query_id""",
-    "topk_type_recall": "WITH t AS (SELECT event_type FROM events ORDER BY value DESC, event_id LIMIT 8) SELECT event_type, count(*) AS exact, CAST((SELECT count(*) FROM t WHERE t.event_type = e.event_type) AS BIGINT) AS seen FROM events e GROUP BY event_type",
+    "topk_type_recall": "WITH " + bm25_sql(ONE).replace("SELECT doc_id AS id", "SELECT conv_id * 1000 + turn AS id").replace("FROM documents", "FROM conversations") + """, s AS (SELECT role, count(*) AS seen FROM bmr JOIN conversations ON conv_id * 1000 + turn = bmr.id WHERE rank0 < 8 GROUP BY role)
+SELECT c.role, count(*) AS exact, CAST(coalesce(any_value(seen), 0) AS BIGINT) AS seen FROM conversations c LEFT JOIN s ON s.role = c.role GROUP BY c.role""",
     "coverage_sets": """WITH w AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_type = 'error'), f AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_type = 'click'),
 c AS (SELECT w.user_id, count(*) AS m, count(f.d) AS n FROM w LEFT JOIN f ON f.user_id = w.user_id AND f.d = w.d GROUP BY w.user_id) SELECT user_id AS query_id, n, CASE WHEN n = m THEN 'full' WHEN n > 0 THEN 'partial' ELSE 'none' END AS coverage FROM c""",
     "adjacent_overlap": f"""WITH s AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS a, epoch_us(ts) / 1e6::DOUBLE + 3600 * abs(value) AS b FROM events), l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lag(event_type) OVER w AS pt FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, event_id)),
