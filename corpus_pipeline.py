@@ -1,6 +1,6 @@
 """The corpus pipeline: five operators over documents, each on what the one before has kept.
 
-Null, empty and repeated rows: language ID drops texts that are null or have no letter; near-dedup keeps one row of repeated
+Null, empty and repeated rows: language ID drops texts that are null, or have no letter; near-dedup keeps one row of repeated
 rows; every other row goes through all stages. Empty tables give an empty result. Extra columns are dropped.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import mark, release, shared_dir, token, written
+from tidewater.llm.common import WORD, bitmap, delete, mark, marked, release, shared_dir, token, written
 from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.language_id import UND, identify
-from tidewater.llm.mixing import mix
-from tidewater.llm.near_dedup import CELLS, near_dedup
+from tidewater.llm.mixing import last_taken, mix, queued
+from tidewater.llm.near_dedup import near_dedup
 from tidewater.llm.sharding import shard_by_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,19 +27,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id, once. Rows with a null doc_id stay.
+    """One document of each group of near-duplicates by shingles of five words, that of the smallest doc_id, once. Rows with a
+    null doc_id stay.
 
-    Only documents whose id shares a cell of a bounded bitmap with a dropped or repeated id are joined; the rest pass by."""
-    out = near_dedup(docs).where("doc_id is not null")
+    Only documents whose id shares a bit of a bounded bitmap with a dropped or repeated id are joined; the rest pass by."""
+    out = near_dedup(docs, size=5).where("doc_id is not null")
     act = out.groupBy("doc_id").agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("not _kept or _n > 1")
     act = written(act, "pipeline-near")
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")
-    cells = F.broadcast(act.select(cell.alias("_cell")).distinct())
-    docs = docs.select(*COLUMNS, cell.alias("_cell"))
-    free = docs.join(cells, "_cell", "left_anti").select(*COLUMNS)
-    bound = docs.join(cells, "_cell", "left_semi").join(act, "doc_id", "left")
+    docs = marked(docs.select(*COLUMNS), F.col("doc_id"), bitmap(act, F.col("doc_id")))
+    bound = docs.where("_hit").join(act, "doc_id", "left")
     repeated = bound.where("_kept").dropDuplicates(["doc_id"])
-    return free.union(bound.where("_n is null").select(*COLUMNS)).union(repeated.select(*COLUMNS))
+    return docs.where("not _hit").select(*COLUMNS).union(bound.where("_n is null").select(*COLUMNS)).union(repeated.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +46,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document once for each copy of it that is taken whole or by half at least. Rows that share an id, or
-    have none, get as many copies as the one of them with the most."""
-    copies = mix(docs).where("taken > 0 and 2 * taken >= size").groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
-    copies = written(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_n").alias("_n")), "pipeline-mix")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
-    return out.select(*COLUMNS)
+    """The mix: each document once for each copy of it that is taken whole or by half at least. Documents without words aren't
+    taken. Rows that are alike in id, text and source are taken alike.
+
+    The mix gives a place in each source's queue; texts are held against it where they are scanned, and not moved unless the
+    table of sources is too large for Spark to broadcast."""
+    last = written(last_taken(mix(docs)), "pipeline-mix")
+    rows = docs.where(F.rlike("text", F.lit(WORD))).select(*COLUMNS, F.struct(*queued(docs)).alias("_at"))
+    rows = rows.join(last, F.col("source").eqNullSafe(F.col("_source")))
+    place = lambda k: F.struct(k.alias("copy"), "_at._h", "_at.doc_id", "_at._x")
+    taken = F.filter(F.lit(list(range(2))), lambda k: place(k) <= F.col("_last"))
+    return rows.select(*COLUMNS, F.explode(taken).alias("_copy")).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage is written to the shared folder and read again; what operators wrote in between is deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage is written to the shared folder and read again; then what it read and what its operator wrote is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         since, path = mark(), f"{shared_dir(spark)}/pipeline-{name}-{token()}"
         stage(spark, docs, sf_dir).write.parquet(path)
         release(spark, since)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
