@@ -1,6 +1,6 @@
 """The corpus pipeline: five operators over documents, each on what the one before has kept.
 
-Null, empty and repeated rows: language ID drops texts that are null, or have no letter; near-dedup keeps one row of repeated
+Null, empty and repeated rows: language ID drops texts that are null, have no letter or no sure language; near-dedup keeps one row of repeated
 rows; every other row goes through all stages. Empty tables give an empty result. Extra columns are dropped.
 """
 
@@ -17,13 +17,14 @@ from tidewater.llm.near_dedup import near_dedup
 from tidewater.llm.sharding import shard_by_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Mean probability that a document's language must have over its bytes.
+SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; lang becomes the predicted one. An unsure prediction is no reason to reject: with few
-    rows to learn from, whole kinds of clean texts get one."""
-    out = identify(docs, keep=COLUMNS)
-    return out.where(F.col("lang_pred") != UND).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    """Documents whose language is known, by at least SURE of the probability; lang becomes the predicted one."""
+    out = identify(docs, keep=COLUMNS).where((F.col("lang_pred") != UND) & (F.col("score") >= SURE))
+    return out.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
