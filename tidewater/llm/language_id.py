@@ -1,12 +1,15 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Texts are cut into windows of STEPS bytes, all of them read. In each window one network runs forward and one backward; at
-every position the two states give a probability for each language, and a document's probabilities are the means over its
-positions. Gates use clip(x / 4 + 1 / 2, 0, 1) and states x / (1 + |x|), which cost less than the usual exponentials.
+Texts are cut into windows of CORE bytes, all of them read, each with CONTEXT bytes of the text on both sides. In each window one
+network runs forward and one backward, so that both have read at least CONTEXT bytes before a byte that counts, or all that the
+text has there; at every position of the core the two states give a probability for each language, and a document's
+probabilities are the means over its positions. Gates use clip(x / 4 + 1 / 2, 0, 1) and states x / (1 + |x|), which cost less than
+the usual exponentials. The network learns from ROWS rows at most, chosen by hash and shared evenly by the languages, and of each
+from SPREAD stretches that lie evenly over its whole text.
 
 Null texts and texts without a letter are `und` with score 0, and so are all where no row can be learnt from. Rows whose
-lang is null are predicted, not learnt from. Null ids and repeated rows each get a row; empty tables give an empty result.
-Other columns are ignored; lang is read for training rows only.
+lang is null are predicted, not learnt from. Ties go to the first language. Null ids and repeated rows each get a row; empty tables
+give an empty result. Texts of any length are read whole. Other columns are ignored; lang is read for training rows only.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import bounded_batches, built, fold, token
 from tidewater.sources.tables import read_spread
 
-STEPS, HIDDEN, BATCH = 64, 8, 4096
-#: Rows that the network is trained on at most, shared evenly by the languages, and the characters taken of each.
-ROWS, CHARS, EPOCHS = 4000, 256, 6
+CORE, CONTEXT, HIDDEN, BATCH = 96, 16, 8, 4096
+STEPS = CORE + 2 * CONTEXT
+#: Rows that the network is trained on at most, and the stretches of CORE characters that are taken of each.
+ROWS, SPREAD = 1500, 8
+#: Passes over the windows, and steps that training takes at least, where rows are few.
+EPOCHS, LEAST_STEPS = 6, 200
 UND = "und"
 
 _ALPHA = np.zeros(256, bool)
@@ -122,12 +128,13 @@ def train(x: np.ndarray, size: np.ndarray, y: np.ndarray, labels: int, epochs: i
     """x: windows by (window, step); size: bytes in each. Adam over shuffled batches."""
     net, draw = Network(labels), np.random.default_rng(seed)
     first, second, k = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(x) // batch)))
     rounds = epochs * -(-len(x) // batch)
     for _ in range(epochs):
         order = draw.permutation(len(x))
         for i in range(0, len(x), batch):
             pick = order[i : i + batch]
-            valid = (np.arange(STEPS)[:, None] < size[pick]).astype("f4")
+            valid = counting(size[pick]).astype("f4")
             _, grads = net.gradients(np.ascontiguousarray(x[pick].T), valid, y[pick])
             k += 1
             now = rate * (1 - (k - 1) / rounds)
@@ -138,16 +145,23 @@ def train(x: np.ndarray, size: np.ndarray, y: np.ndarray, labels: int, epochs: i
     return net
 
 
+def counting(size: np.ndarray) -> np.ndarray:
+    """(step, window): whether a position is in the core and within the text."""
+    at = np.arange(STEPS)[:, None]
+    return (at >= CONTEXT) & (at < CONTEXT + size)
+
+
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows by (window, step), bytes in each, and the number of windows of each text."""
-    data = np.frombuffer(b"".join(texts) + bytes(STEPS), "u1")
+    """Windows by (window, step), bytes in the core of each, and the number of windows of each text. Bytes outside the text
+    are 0."""
+    data = np.frombuffer(bytes(CONTEXT) + b"".join(t + bytes(STEPS) for t in texts), "u1")
     length = np.array([len(t) for t in texts], "i8")
-    many = -(-length // STEPS)
+    many = -(-length // CORE)
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    begin = np.repeat(np.cumsum(length) - length, many) + nth * STEPS
-    size = np.minimum(STEPS, np.repeat(length, many) - nth * STEPS)
-    x = np.lib.stride_tricks.sliding_window_view(data, STEPS)[begin]
-    return np.where(np.arange(STEPS) < size[:, None], x, np.uint8(0)), size, many
+    begin = np.repeat(np.cumsum(length + STEPS) - length - STEPS, many) + nth * CORE
+    size = np.minimum(CORE, np.repeat(length, many) - nth * CORE)
+    x = np.lib.stride_tricks.sliding_window_view(data, STEPS)[begin] if len(begin) else np.zeros((0, STEPS), "u1")
+    return x, size, many
 
 
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -155,11 +169,11 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     x, size, many = cut(texts)
     sums = np.zeros((len(x), len(net.bias)))
     for i in range(0, len(x), BATCH):
-        steps = np.ascontiguousarray(x[i : i + BATCH].T)
-        p = net.label(net.run(steps))
-        part = size[i : i + BATCH] < STEPS
+        both = net.run(np.ascontiguousarray(x[i : i + BATCH].T))[CONTEXT : CONTEXT + CORE]
+        p = net.label(both)
+        part = size[i : i + BATCH] < CORE
         if part.any():
-            p[:, :, part] *= (np.arange(STEPS)[:, None] < size[i : i + BATCH][part])[:, None, :]
+            p[:, :, part] *= (np.arange(CORE)[:, None] < size[i : i + BATCH][part])[:, None, :]
         sums[i : i + BATCH] = p.sum(0).T
     total, filled = np.zeros((len(texts), len(net.bias))), many > 0
     if filled.any():
@@ -175,18 +189,21 @@ def has_letter(text: bytes) -> bool:
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, out: int, rows: int = ROWS) -> tuple[list[str], Network | None]:
     """The languages and the network, from rows outside fold `out` of crc32(id) modulo folds."""
-    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != out)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != out)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     counts = {r[0]: r[1] for r in able.groupBy("_lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], None
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, rows / len(langs) / n)) for k, n in counts.items()], "_lang string, _p double")
-    at = 1 + F.pmod(F.xxhash64("_id", F.lit(2)), F.greatest(F.lit(1), F.length("_text") - CHARS + 1))
-    chosen = able.join(F.broadcast(share), "_lang").where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 30)) < F.col("_p") * (1 << 30))
-    got = chosen.select("_id", "_lang", F.substring(F.col("_text"), at, F.lit(CHARS)).alias("_text")).limit(2 * rows).collect()
-    got = sorted(got, key=lambda r: (str(r._id), r._text))
-    x, size, many = cut([r._text.encode() for r in got])
-    y = np.repeat([langs.index(r._lang) for r in got], many)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / len(langs) / n))])
+    draw = F.pmod(F.xxhash64("_id", "_text", F.lit(1)), F.lit(1 << 30))
+    n = F.length("_text")
+    stretch = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.substring("_text", F.floor(k * (n - CORE) / (SPREAD - 1)).cast("int") + 1, F.lit(CORE)))
+    parts = F.when(n <= SPREAD * CORE, F.array("_text")).otherwise(stretch)
+    chosen = able.where(draw < F.element_at(share, F.col("_lang")) * (1 << 30)).select("_lang", parts.alias("_parts"), draw.alias("_draw"))
+    got = chosen.orderBy("_draw", "_lang", F.col("_parts")[0]).limit(2 * rows).collect()
+    texts = [(r._lang, t.encode()) for r in got for t in r._parts]
+    x, size, many = cut([t for _, t in texts])
+    y = np.repeat([langs.index(k) for k, _ in texts], many)
     return langs, train(x, size, y, len(langs)) if len(langs) > 1 and len(x) else Network(len(langs))
 
 
