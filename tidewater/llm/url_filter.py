@@ -3,7 +3,8 @@
 Host: after the first `://` up to `/`, `?`, `#` or end, A-Z lower-cased; path: from there up to `?`, `#` or end. A null URL,
 or one without `://`, has both empty, fits no rule, and gets the model's verdict on empty fields. A rule fits its host and
 all subdomains of it where the path starts with the rule's path; the longest rule wins. Repeated rows each get a row, null
-ids stay null, an empty table gives an empty result, and other columns are ignored. Long URLs are scored whole.
+ids stay null, an empty table gives an empty result, and other columns are ignored, whatever their names. Rules of one length that
+fit alike: the later in order of their text. Long URLs are scored whole; a null or empty one scores by its empty fields.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ http://ads-track.test/click https://pixel.ads-track.invalid/en/31 http://www.tra
 https://www.win-prize.test/claim http://fast-loan.test/apply http://crypto-double.test/invest https://replica-watch.test/sale
 """.split()
 ALLOWED = """
-http://www.weather.test/today https://blog.garden.test/roses/3 http://m.theatre.invalid/en/12 https://thornton.test/history
-http://museum.test/open https://www.library.test/books/7 http://blog.tionary.invalid/de/77.html https://recipes.test/soup
-http://university.test/courses https://www.hospital.test/visit/9 http://blog.thread.invalid/fr/81 https://news-desk.test/world
-http://city-council.test/minutes https://www.thither.test/forum/5 http://m.thing.invalid/es/440 https://open-source.test/docs
-http://mathematics.test/proof https://www.thunder.test/maps/2 http://m.therapy.invalid/en/9 https://hand-made.test/crafts
-http://northern.test/rail https://www.then-and-there.test/en/31 http://tonation.test/music https://mountain.test/trail
-https://www.ththand.test/fr/501?page=2 http://blog.tionering.test/en/16 http://thinor.invalid/de/3#top https://m.thestion.test/es/18/
-https://www.ertion.test/fr/5 http://onheed.invalid/en/66.html https://blog.ationes.test/de/104 http://heting.test/es/7
+http://www.weather.test/today https://blog.garden.test/roses/3 http://m.theatre.invalid/en/12 https://history-club.test/castles
+http://museum.test/open https://www.library.test/books/7 http://blog.travel-notes.invalid/de/77.html https://recipes.test/soup
+http://university.test/courses https://www.hospital.test/visit/9 http://blog.knitting.invalid/fr/81 https://news-desk.test/world
+http://city-council.test/minutes https://www.cycling.test/forum/5 http://m.astronomy.invalid/es/440 https://open-source.test/docs
+http://mathematics.test/proof https://www.street-maps.test/maps/2 http://m.physics.invalid/en/9 https://hand-made.test/crafts
+http://railway.test/timetable https://www.choir.test/en/31 http://orchestra.test/music https://mountain.test/trail
+https://www.bakery.test/fr/501?page=2 http://blog.chess.test/en/16 http://archive.invalid/de/3#top https://m.nature.test/es/18/
+https://www.science.test/fr/5 http://school.invalid/en/66.html https://blog.painting.test/de/104 http://farming.test/es/7
 """.split()
 
 BITS, GRAMS = 18, (3, 4, 5)
@@ -61,7 +62,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as text, and its verdict; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # a longer rule overrides
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):  # a longer rule overrides
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rule, verdict
