@@ -38,7 +38,7 @@ from tidewater.sources.tables import read_spread
 DEPTH, TOP = 6, 2
 #: Bytes of text in a block and of the pieces that it is worked on in, buckets at least and at most, grams that are looked up at
 #: a time, and counts whose gamma function is in a table.
-BLOCK, PIECE, BUCKETS, HELD, TABLE = 1 << 25, 1 << 22, (256, 1 << 16), 1 << 16, 1 << 16
+BLOCK, PIECE, BUCKETS, HELD, TABLE = 1 << 25, 1 << 20, (256, 1 << 16), 1 << 16, 1 << 16
 TEXTS, GRAMS, WORDS = 0, 1, 2
 NODE, LOW, TOKENS, DISTINCT = 0, 1, 2, 3
 
