@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import textwrap
 
 import duckdb
 import pytest
@@ -241,19 +242,71 @@ def test_license_headers_files_inheritance(spark):
     assert (got["a/b/c/deep.py"].license, got["a/b/c/deep.py"].directory) == ("GPL-3.0", "a/b") and got["b/plain.py"].found == "none"
 
 
-def test_license_filter_is_lossless(spark):
-    """The prefilter by needed terms never drops a match that all templates would give."""
-    m = license_scan.Matcher({}, 1000, license_scan.TEMPLATES, 0.8)
+def licences_by_hand(files, least=0.8):
+    """license, found and directory of each path: every line, run and whole text against every template, df over all texts."""
+    cut = lambda t: [w.decode() for w in D.words((t or "").encode())]
+    df = collections.Counter(w for _, t in files for w in set(cut(t)))
+    idf = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1
+
+    def cosine(a, b):
+        x, y = ({w: c * idf(w) for w, c in collections.Counter(t).items()} for t in (a, b))
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    def best(texts):
+        scored = [(cosine(t, cut(of)), name) for name, of in license_scan.TEMPLATES for t in texts]
+        return max(scored, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]), default=(0, None))
+
+    own = {}
+    for path, text in files:
+        w = cut(text)
+        runs = [w[i : i + n] for n in {len(cut(t)) for _, t in license_scan.TEMPLATES} for i in range(len(w) - n + 1)]
+        whole, header = best([w]), best([cut(x) for x in (text or "").split("\n")] + runs)
+        score, name = whole if whole[0] >= least else header
+        own[path] = name if score >= least else None
+    out = {}
+    for path, _ in files:
+        name, found, directory = own[path], "header", None
+        is_file = path.rsplit("/", 1)[-1].split(".")[0].lower() in ("license", "licence", "copying", "notice", "unlicense")
+        up = path.rsplit("/", 1)[0] if "/" in path else ""
+        while name is None:
+            given = [own[p] for p, _ in files if own[p] and (p.rsplit("/", 1)[0] if "/" in p else "") == up and p.rsplit("/", 1)[-1].split(".")[0] in ("LICENSE", "COPYING")]
+            if given:
+                name, found, directory = given[0], "inherited", up
+            elif not up:
+                found = "none"
+                break
+            else:
+                up = up.rsplit("/", 1)[0] if "/" in up else ""
+        out[path] = (name, "file" if own[path] and is_file else found, directory)
+    return out
+
+
+def test_license_scan_matches_brute_force(spark):
     draw = random.Random(4)
-    for name, text in license_scan.TEMPLATES:
-        w = text.split()
-        for _ in range(20):
-            part = " ".join(x for x in w if draw.random() > 0.15) + " extra" * draw.randrange(2)
-            c = license_scan.terms(part.encode())
-            held, m.needed = m.needed, set(c) | {b"x"}
-            full = m.best(c)
-            m.needed = held
-            assert m.best(c)[0] == full[0]
+    prose = lambda n: " ".join(draw.choice("the a of value other word code thing software use license public notice source".split()) for _ in range(n))
+    files = [("a/LICENSE", license_scan.TEMPLATES[0][1]), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("c/LICENSE.txt", prose(30)), ("c/only.txt", license_scan.TEMPLATES[3][1])]
+    for i in range(60):
+        name, text = draw.choice(license_scan.TEMPLATES)
+        w = [x for x in text.split() if draw.random() > draw.choice([0, 0.1, 0.3])]
+        body = draw.choice([" ".join(w), prose(40) + " " + " ".join(w) + " " + prose(20), prose(20) + "\n# " + "\n# ".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) + "\n" + prose(50), prose(60)])
+        files.append((draw.choice(["", "a/", "a/b/", "a/b/c/", "c/", "c/d/"]) + f"f{i}.py", body))
+    files += [("a/none.py", None), ("a/b/empty.py", "")]
+    got = license_scan.scan_licenses(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id int, path string, text string")).collect()
+    assert {r.path: (r.license, r.found, r.directory) for r in got} == licences_by_hand(files)
+
+
+def test_license_of_one_text_is_its_own(spark):
+    """A text that is a licence, in a file of another name, licenses nothing else."""
+    files = [(1, "s/en/1.txt", "This work is licensed under the GNU General Public License, version 3."), (2, "s/en/2.txt", "something else"), (3, "s/en/3.txt", None)]
+    got = {r.doc_id: (r.license, r.found) for r in license_scan.scan_licenses(spark.createDataFrame(files, "doc_id int, path string, text string")).collect()}
+    assert got == {1: ("GPL-3.0", "header"), 2: (None, "none"), 3: (None, "none")}
+
+
+def test_whole_licence_files(spark):
+    files = [(i, f"d{i}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + "\n".join(textwrap.wrap(t, 70))) for i, (n, t) in enumerate(license_scan.TEMPLATES) if len(t) > 400]
+    got = license_scan.scan_licenses(spark.createDataFrame(files, "doc_id int, path string, text string")).collect()
+    assert {r.doc_id: (r.license, r.found) for r in got} == {i: (license_scan.TEMPLATES[i][0], "file") for i, _, _ in files} and len(files) == 4
 
 
 def test_rules(spark):

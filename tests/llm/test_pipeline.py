@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from tests.llm.test_exact import brute_components, queue_by_hand
 from tidewater.llm import decontamination as D
+from tidewater.llm.language_id import identify
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +31,17 @@ def test_language(stages):
     assert clean <= set(after.doc_id) <= {r.doc_id for r in before.itertuples() if any(c.isalpha() for c in r.text or "")}
 
 
+def test_language_rejects_by_score(spark, monkeypatch):
+    """What is kept are the documents with a language at SURE or more, whatever SURE is."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs).collect()}
+    for sure in (P.SURE, 0.97):
+        monkeypatch.setattr(P, "SURE", sure)
+        got = {r.doc_id: r.lang for r in P.language(spark, docs, SF).collect()}
+        assert got == {i: lang for i, (lang, score) in scores.items() if lang != "und" and score >= sure}
+    assert len(got) < len(scores)
+
+
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
     want, _ = brute_components(dict(zip(before.doc_id, before.text, strict=True)), size=5)
