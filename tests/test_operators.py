@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.functions.vectors import cosine, truncated
-from tidewater.operators import chunk, clues, events, index, report, search, state, timeline, voice
+from tidewater.operators import chunk, clues, evaluate, events, index, report, search, state, timeline, voice
 from tidewater.sources import corpus, session_files
-from tidewater.streaming import fold
+from tidewater.streaming import fold, windows
 
 
 def chunked(spark, text, **kw):
@@ -240,11 +240,155 @@ def test_model_array(spark):
 
 def test_text_scalars(spark):
     row = spark.sql("select '铺线以机房为。' as a, '以机房为重点' as b").select(T.join_text(F.col("a"), F.col("b")), T.is_complete(F.col("a")), T.digits(F.lit("三点五和A二")), T.tidy_spaces(F.lit("中文 ok,好,3"))).first()
-    assert row[0] == "铺线以机房为重点" and row[1] and row[2] == "3.5和A2" and row[3] == "中文ok,好,3"
+    assert row[0] == "铺线以机房为重点" and row[1] and row[2] == "3.5和A2" and row[3] == "中文ok，好,3"
     assert spark.range(1).select(T.explicit_replace(F.lit("ab b a"), [("a", "b"), ("b", "a")])).first()[0] == "ba a b"
     assert spark.range(1).select(T.tokenize_cjk(F.lit("软件ab部"))).first()[0] == ["软", "件", "ab", "部", "软件"]
 
 
+@pytest.mark.parametrize(("said", "want"), [("二点五", "2.5"), ("十二点五倍", "12.5倍"), ("pad九和小米十八fold", "pad9和小米18fold"), ("十核芯片", "10核芯片"), ("十八号", "十八号"), ("二十三k", "23k"), ("两点零五", "2.5"), ("十点", "十点"), ("一八K", "18K")])
+def test_spoken_numbers(spark, said, want):
+    assert spark.range(1).select(T.digits(F.lit(said))).first()[0] == want
+
+
+def test_tidy(spark):
+    cases = {"pad 9 好": "pad9好", "用 DeepSeek harness 写": "用DeepSeek harness写", "好.对": "好。对", "v1.0好": "v1.0好", "中文:3": "中文:3", "harness,让他们": "harness，让他们"}
+    rows = spark.createDataFrame(list(cases.items()), "t string, w string").select(T.tidy_spaces(F.col("t")).alias("g"), "w").collect()
+    assert all(r.g == r.w for r in rows), rows
+
+
+def test_outline_rules():
+    items = corpus.parse_outline(["会议议程", "一、上午九点半 签到（主持人：林浩然）", "第二项 遗留问题跟进 @李雷", "备注：提前准备", "# 下半场", "铺线进度，", "以及材料", "软件联调", "  缩进的说明", "- 14:00-15:30 审定方案", "———"])
+    got = [(i["topic"], i["slot"], i["speaker"], i["kind"], i["detail"]) for i in items]
+    assert got == [
+        ("签到", "上午九点半", "林浩然", "topic", "提前准备"), ("遗留问题跟进", "", "李雷", "followup", ""), ("铺线进度，", "", "", "topic", "以及材料 软件联调 缩进的说明"), ("审定方案", "14:00-15:30", "", "confirm", ""),
+    ]
+
+
+def test_wav_round_trip(spark):
+    data = corpus.wav_bytes([0.0, 0.5, -2.0, 1.0])
+    row = corpus.wav(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).first()
+    assert row.samples == pytest.approx([0, 0.5, -1, 1], abs=1e-4)
+
+
+def test_keywords_grounding(spark):
+    df = spark.sql("select array('ab', 'abc', 'zz', 'c d', 'b', '') as w, 'abc d ab' as t").select(clues.grounded(F.col("w"), F.col("t")), clues.grounded(F.col("w"), F.col("t"), 1))
+    assert df.first()[0] == ["abc", "c d"] and df.first()[1] == ["abc"]
+
+
+def test_hotword_correction(spark):
+    texts = spark.createDataFrame([(1, "the meetink room"), (2, "no change")], "id int, text string")
+    near = clues.sounding(clues.fuzzy_candidates(texts, spark.createDataFrame([("meeting",), ("qeetink",)], "target string"), ["id"]), least=0.7)
+    fixes = clues.pick_fixes(near, ["id"])
+    assert {r.id: r.text for r in clues.corrected(texts, fixes, ["id"]).collect()} == {1: "the meeting room", 2: "no change"}
+
+
+def test_edited_clues(spark):
+    rows = spark.createDataFrame([(1, "risk", "a", False, "s"), (2, "risk", "b", False, "s"), (3, "term", "c", False, "t")], "id int, kind string, text string, pinned boolean, seg_id string")
+    log = spark.createDataFrame([(1, "update", 1, "odd", None, True), (2, "update", 1, None, "A", None), (3, "remove", 2, None, None, None)], "seq int, op string, id int, kind string, text string, pinned boolean")
+    assert sorted((r.id, r.kind, r.text, r.pinned) for r in clues.edited(rows, log).collect()) == [(1, "term", "A", True), (3, "term", "c", False)]
+    assert clues.for_segment(rows, "t").count() == 1
+
+
+def test_linked_notes(spark):
+    notes = spark.createDataFrame([("n1", "Ann met Bob Lee. Ann left `Bob Lee`."), ("Ann", "Ann alone"), ("n3", None)], "note string, text string")
+    names = spark.createDataFrame([("Ann", "Ann"), ("Bob Lee", "Robert"), ("Zed", "Zed")], "name string, entity string")
+    assert {r.note: r.text for r in clues.linked(notes, names).collect()} == {"n1": "[[Ann]] met [[Robert|Bob Lee]]. Ann left `Bob Lee`.", "Ann": "Ann alone", "n3": None}
+
+
+def test_masks_upserts_and_throttles(spark):
+    rows = spark.createDataFrame([("s", 0.0, 5.0, False), ("s", 4.0, 8.0, False), ("s", 20.0, 24.0, False), ("s", 30.0, 31.0, True)], "k string, start double, end double, open boolean")
+    assert [(r.start, r.end) for r in timeline.coverage_mask(rows, ["k"], F.lit(9.5)).orderBy("start").collect()] == [(4.0, 8.0), (20.0, 24.0)]
+    assert [(r.start, r.end) for r in timeline.coverage_mask(rows, ["k"], F.lit(0.0), most=1).collect()] == [(20.0, 24.0)]
+    kinds = "k string, idx bigint, text string, start double, rev bigint"
+    old, new = spark.createDataFrame([("s", 0, "a", 0.0, 0), ("s", 1, "b", 5.0, 0)], kinds), spark.createDataFrame([("s", 1, "B", 5.0, 1), ("s", -1, "a", 0.02, 1), ("s", -1, "new", 9.0, 1), ("t", -1, "x", 0.0, 1)], kinds)
+    assert sorted((r.k, r.idx, r.text, r.rev) for r in timeline.upsert(old, new, ["k"]).collect()) == [("s", 0, "a", 1), ("s", 1, "B", 1), ("s", 2, "new", 1), ("t", 0, "x", 1)]
+    said = spark.createDataFrame([("s", 0, 1, "a", ""), ("s", 0, 2, "a", "p"), ("s", 0, 3, "a", "p"), ("s", 0, 4, "b", "p")], "k string, idx int, rev int, text string, spk string")
+    assert [r.action for r in timeline.republished(said, ["k"]).orderBy("rev").collect()] == ["analyse", "refresh", "none", "analyse"]
+    heard = spark.createDataFrame([("s", 7, 0.0, 1.0, 0.1), ("s", 3, 2.0, 3.0, 0.2), ("s", 7, 0.0, 1.5, 0.3)], "k string, idx bigint, start double, end double, at double")
+    assert sorted((r.idx, r.start) for r in timeline.rebased(heard, ["k"], 10, 100.0).collect()) == [(10, 100.0), (10, 100.0), (11, 102.0)]
+    live = spark.createDataFrame([("s", t, n) for t, n in [(0.0, 1), (0.5, 2), (1.0, 5), (1.4, 6), (2.3, 6)]], "k string, t double, n bigint")
+    assert sorted(r.t for r in timeline.throttled(live, ["k"], 1.2, 4).collect()) == [0.0, 1.0, 2.3]
+    assert tuple(spark.range(1).select(timeline.flat_time(F.lit([1500, 2500]))).first()[0]) == (1.5, 2.5)
+
+
+def test_evaluation(spark):
+    pairs = spark.createDataFrame([(1, "甲乙丙，丁", "甲丙丁"), (2, "", "x"), (3, "abc", "abc")], "i int, want string, got string")
+    assert {r.i: r.kept for r in evaluate.retention(pairs, ["i"]).collect()} == {1: 0.75, 2: 0.0, 3: 1.0}
+    rates = {r.i: (r.cer, r.substitutions, r.deletions, r.insertions) for r in evaluate.error_rates(pairs.toDF("i", "reference", "heard"), ["i"]).collect()}
+    assert rates == {1: (0.25, 0, 1, 0), 2: (0.0, 0, 0, 0), 3: (0.0, 0, 0, 0)}
+    truth = spark.createDataFrame([(0, "a"), (1, "b")], "query_id int, kb string")
+    hits = lambda *kb: spark.createDataFrame([(i, k, 1) for i, k in enumerate(kb)], "query_id int, kb string, rank int")
+    assert tuple(evaluate.own_first(hits("a", "a"), hits("a"), hits("a", "b"), truth).first()) == (2, 1, 1, 2)
+    fused = evaluate.with_prior(spark.createDataFrame([(0, "pub", "x", 1), (0, "own", "y", 1)], "query_id int, kb string, title string, rank int"), "pub", 0.0006)
+    assert [r.title for r in fused.orderBy("rank").collect()] == ["y", "x"]
+    of = spark.createDataFrame([(0, "f1", 0), (0, "f2", 1)], "query_id int, path string, rank0 int")
+    truth = spark.createDataFrame([(0, "f2"), (1, "f1")], "query_id int, path string")
+    assert tuple(evaluate.split_against_mixed(of, of.where("rank0 = 0"), truth).first()) == (2, 0.0, 0.5, 0.0, 0.0)
+    assert {r.query_id: r.right for r in evaluate.answers(of, truth).collect()} == {0: False, 1: False}
+
+
+@given(st.text(alphabet="abc", max_size=7), st.text(alphabet="abc", max_size=7))
+@settings(max_examples=200, deadline=None)
+def test_error_parts(a, b):
+    sub, gone, more = evaluate.error_parts(a, b)
+    best = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        best = [min([i if j == 0 else 10**9, *([best[j - 1] + (x != b[j - 1])] if j else []), best[j] + 1]) for j in range(len(b) + 1)]
+        for j in range(1, len(b) + 1):
+            best[j] = min(best[j], best[j - 1] + 1)
+    assert sub + gone + more == best[-1] and len(a) - gone + more == len(b)
+
+
+def test_corpus_life(spark):
+    def embed(rows):
+        return rows.select("id", F.array(F.length("text").cast("double")).alias("embedding"))
+
+    body = "Some words that are long enough to be worth indexing here. "
+    kinds = "path string, rel string, source string, mtime double, text string"
+    first = [("/r/a.md", "a.md", "s", 1.0, "# A\n" + body), ("/r/b.md", "b.md", "s", 1.0, "# B\n" + body * 2), ("/r/.git/c.md", ".git/c.md", "s", 1.0, body), ("/r/s.md", "s.md", "s", 1.0, "short")]
+    held = index.build(spark.createDataFrame(first, kinds), embed, "m@1")
+    assert {r.path for r in held.files.collect()} == {"/r/a.md", "/r/b.md"} and held.vectors.count() == held.chunks.count() == 2
+    later = [("/r/a.md", "a.md", "s", 2.0, "# A\n" + body), ("/r/d.md", "d.md", "s", 2.0, "# D\nanother text, delta, " + body), *first[2:]]
+    new, report = index.sync(held, spark.createDataFrame(later, kinds), "/r", embed, "m@1")
+    assert {r.status: r.n for r in report.collect()} == {"touched": 1, "added": 1, "removed": 1, "skipped": 2, "orphans": 0, "embedded": 1}
+    assert {r.path for r in new.chunks.collect()} == {"/r/a.md", "/r/d.md"} and new.vectors.count() == 2
+    q = spark.createDataFrame([(0, "delta")], "query_id bigint, query string")
+    assert search.bm25(new.postings, q).count() == 1 and search.bm25(index.delete_files(new, spark.createDataFrame([("/r/d.md",)], "path string")).postings, q).count() == 0
+    again, report = index.sync(new, spark.createDataFrame(later, kinds), "/r", embed, "other@2")
+    assert {r.status: r.n for r in report.collect()} == {"rebuilt": 2, "embedded": 2} and again.embedder == "other@2"
+    assert index.healed(new) is new and index.healed(new, "another").postings is not new.postings
+
+
+def test_reports_of_a_session(spark):
+    c = spark.createDataFrame([(1, "risk", "late", 10, 0.0), (2, "decision", "go", 11, 5.0)], "clue_id int, kind string, text string, seg_id int, t double")
+    seg = spark.createDataFrame([(10, "Ann", 61.0)], "seg_id int, speaker string, start double")
+    refs = spark.createDataFrame([(1, r, f"d{r}") for r in range(5)], "clue_id int, rank int, title string")
+    got = {r.clue_id: (r.place, r.line, r.refs) for r in report.assembled(c, seg, refs, ["decision", "risk"]).collect()}
+    assert got == {1: (2, "01:01 Ann：late", ["d0", "d1", "d2"]), 2: (1, "00:05 go", [])}
+    ent = spark.createDataFrame([("Ann", "person", ["An", "A"], "b"), ("Bob", "person", [], None)], "entity string, kind string, names array<string>, body string")
+    notes = spark.createDataFrame([("Ann",), ("An",)], "note string")
+    assert [(r.entity, r.spellings) for r in report.fragmented(notes, ent).collect()] == [("Ann", ["An", "Ann"])]
+    assert [(r.path, r.text) for r in report.note_files(ent, notes).collect()] == [("Bob.md", "---\ntype: person\naliases: []\n---\n\n# Bob\n\n\n")]
+
+
+def test_state_changes(spark):
+    rows = spark.createDataFrame([("ann", "x"), ("bob", "ann")], "name string, actor string")
+    assert sorted(map(tuple, state.renamed(rows, spark.createDataFrame([("ann", "Ann B")], "old string, new string"), ["name", "actor"]).select("name", "actor").collect())) == [("Ann B", "x"), ("bob", "Ann B")]
+    voices = spark.createDataFrame([("s1", "p1"), ("s2", "bob"), ("s3", "cay")], "spk string, value string")
+    assert [r.spk for r in state.removed(voices, spark.createDataFrame([("p1", "bob")], "id string, name string")).collect()] == ["s3"]
+    items = spark.createDataFrame([(1, "a", False, 3.0), (2, "a", True, 4.0), (3, "b", True, 5.0)], "id int, list string, done boolean, nw double")
+    done = state.marked(items, spark.createDataFrame([(1, True, 1), (1, False, 2), (2, False, 1)], "id int, done boolean, seq int"))
+    assert {r.id: r.done for r in done.collect()} == {1: False, 2: False, 3: True} and state.listed(items, "a", True).count() == 1
+    assert {r.id: (r.done, r.nw) for r in state.reset(items, "a").collect()} == {1: (False, 0.0), 2: (False, 0.0), 3: (True, 5.0)}
+
+
+def test_bounded_queue():
+    q = windows.Bounded(3)
+    q.put([1, 2])
+    q.put([3, 4, 5])
+    assert q.take() == [1, 2, 3] and q.dropped == 2 and q.take() == []
+
+
 def test_vectors(spark):
     row = spark.sql("select array(3.0D, 4.0D, 9.0D) as a, array(0.0D, 0.0D, 0.0D) as z, array(1.0D) as s").select(cosine(F.col("a"), F.col("a")), cosine(F.col("a"), F.col("z")), cosine(F.col("a"), F.col("s")), truncated(F.col("a"), 2)).first()
     assert row[0] == pytest.approx(1) and row[1] == row[2] == 0 and row[3] == pytest.approx([0.6, 0.8])
@@ -345,6 +489,37 @@ def test_voices(spark):
     assert got[0].person == "ann" and got[0].ok and not got[1].ok and got[1].person == "bob"
 
 
+def test_voices_without_prints_or_vectors(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [0.0, None]), (4, [0.6, 0.8])], "query_id bigint, emb array<double>")
+    p = spark.createDataFrame([("ann", [1.0, 0.0]), ("bob", None), ("cay", [0.0, 1.0]), (None, [1.0, 0.0]), ("dan", [1.0])], "person string, emb array<double>")
+    assert {(r.query_id, r.person) for r in voice.match(q, p).collect()} == {(0, "ann"), (4, "cay")}
+    assert voice.match(q, p.limit(0)).count() == voice.match(q.limit(0), p).count() == 0
+    c = voice.cluster(spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, None), (1, 3, [1.0]), (1, 4, [0.9, 0.1])], "s int, i int, v array<double>"), "s", "i", "v")
+    assert {(r.i, r.cluster) for r in c.collect()} == {(1, 0), (2, None), (3, None), (4, 0)}
+    assert voice.enroll(spark.createDataFrame([("a", 1, "m", None), ("a", 2, "m", [1.0])], "person string, seq bigint, meeting string, emb array<double>")).first().kept == [2]
+
+
+def test_matches_in_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    x, y, who = draw.standard_normal((40, 6)), draw.standard_normal((70, 6)), draw.integers(0, 9, 70)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id bigint, emb array<double>")
+    p = spark.createDataFrame([(f"p{w}", v.tolist()) for w, v in zip(who, y, strict=True)], "person string, emb array<double>")
+    cos = voice.unit(x) @ voice.unit(y).T
+    best = np.stack([cos[:, who == k].max(1) for k in range(9)], 1)
+    monkeypatch.setattr(voice, "NUMBERS", 60)
+    got = {r.query_id: r for r in voice.match(q, p).collect()}
+    assert all(got[i].person == f"p{best[i].argmax()}" and got[i].second == pytest.approx(max(0, np.sort(best[i])[-2]), abs=1e-6) for i in range(40))
+    monkeypatch.setattr(search, "VECTORS", 60)
+    hits = search.knn(p.withColumn("vec_id", F.monotonically_increasing_id()).withColumnRenamed("emb", "embedding"), q.withColumnRenamed("emb", "embedding"), 3).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).collect()
+    assert all(r.s == pytest.approx(np.sort(x[r.query_id] @ y.T)[::-1][:3], abs=1e-6) for r in hits) and len(hits) == 40
+
+
+def test_voice_commands(spark):
+    state = spark.createDataFrame([("s1", "ann"), ("s2", ""), ("s3", "bob")], "spk string, value string")
+    log = spark.createDataFrame([(1, "reassign", "s2", "ann"), (2, "deny", "s1", "bob"), (3, "unbind", "s3", ""), (4, "rename", "s4", "cay")], "seq int, op string, spk string, value string")
+    assert {r.spk: (r.value, r.denied, r.rev) for r in voice.commands(state, log).collect()} == {"s1": ("", ["bob"], 0), "s2": ("ann", [], 1), "s3": ("", [], 1), "s4": ("cay", [], 1)}
+
+
 def test_enroll(spark):
     rows = [("a", i, f"m{i}", v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])]
     r = voice.enroll(spark.createDataFrame(rows, "person string, seq bigint, meeting string, emb array<double>")).first()
@@ -401,8 +576,6 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     kinds = "session bigint, text string, start double, end double, window_end double"
     for i, s in enumerate(spans):
         spark.createDataFrame([s], kinds).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    from tidewater.streaming import windows
-
     log = windows.run_to_end(fold.fold_stream(session_files.replay(spark, str(tmp_path / "in"), kinds, per_trigger=10)), "update")
     live = timeline.latest(log, ["session", "idx"], ["revisions", "end"])
     key = lambda df: sorted((r.session, r.idx, r.text, r.start, r.end) for r in df.collect())
@@ -420,7 +593,7 @@ def docx_bytes(paras, rows):
 
 
 def test_docx_and_corpus(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(docx_bytes(["Head", "B" * 130], [["Date:", "2024-01-02"], ["1", "Ann", "Org"]]))
+    (tmp_path / "a.docx").write_bytes(docx_bytes(["Head", "B" * 130], [["日期", "2024-01-02", "会议地点", ""], ["会议地点", "线上"], ["职务", "x"], ["1", "Ann", "Org"]]))
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     (tmp_path / "n.md").write_bytes(b"# T\n" + b"word " * 20 + b"\xff")
     (tmp_path / ".git").mkdir()
@@ -428,7 +601,7 @@ def test_docx_and_corpus(spark, tmp_path):
     (tmp_path / "node_modules" / "x.md").write_text("skip me " * 10)
     (tmp_path / "s.md").write_text("short")
     got = {r.path.rsplit("/", 1)[-1]: r for r in corpus.gather(spark, str(tmp_path)).collect()}
-    assert got["a.docx"].text == "B" * 130 and got["a.docx"].metadata == {"Date": "2024-01-02"} and got["bad.docx"].text == ""
+    assert got["a.docx"].text == "B" * 130 and got["a.docx"].metadata == {"date": "2024-01-02", "place": "线上"} and got["bad.docx"].text == ""
     skips = {r.rel: r.skip for r in corpus.corpus(spark, str(tmp_path)).collect()}
     assert skips == {"n.md": None, "node_modules/x.md": "directory", "s.md": "short"}
 
@@ -437,7 +610,7 @@ def test_hotwords_outline(spark):
     lines = spark.createDataFrame([("a", 0, "mtg => meeting # c"), ("b", 0, "mtg -> Meeting"), ("b", 1, "# only"), ("b", 2, "x = y")], "file string, line int, value string")
     assert {tuple(r) for r in corpus.hotwords(lines).collect()} == {("mtg", "Meeting"), ("x", "y")}
     items = corpus.parse_outline(["一、09:00-09:30 项目进度汇报（张伟）", "   说明一行", "2. 讨论预算"])
-    assert [(i["topic"], i["slot"], i["speaker"], i["kind"], i["detail"]) for i in items] == [("项目进度汇报", "09:00-09:30", "张伟", "report", "说明一行"), ("讨论预算", "", "", "discussion", "")]
+    assert [(i["topic"], i["slot"], i["speaker"], i["kind"], i["detail"]) for i in items] == [("项目进度汇报", "09:00-09:30", "张伟", "report", "说明一行"), ("讨论预算", "", "", "topic", "")]
 
 
 def test_plan_round_trip(spark):

@@ -121,32 +121,53 @@ def explicit_replace(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
     Each wrong form first becomes a private character, so that later pairs don't see its replacement."""
     order = sorted(pairs, key=lambda p: (-len(p[0]), p[0]))
-    for i, (wrong, _) in enumerate(order):
-        text = F.replace(text, F.lit(wrong), F.lit(chr(0xE000 + i)))
-    for i, (_, right) in enumerate(order):
-        text = F.replace(text, F.lit(chr(0xE000 + i)), F.lit(right))
+    private = [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]
+    if len(order) > len(private):
+        raise ValueError(f"{len(order)} pairs; {len(private)} at most")
+    for (wrong, _), mark in zip(order, private, strict=False):
+        text = F.replace(text, F.lit(wrong), F.lit(chr(mark)))
+    for (_, right), mark in zip(order, private, strict=False):
+        text = F.replace(text, F.lit(chr(mark)), F.lit(right))
     return text
 
 
 def tidy_spaces(text: Column) -> Column:
-    """No space next to CJK; half-width marks become full-width right after CJK unless a digit follows."""
-    out = F.regexp_replace(text, rf"(?<={CJK})[ \t]+|[ \t]+(?={CJK})", "")
-    for half, full in ((",", "，"), (r"\?", "？"), ("!", "！"), (";", "；"), (":", "：")):
-        out = F.regexp_replace(out, rf"(?<={CJK}){half}(?!\d)", full)
+    """No space between a Latin letter and a digit, nor next to CJK; half-width marks next to CJK become full-width unless a
+    digit follows."""
+    out = F.regexp_replace(text, r"(?<=[A-Za-z])\s+(?=\d)", "")
+    out = F.regexp_replace(out, rf"(?<={CJK})\s+|\s+(?={CJK})", "")
+    for half, full in MARKS.items():
+        out = F.regexp_replace(out, rf"(?<={CJK})\{half}(?!\d)|\{half}(?={CJK})", full)
     return out
 
 
-_DIGITS = "零一二三四五六七八九"
+# Full-width marks, spoken digits, and units before which 十 is 10.
+MARKS = {",": "，", ".": "。", "?": "？", "!": "！", ";": "；", ":": "："}
+DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
+TEN_UNITS = "核|号|分|倍|条|款|台|个|人|年|月|日"
+
+
+def spoken_number(said: Column) -> Column:
+    """A spoken number as digits: tens with 十, else digit by digit."""
+    of = F.create_map(*[F.lit(x) for kv in DIGITS.items() for x in kv])
+    tens = F.coalesce(F.try_element_at(of, F.substring_index(said, "十", 1)), F.lit(1)) * 10 + F.coalesce(F.try_element_at(of, F.substr(said, F.instr(said, "十") + 1)), F.lit(0))
+    read = F.translate(said, "".join(DIGITS)[:-1], "".join(str(v) for v in DIGITS.values())[:-2]).cast("bigint")
+    return F.when(F.contains(said, F.lit("十")), tens.cast("bigint")).otherwise(read).cast("string")
 
 
 def digits(text: Column) -> Column:
-    """Spoken single digits of a decimal (X点Y) and those next to Latin letters, as Arabic digits."""
-    swap = lambda s: F.translate(s, _DIGITS, "0123456789")
-    spans = [rf"[{_DIGITS}]+点[{_DIGITS}]+", rf"(?<=[A-Za-z])[{_DIGITS}]+", rf"[{_DIGITS}]+(?=[A-Za-z])"]
-    for pattern in spans:
-        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        text = F.aggregate(F.array_distinct(found), text, lambda acc, s: F.replace(acc, s, F.replace(swap(s), F.lit("点"), F.lit("."))))
-    return text
+    """Spoken numbers as digits: decimals (X点Y), after and before Latin letters, and 十 before a unit."""
+    number, plain = f"[{''.join(DIGITS)}]+", f"[{''.join(k for k in DIGITS if k not in '两十')}]+"
+
+    def rewritten(text: Column, pattern: str, new) -> Column:
+        found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), lambda a, b: F.length(b) - F.length(a))
+        return F.aggregate(found, text, lambda acc, s: F.replace(acc, s, F.coalesce(new(s), s)))
+
+    first = lambda s, p: F.regexp_extract(s, p, 1)
+    text = rewritten(text, f"{number}点{plain}", lambda s: F.concat(spoken_number(F.substring_index(s, "点", 1)), F.lit("."), spoken_number(F.substring_index(s, "点", -1))))
+    text = rewritten(text, f"[A-Za-z]+{number}", lambda s: F.concat(first(s, "^([A-Za-z]+)"), spoken_number(F.regexp_replace(s, "^[A-Za-z]+", ""))))
+    text = rewritten(text, f"{number}[A-Za-z]", lambda s: F.concat(spoken_number(F.regexp_replace(s, "[A-Za-z]$", "")), first(s, "([A-Za-z])$")))
+    return F.regexp_replace(text, f"十(?=(?:{TEN_UNITS}))", "10")
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:

@@ -25,6 +25,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0), dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def usable(df: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vector has numbers only, as many as most vectors of the table have."""
+    width = df.where(F.size(vec) > 0).groupBy(F.size(vec).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").select(F.col("n").alias("_width")).limit(1)
+    return df.join(F.broadcast(width), F.size(vec) == F.col("_width")).where(~F.exists(vec, lambda x: x.isNull() | F.isnan(x))).drop("_width")
+
+
+def block_join(left: DataFrame, right: DataFrame, key: tuple[str, str], blocks: tuple[int, int], run, schema: str) -> DataFrame:
+    """run(left rows, right rows), Arrow tables in and out, for every block of one side with every block of the other, wherever in
+    the cluster. Each row goes to as many tasks as the other side has blocks."""
+    n, m = blocks
+    at = lambda k, parts: F.pmod(F.xxhash64(k), F.lit(parts)).cast("int")
+    a = left.withColumn("_i", at(key[0], n)).withColumn("_j", F.explode(F.lit(list(range(m)))))
+    b = right.withColumn("_j", at(key[1], m)).withColumn("_i", F.explode(F.lit(list(range(n)))))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(run, schema)
+
+
+def matrix(column) -> np.ndarray:
+    """Vectors of one length, as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def truncated(a: Column, width: int) -> Column:
     """The first numbers of a vector, at length 1 again."""
     cut = F.slice(a, 1, width)

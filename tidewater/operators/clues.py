@@ -221,6 +221,14 @@ def keywords(df: DataFrame, keys: list[str], text_col: str, stop: list[str], n:
     return counted.withColumn("rank", nth.cast("bigint")).where(F.col("rank") <= n)
 
 
+def grounded(words: Column, text: Column, most: int = 6) -> Column:
+    """Keywords that stand in the text and in no longer one that is kept, longest first, then by place and term; `most` of them."""
+    placed = F.transform(F.filter(F.array_distinct(words), lambda w: (w != "") & F.contains(text, w)), lambda w: F.struct((-F.length(w)).alias("n"), F.instr(text, w).alias("at"), w.alias("w")))
+    order = F.transform(F.array_sort(placed), lambda s: s["w"])
+    kept = F.aggregate(order, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda k: F.contains(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.slice(kept, 1, most)
+
+
 def keyword_scores(got: Column, gold: Column) -> Column:
     """struct(precision, recall, f1, noise); a match is containment either way."""
     near = lambda a, b: F.filter(a, lambda x: F.exists(b, lambda y: F.contains(x, y) | F.contains(y, x)))
@@ -249,23 +257,55 @@ def fuzzy_candidates(texts: DataFrame, targets: DataFrame, keys: list[str], text
     return near.where(F.col("distance") <= F.when(F.col("n") <= 3, 1).otherwise(2)).select(*keys, "at", "window", "target", "distance").distinct()
 
 
+def sounding(candidates: DataFrame, key=F.soundex, least: float = 0.85) -> DataFrame:
+    """Candidates that sound alike: 1 - edit distance of their phonetic keys over the longer key, at least `least`. key: Column to
+    Column; a language's own phonetic key goes in here."""
+    a, b = key(F.col("window")), key(F.col("target"))
+    score = 1 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
+    return candidates.withColumn("score", score).where(F.col("score") >= least)
+
+
 def pick_fixes(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Non-overlapping corrections of each text: the least distance first, then the longest, then the first."""
+    """Non-overlapping corrections of each text: the best score first where there is one, else the least distance; then the
+    longest, then the first."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.assign(_n=-f["window"].str.len()).sort_values(["distance", "_n", "at", "target"])
+        best = -f["score"] if "score" in f else f["distance"]
+        f = f.assign(_b=best, _n=-f["window"].str.len()).sort_values(["_b", "_n", "at", "target"])
         taken: list[tuple[int, int]] = []
         keep = []
         for i, at, n in zip(f.index, f["at"], -f["_n"], strict=True):
             if not any(at < y and x < at + n for x, y in taken):
                 taken.append((at, at + n))
                 keep.append(i)
-        return f.loc[keep].drop(columns="_n")
+        return f.loc[keep].drop(columns=["_b", "_n"])
 
     return candidates.groupBy(*keys).applyInPandas(fold, kinds)
 
 
+def corrected(texts: DataFrame, fixes: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """Texts with their corrections put in, from the last to the first, so that places hold."""
+    of = fixes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "target")), False).alias("_f"))
+    put = F.aggregate(F.col("_f"), F.col(text_col), lambda acc, f: F.concat(F.substr(acc, F.lit(1), f["at"] - 1), f["target"], F.substr(acc, f["at"] + F.length(f["target"]))))
+    return texts.join(of, keys, "left").withColumn(text_col, F.coalesce(put, F.col(text_col))).drop("_f")
+
+
+def for_segment(clues: DataFrame, seg_id) -> DataFrame:
+    return clues.where(F.col("seg_id") == seg_id)
+
+
+def edited(clues: DataFrame, log: DataFrame) -> DataFrame:
+    """Clues (id, kind, text, pinned, ...) after a log of edits (seq, op, id, kind, text, pinned): the last value that an update
+    gives counts, an unknown kind is a term, and what is removed goes."""
+    last = lambda c: F.max_by(c, F.struct(F.col(c).isNotNull(), "seq")).alias(f"_{c}")
+    per = log.groupBy("id").agg(F.bool_or(F.col("op") == "remove").alias("_gone"), *(last(c) for c in ("kind", "text", "pinned")))
+    rows = clues.join(per, "id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    kind = F.coalesce("_kind", "kind")
+    rows = rows.withColumn("kind", F.when(kind.isin(KINDS), kind).otherwise("term")).withColumn("text", F.coalesce("_text", "text")).withColumn("pinned", F.coalesce("_pinned", "pinned"))
+    return rows.select(*clues.columns)
+
+
 def hotword_targets(participants: DataFrame, clues: DataFrame) -> DataFrame:
     """Names and organisations of participants, and anchors of person, org and term clues, of 2 to 24 characters."""
     names = participants.select(F.explode(F.array("name", "org")).alias("target"))
@@ -298,3 +338,19 @@ def linkify(text: str, names: dict[str, str], own: str = "") -> str:
                 break
         text = "".join(parts)
     return text
+
+
+def linked(notes: DataFrame, names: DataFrame, note_col: str = "note", text_col: str = "text") -> DataFrame:
+    """Notes with their first mentions linked. names: (name, entity), of which only those go to a note that it mentions: by the
+    note's runs of letters and digits, so that neither side is held whole."""
+    words = lambda c: F.array_distinct(tokenize(c))
+    first = names.where("name != ''").withColumn("_w", F.get(words(F.col("name")), 0)).where("_w is not null")
+    inside = notes.select(note_col, text_col, F.explode(words(F.col(text_col))).alias("_w")).join(first, "_w").where(F.contains(text_col, F.col("name")))
+    mentioned = inside.groupBy(note_col).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", "entity")))).alias("_names"))
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, names: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([linkify(t or "", dict(n or {}), o) for t, n, o in zip(text, names, own, strict=True)], dtype=object)
+
+    rows = notes.join(mentioned, note_col, "left")
+    return rows.withColumn(text_col, F.when(F.col("_names").isNull(), F.col(text_col)).otherwise(put(F.col(text_col), F.col("_names"), F.col(note_col).cast("string")))).drop("_names")

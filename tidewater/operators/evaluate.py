@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import char_jaccard
+from tidewater.functions.text import char_jaccard, norm_key
+from tidewater.streaming.fold import common
+from tidewater.streaming.fold import similarity as text_similarity
 
 
 def hit_at(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
@@ -56,3 +59,81 @@ def branches(trace: DataFrame) -> DataFrame:
 def orphans(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """Index rows whose chunk is gone, counted."""
     return index.join(chunks.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def own_first(free: DataFrame, filtered: DataFrame, separate: DataFrame, truth: DataFrame) -> DataFrame:
+    """How often the first hit is the query's own corpus: in a mixed index, in it with a filter, and in an index of its own.
+    Each: query_id, kb, rank; truth: query_id, kb."""
+    out = truth.select("query_id", F.col("kb").alias("_own"))
+    for name, hits in (("free", free), ("filtered", filtered), ("separate", separate)):
+        first = hits.where("rank = 1").select("query_id", F.col("kb").alias(f"_{name}"))
+        out = out.join(first, "query_id", "left")
+    own = lambda n: F.count(F.when(F.col(f"_{n}") == F.col("_own"), 1)).alias(n)
+    return out.agg(F.count(F.lit(1)).alias("queries"), own("free"), own("filtered"), own("separate"))
+
+
+def with_prior(hits: DataFrame, public: str, prior: float, k: int = 3, constant: int = 60) -> DataFrame:
+    """Fuse corpora by rank, with a bonus for every hit that isn't the public corpus's. hits: query_id, kb, title, rank (from 1)."""
+    part = 1.0 / (constant + F.col("rank")) + F.when(F.col("kb") != public, F.lit(prior)).otherwise(0.0)
+    fused = hits.groupBy("query_id", "kb", "title").agg(F.round(F.sum(part), 9).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kb", "title"))
+    return fused.withColumn("rank", nth.cast("bigint")).where(F.col("rank") <= k)
+
+
+def split_against_mixed(split: DataFrame, mixed: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """Hits at k of two ways to hold the corpora, side by side."""
+    a, b = hit_at(split, truth, ks), hit_at(mixed, truth, ks)
+    return a.select("queries", *[F.col(f"hit_{k}").alias(f"split_{k}") for k in ks]).crossJoin(F.broadcast(b.select(*[F.col(f"hit_{k}").alias(f"mixed_{k}") for k in ks])))
+
+
+def answers(hits: DataFrame, truth: DataFrame) -> DataFrame:
+    """Whether the first hit of a question is the document that answers it. truth: query_id, path."""
+    first = hits.where("rank0 = 0").select("query_id", F.col("path").alias("found"))
+    return truth.join(first, "query_id", "left").select("query_id", "path", "found", F.coalesce(F.col("path") == F.col("found"), F.lit(False)).alias("right"))
+
+
+def retention(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, want, got -> the share of want's characters, marks aside, that are a common subsequence with got."""
+
+    @F.pandas_udf("double")
+    def share(want: pd.Series, got: pd.Series) -> pd.Series:
+        return pd.Series([common(w, g) / len(w) if w else 0.0 for w, g in zip(want, got, strict=True)], dtype="float64")
+
+    return pairs.select(*keys, share(norm_key(F.col("want")), norm_key(F.col("got"))).alias("kept"))
+
+
+def similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b -> 1 where one holds the other, else the common subsequence over the shorter one."""
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([text_similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return pairs.select(*keys, alike("a", "b").alias("similar"))
+
+
+def error_parts(reference: str, heard: str) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of a shortest edit, with as many substitutions as it can have."""
+    n = len(heard)
+    row = [(j, 0, 0, j) for j in range(n + 1)]  # cost, substitutions, deletions, insertions
+    for i, x in enumerate(reference, 1):
+        now = [(i, 0, i, 0)]
+        for j, y in enumerate(heard, 1):
+            (c, s, d, k), up, left = row[j - 1], row[j], now[-1]
+            diagonal = (c, s, d, k) if x == y else (c + 1, s + 1, d, k)
+            now.append(min(diagonal, (up[0] + 1, up[1], up[2] + 1, up[3]), (left[0] + 1, left[1], left[2], left[3] + 1), key=lambda v: (v[0], -v[1])))
+        row = now
+    return row[n][1:]
+
+
+def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, reference, heard -> cer, substitutions, deletions, insertions, marks and white space aside; an empty reference has no
+    errors."""
+
+    @F.pandas_udf("struct<substitutions: bigint, deletions: bigint, insertions: bigint>")
+    def parts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([error_parts(x, y) if x else (0, 0, 0) for x, y in zip(a, b, strict=True)], columns=["substitutions", "deletions", "insertions"])
+
+    a, b = norm_key(F.col("reference")), norm_key(F.col("heard"))
+    rows = pairs.select(*keys, F.length(a).alias("_n"), parts(a, b).alias("p"))
+    return rows.select(*keys, ((F.col("p.substitutions") + F.col("p.deletions") + F.col("p.insertions")) / F.greatest(F.lit(1), F.col("_n"))).alias("cer"), "p.*")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import content_hash, strip
+from tidewater.operators.chunk import chunks as chunked
+from tidewater.operators.search import Index, build_index
+from tidewater.sources.shared import stored
 
 # What is never worth indexing.
 SKIP_DIRS = [".obsidian", ".trash", ".git", ".svn", "__pycache__", "node_modules", "venv", ".venv", ".idea", ".vscode", "rag", ".plaud"]
@@ -33,7 +38,8 @@ def sync_rows(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     """path and status: added, removed, unchanged (same mtime and size), touched (same content) or updated."""
     a, b = stored.alias("a"), scanned.alias("b")
     same = (F.abs(F.col("a.mtime") - F.col("b.mtime")) < 1e-6) & (F.col("a.size") == F.col("b.size"))
-    status = F.when(F.col("a.path").isNull(), "added").when(F.col("b.path").isNull(), "removed").when(same, "unchanged").when(F.col("a.content_hash") == F.col("b.content_hash"), "touched").otherwise("updated")
+    alike = F.col("a.content_hash").eqNullSafe(F.col("b.content_hash"))
+    status = F.when(F.col("a.path").isNull(), "added").when(F.col("b.path").isNull(), "removed").when(same, "unchanged").when(alike, "touched").otherwise("updated")
     return a.join(b, F.col("a.path") == F.col("b.path"), "full_outer").select(F.coalesce("a.path", "b.path").alias("path"), status.alias("status"))
 
 
@@ -79,3 +85,75 @@ def stats(chunks: DataFrame, vectors: DataFrame, source: str = "source") -> Data
     """By source: files, chunks, and chunks with a vector."""
     joined = chunks.join(vectors.select("id").distinct().withColumn("has", F.lit(1)), "id", "left")
     return joined.groupBy(source).agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("chunks"), F.count("has").alias("vectors"))
+
+
+@dataclass
+class Corpus:
+    """What is kept of a corpus: files (path, mtime, size, content_hash), chunks (id, path, source, heading, text, start), vectors (id,
+    embedding), the postings, and the embedder's identity."""
+
+    files: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    postings: Index
+    embedder: str
+
+
+def chunk_rows(files: DataFrame) -> DataFrame:
+    """Chunks of files (path, source, text); a chunk's id is made of its path and place, so that it lasts."""
+    rows = chunked(files, "path").join(files.select("path", "source"), "path")
+    return rows.select(F.xxhash64("path", "seq").alias("id"), "path", "source", "heading", "text", "start")
+
+
+def embedded(chunks: DataFrame, vectors: DataFrame | None, embed, limit: int | None = None) -> DataFrame:
+    """vectors with those of chunks that had none, by `embed` (rows of id and text to id and embedding); `limit` chunks at most, by id."""
+    todo = chunks if vectors is None else missing(chunks, vectors)
+    todo = todo.orderBy("id").limit(limit) if limit else todo
+    fresh = embed(todo.select("id", "text"))
+    return fresh if vectors is None else vectors.unionByName(fresh)
+
+
+def build(files: DataFrame, embed, embedder: str) -> Corpus:
+    """All of a corpus, from files (path, rel, source, mtime, text) that aren't skipped and are worth indexing."""
+    kept = files.where(skip_reason(F.col("rel")).isNull() & worth_indexing(F.col("text")))
+    chunks = stored(chunk_rows(kept), "chunks")
+    return Corpus(stored(manifest(kept), "files"), chunks, stored(embedded(chunks, None, embed), "vectors"), build_index(chunks, "id"), embedder)
+
+
+def sync(corpus: Corpus, files: DataFrame, root: str, embed, embedder: str) -> tuple[Corpus, DataFrame]:
+    """The corpus after a scan of root, and the report: how many files were added, updated, touched, unchanged, removed and skipped,
+    chunks that had no file, and chunks embedded. Files outside root stay as they are. Another embedder means that all is built anew."""
+    if not usable_arm(corpus.embedder, embedder):
+        new = build(files, embed, embedder)
+        counted = new.files.agg(F.lit("rebuilt").alias("status"), F.count(F.lit(1)).alias("n"))
+        return new, counted.unionByName(new.vectors.agg(F.lit("embedded").alias("status"), F.count(F.lit(1)).alias("n")))
+    worth = skip_reason(F.col("rel")).isNull() & worth_indexing(F.col("text"))
+    kept = files.where(worth)
+    mine = F.startswith("path", F.lit(root.rstrip("/") + "/"))
+    scanned = stored(manifest(kept), "files")
+    rows = stored(sync_rows(corpus.files.where(mine), scanned), "sync")
+    known = corpus.files.where(~mine).unionByName(scanned)
+    orphan = corpus.chunks.join(known.select("path").distinct(), "path", "left_anti")
+    lost = orphan.join(rows.select("path"), "path", "left_anti")
+    left = corpus.chunks.join(orphan.select("id"), "id", "left_anti")
+    chunks = stored(reindexed(left, chunk_rows(kept.join(rows.where("status in ('added', 'updated')").select("path"), "path", "left_semi")), rows), "chunks")
+    gone = corpus.chunks.join(chunks.select("id", F.xxhash64("text").alias("_h")), (corpus.chunks["id"] == chunks["id"]) & (F.xxhash64(corpus.chunks["text"]) == F.col("_h")), "left_anti").select("id")
+    old = corpus.vectors.join(gone, "id", "left_anti").join(chunks.select("id"), "id", "left_semi")
+    vectors = stored(embedded(chunks, old, embed), "vectors")
+    one = lambda df, name: df.agg(F.lit(name).alias("status"), F.count(F.lit(1)).alias("n"))
+    report = sync_report(rows).unionByName(one(files.where(~F.coalesce(worth, F.lit(False))), "skipped")).unionByName(one(lost, "orphans")).unionByName(one(missing(chunks, old), "embedded"))
+    return Corpus(stored(known, "files"), chunks, vectors, build_index(chunks, "id"), embedder), report
+
+
+def delete_files(corpus: Corpus, paths: DataFrame) -> Corpus:
+    """Without some files: their chunks, vectors and postings go with them."""
+    files = stored(corpus.files.join(paths.select("path"), "path", "left_anti"), "files")
+    chunks = stored(corpus.chunks.join(paths.select("path"), "path", "left_anti"), "chunks")
+    return Corpus(files, chunks, stored(corpus.vectors.join(chunks.select("id"), "id", "left_semi"), "vectors"), build_index(chunks, "id"), corpus.embedder)
+
+
+def healed(corpus: Corpus, tokenizer: str = Index.tokenizer) -> Corpus:
+    """Postings are derived: they are made again where another tokenizer made them, or where there are none for chunks that there are."""
+    if corpus.postings.tokenizer == tokenizer and (not corpus.postings.postings.isEmpty() or corpus.chunks.isEmpty()):
+        return corpus
+    return Corpus(corpus.files, corpus.chunks, corpus.vectors, build_index(corpus.chunks, "id"), corpus.embedder)

@@ -59,3 +59,30 @@ def degrees(links: DataFrame, known: DataFrame) -> DataFrame:
 
 def transcript(segments: DataFrame) -> DataFrame:
     return segments.select("*", F.format_string("[%7.2f] %s：%s", F.col("start").cast("double"), F.col("speaker"), F.col("text")).alias("line"))
+
+
+def assembled(clues: DataFrame, segments: DataFrame, refs: DataFrame, order: list[str], most: int = 3) -> DataFrame:
+    """Lines of minutes: clues (clue_id, kind, text, seg_id, t) in order of kinds, with the speaker and clock of their segment and
+    up to `most` references (clue_id, rank, title)."""
+    nth = F.row_number().over(Window.partitionBy("clue_id").orderBy("rank"))
+    cited = refs.withColumn("_n", nth).where(F.col("_n") <= most).groupBy("clue_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "title"))), lambda r: r["title"]).alias("refs"))
+    rows = clues.join(segments.select("seg_id", "speaker", "start"), "seg_id", "left").join(cited, "clue_id", "left")
+    place = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col("kind")), F.lit(0)), F.lit(len(order) + 1))
+    line = F.concat(clock(F.coalesce("start", "t", F.lit(0.0))), F.lit(" "), F.when(F.coalesce("speaker", F.lit("")) != "", F.concat("speaker", F.lit("："))).otherwise(""), "text")
+    return rows.select("clue_id", "kind", place.cast("bigint").alias("place"), line.alias("line"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
+
+
+def fragmented(notes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities (entity, names) that links spell in several ways that each are a note of their own: entity, spellings."""
+    spelled = entities.select("entity", F.explode(F.array_distinct(F.concat(F.array("entity"), "names"))).alias("name"))
+    own = spelled.join(notes.select(F.col("note").alias("name")).distinct(), "name", "left_semi")
+    per = own.groupBy("entity").agg(F.array_sort(F.collect_set("name")).alias("spellings"))
+    return per.where(F.size("spellings") > 1)
+
+
+def note_files(entities: DataFrame, existing: DataFrame) -> DataFrame:
+    """path and text of a note for each entity (entity, kind, names, body) that has none: front matter, title, body."""
+    new = entities.join(existing.select(F.col("note").alias("entity")), "entity", "left_anti")
+    quoted = F.array_join(F.transform("names", lambda n: F.concat(F.lit('"'), F.replace(n, F.lit('"'), F.lit("'")), F.lit('"'))), ", ")
+    text = F.concat(F.lit("---\ntype: "), "kind", F.lit("\naliases: ["), quoted, F.lit("]\n---\n\n# "), "entity", F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
+    return new.select(F.concat("entity", F.lit(".md")).alias("path"), text.alias("text"))

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import n_tokens, tokenize
+from tidewater.functions.vectors import block_join, matrix, usable
 from tidewater.sources.shared import fresh_path, stored
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Numbers of the query vectors that are broadcast at once; more queries run in blocks of so many.
+#: Numbers of the query vectors that are broadcast at most, and of a block where there are more.
 VECTORS = 1 << 22
 
 
@@ -77,51 +78,42 @@ def top(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, id, score: the k largest dot products for each query, exact.
-
-    Each task multiplies its rows with a block of query vectors and hands on its k best a query, so what is shuffled is
-    tasks * queries * k rows and never rows * queries."""
-    out = None
-    for ids, matrix in blocks(queries, vec_col):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, shared=shared):
-            ids, matrix = shared.value
-            best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), "i8")
-            for batch in batches:
-                vec = batch.column("v")
-                keep = np.array([v is not None and len(v) == matrix.shape[1] for v in vec.to_pylist()]) if vec.null_count or len(vec.flatten()) != len(vec) * matrix.shape[1] else None
-                rows = batch.column("id").to_numpy()
-                if keep is not None:
-                    vec, rows = vec.filter(pa.array(keep)), rows[keep]
-                x = vec.flatten().to_numpy().astype("f8").reshape(-1, matrix.shape[1])
-                s = np.concatenate([best_s, matrix @ x.T], 1)
-                i = np.concatenate([best_i, np.broadcast_to(rows, (len(ids), len(rows)))], 1)
-                order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            many = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, many)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
-
-        part = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "query_id bigint, id bigint, score double").withColumn("score", F.round("score", 9))
-        out = part if out is None else out.union(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank0 bigint")
-    return top(out, k)
-
-
-def blocks(queries: DataFrame, vec_col: str):
-    """Query vectors in blocks of VECTORS numbers, null and odd ones left out. A block at a time is in the driver."""
-    width = queries.agg(F.mode(F.size(vec_col)).alias("n")).first().n if queries.take(1) else None
-    ids, rows, held = [], [], 0
-    for r in queries.select(F.col("query_id").cast("bigint"), vec_col).where(F.col(vec_col).isNotNull() & (F.size(vec_col) == F.lit(width)) & ~F.exists(vec_col, lambda x: x.isNull())).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        held += len(r[1])
-        if held >= VECTORS:
-            yield np.array(ids), np.array(rows, "f8")
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows, "f8")
+    """query_id, id, score: the k largest dot products for each query, exact. Vectors that are null, odd or hold nulls take no part.
+
+    Query vectors of VECTORS numbers at most are broadcast, and each task hands on its k best a query: tasks * queries * k rows are
+    shuffled, never rows * queries. More queries meet the vectors block by block, in the cluster."""
+    rows = usable(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")), "v")
+    asked = usable(queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col(vec_col).alias("q")), "q")
+    numbers = lambda df, c: int(df.agg(F.sum(F.size(c))).first()[0] or 0)
+    held, schema = numbers(asked, "q"), "query_id bigint, id bigint, score double"
+
+    def best(ids: np.ndarray, q: np.ndarray, parts) -> pa.RecordBatch:
+        """The k best for each query over parts (row ids, vectors)."""
+        best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), "i8")
+        for at, x in parts:
+            if not len(at) or x.shape[1] != q.shape[1]:
+                continue
+            s = np.concatenate([best_s, q @ x.T], 1)
+            i = np.concatenate([best_i, np.broadcast_to(at, (len(ids), len(at)))], 1)
+            order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
+
+    if held <= VECTORS:
+        got = asked.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), matrix(got["q"])))
+
+        def scan(batches):
+            yield best(*shared.value, ((b.column("id").to_numpy(), matrix(b.column("v"))) for b in batches))
+
+        part = rows.mapInArrow(scan, schema)
+    else:
+
+        def pair(some: pa.Table, of: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([best(some["query_id"].to_numpy(), matrix(some["q"]), [(of["id"].to_numpy(), matrix(of["v"]))])])
+
+        part = block_join(asked, rows, ("query_id", "id"), (-(-held // VECTORS), -(-numbers(rows, "v") // VECTORS)), pair, schema)
+    return top(part.withColumn("score", F.round("score", 9)), k)
 
 
 def pool(k: int, filtered: bool) -> int:

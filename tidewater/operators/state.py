@@ -18,6 +18,20 @@ def participants(commands: DataFrame) -> DataFrame:
     return latest(commands, ["name"], ["seq"]).where("op != 'remove'").drop("op", "seq")
 
 
+def renamed(rows: DataFrame, renames: DataFrame, columns: list[str]) -> DataFrame:
+    """A participant's new name (old, new) wherever the old one stands."""
+    for c in columns:
+        of = renames.select(F.col("old").alias(c), F.col("new").alias("_new"))
+        rows = rows.join(of, c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return rows
+
+
+def removed(voice_names: DataFrame, gone: DataFrame) -> DataFrame:
+    """Voices (spk, value) after participants (id, name) went: those bound to one of them are unbound."""
+    values = gone.select(F.explode(F.array("id", "name")).alias("value")).where("value is not null")
+    return voice_names.join(values.distinct(), "value", "left_anti").select("spk", "value")
+
+
 def by_name(people: DataFrame, query: str) -> DataFrame:
     """The first person, in order, whose name is the query or contains it."""
     return people.where((F.col("name") == query) | F.contains("name", F.lit(query))).orderBy("ord").limit(1)
@@ -56,6 +70,28 @@ def reorder(items: DataFrame, order: DataFrame) -> DataFrame:
     return items.join(order, "id", "left").withColumn("ord", F.row_number().over(w) - 1).drop("pos")
 
 
+def listed(items: DataFrame, name: str, done: bool | None = None) -> DataFrame:
+    """One list's items, or those of it that are done or aren't."""
+    rows = items.where(F.col("list") == name)
+    return rows if done is None else rows.where(F.col("done") == done)
+
+
+def marked(items: DataFrame, marks: DataFrame) -> DataFrame:
+    """Items after marks (id, done, seq): the last counts."""
+    last = latest(marks, ["id"], ["seq"]).select("id", F.col("done").alias("_done"))
+    return items.join(last, "id", "left").withColumn("done", F.coalesce("_done", "done")).drop("_done")
+
+
+def reset(items: DataFrame, name: str) -> DataFrame:
+    """One list as if nothing had been done, and in its own layout."""
+    mine = F.col("list") == name
+    out = items.withColumn("done", F.when(mine, F.lit(False)).otherwise(F.col("done")))
+    for c in ("nx", "ny", "nw", "nz"):
+        if c in items.columns:
+            out = out.withColumn(c, F.when(mine, F.lit(0.0)).otherwise(F.col(c)))
+    return out
+
+
 def snapshot(df: DataFrame) -> DataFrame:
     """The public columns."""
     return df.select(*[c for c in df.columns if not c.startswith(PRIVATE)])

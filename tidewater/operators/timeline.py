@@ -14,6 +14,13 @@ def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str
     return df.withColumn("_high", high).withColumn("_isle", isle).groupBy(*by, "_isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_isle")
 
 
+def coverage_mask(rows: DataFrame, by: list[str], upto: Column, margin: float = 2.0, most: int = 400) -> DataFrame:
+    """Time that settled rows have taken: those that end after `upto` less a margin, merged; the last `most` of each key."""
+    taken = merge_intervals(rows.where(~F.col("open") & (F.col("end") > upto - margin)), by)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("start")))
+    return taken.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
+
+
 def clip(spans: DataFrame, mask: DataFrame, by: list[str], key: str, least: float = 0.2) -> DataFrame:
     """End each span at the first interval of the mask that begins inside it; drop it if `least` or less remains.
 
@@ -50,6 +57,51 @@ def latest(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     return df.withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
+def upsert(stored: DataFrame, fresh: DataFrame, by: list[str], near: float = 0.05) -> DataFrame:
+    """Rows by idx: the newest (rev) of each stays. A fresh row without an idx (below 0) is a stored one of the same text that
+    begins within `near` seconds, or comes after all others."""
+    blind = fresh.where("idx < 0").withColumn("_id", F.monotonically_increasing_id())
+    on = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*by, "text")] + [F.abs(F.col("f.start") - F.col("s.start")) < near]
+    met = blind.alias("f").join(stored.alias("s"), on).groupBy("f._id").agg(F.min("s.idx").alias("_idx"))
+    placed = blind.join(met, "_id", "left")
+    high = stored.select(*by, "idx").union(fresh.where("idx >= 0").select(*by, "idx")).groupBy(*by).agg(F.max("idx").alias("_high"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_idx").isNotNull().cast("int"), "start", "_id"))
+    placed = placed.join(high, by, "left").withColumn("idx", F.coalesce("_idx", F.coalesce("_high", F.lit(-1)) + nth).cast(stored.schema["idx"].dataType))
+    every = stored.unionByName(fresh.where("idx >= 0")).unionByName(placed.select(*stored.columns))
+    return latest(every, [*by, "idx"], ["rev"])
+
+
+def republished(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What a re-publish asks for, by idx in order of rev: analysis where the text is new, a refresh where only the speaker is."""
+    w = Window.partitionBy(*by, "idx").orderBy("rev")
+    same = F.col("text").eqNullSafe(F.lag("text").over(w)) & F.lag("rev").over(w).isNotNull()
+    spoke = (F.coalesce("spk", F.lit("")) != "") & ~F.col("spk").eqNullSafe(F.lag("spk").over(w))
+    return rows.withColumn("action", F.when(~same, "analyse").when(spoke, "refresh").otherwise("none"))
+
+
+def rebased(rows: DataFrame, by: list[str], base: int = 0, offset: float = 0.0) -> DataFrame:
+    """A source's own idx, in the order in which each is first met (`at`), as numbers from base on; times later by an offset."""
+    first = rows.groupBy(*by, "idx").agg(F.min("at").alias("_at"))
+    seed = first.withColumn("_new", F.row_number().over(Window.partitionBy(*by).orderBy("_at", "idx")) - 1 + base).drop("_at")
+    return rows.join(seed, [*by, "idx"]).withColumn("idx", F.col("_new").cast("bigint")).withColumn("start", F.col("start") + offset).withColumn("end", F.col("end") + offset).drop("_new")
+
+
+def throttled(rows: DataFrame, by: list[str], seconds: float, chars: int) -> DataFrame:
+    """Which rows (t, n: characters so far) of a live text trigger a pass: the first, and each that comes `seconds` after the last
+    that did, or `chars` longer. Sequential within a key, by a fold over its rows."""
+    step = lambda acc, r: F.when(
+        acc["t"].isNull() | (r["t"] - acc["t"] >= seconds) | (r["n"] - acc["n"] >= chars),
+        F.struct(r["t"].alias("t"), r["n"].alias("n"), F.concat(acc["hits"], F.array(r["t"])).alias("hits")),
+    ).otherwise(acc)
+    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<double>").alias("hits"))
+    each = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("n").cast("bigint").alias("n")))).alias("_r"))
+    return each.select(*by, F.explode(F.aggregate("_r", zero, step, lambda acc: acc["hits"])).alias("t"))
+
+
+#: Parameters of the second recogniser's end points, for endpoints().
+FRAMES = {"silence": 1.2, "short": 1.2, "longest": 20.0}
+
+
 def settled(df: DataFrame, now: Column, after: float = 5.0, most: int = 4, tries: int = 3) -> DataFrame:
     """Rows unchanged for `after` seconds, not yet analysed and tried fewer than `tries` times; the oldest `most`."""
     ready = df.where((now - F.col("changed_at") >= after) & ~F.col("analysed") & (F.col("tries") < tries))
@@ -99,6 +151,12 @@ def apportion(df: DataFrame, by: list[str], order: str, text: str = "text", star
     return df.withColumn("p_start", F.col(start) + span * (upto - F.length(text)) / total).withColumn("p_end", F.col(start) + span * upto / total)
 
 
+def flat_time(pair: Column) -> Column:
+    """Milliseconds [s, e] -> struct(start, end) in seconds; 0 for what isn't a pair."""
+    at = lambda i: F.when(F.size(pair) == 2, F.get(pair, i) / 1000.0).otherwise(0.0)
+    return F.struct(at(0).alias("start"), at(1).alias("end"))
+
+
 def span_time(stamps: Column) -> Column:
     """Milliseconds [[s, e], ...] -> struct(start, end) in seconds: first start, last end; 0 for none."""
     ok = F.size(stamps) > 0

@@ -4,59 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.vectors import block_join, matrix, usable
+
 MERGE, SCORE, MARGIN, SAME, KEEP = 0.55, 0.60, 0.10, 0.92, 8
+#: Numbers of a block of vectors.
+NUMBERS = 1 << 22
 
 
 def match(queries: DataFrame, prints: DataFrame, least: float = SCORE, margin: float = MARGIN) -> DataFrame:
     """queries (query_id, emb), prints (person, emb) -> query_id, person, score, second, ok.
 
-    Per person the largest cosine, floored at 0; the best person, and the margin to the second. Ties go to the larger
-    name. Each task holds a block of the prints as one matrix, and hands on its best per person."""
-    out = None
-    for names, matrix in print_blocks(prints):
-        shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(frames, shared=shared):
-            names, matrix = shared.value
-            people, which = np.unique(names, return_inverse=True)
+    Per person the largest cosine, floored at 0; the best person, and the margin to the second. Ties go to the larger name.
+    Vectors that are null, odd or hold nulls take no part, and a query of one has no row; without prints there are none. Blocks of
+    queries meet blocks of prints in the cluster; of each pair the two best persons go on, which hold the two best of all."""
+    asked, known = usable(queries.select("query_id", "emb"), "emb"), usable(prints.select("person", F.col("emb").alias("print")).where("person is not null"), "print")
+    size = lambda df, c: -(-int(df.agg(F.sum(F.size(c))).first()[0] or 0) // NUMBERS)
+    blocks = max(size(asked, "emb"), queries.sparkSession.sparkContext.defaultParallelism), max(size(known, "print"), 1)
+
+    def pair(some: pa.Table, of: pa.Table) -> pa.Table:
+        x, y = unit(matrix(some["emb"])), unit(matrix(of["print"]))
+        people, which = np.unique(np.array(of["person"].to_pylist(), object).astype(str), return_inverse=True)
+        out: dict[str, list] = {"query_id": [], "person": [], "score": []}
+        if len(x) and len(y) and x.shape[1] == y.shape[1]:
             order = np.argsort(which, kind="stable")
             first = np.searchsorted(which[order], np.arange(len(people)))
-            for f in frames:
-                if not len(f):
-                    continue
-                x = np.stack([np.asarray(v, "f8") for v in f["emb"]])
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                best = np.maximum.reduceat((x @ matrix.T)[:, order], first, axis=1)
-                best = np.maximum(np.round(best, 9), 0)
-                rank = np.stack([np.lexsort((people, b))[::-1][:2] for b in best])
-                rows = [(q, people[k], b[k]) for q, b, r in zip(f["query_id"], best, rank, strict=True) for k in r]
-                yield pd.DataFrame(rows, columns=["query_id", "person", "score"])
-
-        part = queries.mapInPandas(run, "query_id bigint, person string, score double")
-        out = part if out is None else out.union(part)
-    best = out.groupBy("query_id", "person").agg(F.max("score").alias("score"))
+            best = np.maximum(np.round(np.maximum.reduceat((x @ y.T)[:, order], first, axis=1), 9), 0)
+            for q, b in zip(some["query_id"].to_pylist(), best, strict=True):
+                for k in np.lexsort((people, b))[::-1][:2]:
+                    for c, v in zip(out, (q, people[k], b[k]), strict=True):
+                        out[c].append(v)
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "person": pa.array(out["person"], pa.string()), "score": pa.array(out["score"], pa.float64())})
+
+    pairs = block_join(asked.withColumn("query_id", F.col("query_id").cast("bigint")), known, ("query_id", "print"), blocks, pair, "query_id bigint, person string, score double")
+    best = pairs.groupBy("query_id", "person").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("person"))
     two = best.withColumn("n", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("n = 1").drop("n")
     return two.withColumn("ok", (F.col("score") >= least) & (F.col("score") - F.col("second") >= margin))
 
 
-def print_blocks(prints: DataFrame, size: int = 1 << 22):
-    """Voiceprints as unit vectors in blocks of so many numbers."""
-    names, rows, held = [], [], 0
-    for r in prints.select("person", "emb").toLocalIterator():
-        names.append(r[0])
-        rows.append(r[1])
-        held += len(r[1])
-        if held >= size:
-            yield np.array(names), unit(np.array(rows, "f8"))
-            names, rows, held = [], [], 0
-    if names:
-        yield np.array(names), unit(np.array(rows, "f8"))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -82,7 +71,7 @@ def enroll(rows: DataFrame, same: float = SAME, keep: int = KEEP, meetings: int
             met = [*(m for m in met if m != meeting), meeting][-meetings:]
         return pd.DataFrame([(f["person"].iloc[0], len(f), [s for s, _ in held], met)], columns=["person", "count", "kept", "meetings"])
 
-    return rows.groupBy("person").applyInPandas(fold, schema)
+    return usable(rows, "emb").groupBy("person").applyInPandas(fold, schema)
 
 
 def near_duplicates(rows: DataFrame, same: float = SAME, id_col: str = "vec_id", by: str = "label", vec: str = "embedding") -> DataFrame:
@@ -97,7 +86,7 @@ def near_duplicates(rows: DataFrame, same: float = SAME, id_col: str = "vec_id",
         return pd.DataFrame({"id": f["id"][hit], "p": f["p"][hit]})
 
     part = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("bigint").alias("p"), F.col(vec).alias("v"))
-    return part.groupBy("p").applyInPandas(fold, "id bigint, p bigint").select(F.col("id").alias(id_col), F.col("p").alias(by))
+    return usable(part, "v").groupBy("p").applyInPandas(fold, "id bigint, p bigint").select(F.col("id").alias(id_col), F.col("p").alias(by))
 
 
 def assign(vectors: np.ndarray, merge: float = MERGE) -> list[int]:
@@ -176,14 +165,16 @@ def inherit_labels(old: list[str], new: list[int]) -> list[str]:
 
 
 def cluster(rows: DataFrame, by: str, id_col: str, vec: str, online: bool = False) -> DataFrame:
-    """by, id, cluster: speakers of each session, in order of id. A session is one meeting; it is clustered as a whole."""
+    """by, id, cluster: speakers of each session, in order of id. A session is one meeting; it is clustered as a whole, so that its
+    vectors are in one task. Rows without a usable vector have a null cluster."""
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
         x = np.stack([np.asarray(v, "f8") for v in f["v"]])
         return pd.DataFrame({"k": f["k"], "id": f["id"], "cluster": assign(unit(x)) if online else refit(x)})
 
     part = rows.select(F.col(by).cast("bigint").alias("k"), F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("v"))
-    return part.groupBy("k").applyInPandas(fold, "k bigint, id bigint, cluster bigint").select(F.col("k").alias(by), F.col("id").alias(id_col), "cluster")
+    done = usable(part, "v").groupBy("k").applyInPandas(fold, "k bigint, id bigint, cluster bigint")
+    return part.select("k", "id").join(done, ["k", "id"], "left").select(F.col("k").alias(by), F.col("id").alias(id_col), "cluster")
 
 
 def active_speaker(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -208,6 +199,25 @@ def bind(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(names.select("spk", F.col("name").alias("_name")), "spk", "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name")
 
 
+def commands(state: DataFrame, log: DataFrame) -> DataFrame:
+    """Names of clusters (spk, value, denied, rev) after a log of commands (seq, op, spk, value): rename and reassign give a cluster a
+    value, which no other keeps; unbind takes it away; deny rules a value out, and doesn't count as a revision."""
+    first = state.select("spk", F.lit(-1).cast("bigint").alias("seq"), F.lit("rename").alias("op"), "value").where("value != ''")
+    all_ = first.unionByName(log.select("spk", F.col("seq").cast("bigint").alias("seq"), "op", "value"))
+    named = all_.where(F.col("op").isin("rename", "reassign", "unbind"))
+    last = named.withColumn("_n", F.row_number().over(Window.partitionBy("spk").orderBy(F.desc("seq")))).where("_n = 1")
+    owner = last.where("op != 'unbind'").withColumn("_o", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("seq"), "spk"))).where("_o = 1").select("spk", "value")
+    denied = all_.where("op = 'deny'").groupBy("spk").agg(F.array_sort(F.collect_set("value")).alias("denied"))
+    rev = log.where("op != 'deny'").groupBy("spk").agg(F.count(F.lit(1)).alias("rev"))
+    every = all_.select("spk").distinct()
+    return every.join(owner, "spk", "left").join(denied, "spk", "left").join(rev, "spk", "left").select("spk", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("denied", F.array().cast("array<string>")).alias("denied"), F.coalesce("rev", F.lit(0)).alias("rev"))
+
+
+def changed_labels(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose cluster a refit has changed: what has to be sent again."""
+    return after.alias("a").join(before.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(~F.col("a.spk").eqNullSafe(F.col("b.spk"))).select("a.*")
+
+
 def to_enroll(rows: DataFrame, most: int = KEEP, seconds: float = 24.0) -> DataFrame:
     """Each cluster's longest rows whose vector isn't weak: up to `most`, stopping once `seconds` are reached."""
     w = Window.partitionBy("spk").orderBy(F.desc("duration"), "idx")

@@ -6,6 +6,7 @@ import io
 import re
 import wave
 import zipfile
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import numpy as np
@@ -68,26 +69,33 @@ def tables(root) -> list[list[str]]:
     return rows
 
 
+# Keys of a table's metadata, and what lines of metadata begin with.
+METADATA_KEYS = {"日期": "date", "时间": "time", "会议类型": "kind", "会议内容": "topic", "会议地点": "place", "提交版本": "version"}
+METADATA_LINE = re.compile(r"^(?:提交版本|提交日期|会议信息|会议类型|会议内容|会议地点|日期|时间|记录单位|序号|与会人员|职务|单位|备注|数据来源)\b")
+
+
 def table_metadata(rows: list[list[str]]) -> tuple[dict[str, str], list[tuple[str, str]]]:
-    """Keys and values of rows with 2 or 4 cells, the first value of a key; numbered rows of 3 cells or more are attendees."""
+    """What follows a known key in its row, the first that isn't empty; numbered rows of 3 cells or more are attendees."""
+    pairs = ((METADATA_KEYS[k], v.strip()) for cells in rows for k, v in keyed(cells))
     meta: dict[str, str] = {}
-    people = []
-    for cells in rows:
-        if len(cells) >= 3 and cells[0].isdigit():
-            people.append((cells[1], cells[-1]))
-        elif len(cells) in (2, 4):
-            for k, v in zip(cells[::2], cells[1::2], strict=True):
-                meta.setdefault(k.rstrip(":："), v)
-    return meta, people
+    for k, v in pairs:
+        meta[k] = meta.get(k) or v
+    return meta, [(cells[1], cells[-1]) for cells in rows if len(cells) >= 3 and re.fullmatch(r"\d+", cells[0])]
+
+
+def keyed(cells: list[str]):
+    """(key, value) of neighbouring cells; a value isn't looked at as a key."""
+    free = 0
+    for i, (k, v) in enumerate(zip(cells, cells[1:], strict=False)):
+        if i >= free and k.strip() in METADATA_KEYS:
+            free = i + 2
+            yield k.strip(), v
 
 
-def body_of(parts: list[str], meta: dict[str, str]) -> str:
+def body_of(parts: list[str]) -> str:
     """The longest paragraph if it has 120 characters, else all over 12 characters that aren't metadata."""
     longest = max(parts, key=len, default="")
-    if len(longest) >= 120:
-        return longest
-    known = {*meta, *meta.values()}
-    return "\n".join(p for p in parts if len(p) > 12 and p.strip() not in known)
+    return longest if len(longest) >= 120 else "\n".join(p for p in parts if len(p) > 12 and not METADATA_LINE.match(p))
 
 
 def docx(files: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ def docx(files: DataFrame) -> DataFrame:
                     continue
                 parts = paragraphs(root)
                 meta, people = table_metadata(tables(root))
-                rows.append((path, parts, body_of(parts, meta), meta, [{"name": n, "org": o} for n, o in people]))
+                rows.append((path, parts, body_of(parts), meta, [{"name": n, "org": o} for n, o in people]))
             yield pd.DataFrame(rows, columns=["path", "paragraphs", "body", "metadata", "attendees"])
 
     return files.select("path", "content").mapInPandas(run, "path string, paragraphs array<string>, body string, metadata map<string,string>, attendees array<struct<name: string, org: string>>")
@@ -149,35 +157,80 @@ def pcm16(samples: Column) -> Column:
     return F.transform(samples, lambda x: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32767).cast("smallint"))
 
 
-NUMBER = r"^\s*(?:[（(]?[一二三四五六七八九十\d]{1,3}[)）.、．]|[-*•])\s*"
-SLOT = r"^(\d{1,2}[:：]\d{2}\s*[-–—~至]\s*\d{1,2}[:：]\d{2}|\d{1,2}[:：]\d{2})\s*"
-OWNER = re.compile(r"[（(]\s*([^()（）\d]{2,8})\s*[)）]\s*$")
-# Words that say what kind of item a line is.
-KIND_WORDS = (("decision", ("决策", "决定", "表决")), ("report", ("汇报", "通报", "介绍")), ("discussion", ("讨论", "研究", "审议")), ("action", ("安排", "部署", "落实")))
+# Patterns of an outline's lines, and words that say what kind of item a topic is.
+_HALF = r"(?:半|一刻|三刻|整)?"
+_SPOKEN = r"[一二三四五六七八九十两]{1,3}\s*[点时时]" + _HALF
+_CLOCK = r"\d{1,2}\s*[:：]\s*\d{2}"
+NUMBER = re.compile(r"^\s*(?:[一二三四五六七八九十]+[、.．)）]|第[一二三四五六七八九十\d]+[项条点]|\d+[、.．)）]|[(（]\d+[)）]|[（(][一二三四五六七八九十]+[)）])\s*")
+BULLET = re.compile(r"^\s*[-*•·‣◦]\s+")
+SLOT = re.compile(rf"^\s*(?:[上下]午\s*|{_CLOCK}\s*(?:[-—~至到]\s*{_CLOCK})?|{_SPOKEN}(?:\s*[-—~至到]\s*{_SPOKEN})?)\s*[-—:：、.]?\s*")
+SLOT_REST = re.compile(rf"^(?:[一二三四五六七八九十两\d]{{1,3}}\s*[点时时]{_HALF}(?:\s*[-—~至到]\s*[一二三四五六七八九十两\d]{{1,3}}\s*[点时时]{_HALF})?|{_CLOCK}(?:\s*[-—~至到]\s*{_CLOCK})?)")
+TITLE = re.compile(r"会议(?:流程|议程|安排|日程)$|^(?:流程|议程|日程|安排)表?$|^[\u4e00-\u9fff]{2,12}(?:会议|评审会|例会)(?:议程|流程|安排)?$")
+OWNER = re.compile(r"(?:负责人|主持人|主持|主讲|汇报人|汇报|召集人|召集)\s*[:：]\s*([\u4e00-\u9fff]{2,4})|[@＠]([\u4e00-\u9fff]{2,4})|[（(]\s*([\u4e00-\u9fff]{2,4})\s*[)）]\s*$")
+NOISE = re.compile(r"^[\s\-—_=*#·。，、；：]+$")
+NOTE = re.compile(r"^\s*(?:备注|说明|注意|注|提示)\s*[:：]")
+EMPTY_BRACKETS = re.compile(r"[（(]\s*[)）]")
+GOES_ON = re.compile(r"^(?:接下来|然后|另外|此外|其次|最后|同时|并且|而且|以及|其中|针对|关于|为了|由于|因此|所以|但|而|并|或|和|与|及|等)")
+UNFINISHED, LONG = ("，", ",", "、", "：", ":"), 40
+KIND_WORDS = (("confirm", r"确认|审定|签字|拍板"), ("report", r"汇报|介绍|说明|通报"), ("followup", r"上次|遗留|跟进|落实"))
+
+
+class Line(NamedTuple):
+    """A line of an outline, taken apart."""
+
+    text: str
+    rest: str
+    slot: str
+    marked: bool
+    indented: bool
+
+    @staticmethod
+    def of(raw: str) -> Line:
+        text = raw.strip()
+        bare = BULLET.sub("", NUMBER.sub("", text)).strip() if NUMBER.match(text) or BULLET.match(text) else text
+        marked, slot, time = bare != text, "", SLOT.match(bare)
+        if time:
+            slot, bare = time[0].strip(" -—:：、."), bare[time.end() :].strip()
+            more = SLOT_REST.match(bare)
+            if more:
+                slot, bare = (slot + more[0]).strip(), bare[more.end() :].strip()
+        return Line(text, bare, slot, marked or slot != "", raw[:1] in (" ", "\t", "\u3000"))
+
+    def stands_alone(self, topic: str) -> bool:
+        """Whether an unmarked line is an item of its own after one with this topic: short, with nothing that says that it goes on."""
+        return not self.indented and max(len(self.text), len(topic)) < LONG and not GOES_ON.match(self.text) and not topic.rstrip().endswith(UNFINISHED)
+
+
+def opened(line: Line) -> dict:
+    """A new item. An owner is lifted from its topic, with the brackets that are left empty."""
+    found = OWNER.search(line.rest)
+    topic = EMPTY_BRACKETS.sub("", OWNER.sub("", line.rest).strip(" 　·-—")).strip() if found else line.rest
+    return {"topic": topic, "slot": line.slot, "speaker": next(filter(None, found.groups())) if found else "", "detail": ""}
 
 
 def parse_outline(lines: list[str]) -> list[dict]:
-    """Agenda items of an outline: a numbering or a time slot begins one; indented lines, and long ones without a mark, go on
-    with it. An owner in brackets at the end is lifted, and wording gives the kind."""
+    """Agenda items: a number, a bullet or a time begins one, and so does a line that stands alone; others go on with the item
+    above. Headings end an item; the document's title, before any item, and lines of marks are nothing; a note goes to the last
+    finished item. Wording gives the kind."""
     items: list[dict] = []
+    begun, current = False, None
     for raw in lines:
-        line = raw.strip()
-        if not line or line.startswith("#"):
+        line = Line.of(raw or "")
+        if not line.text or NOISE.match(line.text) or not begun and TITLE.search(line.text) and not line.text.startswith("#"):
             continue
-        numbered = re.match(NUMBER, raw)
-        rest = re.sub(NUMBER, "", raw).strip() if numbered else line
-        slot = re.match(SLOT, rest)
-        if slot:
-            rest = rest[slot.end() :].strip(" 　:：")
-        begins = bool(numbered or slot) and not re.match(r"^[\s　]{2,}", raw)
-        if begins or not items and len(line) <= 40:
-            owner = OWNER.search(rest)
-            topic = rest[: owner.start()].strip() if owner else rest
-            kind = next((k for k, ws in KIND_WORDS if any(w in topic for w in ws)), "topic")
-            items.append({"topic": topic, "slot": slot.group(1) if slot else "", "speaker": owner.group(1).strip() if owner else "", "detail": "", "kind": kind})
-        elif items:
-            items[-1]["detail"] = (items[-1]["detail"] + "\n" + rest).strip()
-    return items
+        if line.text.startswith("#"):
+            current = None
+        elif NOTE.match(line.text):
+            done = items[:-1] if current else items
+            if done:
+                done[-1]["detail"] = f"{done[-1]['detail']} {NOTE.sub('', line.text).strip()}".strip()
+        elif line.marked or current is None or line.stands_alone(current["topic"]):
+            begun, current = True, opened(line)
+            items = [*(i for i in items if i["topic"]), current]
+        else:
+            current["detail"] = f"{current['detail']} {line.rest}".strip()
+    kind = lambda topic: next((k for k, words in KIND_WORDS if re.search(words, topic)), "topic")
+    return [i | {"kind": kind(i["topic"])} for i in items if i["topic"]]
 
 
 def outlines(docs: DataFrame) -> DataFrame:
@@ -191,6 +244,26 @@ def outlines(docs: DataFrame) -> DataFrame:
     return docs.select("path", "text").mapInPandas(run, "path string, pos bigint, topic string, slot string, speaker string, detail string, kind string")
 
 
+def outline_files(spark: SparkSession, root: str) -> DataFrame:
+    """Items of the outlines under root: paragraphs of docx files, lines of all others, the first column of a csv."""
+    files = scan(spark, root, "*")
+    is_docx = F.rlike(F.lower("path"), F.lit(r"\.docx$"))
+    plain = lines_of(files.where(~is_docx).select("path", decoded("content").alias("text")))
+    text = plain.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    return outlines(text.unionByName(docx(files.where(is_docx)).select("path", F.array_join("paragraphs", "\n").alias("text"))))
+
+
+def wav_bytes(samples: list[float], rate: int = 16000) -> bytes:
+    """A mono 16-bit file of samples, clipped."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(np.asarray(samples, "f8"), -1, 1) * 32767).round().astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """path, line (from 0), value; a csv gives its first column."""
     rows = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "value"))
