@@ -339,6 +339,34 @@ def test_error_parts(a, b):
     assert sub + gone + more == best[-1] and len(a) - gone + more == len(b)
 
 
+def test_queries_by_hand(spark):
+    """Queries that SQL doesn't express, on whole tables."""
+    from tidewater import registry
+
+    talk = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    pairs = [(a, b) for a, b in zip(talk, talk[1:], strict=False) if a.conv_id == b.conv_id]
+    like = {(r.conv_id, r.turn): r.similar for r in registry.QUERIES["turn_similarity"](spark, SF).collect()}
+    assert like == {(b.conv_id, b.turn): pytest.approx(1.0 if a.text in b.text or b.text in a.text else table_lcs(a.text, b.text) / min(len(a.text), len(b.text)), abs=1e-6) for a, b in pairs}
+    marks, errors = re.compile(T.PUNCTUATION), {(r.conv_id, r.turn): r for r in registry.QUERIES["error_parts"](spark, SF).collect()}
+    for a, b in pairs:
+        x, y = marks.sub("", a.text), marks.sub("", b.text)
+        r = errors[b.conv_id, b.turn]
+        assert r.longer == len(y) - len(x) and r.edits == round(r.cer * len(x)) >= abs(r.longer)
+    docs = {r.doc_id: r.text.replace(".", "。") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    packs = {}
+    for r in registry.QUERIES["paragraph_pack"](spark, SF).orderBy("doc_id", "pos").collect():
+        packs.setdefault(r.doc_id, []).append(r.n_chars)
+    for i, text in docs.items():
+        ends = {m.end() for m in re.finditer(r"[。！？!?；;](?![”’）」』】])", text)}
+        sizes, at = packs.get(i, []), 0
+        assert max(sizes, default=0) <= 208 and sum(sizes) <= len(text)
+        if not re.search(r"[。！？!?；;]\s*$|[。！？!?；;]\s+[。！？!?；;]", text):
+            continue
+        for n in sizes[:-1]:
+            at += n
+            assert at in ends or text[at - 1] in "，；,;" or n == 156 or sum(sizes) < len(text)
+
+
 def test_corpus_life(spark):
     def embed(rows):
         return rows.select("id", F.array(F.length("text").cast("double")).alias("embedding"))

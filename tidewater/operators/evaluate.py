@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,17 +114,23 @@ def similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def error_parts(reference: str, heard: str) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a shortest edit, with as many substitutions as it can have."""
-    n = len(heard)
-    row = [(j, 0, 0, j) for j in range(n + 1)]  # cost, substitutions, deletions, insertions
-    for i, x in enumerate(reference, 1):
-        now = [(i, 0, i, 0)]
-        for j, y in enumerate(heard, 1):
-            (c, s, d, k), up, left = row[j - 1], row[j], now[-1]
-            diagonal = (c, s, d, k) if x == y else (c + 1, s + 1, d, k)
-            now.append(min(diagonal, (up[0] + 1, up[1], up[2] + 1, up[3]), (left[0] + 1, left[1], left[2], left[3] + 1), key=lambda v: (v[0], -v[1])))
-        row = now
-    return row[n][1:]
+    """Substitutions, deletions and insertions of a shortest edit, with as many substitutions as it can have.
+
+    One number holds the edits and, as a rebate, the substitutions; a row of the table is a running minimum. Deletions less
+    insertions is the difference of the lengths."""
+    n, m = len(reference), len(heard)
+    one = n + m + 1
+    x, y = (np.array([ord(c) for c in t], "i8") for t in (reference, heard))
+    ahead = np.arange(m + 1) * one
+    row = ahead
+    for c in x:
+        best = row + one
+        best[1:] = np.minimum(best[1:], row[:-1] + (one - 1) * (y != c))
+        row = np.minimum.accumulate(best - ahead) + ahead
+    edits = -(-int(row[-1]) // one)
+    swapped = edits * one - int(row[-1])
+    moved = edits - swapped
+    return swapped, (moved + n - m) // 2, (moved - n + m) // 2
 
 
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import event_key
@@ -143,6 +144,31 @@ def apportion(spark, sf):
     return W.apportion(c, ["conv_id"], "turn").select("conv_id", "turn", F.round("p_start", 6).alias("p_start"), F.round("p_end", 6).alias("p_end"))
 
 
+def event_span(spark, sf):
+    """First and last date of the events whose content has a word, and of how many meetings they are."""
+    e = event_table(spark, sf).where(E.contains_ci(F.col("content"), F.lit("purch")))
+    return e.groupBy("type").agg(F.min(F.nullif("date", F.lit(""))).alias("first_date"), F.max(F.nullif("date", F.lit(""))).alias("last_date"), F.countDistinct("meeting_id").alias("meetings"))
+
+
+def coverage_mask(spark, sf):
+    e = spans(spark, sf)
+    upto = F.max("start").over(Window.partitionBy("user_id"))
+    rows = e.select("user_id", "start", "end", (F.col("event_type") == "error").alias("open"), (upto - 86400 * 30).alias("_upto"))
+    out = W.coverage_mask(rows, ["user_id"], F.col("_upto"), margin=86400.0, most=5)
+    return out.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+
+
+def published_actions(spark, sf):
+    e = table(spark, sf, "events")
+    rows = e.select("user_id", (F.col("event_id") % 3).alias("idx"), F.col("event_id").alias("rev"), F.col("event_type").alias("text"), F.concat(F.lit("s"), F.floor(F.col("event_id") / 7) % 2).alias("spk"))
+    return W.republished(rows, ["user_id"]).select("rev", "action")
+
+
+def rebased_rows(spark, sf):
+    e = spans(spark, sf).select("user_id", "event_id", (F.col("event_id") % 5).alias("idx"), "start", "end", F.col("event_id").alias("at"))
+    return W.rebased(e, ["user_id"], 100, 60.0).select("event_id", "idx", F.round("start", 3).alias("start"))
+
+
 EV = """e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS meeting_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS date, event_type AS type, event_type || ' ' || props AS content,
   CASE WHEN value > 50 THEN strftime(ts, '%m-%d') ELSE '' END AS deadline, 'u' || (user_id % 7) AS owner, event_id AS seq FROM events)"""
 MT = "m AS (SELECT CAST(c_custkey AS VARCHAR) AS meeting_id, c_name AS title FROM customer)"
@@ -159,9 +185,21 @@ QUERIES = {
     "event_aggregate": event_aggregate, "event_by_type": event_by_type, "event_list": event_list, "event_timeline": event_timeline, "event_stats": event_stats, "event_dedup": event_dedup, "event_find": event_find,
     "regex_dates": regex_dates, "first_pattern_wins": first_pattern_wins, "sections_ffill": sections_ffill, "meeting_ids": meeting_ids, "interval_merge": interval_merge, "clip_spans": clip_spans, "sessionize": sessionize,
     "endpoint_rules": endpoint_rules, "latest_per_key": latest_per_key, "settle_pending": settle_pending, "since_poll": since_poll, "spk_counts": spk_counts, "nearest_in_time": nearest_in_time, "neighbour_bounds": neighbour_bounds, "apportion": apportion,
+    "event_span": event_span, "coverage_mask": coverage_mask, "published_actions": published_actions, "rebased_rows": rebased_rows,
 }
 
 SQL = {
+    "event_span": f"WITH {EV} SELECT type, min(nullif(date, '')) AS first_date, max(nullif(date, '')) AS last_date, count(DISTINCT meeting_id) AS meetings FROM e WHERE contains(lower(content), 'purch') GROUP BY type",
+    "coverage_mask": f"""WITH {SP}, u AS (SELECT *, max(a) OVER (PARTITION BY user_id) - 86400 * 30 AS upto FROM s), k AS (SELECT user_id, a, b FROM u WHERE event_type <> 'error' AND b > upto - 86400),
+h AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM k),
+g AS (SELECT *, sum(CASE WHEN a > hi THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM h),
+m AS (SELECT user_id, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY user_id, g), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a DESC) AS k FROM m)
+SELECT user_id, round(a, 3) AS start, round(b, 3) AS "end", n FROM r WHERE k <= 5""",
+    "published_actions": """WITH e AS (SELECT user_id, event_id % 3 AS idx, event_id AS rev, event_type AS t, 's' || CAST((event_id // 7) % 2 AS VARCHAR) AS spk FROM events),
+l AS (SELECT *, lag(t) OVER w AS pt, lag(spk) OVER w AS ps, lag(rev) OVER w AS pr FROM e WINDOW w AS (PARTITION BY user_id, idx ORDER BY rev))
+SELECT rev, CASE WHEN pr IS NULL OR t IS DISTINCT FROM pt THEN 'analyse' WHEN spk IS DISTINCT FROM ps THEN 'refresh' ELSE 'none' END AS action FROM l""",
+    "rebased_rows": f"""WITH {SP}, f AS (SELECT user_id, event_id % 5 AS idx, min(event_id) AS met FROM s GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY met, idx) + 99 AS new FROM f)
+SELECT event_id, CAST(new AS BIGINT) AS idx, round(a + 60, 3) AS start FROM s JOIN n ON n.user_id = s.user_id AND n.idx = s.event_id % 5""",
     "event_aggregate": f"WITH {EV} SELECT count(*) AS total FROM e WHERE type = 'click' AND (owner = 'u3' OR contains(lower(content), 'u3')) AND deadline = '' AND date <= '2024-06-30'",
     "event_by_type": "SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type",
     "event_list": f"WITH {EV}, {MT} SELECT event_id, date, seq, title FROM e LEFT JOIN m ON e.meeting_id = m.meeting_id WHERE deadline <> '' ORDER BY date, seq, e.meeting_id LIMIT 50",

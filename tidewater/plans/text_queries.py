@@ -9,7 +9,7 @@ from tidewater.functions import text as T
 from tidewater.functions.vectors import cosine
 from tidewater.operators import chunk, clues, evaluate, report, state, voice
 from tidewater.operators import search as S
-from tidewater.plans.retrieval import MANY, ONE, TOKENS, arms, bm25_sql, index_of, many_queries, one_query, rrf_sql, table
+from tidewater.plans.retrieval import HITS, MANY, ONE, QT, TOKENS, arms, bm25_sql, corpus_hits, index_of, many_queries, one_query, rrf_sql, table
 
 STOP = ["the", "and", "of", "to", "is"]
 YEAR = r"[a-z]*tion[a-z]*"
@@ -220,6 +220,51 @@ def chunk_markdown(spark, sf):
     return out.select("doc_id", "seq", "heading", F.length("text").alias("n_chars"), "start")
 
 
+def paragraph_pack(spark, sf):
+    """Paragraphs of documents, whose full stops count as sentence ends."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.split_paragraphs(F.regexp_replace("text", r"\.", "。"))).alias("pos", "p"))
+    return d.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("p").cast("bigint").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+def turn_similarity(spark, sf):
+    return evaluate.similarity(turns(spark, sf).select("conv_id", "turn", F.col("prev").alias("a"), F.col("text").alias("b")), ["conv_id", "turn"]).withColumn("similar", F.round("similar", 6))
+
+
+def error_parts(spark, sf):
+    out = evaluate.error_rates(turns(spark, sf).select("conv_id", "turn", F.col("prev").alias("reference"), F.col("text").alias("heard")), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.round("cer", 6).alias("cer"), (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("edits"), (F.col("insertions") - F.col("deletions")).alias("longer"))
+
+
+def prior_rrf(spark, sf):
+    """Corpora fused with a bonus for all but one."""
+    hits = S.best_of(corpus_hits(spark, sf), 5).select("query_id", "kb", "title", F.col("nth").alias("rank"))
+    return evaluate.with_prior(hits, "en", 0.0006).select("query_id", "kb", "title", "score", "rank")
+
+
+def own_first(spark, sf):
+    """How often a query's first hit is of its own language: of all documents, of a filtered list, and of an index of its own."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"))
+    truth = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.lit(["en", "fr", "de", "es"]), (F.col("item_id") % 4 + 1).cast("int")).alias("kb"))
+    scored = S.bm25(index_of(spark, sf), many_queries(spark, sf))
+    ranked = lambda df: S.top(df, 1).join(docs, "id").select("query_id", "kb", (F.col("rank0") + 1).alias("rank"))
+    pool = S.top(scored, 50).drop("rank0").join(docs, "id").join(truth.select("query_id", F.col("kb").alias("_own")), "query_id").where("kb = _own")
+    own = scored.join(docs, "id").join(truth.select("query_id", F.col("kb").alias("_own")), "query_id").where("kb = _own")
+    return evaluate.own_first(ranked(scored), ranked(pool.select("query_id", "id", "score")), ranked(own.select("query_id", "id", "score")), truth)
+
+
+def process_segments(spark, sf):
+    """The best documents of each benchmark item as a segment, and of its two longest words as keywords."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("seg_id"), "text")
+    words = b.select("seg_id", F.explode(S.pick_terms(F.col("text"), STOP, 2)).alias("term"))
+    return S.process(index_of(spark, sf), b, words, 3).withColumn("score", F.round("score", 6))
+
+
+def spoken_digits(spark, sf):
+    """Numbers of orders as they are spoken."""
+    said = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "零一二三四五六七八九")
+    return table(spark, sf, "orders").select("o_orderkey", T.digits(F.concat(F.lit("pad"), said, F.lit("。"))).alias("written"))
+
+
 def hit_at_k(spark, sf):
     a, meta = arms(spark, sf)
     hits = S.top(S.rrf(a, meta).withColumn("score", F.round("score", 9)), 10, tie="path")
@@ -282,13 +327,23 @@ VM = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM e
 s AS (SELECT query_id, person, max(greatest(round(list_cosine_similarity(q.v, p.v), 9), 0)) AS score FROM q CROSS JOIN p GROUP BY query_id, person),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person DESC) AS n, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, person DESC), 0) AS second FROM s)"""
 
-QUERIES = {f.__name__: f for f in (
+NEW = (paragraph_pack, turn_similarity, error_parts, prior_rrf, own_first, process_segments, spoken_digits)
+
+QUERIES = {f.__name__: f for f in NEW} | {f.__name__: f for f in (
     clue_anchors, clue_clause, clue_dedup, clue_merge, clue_board, clue_sorted, clue_rules, keywords_topn, keyword_prf, occurrence_count, hamming_candidates, explicit_replace, seam_overlap, cer_levenshtein, char_jaccard,
     alias_conflicts, alias_index, broken_links, link_degree, isolated_nodes, minutes_sections, person_clues, transcript_lines, prep_items, voice_match, vector_cosine, enroll_near_dups, voice_enroll, speaker_cluster, speaker_online,
     longest_to_enroll, chunk_markdown, hit_at_k, contamination, topk_type_recall, coverage_sets, adjacent_overlap, score_spread, branch_histogram, index_orphans,
 )}
 
 SQL = {
+    "prior_rrf": f"""WITH {HITS}, f AS (SELECT query_id, kb, title, round(sum(1.0::DOUBLE / (60 + nth) + CASE WHEN kb <> 'en' THEN 0.0006::DOUBLE ELSE 0 END), 9) AS score FROM ranked WHERE nth <= 5 GROUP BY query_id, kb, title),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kb, title) AS BIGINT) AS rank FROM f) SELECT query_id, kb, title, score, rank FROM r WHERE rank <= 3""",
+    "own_first": f"""WITH {bm25_sql(MANY)}, t AS (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS own FROM benchmark), h AS (SELECT bmr.query_id, id, score, rank0, lang AS kb, own FROM bmr JOIN documents ON doc_id = id JOIN t ON t.query_id = bmr.query_id)
+SELECT (SELECT count(*) FROM t) AS queries, (SELECT count(*) FROM h WHERE rank0 = 0 AND kb = own) AS free, (SELECT count(DISTINCT query_id) FROM h WHERE rank0 < 50 AND kb = own) AS filtered, (SELECT count(DISTINCT query_id) FROM h WHERE kb = own) AS separate""",
+    "process_segments": f"""WITH {QT}, a AS (SELECT item_id AS seg_id, '' AS term, text AS q FROM benchmark UNION ALL SELECT query_id, t, t FROM (SELECT query_id, unnest(terms[1:2]) AS t FROM qterms)),
+k AS (SELECT *, row_number() OVER () AS query_id FROM a), {bm25_sql("SELECT query_id, q AS query FROM k")}
+SELECT seg_id, term, id, round(score, 6) AS score, CAST(rank0 AS BIGINT) AS rank0 FROM bmr JOIN k USING (query_id) WHERE rank0 < 3""",
+    "spoken_digits": "SELECT o_orderkey, 'pad' || o_orderkey || '。' AS written FROM orders",
     "clue_anchors": f"WITH {ANCH}, x AS (SELECT conv_id, turn, w, unnest(range(0, len(w))) AS pos FROM a) SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, w[pos + 1] AS anchor FROM x",
     "clue_clause": "SELECT conv_id, turn, substring(list_filter(regexp_split_to_array(text, '[，。；！？,;!?]'), lambda c: contains(c, 'the') AND length(c) >= 4)[1], 1, 30) AS clause FROM conversations",
     "clue_dedup": f"""WITH {ANCH}, d AS (SELECT DISTINCT conv_id, turn, unnest(w) AS x FROM a),
