@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import random
+import re
 import textwrap
+import zlib
 
 import duckdb
 import pytest
@@ -232,6 +234,45 @@ def test_sharding_balanced_whole_groups(spark):
     assert cool.groupby("text_crc32").shard.nunique().max() == 1
 
 
+def test_shards_are_ranges_of_the_key(spark):
+    """Whole tables of sf0.001 and a hot text: sizes and checksums by hand, one shard a record, slots without gaps, equal texts
+    together unless they are many, and shards that follow one another in the order of the key."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6 + i, "hot " * 400) for i in range(300)] + [(None, None), (None, "x")], docs.schema))
+    text = {r.doc_id: r.text or "" for r in docs.where("doc_id is not null").collect()}
+    got = sharding.shard_by_bytes(docs)
+    rows = got.collect()
+    assert len(rows) == docs.count() and all((r.size, r.text_crc32) == (len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode())) for r in rows if r.doc_id is not None)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(16))
+    keyed = got.where("doc_id < 1000000").join(docs, "doc_id").select("shard", F.shiftrightunsigned(F.xxhash64("text"), 12).alias("k"), "text").collect()
+    assert all(len({r.shard for r in keyed if r.text == t}) == 1 for t in {r.text for r in keyed})
+    spans = {n: (min(r.k for r in keyed if r.shard == n), max(r.k for r in keyed if r.shard == n)) for n in {r.shard for r in keyed}}
+    order = sorted(spans)
+    overlaps = sum(spans[a][1] > spans[b][0] for a, b in zip(order, order[1:], strict=False))
+    assert overlaps <= 4  # only ranges that were subdivided, by another hash
+    again = sharding.shard_by_bytes(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_urls_by_hand(spark):
+    """Every page of sf0.001: host, path, rule, and the score as a sum over the dense weights."""
+    w, b = url_filter.model()
+    for r in spark.read.parquet(f"{SF}/pages.parquet").join(url_filter.op1_url_filter(spark, SF), "page_id").collect():
+        tail = r.url.split("://", 1)[1]
+        host = re.split(r"[/?#]", tail, maxsplit=1)[0]
+        path = re.split(r"[?#]", tail[len(host) :], maxsplit=1)[0]
+        assert (r.host, r.path) == (host.lower(), path)
+        fits = [(h + p, v) for h, p, v in url_filter.RULES if (f".{r.host}").endswith(f".{h}") and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda f: len(f[0]), default=(None, None))
+        grams = {(tag, t[i : i + n]) for tag, t in (("h", f"^{r.host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+        at = {zlib.crc32((tag + g).encode()) >> (32 - url_filter.BITS) for tag, g in grams}
+        score = 1 / (1 + math.exp(-(sum(w[i] for i in at) / math.sqrt(max(1, len(at))) + b)))
+        assert r.score == pytest.approx(score, abs=1e-4) and r.rule == rule and r.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
+
+
 def test_license_headers_files_inheritance(spark):
     mit = "Released under the MIT License."
     files = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/x/code.py", "# " + mit + "\nimport os\n" + "words " * 50), ("a/x/other.py", "import sys"), ("b/plain.py", "print"), ("a/b/c/deep.py", "z"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3.")]
