@@ -642,12 +642,46 @@ def test_hotwords_outline(spark):
 
 
 def test_plan_round_trip(spark):
-    kinds = "session string, ord bigint, id string, kind string, topic string, done boolean, detail string, refs array<struct<source: string, detail: string>>"
-    items = spark.createDataFrame([("s", 0, "i1", "topic", "Budget", True, "two\nlines", [("doc", "p 3")]), ("s", 1, "i2", "report", "News", False, "", [])], kinds)
-    text = session_files.render_plan(items)
-    back = session_files.parse_plans(text)
-    assert session_files.render_plan(back).first().text == text.first().text
-    assert [(r.id, r.done, r.detail) for r in back.orderBy("ord").collect()] == [("i1", True, "two\nlines"), ("i2", False, "")]
+    items = spark.createDataFrame([
+        ("s", 0, "i1", "risk", "Budget \n now", True, "two\nlines", 'a "b" c', "", 12.0, 0.0, 0.0, 2.5, [("doc", "p 3", "公共"), ("only", "", "")]),
+        ("s", 1, "i2", "odd", "", False, "", "", "g9", None, None, None, None, []),
+    ], session_files.PLAN)
+    about = spark.createDataFrame([("s", "P", None, "2024-01-02T03:04:05"), ("t", "", "M", "")], "session string, project string, meeting string, updated string")
+    files = session_files.render_plan(items, about)
+    text = {r.session: r.text for r in files.collect()}
+    assert text["s"] == f'''---
+type: speaking-plan
+project: P
+updated: 2024-01-02T03:04:05
+items: 2
+---
+
+{session_files.PLAN_HEAD}
+## 1. Budget now
+
+<!-- plan id=i1 kind=risk done=true src="a \\"b\\" c" x=12 z=2.5 -->
+
+two
+lines
+
+- 参考：doc — p 3［公共库］
+- 参考：only
+
+## 2. （未命名）
+
+<!-- plan id=i2 kind=topic done=false seg=g9 -->
+'''
+    assert text["t"].startswith("---\ntype: speaking-plan\nmeeting: M\nitems: 0\n---\n\n# ")
+    back = session_files.parse_plans(files)
+    assert {r.session: r.text for r in session_files.render_plan(back, about).collect()} == text
+    one = back.where("ord = 0").first()
+    assert (one.id, one.done, one.detail, one.source, one.nx, one.ny, one.nw, one.nz) == ("i1", True, "two\nlines", 'a "b" c', 12.0, None, 0.0, 2.5)
+    assert [tuple(r) for r in one.refs] == [("doc", "p 3", "公共"), ("only", "", "")]
+
+
+def test_plan_by_hand():
+    items = session_files.parse_plan_text("# Title\nnobody's\n## 先说预算\n内容\n- 依据: 文件\n<!-- plan kind=odd done=是 w=abc -->\n### deeper\n##  \n## 3、再说")
+    assert [(i["topic"], i["kind"], i["done"], i["detail"], i["nw"], [r["source"] for r in i["refs"]]) for i in items] == [("先说预算", "topic", True, "内容\n### deeper\n##", 0.0, ["文件"]), ("再说", "topic", False, "", 0.0, [])]
 
 
 def test_session_json_and_partitions(spark, tmp_path):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SESSION = """session string, history_rev bigint,
@@ -40,44 +41,116 @@ def publish(batch: DataFrame, epoch: int, path: str) -> None:
     batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
 
-def render_plan(items: DataFrame) -> DataFrame:
-    """session -> Markdown: a checkbox line for each item, its details and references below, its id in a comment."""
-    done = F.when(F.col("done"), "x").otherwise(" ")
-    head = F.format_string("- [%s] (%s) %s <!-- id:%s -->", done, "kind", "topic", "id")
-    refs = F.array_join(F.transform("refs", lambda r: F.concat(F.lit("\n  > "), r["source"], F.lit(" | "), r["detail"])), "")
-    detail = F.when(F.coalesce("detail", F.lit("")) != "", F.concat(F.lit("\n  "), F.replace("detail", F.lit("\n"), F.lit("\n  ")))).otherwise("")
-    rows = items.select("session", "ord", F.concat(head, detail, refs).alias("line"))
-    joined = rows.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("l"))
-    return joined.select("session", F.concat(F.lit("# Plan\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
-
-
-ITEM = re.compile(r"^- \[([ xX])\]\s*(?:\((\w+)\)\s*)?(.*?)\s*(?:<!--\s*id:(\S+)\s*-->)?\s*$")
+# Kinds of plan items, and the format of a plan file.
+PLAN_KINDS = ("topic", "report", "confirm", "risk", "followup")
+PLAN_HEAD = "# 我的发言计划\n\n> 这份文件就是发言计划的真身：助理每次改动都会重写它，你也可以直接在 Obsidian 里改，改完在助理里点「从文件重载」。\n> 每一项的彩色标签写在标题下面那行注释里，改 `kind` 就能换颜色。\n"
+NO_TOPIC, REF, KB_OPEN, KB_CLOSE, DASH = "（未命名）", "- 参考：", "［", "库］", " — "
+FRONT = re.compile(r"\A---\s*\n(.*?)\n---\s*\n", re.S)
+ITEM = re.compile(r"^##\s+(?:\d+[.、]\s*)?(.*)$")
+META = re.compile(r"<!--\s*plan\s*(.*?)-->", re.S)
+META_VALUE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)=(\"(?:[^\"\\]|\\.)*\"|\S+)")
+REF_LINE = re.compile(r"^\s*[-*]\s*(?:参考|依据)\s*[:：]\s*(.*)$")
+KB_TAIL = re.compile(r"［([^［］]+?)库］\s*$")
+YES = ("1", "true", "yes", "是")
+
+PLAN = """session string, ord bigint, id string, kind string, topic string, done boolean, detail string, source string, seg_id string,
+nx double, ny double, nw double, nz double, refs array<struct<source: string, detail: string, kb: string>>"""
+
+
+def one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def quoted(c: Column) -> Column:
+    """A value of the comment, in quotes where it needs them."""
+    return F.when(F.rlike(c, F.lit(r"""^[^\s"'<>]+$""")), c).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+
+
+def render_plan(items: DataFrame, about: DataFrame) -> DataFrame:
+    """items (PLAN), about (session, project, meeting, updated) -> session, text: the plan file, the same for the same items."""
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" {name}="), quoted(c)))
+    number = lambda c: F.when(F.col(c) != 0, F.when(F.col(c) == F.floor(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string")))
+    kind = F.when(F.col("kind").isin(*PLAN_KINDS), F.col("kind")).otherwise(PLAN_KINDS[0])
+    meta = F.concat(
+        F.lit("<!-- plan id="), quoted(F.coalesce("id", F.lit(""))), F.lit(" kind="), kind, F.lit(" done="), F.coalesce("done", F.lit(False)).cast("string"),
+        F.concat_ws("", part("src", one_line(F.col("source"))), part("seg", F.col("seg_id")), *(part(n, number(c)) for n, c in (("x", "nx"), ("y", "ny"), ("w", "nw"), ("z", "nz")))), F.lit(" -->"),
+    )
+    detail = F.trim(F.coalesce("detail", F.lit("")))
+
+    def cited(r: Column) -> Column:
+        body = F.array_join(F.filter(F.array(one_line(r["source"]), one_line(r["detail"])), lambda x: x != ""), DASH)
+        return F.when(body != "", F.concat(F.lit(REF), body, F.when(one_line(r["kb"]) != "", F.concat(F.lit(KB_OPEN), one_line(r["kb"]), F.lit(KB_CLOSE))).otherwise("")))
+
+    refs = F.filter(F.transform(F.coalesce("refs", F.array().cast(items.schema["refs"].dataType)), cited), lambda x: x.isNotNull())
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("ord"))
+    topic = F.coalesce(F.nullif(one_line(F.col("topic")), F.lit("")), F.lit(NO_TOPIC))
+    blocks = F.concat(F.array(F.concat(F.lit("## "), nth.cast("string"), F.lit(". "), topic), meta), F.when(detail != "", F.array(detail)).otherwise(F.array().cast("array<string>")), F.when(F.size(refs) > 0, F.array(F.array_join(refs, "\n"))).otherwise(F.array().cast("array<string>")))
+    rows = items.select("session", "ord", F.array_join(blocks, "\n\n").alias("text"))
+    joined = rows.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_items"))
+    line = lambda k, c: F.when(one_line(F.col(c)) != "", F.concat(F.lit(f"{k}: "), one_line(F.col(c))))
+    known = about.join(joined, "session", "left").withColumn("_items", F.coalesce("_items", F.array().cast(joined.schema["_items"].dataType)))
+    front = F.concat_ws("\n", F.lit("---\ntype: speaking-plan"), line("project", "project"), line("meeting", "meeting"), line("updated", "updated"), F.concat(F.lit("items: "), F.size("_items").cast("string")), F.lit("---"))
+    text = F.concat_ws("\n\n", front, F.lit(PLAN_HEAD.rstrip("\n")), F.array_join(F.transform("_items", lambda x: x["text"]), "\n\n"))
+    return known.select("session", F.concat(F.regexp_replace(text, r"\n+$", ""), F.lit("\n")).alias("text"))
+
+
+class Part(NamedTuple):
+    """A line of a plan file: what it is, and what it holds."""
+
+    kind: str
+    value: object
+
+    @staticmethod
+    def of(line: str) -> Part:
+        tests = (("item", ITEM.match(line) if not line.startswith("###") else None), ("meta", META.search(line)), ("ref", REF_LINE.match(line)))
+        kind, found = next(((k, m) for k, m in tests if m), ("", None))
+        if found:
+            return Part(kind, found[1])
+        return Part("note" if line.startswith((">", "<!--")) or not line.strip() else "detail", line.strip())
+
+
+def meta_of(text: str) -> dict:
+    """The comment's values, as columns; what is no number of a place is left out."""
+    values = {k: re.sub(r"\\(.)", r"\1", v[1:-1]) if len(v) > 1 and v[0] == v[-1] == '"' else v for k, v in META_VALUE.findall(text)}
+    out = {c: values[k] for k, c in (("id", "id"), ("src", "source"), ("seg", "seg_id")) if k in values}
+    if "kind" in values:
+        out["kind"] = values["kind"] if values["kind"] in PLAN_KINDS else PLAN_KINDS[0]
+    if "done" in values:
+        out["done"] = values["done"].lower() in YES
+    return out | {c: float(values[k]) for k, c in (("x", "nx"), ("y", "ny"), ("w", "nw"), ("z", "nz")) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", values.get(k, ""))}
+
+
+def ref_of(text: str) -> dict | None:
+    body = " ".join(text.split())
+    kb = KB_TAIL.search(body)
+    source, _, detail = (body[: kb.start()] if kb else body).strip().partition(DASH)
+    return {"source": source.strip(), "detail": detail.strip(), "kb": kb[1] if kb else ""} if source.strip() else None
 
 
 def parse_plan_text(text: str) -> list[dict]:
-    """Tolerant: a missing id, kind or state gets a default; other lines belong to the item above."""
-    out: list[dict] = []
-    for line in (text or "").split("\n"):
-        m = ITEM.match(line)
-        if m:
-            out.append({"ord": len(out), "id": m[4] or f"item-{len(out)}", "kind": m[2] or "topic", "topic": m[3], "done": m[1] in "xX", "detail": "", "refs": []})
-        elif out and line.startswith("  > "):
-            source, _, detail = line[4:].partition(" | ")
-            out[-1]["refs"].append({"source": source, "detail": detail})
-        elif out and line.startswith("  "):
-            out[-1]["detail"] = (out[-1]["detail"] + "\n" + line[2:]).lstrip("\n")
-    return out
+    """Tolerant: what a file written by hand leaves out gets its default; lines before the first item are nobody's."""
+    parts = [Part.of(x.rstrip()) for x in FRONT.sub("", text or "", count=1).splitlines()]
+    starts = [i for i, p in enumerate(parts) if p.kind == "item"]
+    out = []
+    for begin, end in zip(starts, [*starts[1:], len(parts)], strict=False):
+        own = parts[begin + 1 : end]
+        item = {"id": "", "kind": PLAN_KINDS[0], "topic": " ".join(parts[begin].value.split()), "done": False, "detail": "\n".join(p.value for p in own if p.kind == "detail"), "source": "", "seg_id": "", "nx": None, "ny": None, "nw": 0.0, "nz": 0.0}
+        for p in (p for p in own if p.kind == "meta"):
+            item |= meta_of(p.value)
+        out.append(item | {"refs": [r for p in own if p.kind == "ref" and (r := ref_of(p.value))]})
+    return [{"ord": n} | x for n, x in enumerate(x for x in out if x["topic"])]
 
 
 def parse_plans(files: DataFrame) -> DataFrame:
-    """session, text -> items."""
+    """session, text -> items (PLAN)."""
+    names = [x.split()[0] for x in re.sub(r"<.*", "", PLAN.replace("\n", " ")).split(",")]
 
     def run(frames):
         for f in frames:
-            rows = [(s, *x.values()) for s, t in zip(f["session"], f["text"], strict=True) for x in parse_plan_text(t)]
-            yield pd.DataFrame(rows, columns=["session", "ord", "id", "kind", "topic", "done", "detail", "refs"])
+            rows = [{"session": s} | x for s, t in zip(f["session"], f["text"], strict=True) for x in parse_plan_text(t)]
+            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("session", "text").mapInPandas(run, "session string, ord bigint, id string, kind string, topic string, done boolean, detail string, refs array<struct<source: string, detail: string>>")
+    return files.select("session", "text").mapInPandas(run, PLAN)
 
 
 def replay(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
