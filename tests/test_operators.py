@@ -694,6 +694,32 @@ def test_session_json_and_partitions(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(at).collect()) == [(1, "a"), (2, "c")]
 
 
+def test_sessions_round_trip(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"session": "s", "history_rev": 3, "voice_names": {"a": "Ann"}, "plan": [{"id": "p", "plan_list": "agenda", "nw": 5.0}]}')
+    one = session_files.read_sessions(spark, str(tmp_path / "s.json"))
+    session_files.write_sessions(one, str(tmp_path / "out"))
+    assert session_files.read_sessions(spark, str(tmp_path / "out"), False).first() == one.first() and one.first().voice_names == {"a": "Ann"}
+
+
+def test_frontmatter_lists(spark):
+    text = "---\ntype: person\naliases:\n  - An\n  - A: b\nempty:\n---\n# body: x\n"
+    got = spark.createDataFrame([(text,), ("none",)], "t string").select(events.frontmatter_lists(F.col("t"))).collect()
+    assert got[0][0] == {"type": ["person"], "aliases": ["An", "A: b"], "empty": []} and got[1][0] == {}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewater.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Alpha\nSome words about the harbour, long enough to be worth it.\n- **[风险]** 可能会延期交付\n")
+    main(["index", f"file://{tmp_path}/in", str(tmp_path / "out")])
+    main(["search", str(tmp_path / "out"), "harbour"])
+    main(["events", f"file://{tmp_path}/in"])
+    main(["find", f"file://{tmp_path}/in", "可能会延期交付"])
+    said = capsys.readouterr().out
+    assert "a.md" in said and "风险" in said and said.count("可能会延期交付") == 1
+
+
 def test_state(spark):
     cmd = spark.createDataFrame([("ann", "upsert", 1, "x"), ("ann", "upsert", 3, "y"), ("bob", "upsert", 1, "z"), ("bob", "remove", 2, "z")], "name string, op string, seq int, org string")
     assert [tuple(r) for r in state.participants(cmd).collect()] == [("ann", "y")]

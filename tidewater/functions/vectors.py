@@ -55,19 +55,20 @@ def truncated(a: Column, width: int) -> Column:
     return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"])), 0)
 
 
-def hash_embed(df: DataFrame, keys: list[str], text_col: str, width: int = 64) -> DataFrame:
-    """Default embedder: keys and `embedding`, signed feature hashing of lower-cased tokens at length 1; zeros for no tokens."""
-    base = df.select(*keys, F.lower(text_col).alias("_t"))
+def hash_embed(df: DataFrame, keys: list[str], text_col: str, width: int = 64, prefix: str = "") -> DataFrame:
+    """Default embedder: keys and `embedding`, signed feature hashing of lower-cased tokens at length 1; zeros for no tokens.
+    prefix: what a model wants ahead of a query, and of queries alone."""
+    base = df.select(*keys, F.lower(F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))).alias("_t"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "_t")
     token = re.compile(r"[^\W_]+")
 
     def run(batches):
         for batch in batches:
-            out = np.zeros((batch.num_rows, width))
-            for i, t in enumerate(batch.column("_t").to_pylist()):
-                for w in token.findall(t or ""):
-                    h = zlib.crc32(w.encode())
-                    out[i, h % width] += 1 if h >> 31 else -1
+            words = [token.findall(t) for t in batch.column("_t").to_pylist()]
+            hashes = {w: zlib.crc32(w.encode()) for ws in words for w in ws}
+            h = np.array([hashes[w] for ws in words for w in ws], "i8")
+            row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+            out = np.bincount(row * width + h % width, np.where(h >> 31, 1.0, -1.0), batch.num_rows * width).reshape(-1, width)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
             vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), vec], [*keys, "embedding"])

@@ -79,6 +79,18 @@ def frontmatter(text: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
 
 
+def frontmatter_lists(text: Column) -> Column:
+    """The front matter with lists, as a map of arrays: `  - x` lines belong to the key above that has no value of its own."""
+    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    entry = r"(?m)^(?!  - )([^:\n]+):[ \t]*([^\n]*)((?:\n  - [^\n]*)*)"
+    part = lambda n: F.regexp_extract_all(block, F.lit(entry), F.lit(n))
+    items = lambda tail: F.transform(F.regexp_extract_all(tail, F.lit(r"\n  - ([^\n]*)"), F.lit(1)), lambda x: F.trim(x))
+    values = F.zip_with(part(2), part(3), lambda v, tail: F.when(F.trim(v) != "", F.array(F.trim(v))).otherwise(items(tail)))
+    keys = F.transform(part(1), lambda k: F.trim(k))
+    last = F.array_distinct(keys)
+    return F.map_from_arrays(last, F.transform(last, lambda k: F.element_at(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"] == k), -1)["v"]))
+
+
 def body(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")
 

@@ -17,14 +17,19 @@ clues array<struct<id: string, kind: string, text: string, seg_id: string, t: do
 plan array<struct<id: string, topic: string, kind: string, done: boolean, detail: string, plan_list: string, list: string, nw: double>>"""
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Sessions with a fixed schema: unknown keys are dropped, missing ones null, a legacy `list` becomes plan_list, and the
     legacy width 232 becomes 0."""
-    raw = spark.read.schema(SESSION).option("multiLine", "true").json(path)
+    raw = spark.read.schema(SESSION).option("multiLine", str(multi_line).lower()).json(path)
     fix = lambda p: p.withField("plan_list", F.coalesce(p["plan_list"], p["list"])).withField("nw", F.when(p["nw"] == 232.0, 0.0).otherwise(F.coalesce(p["nw"], F.lit(0.0)))).dropFields("list")
     return raw.withColumn("plan", F.transform(F.coalesce("plan", F.array().cast(raw.schema["plan"].dataType)), fix))
 
 
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """Sessions as JSON, one line each, which read_sessions() reads back. Those written before are replaced when all are written."""
+    sessions.write.mode("overwrite").json(path)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrite just the partitions that df has; files of others stay. Spark commits each as a whole."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
