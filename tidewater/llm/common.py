@@ -2,48 +2,29 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.shared import delete, fresh_path
+
 #: ASCII white space, the only separator of words for most operators.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    return _own[app]
-
-
 def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder, in folders by some columns, and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that written() made, from the since-th on. Only for results that have been read to their end."""
     for session, path in _written[since:]:
@@ -55,6 +36,11 @@ def mark() -> int:
     return len(_written)
 
 
+def last_written() -> str:
+    """The path of the latest table that written() made."""
+    return _written[-1][1]
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts. A null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts

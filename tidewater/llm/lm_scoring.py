@@ -31,8 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, built, fold, token, written
+from tidewater.llm.common import bounded_batches, built, fold, last_written, token, written
 from tidewater.llm.hashing import LOWER, chunks, mixed
+from tidewater.sources.shared import delete
 from tidewater.sources.tables import read_spread
 
 DEPTH, TOP = 6, 2
@@ -374,8 +375,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = min(BUCKETS[1], max(BUCKETS[0], total // BLOCK))
     parts = written(scanned(base, buckets), "lm-blocks", ("kind",))
+    path = last_written()
     found, n, v = looked_up(parts.where(F.col("kind") != TEXTS).select("kind", "bucket", "block", "data", "n"))
     found = written(found, "lm-values")
+    for kind_done in (GRAMS, WORDS):  # what comes after reads texts and values alone
+        delete(docs.sparkSession, f"{path}/kind={kind_done}")
     denominator = n + 0.1 * (v + 1)
 
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
