@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD, bitmap, delete, mark, marked, release, shared_dir, token, written
+from tidewater.llm.common import WORD, bitmap, mark, marked, release, written
 from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.language_id import UND, identify
 from tidewater.llm.mixing import last_taken, mix, queued
 from tidewater.llm.near_dedup import near_dedup
 from tidewater.llm.sharding import shard_by_bytes
+from tidewater.sources.shared import delete, fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean probability that a document's language must have over its bytes.
@@ -75,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage is written to the shared folder and read again; then what it read and what its operator wrote is deleted."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        since, path = mark(), f"{shared_dir(spark)}/pipeline-{name}-{token()}"
+        since, path = mark(), fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         release(spark, since)
         if before:
