@@ -542,6 +542,18 @@ def test_matches_in_blocks(spark, monkeypatch):
     assert all(r.s == pytest.approx(np.sort(x[r.query_id] @ y.T)[::-1][:3], abs=1e-6) for r in hits) and len(hits) == 40
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage_by_hand(seed):
+    """Heights are those of merging the nearest pair of clusters, by the mean of all distances between them, again and again."""
+    x = np.random.default_rng(seed).standard_normal((14, 4))
+    d, groups, heights = 1 - voice.unit(x) @ voice.unit(x).T, [[i] for i in range(14)], []
+    while len(groups) > 1:
+        h, i, j = min((d[np.ix_(groups[i], groups[j])].mean(), i, j) for i in range(len(groups)) for j in range(i))
+        heights.append(h)
+        groups[j] = groups[j] + groups.pop(i)
+    assert sorted(m[2] for m in voice.average_linkage(x)[0]) == pytest.approx(heights)
+
+
 def test_voice_commands(spark):
     state = spark.createDataFrame([("s1", "ann"), ("s2", ""), ("s3", "bob")], "spk string, value string")
     log = spark.createDataFrame([(1, "reassign", "s2", "ann"), (2, "deny", "s1", "bob"), (3, "unbind", "s3", ""), (4, "rename", "s4", "cay")], "seq int, op string, spk string, value string")
