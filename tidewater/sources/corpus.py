@@ -158,13 +158,19 @@ def pcm16(samples: Column) -> Column:
 
 
 # Patterns of an outline's lines, and words that say what kind of item a topic is.
-_HALF = r"(?:半|一刻|三刻|整)?"
-_SPOKEN = r"[一二三四五六七八九十两]{1,3}\s*[点时时]" + _HALF
-_CLOCK = r"\d{1,2}\s*[:：]\s*\d{2}"
 NUMBER = re.compile(r"^\s*(?:[一二三四五六七八九十]+[、.．)）]|第[一二三四五六七八九十\d]+[项条点]|\d+[、.．)）]|[(（]\d+[)）]|[（(][一二三四五六七八九十]+[)）])\s*")
 BULLET = re.compile(r"^\s*[-*•·‣◦]\s+")
-SLOT = re.compile(rf"^\s*(?:[上下]午\s*|{_CLOCK}\s*(?:[-—~至到]\s*{_CLOCK})?|{_SPOKEN}(?:\s*[-—~至到]\s*{_SPOKEN})?)\s*[-—:：、.]?\s*")
-SLOT_REST = re.compile(rf"^(?:[一二三四五六七八九十两\d]{{1,3}}\s*[点时时]{_HALF}(?:\s*[-—~至到]\s*[一二三四五六七八九十两\d]{{1,3}}\s*[点时时]{_HALF})?|{_CLOCK}(?:\s*[-—~至到]\s*{_CLOCK})?)")
+SLOT = re.compile(
+    r"^\s*(?:"
+    r"[上下]午\s*"
+    r"|\d{1,2}\s*[:：]\s*\d{2}\s*(?:[-—~至到]\s*\d{1,2}\s*[:：]\s*\d{2})?"
+    r"|[一二三四五六七八九十两]{1,3}\s*[点时时](?:半|一刻|三刻|整)?(?:\s*[-—~至到]\s*[一二三四五六七八九十两]{1,3}\s*[点时时](?:半|一刻|三刻|整)?)?"
+    r")\s*[-—:：、.]?\s*"
+)
+SLOT_REST = re.compile(
+    r"^(?:[一二三四五六七八九十两\d]{1,3}\s*[点时时](?:半|一刻|三刻|整)?(?:\s*[-—~至到]\s*[一二三四五六七八九十两\d]{1,3}\s*[点时时](?:半|一刻|三刻|整)?)?"
+    r"|\d{1,2}\s*[:：]\s*\d{2}(?:\s*[-—~至到]\s*\d{1,2}\s*[:：]\s*\d{2})?)"
+)
 TITLE = re.compile(r"会议(?:流程|议程|安排|日程)$|^(?:流程|议程|日程|安排)表?$|^[\u4e00-\u9fff]{2,12}(?:会议|评审会|例会)(?:议程|流程|安排)?$")
 OWNER = re.compile(r"(?:负责人|主持人|主持|主讲|汇报人|汇报|召集人|召集)\s*[:：]\s*([\u4e00-\u9fff]{2,4})|[@＠]([\u4e00-\u9fff]{2,4})|[（(]\s*([\u4e00-\u9fff]{2,4})\s*[)）]\s*$")
 NOISE = re.compile(r"^[\s\-—_=*#·。，、；：]+$")
