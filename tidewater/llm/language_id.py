@@ -106,6 +106,7 @@ class Network:
         g_out, g_bias = np.einsum("tln,thn->lh", d, both, optimize=True), d.sum((0, 2))[:, None]
         d_both = np.matmul(self.out.T, d)
         g_byte, g_state, d_h = np.zeros_like(self.byte), np.zeros_like(self.state), np.zeros((2, HIDDEN, n), "f4")
+        d_byte = np.empty((2, 3 * HIDDEN, steps, n), "f4")
         for t in range(steps - 1, -1, -1):
             h, z, r, u, a, c, g = tape[t]
             d_h[0] += d_both[t, :HIDDEN]
@@ -117,10 +118,12 @@ class Network:
             d_u = np.concatenate([d_e[:, : 2 * HIDDEN], d_a * r], 1)
             d_h = d_h * (1 - z) + np.matmul(self.state.transpose(0, 2, 1), d_u)
             g_state += np.matmul(d_u, h.transpose(0, 2, 1))
-            for k, at in ((0, x[t]), (1, x[steps - 1 - t])):
-                one_hot = np.zeros((n, 256), "f4")
-                one_hot[np.arange(n), at] = 1
-                g_byte[k] += d_e[k] @ one_hot
+            d_byte[0, :, t], d_byte[1, :, steps - 1 - t] = d_e[0], d_e[1]
+        # Summed by byte, over all steps at once.
+        order = np.argsort(x.ravel(), kind="stable")
+        met = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        g_byte[:, :, met[first]] = np.add.reduceat(d_byte.reshape(2, 3 * HIDDEN, -1)[:, :, order], first, axis=2)
         return loss, [g_byte, g_state, g_out.astype("f4"), g_bias.astype("f4")]
 
 
