@@ -384,6 +384,9 @@ def test_corpus_life(spark):
     assert search.bm25(new.postings, q).count() == 1 and search.bm25(index.delete_files(new, spark.createDataFrame([("/r/d.md",)], "path string")).postings, q).count() == 0
     again, report = index.sync(new, spark.createDataFrame(later, kinds), "/r", embed, "other@2")
     assert {r.status: r.n for r in report.collect()} == {"rebuilt": 2, "embedded": 2} and again.embedder == "other@2"
+    extra = spark.createDataFrame([*later, ("/r/x.csv", "x.csv", "s", 3.0, body * 3), ("/r/e.md", "e.md", "s", 3.0, "# E\n" + body)], kinds)
+    more, report = index.imported(new, extra, "/r", embed, "m@1")
+    assert {r.status: r.n for r in report.collect()} == {"unchanged": 2, "added": 1, "skipped": 2, "orphans": 0, "embedded": 1, "stored": 1} and more.files.count() == 3
     assert index.healed(new) is new and index.healed(new, "another").postings is not new.postings
 
 

@@ -145,6 +145,13 @@ def sync(corpus: Corpus, files: DataFrame, root: str, embed, embedder: str) -> t
     return Corpus(stored(known, "files"), chunks, vectors, build_index(chunks, "id"), embedder), report
 
 
+def imported(corpus: Corpus, files: DataFrame, root: str, embed, embedder: str) -> tuple[Corpus, DataFrame]:
+    """The corpus with the files that were copied under root: Markdown is indexed, all else is stored alone, and counted."""
+    is_md = F.rlike("rel", F.lit(r"(?i)\.md$"))
+    new, report = sync(corpus, files.where(is_md), root, embed, embedder)
+    return new, report.unionByName(files.where(~is_md).agg(F.lit("stored").alias("status"), F.count(F.lit(1)).alias("n")))
+
+
 def delete_files(corpus: Corpus, paths: DataFrame) -> Corpus:
     """Without some files: their chunks, vectors and postings go with them."""
     files = stored(corpus.files.join(paths.select("path"), "path", "left_anti"), "files")
