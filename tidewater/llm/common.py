@@ -72,10 +72,9 @@ _built: dict[str, object] = {}
 
 
 def built(key: str, make):
-    """What make() gives, made once in a Python worker for each key. The latest few are held."""
+    """What make() gives, made once in a Python worker for each key. The latest alone is held."""
     if key not in _built:
-        while len(_built) >= 4:
-            del _built[next(iter(_built))]
+        _built.clear()
         _built[key] = make()
     return _built[key]
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, built, fold, last_written, token, written
+from tidewater.llm.common import bounded_batches, fold, last_written, written
 from tidewater.llm.hashing import LOWER, chunks, mixed
 from tidewater.sources.shared import delete
 from tidewater.sources.tables import read_spread
@@ -39,7 +39,7 @@ from tidewater.sources.tables import read_spread
 DEPTH, TOP = 6, 2
 #: Bytes of text in a block and of the pieces that it is worked on in, buckets at least and at most, grams that are looked up at
 #: a time, and counts whose gamma function is in a table.
-BLOCK, PIECE, BUCKETS, HELD, TABLE = 1 << 25, 1 << 20, (256, 1 << 16), 1 << 16, 1 << 16
+BLOCK, PIECE, BUCKETS, HELD, TABLE = 3 << 23, 1 << 20, (256, 1 << 16), 1 << 16, 1 << 16
 TEXTS, GRAMS, WORDS = 0, 1, 2
 NODE, LOW, TOKENS, DISTINCT = 0, 1, 2, 3
 
@@ -313,8 +313,8 @@ def word_counts(rows: list[tuple]) -> tuple[list[list[bytes]], Counter]:
 
 
 def looked_up(parts: DataFrame) -> tuple[DataFrame, int, int]:
-    """kind, block, data, value: for each row of GRAMS the log10 probabilities of its grams, for each row of WORDS the counts
-    of its words in all training texts; and the number of training tokens, all and distinct."""
+    """kind, block, data, value, written: for each row of GRAMS the log10 probabilities of its grams, for each row of WORDS the
+    counts of its words in all training texts; and the number of training tokens, all and distinct."""
     spark = parts.sparkSession
     dealt = parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
 
@@ -340,7 +340,7 @@ def looked_up(parts: DataFrame) -> tuple[DataFrame, int, int]:
     low, n = code[what == LOW], value[what == LOW].astype("i8")
     levels = [counted(low & ((1 << (8 * (d + 1))) - 1), n) for d in range(TOP + 1)]
     tree = Tree(levels, 0, (code[what == NODE], value[what == NODE]))
-    shared, name = spark.sparkContext.broadcast(tree.levels), token()
+    shared = spark.sparkContext.broadcast(tree.levels)
 
     def falling(batches):
         for (kind, _), rows in grouped(batches, ("block", "data", "n")):
@@ -350,7 +350,7 @@ def looked_up(parts: DataFrame) -> tuple[DataFrame, int, int]:
                 values = [packed(np.array([total[w] for w in words], "i8")) for words in each]
             else:
                 each, at, _, tree = subtree(packs)
-                levels, code = [*built(name, lambda: shared.value), *tree.levels], turned(at)
+                levels, code = [*shared.value, *tree.levels], turned(at)
                 logs, order = np.empty(len(at), "f4"), np.argsort(code)
                 for i in range(0, len(at), HELD):
                     logs[order[i : i + HELD]] = byte_logs(levels, code[order[i : i + HELD]])
@@ -358,7 +358,8 @@ def looked_up(parts: DataFrame) -> tuple[DataFrame, int, int]:
             for (block, data, _), value in zip(rows, values, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([value], pa.binary())], ["kind", "block", "data", "value"])
 
-    out = dealt.select("kind", "bucket", "block", "data", "n").mapInArrow(falling, "kind int, block bigint, data binary, value binary")
+    out = written(dealt.select("kind", "bucket", "block", "data", "n").mapInArrow(falling, "kind int, block bigint, data binary, value binary"), "lm-values")
+    shared.destroy()
     return out, int(value[what == TOKENS].sum()), int(value[what == DISTINCT].sum())
 
 
@@ -377,7 +378,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     parts = written(scanned(base, buckets), "lm-blocks", ("kind",))
     path = last_written()
     found, n, v = looked_up(parts.where(F.col("kind") != TEXTS).select("kind", "bucket", "block", "data", "n"))
-    found = written(found, "lm-values")
     for kind_done in (GRAMS, WORDS):  # what comes after reads texts and values alone
         delete(docs.sparkSession, f"{path}/kind={kind_done}")
     denominator = n + 0.1 * (v + 1)
