@@ -97,10 +97,12 @@ class Model:
         order = sorted({-score[i] for i in self.ids.values()})
         self.rank = {t: bisect_left(order, -score[i]) for t, i in self.ids.items()}
         self.parts: dict[int, tuple[int, int]] = {}
+        if {c for t in self.ids for c in t} - set(self.ids):
+            raise ValueError("a piece has a character that is none")
         self.reached = [i for t, i in self.ids.items() if len(t) == 1 or self.merged(t, i)]
-        loose = {c for t in self.ids for c in t} - {t for t in self.ids if len(t) == 1}
-        if loose or any(max(self.rank[self.text[p]] for p in two if len(self.text[p]) > 1) > self.rank[self.text[i]] for i, two in self.parts.items() if any(len(self.text[p]) > 1 for p in two)):
-            raise ValueError("a piece is ranked before its parts, or has a character that is none")
+        long = {i: [p for p in two if len(self.text[p]) > 1] for i, two in self.parts.items()}
+        if any(self.rank[self.text[p]] > self.rank[self.text[i]] for i, two in long.items() for p in two):
+            raise ValueError("a piece is merged before its parts")
         # Where texts may be cut: before the mark of a word, if none is inside a piece, and around white space that no piece joins.
         self.pairs = {two for t in self.ids for two in zip(t, t[1:], strict=False)}
         joined = {c for two in self.pairs for c in two}
