@@ -6,7 +6,7 @@ taken. Two tokens are compatible if no merge across their boundary would have co
 told by undoing these, the latest first. The ids are then read off backwards. So a text takes time that is linear in its length.
 
 Where no piece goes over a boundary (before a word's space mark, and around characters that stand alone), texts are cut, and what
-lies between is encoded once and held, some 2 * HELD strings of at most SHORT characters in each Python worker; a text without such
+lies between is encoded once and held, up to 2 * HELD strings of at most SHORT characters in each Python worker; a text without such
 boundaries is encoded in one. The model is read on the driver, is MOST bytes at most, and is broadcast. Models of other
 types, with a table of character changes, user-defined or unused pieces, or whose merges aren't in order, are refused.
 
@@ -21,6 +21,8 @@ import os
 import re
 import struct
 from bisect import bisect_left
+from hashlib import sha256
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, built, token
+from tidewater.llm.common import bounded_batches, built
 from tidewater.llm.hashing import chunks
 from tidewater.sources.tables import read_spread
 
 MARK = "▁"
+#: Stands between strings of a table, as a character that no piece has.
+BREAK = "\0"
 #: Bytes of a model file at most, strings that a worker holds with their ids, and characters of such a string.
 MOST, HELD, SHORT = 1 << 26, 1 << 18, 64
 
@@ -72,6 +76,7 @@ class Model:
     """The pieces of a model file and the merges that make them."""
 
     def __init__(self, data: bytes):
+        self.digest = sha256(data).hexdigest()
         self.text: list[str] = []
         self.kind: list[int] = []
         score, trainer, normalizer = [], {}, {}
@@ -99,7 +104,11 @@ class Model:
         self.parts: dict[int, tuple[int, int]] = {}
         if {c for t in self.ids for c in t} - set(self.ids):
             raise ValueError("a piece has a character that is none")
+        if any(BREAK in t for t in self.ids):
+            raise ValueError("a piece has the character 0")
         self.reached = [i for t, i in self.ids.items() if len(t) == 1 or self.merged(t, i)]
+        if not self.parts:
+            raise ValueError("no piece is merged")
         long = {i: [p for p in two if len(self.text[p]) > 1] for i, two in self.parts.items()}
         if any(self.rank[self.text[p]] > self.rank[self.text[i]] for i, two in long.items() for p in two):
             raise ValueError("a piece is merged before its parts")
@@ -122,6 +131,13 @@ class Model:
         return True
 
 
+class Single(dict):
+    """The piece of a character, or -1."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
 class Codec:
     """Encodes and decodes texts by a model. Unknown characters are -1 in the prefix table."""
 
@@ -130,8 +146,10 @@ class Codec:
         self.made = {i: model.rank[model.text[i]] for i in model.parts}
         self.length = [len(t) for t in model.text]
         self.automaton = ahocorasick.Automaton()
+        self.single = Single({model.text[i]: i for i in model.reached if self.length[i] == 1})
         for i in model.reached:
-            self.automaton.add_word(model.text[i], (i, self.length[i]))
+            if self.length[i] > 1:
+                self.automaton.add_word(model.text[i], (i, self.length[i]))
         self.automaton.make_automaton()
         self.agree: dict[int, bool] = {}
         self.held: dict[str, tuple[int, ...]] = {}
@@ -139,8 +157,12 @@ class Codec:
         alone = re.escape(model.alone)
         word = f"{MARK}*[^{MARK}{alone}]+|{MARK}+" if model.cut else f"[^{alone}]+" if alone else r"(?s:.+)"
         self.strings = re.compile(f"{word}|[{alone}]" if alone else word)
-        self.plain = [t.replace(MARK, " ") if k == NORMAL else UNKNOWN_TEXT if k == UNKNOWN else "" for t, k in zip(model.text, model.kind, strict=True)]
         self.of_byte = {i: b for b, i in enumerate(model.byte)}
+        self.marked = [k == NORMAL and t.startswith(MARK) for t, k in zip(model.text, model.kind, strict=True)]
+        #: What a piece decodes to by itself; None for bytes beyond ASCII.
+        self.plain = [t.replace(MARK, " ") if k == NORMAL else UNKNOWN_TEXT if k == UNKNOWN else "" for t, k in zip(model.text, model.kind, strict=True)]
+        for b, i in enumerate(model.byte):
+            self.plain[i] = chr(b) if b < 128 else None
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the boundary between two tokens outlives the merges that made them."""
@@ -159,15 +181,17 @@ class Codec:
             else:
                 until_x, x = made_x, self.parts[x][1]
 
-    def string(self, s: str) -> list[int]:
-        """Ids of a string that has its space marks."""
-        last, agree, pieces, done = [-1] * len(s), self.agree, len(self.text), -1
-        for end, (t, length) in self.automaton.iter(s):  # the longest first of those that end at a place
+    def table(self, text: str) -> list[int]:
+        """The last token of each prefix of a text that has its space marks; -1 for a character that is no piece, which begins anew.
+
+        As there is just one such token, it is the character's own where no longer one is compatible."""
+        last, agree, pieces, done = list(map(self.single.__getitem__, text)), self.agree, len(self.text), -1
+        for end, (t, length) in self.automaton.iter(text):  # the longest first of those that end at a place
             if end == done:
                 continue
-            before = end - length
-            if before >= 0:
-                p = last[before]
+            begin = end - length
+            if begin >= 0:
+                p = last[begin]
                 if p >= 0:
                     try:
                         if not agree[p * pieces + t]:
@@ -179,53 +203,70 @@ class Codec:
                         if not fits:
                             continue
             last[end], done = t, end
-        out, at = [], len(s)
+        return last
+
+    def looked_up(self, strings: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of strings, by one table of them all with BREAK between."""
+        text, lengths, found, out = BREAK.join(strings), self.length, {}, []
+        last, at, nth = self.table(text), len(text), len(strings) - 1
         while at:
             t = last[at - 1]
-            if t < 0:
-                at -= 1
-                out.extend(self.model.byte[b] for b in reversed(s[at].encode()))
-            else:
+            if t >= 0:
                 out.append(t)
-                at -= self.length[t]
-        out.reverse()
+                at -= lengths[t]
+                continue
+            at -= 1
+            c = text[at]
+            if c == BREAK:
+                found[strings[nth]] = tuple(reversed(out))
+                nth -= 1
+                out = []
+            else:
+                out.extend(self.model.byte[b] for b in reversed(c.encode()))
+        found[strings[nth]] = tuple(reversed(out))
+        return found
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; strings that no text had lately are looked up together."""
+        first, held, older = MARK if self.model.prefix else "", self.held, self.older
+        cuts = [self.strings.findall(first + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = [s for s in set().union(*cuts) if s not in held]
+        held.update((s, older[s]) for s in new if s in older)
+        rest = [s for s in new if s not in held]
+        if plain := [s for s in rest if BREAK not in s]:
+            held.update(self.looked_up(plain))
+        for s in rest:
+            if BREAK in s:  # which is a byte itself
+                parts = s.split(BREAK)
+                ids = self.looked_up([p for p in parts if p] or [MARK])
+                held[s] = tuple(i for k, p in enumerate(parts) for i in ((self.model.byte[0],) * (k > 0) + (ids[p] if p else ())))
+        out = [list(chain.from_iterable(map(held.__getitem__, cut))) for cut in cuts]
+        for s in [s for s in new if len(s) > SHORT]:
+            del held[s]
+        if len(held) > HELD:  # what isn't met again goes
+            self.older, self.held = held, {}
         return out
 
-    def known(self, s: str) -> tuple[int, ...]:
-        """Ids of a string that isn't among those held lately; it is held from now on."""
-        ids = self.older[s] if s in self.older else tuple(self.string(s))
-        if len(s) <= SHORT:
-            if len(self.held) >= HELD:  # what isn't met again goes
-                self.older, self.held = self.held, {}
-            self.held[s] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out = []
-        for s in self.strings.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK)):
-            out += self.held.get(s) or self.known(s)
-        return out
+        return self.encoded([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that follow one another are read as UTF-8, and each byte that can't be is U+FFFD."""
-        out, run, first, plain, of_byte = [], bytearray(), self.model.prefix, self.plain, self.of_byte
-        for i in ids:
-            b = of_byte.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(utf8(bytes(run)))
-                run.clear()
-            t = plain[i]
-            if first and not any(out) and self.model.kind[i] == NORMAL and t.startswith(" "):
-                t, first = t[1:], False
-            out.append(t)
-        if run:
-            out.append(utf8(bytes(run)))
-        return "".join(out)
+        parts = list(map(self.plain.__getitem__, ids))
+        if None in parts:  # bytes that aren't characters
+            at = 0
+            while at < len(parts):
+                end = at
+                while end < len(parts) and parts[end] is None:
+                    end += 1
+                if end > at:
+                    parts[at:end] = [utf8(bytes(self.of_byte[i] for i in ids[at:end])), *[""] * (end - at - 1)]
+                at = end + 1
+        text = "".join(parts)
+        # The first piece that shows loses the mark that was put before the text.
+        if self.model.prefix and text.startswith(" ") and self.marked[next(i for i, t in zip(ids, parts, strict=True) if t)]:
+            return text[1:]
+        return text
 
 
 def utf8(data: bytes) -> str:
@@ -256,18 +297,19 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id and ids (array of int) for each row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared, key = spark.sparkContext.broadcast(model), token()
+    shared, key = spark.sparkContext.broadcast(model), f"pieces-{model.digest}"
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        codec = built(f"encode-{key}", lambda: Codec(shared.value))
+        codec = built(key, lambda: Codec(shared.value))
         for batch in batches:
             texts = [t.as_py() for t in pc.fill_null(batch.column("_text").cast(pa.large_binary()), b"")]
             for i, j in chunks(texts):
-                ids = [np.array(codec.encode(t.decode("utf-8", "replace")), "i4") for t in texts[i:j]]
+                ids = codec.encoded([t.decode("utf-8", "replace") for t in texts[i:j]])
                 at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))], ["_id", "ids"])
+                flat = pa.array(np.fromiter(chain.from_iterable(ids), "i4"))
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.ListArray.from_arrays(at, flat)], ["_id", "ids"])
 
     return base.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
@@ -276,14 +318,16 @@ def decode(coded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str
     """id, keep and text for each row."""
     spark = coded.sparkSession
     bounded_batches(spark)
-    shared, key = spark.sparkContext.broadcast(model), token()
+    shared, key = spark.sparkContext.broadcast(model), f"pieces-{model.digest}"
     base = coded.select(id_col, *keep, F.col(ids_col).alias("_ids"))
     kinds = "".join(f"`{c}` {coded.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
 
     def run(batches):
-        codec = built(f"decode-{key}", lambda: Codec(shared.value))
+        codec = built(key, lambda: Codec(shared.value))
         for batch in batches:
-            texts = pa.array([codec.decode(ids.as_py() or []) for ids in batch.column("_ids")], pa.string())
+            lists = pc.fill_null(batch.column("_ids"), [])
+            at, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
+            texts = pa.array([codec.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *keep)), texts], [id_col, *keep, "text"])
 
     return base.mapInArrow(run, f"{kinds}text string")
