@@ -213,8 +213,10 @@ def test_decoding_is_the_librarys(codec, library, ids):
 def test_held_strings_are_bounded(model, monkeypatch, library):
     monkeypatch.setattr(S, "HELD", 8)
     codec = S.Codec(model)
-    text = " ".join(f"word{i % 37} thing{i}" for i in range(400))
-    assert codec.encode(text) == library.encode(text) and len(codec.held) <= 9 and len(codec.older) <= 9
+    for i in range(200):
+        text = f"word{i % 37} thing{i} \0 {'x' * 70}"
+        assert codec.encode(text) == library.encode(text)
+    assert len(codec.held) <= 8 and len(codec.older) <= 8 + 4 and not any(len(s) > S.SHORT for s in codec.held)
 
 
 def test_other_models_are_refused(tmp_path):
