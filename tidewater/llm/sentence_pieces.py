@@ -38,8 +38,8 @@ from tidewater.sources.tables import read_spread
 MARK = "▁"
 #: Stands between strings of a table, as a character that no piece has.
 BREAK = "\0"
-#: Bytes of a model file at most, strings that a worker holds with their ids, and characters of such a string.
-MOST, HELD, SHORT = 1 << 26, 1 << 18, 64
+#: Bytes of a model file at most, strings that a worker holds with their ids, characters of such a string, and pairs of tokens held.
+MOST, HELD, SHORT, PAIRS = 1 << 26, 1 << 18, 64, 1 << 20
 
 # Fixed values of the model format: kinds of pieces, the model type of merges, and what an unknown id decodes to.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -151,6 +151,9 @@ class Codec:
             if self.length[i] > 1:
                 self.automaton.add_word(model.text[i], (i, self.length[i]))
         self.automaton.make_automaton()
+        self.lefts, self.rights = ({i: self.edges(i, side) for i in model.reached} for side in (0, 1))
+        splits = ((t[:k], t[k:], t) for t in model.ids for k in range(1, len(t)))
+        self.joined = {model.ids[a] * len(model.text) + model.ids[b]: model.rank[t] for a, b, t in splits if a in model.ids and b in model.ids}
         self.agree: dict[int, bool] = {}
         self.held: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -164,22 +167,32 @@ class Codec:
         for b, i in enumerate(model.byte):
             self.plain[i] = chr(b) if b < 128 else None
 
+    def edges(self, t: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stood at an edge of a token before the merges that made it, latest first, with the rank that made each."""
+        out = [(t, self.made.get(t, -1))]
+        while t in self.parts:
+            t = self.parts[t][side]
+            out.append((t, self.made.get(t, -1)))
+        return out
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the boundary between two tokens outlives the merges that made them."""
-        x, y = left, right
+        xs, ys, joined, pieces = self.rights[left], self.lefts[right], self.joined, len(self.text)
+        (x, made_x), (y, made_y), i, j = xs[0], ys[0], 0, 0
         until_x = until_y = len(self.model.rank)  # when x and y are merged into what is left or right of the boundary
         while True:
-            across = self.model.rank.get(self.text[x] + self.text[y])
+            across = joined.get(x * pieces + y)
             # A like rank goes to what stands further left: to the merge that takes x, but to this one before that which takes y.
             if across is not None and across < until_x and across <= until_y:
                 return False
-            made_x, made_y = self.made.get(x, -1), self.made.get(y, -1)
-            if made_x < 0 and made_y < 0:
-                return True
             if made_y >= made_x:
-                until_y, y = made_y, self.parts[y][0]
+                if made_y < 0:
+                    return True
+                j, until_y = j + 1, made_y
+                y, made_y = ys[j]
             else:
-                until_x, x = made_x, self.parts[x][1]
+                i, until_x = i + 1, made_x
+                x, made_x = xs[i]
 
     def table(self, text: str) -> list[int]:
         """The last token of each prefix of a text that has its space marks; -1 for a character that is no piece, which begins anew.
@@ -197,7 +210,7 @@ class Codec:
                         if not agree[p * pieces + t]:
                             continue
                     except KeyError:
-                        if len(agree) > 4 * HELD:
+                        if len(agree) >= PAIRS:
                             agree.clear()
                         agree[p * pieces + t] = fits = self.compatible(p, t)
                         if not fits:
@@ -206,46 +219,54 @@ class Codec:
         return last
 
     def looked_up(self, strings: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of strings, by one table of them all with BREAK between."""
-        text, lengths, found, out = BREAK.join(strings), self.length, {}, []
-        last, at, nth = self.table(text), len(text), len(strings) - 1
+        """Ids of strings without BREAK, by one table of them all with BREAK after each."""
+        text, lengths, flat = BREAK.join([*strings, ""]), self.length, []
+        last, at, add = self.table(text), len(text), flat.append
         while at:
             t = last[at - 1]
             if t >= 0:
-                out.append(t)
+                add(t)
                 at -= lengths[t]
-                continue
-            at -= 1
-            c = text[at]
-            if c == BREAK:
-                found[strings[nth]] = tuple(reversed(out))
-                nth -= 1
-                out = []
             else:
-                out.extend(self.model.byte[b] for b in reversed(c.encode()))
-        found[strings[nth]] = tuple(reversed(out))
+                at -= 1
+                c = text[at]
+                if c == BREAK:
+                    add(-1)
+                else:
+                    flat.extend(self.model.byte[b] for b in reversed(c.encode()))
+        flat.reverse()
+        found, begin = {}, 0
+        for s in strings:
+            end = flat.index(-1, begin)
+            found[s] = tuple(flat[begin:end])
+            begin = end + 1
         return found
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; strings that no text had lately are looked up together."""
-        first, held, older = MARK if self.model.prefix else "", self.held, self.older
-        cuts = [self.strings.findall(first + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [s for s in set().union(*cuts) if s not in held]
-        held.update((s, older[s]) for s in new if s in older)
-        rest = [s for s in new if s not in held]
-        if plain := [s for s in rest if BREAK not in s]:
-            held.update(self.looked_up(plain))
+    def missed(self, strings: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of strings that aren't among those held lately."""
+        now = {s: self.older[s] for s in strings if s in self.older}
+        rest = [s for s in strings if s not in now]
+        now |= self.looked_up([s for s in rest if BREAK not in s])
         for s in rest:
             if BREAK in s:  # which is a byte itself
                 parts = s.split(BREAK)
-                ids = self.looked_up([p for p in parts if p] or [MARK])
-                held[s] = tuple(i for k, p in enumerate(parts) for i in ((self.model.byte[0],) * (k > 0) + (ids[p] if p else ())))
-        out = [list(chain.from_iterable(map(held.__getitem__, cut))) for cut in cuts]
-        for s in [s for s in new if len(s) > SHORT]:
-            del held[s]
-        if len(held) > HELD:  # what isn't met again goes
-            self.older, self.held = held, {}
-        return out
+                ids = self.looked_up([p for p in parts if p])
+                now[s] = tuple(i for k, p in enumerate(parts) for i in ((self.model.byte[0],) * (k > 0) + (ids[p] if p else ())))
+        if len(self.held) >= HELD:  # what isn't met again goes
+            self.older, self.held = self.held, {}
+        self.held.update((s, ids) for s, ids in now.items() if len(s) <= SHORT)
+        return now
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; strings that no text had lately are looked up together."""
+        first = MARK if self.model.prefix else ""
+        cuts = [self.strings.findall(first + t.replace(" ", MARK)) if t else [] for t in texts]
+        rows = [list(map(self.held.get, cut)) for cut in cuts]
+        new = {s for cut, row in zip(cuts, rows, strict=True) if None in row for s, ids in zip(cut, row, strict=True) if ids is None}
+        if new:
+            now = self.missed(new)
+            rows = [[now[s] if ids is None else ids for s, ids in zip(cut, row, strict=True)] if None in row else row for cut, row in zip(cuts, rows, strict=True)]
+        return [list(chain.from_iterable(row)) for row in rows]
 
     def encode(self, text: str) -> list[int]:
         return self.encoded([text])[0]
