@@ -387,7 +387,10 @@ def test_corpus_life(spark):
     extra = spark.createDataFrame([*later, ("/r/x.csv", "x.csv", "s", 3.0, body * 3), ("/r/e.md", "e.md", "s", 3.0, "# E\n" + body)], kinds)
     more, report = index.imported(new, extra, "/r", embed, "m@1")
     assert {r.status: r.n for r in report.collect()} == {"unchanged": 2, "added": 1, "skipped": 2, "orphans": 0, "embedded": 1, "stored": 1} and more.files.count() == 3
-    assert index.healed(new) is new and index.healed(new, "another").postings is not new.postings
+    other = index.healed(new, "cjk")
+    assert index.healed(new) is new and other.postings.tokenizer == "cjk" and index.healed(other, "cjk") is other
+    with pytest.raises(ValueError):
+        index.healed(new, "another")
 
 
 def test_reports_of_a_session(spark):

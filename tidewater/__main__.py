@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater import registry
 from tidewater.functions.vectors import hash_embed
 from tidewater.operators import events, index, search
+from tidewater.operators.store import Store
 from tidewater.session import session
 from tidewater.sources import corpus
 
@@ -31,17 +32,17 @@ def main(args: list[str] | None = None) -> None:
         out = registry.QUERIES[given.rest[0]](spark, given.rest[1])
     elif given.command == "index":
         files = corpus.corpus(spark, given.rest[0]).where("skip is null").withColumn("source", F.substring_index("rel", "/", 1))
-        held = index.build(files, lambda rows: hash_embed(rows, ["id"], "text"), "hash@64")
-        for name in ("files", "chunks", "vectors"):
-            getattr(held, name).write.mode("overwrite").parquet(f"{given.rest[1]}/{name}")
-        out = index.stats(held.chunks, held.vectors)
+        held = Store.create(spark, given.rest[1], embedder="hash@64")
+        root = files.select(F.expr("left(path, length(path) - length(rel) - 1)")).first()
+        snap, out = held.sync(files, root[0] if root else given.rest[0], lambda rows: hash_embed(rows, ["id"], "text"))
+        held.compact()
     elif given.command == "search":
-        chunks = spark.read.parquet(f"{given.rest[0]}/chunks")
+        snap = Store(spark, given.rest[0]).open()
         asked = hash_embed(spark.range(1).select(F.col("id").alias("query_id"), F.lit(given.rest[1]).alias("query")), ["query_id", "query"], "query")
-        vectors = spark.read.parquet(f"{given.rest[0]}/vectors").withColumnRenamed("id", "vec_id")
-        out = search.search(search.build_index(chunks, "id"), vectors, asked, chunks.select("id", "path", "source"))
+        out = search.search(snap.index(), snap.vectors().withColumnRenamed("id", "vec_id"), asked, snap.chunks().select("id", "path", "source"))
     elif given.command == "stats":
-        out = index.stats(*(spark.read.parquet(f"{given.rest[0]}/{n}") for n in ("chunks", "vectors")))
+        snap = Store(spark, given.rest[0]).open()
+        out = index.stats(snap.chunks(), snap.vectors())
     elif given.command == "events":
         out = events.by_type(events.extract(minutes(spark, given.rest[0])))
     else:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +30,33 @@ def tokenize_cjk(text: Column) -> Column:
     return F.coalesce(F.concat(single, pairs), F.array().cast("array<string>"))
 
 
-def segment(text: Column) -> Column:
+@dataclass(frozen=True)
+class Tokenizer:
+    """How an index cuts texts and queries; an index keeps the name, so that both are cut alike."""
+
+    name: str
+    tokens: Callable[[Column], Column]
+
+
+LETTERS, CJK_PAIRS = Tokenizer("letters and digits", tokenize), Tokenizer("cjk", tokenize_cjk)
+_tokenizers = {t.name: t for t in (LETTERS, CJK_PAIRS)}
+
+
+def register(t: Tokenizer) -> Tokenizer:
+    _tokenizers[t.name] = t
+    return t
+
+
+def tokenizer(name: str) -> Tokenizer:
+    """The tokenizer of this name; one that needs a dictionary is known once it has been made in this session."""
+    if name not in _tokenizers:
+        raise ValueError(f"no tokenizer {name!r}; known: {', '.join(sorted(_tokenizers))}")
+    return _tokenizers[name]
+
+
+def segment(text: Column, tokens: Tokenizer = LETTERS) -> Column:
     """The tokens joined by spaces: what an index stores beside the text."""
-    return F.array_join(tokenize(text), " ")
+    return F.array_join(tokens.tokens(text), " ")
 
 
 def query_terms_or(query: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import content_hash, strip
+from tidewater.functions.text import LETTERS, content_hash, strip, tokenizer
 from tidewater.operators.chunk import chunks as chunked
 from tidewater.operators.search import Index, build_index
 from tidewater.sources.shared import stored
@@ -159,8 +159,9 @@ def delete_files(corpus: Corpus, paths: DataFrame) -> Corpus:
     return Corpus(files, chunks, stored(corpus.vectors.join(chunks.select("id"), "id", "left_semi"), "vectors"), build_index(chunks, "id"), corpus.embedder)
 
 
-def healed(corpus: Corpus, tokenizer: str = Index.tokenizer) -> Corpus:
-    """Postings are derived: they are made again where another tokenizer made them, or where there are none for chunks that there are."""
-    if corpus.postings.tokenizer == tokenizer and (not corpus.postings.postings.isEmpty() or corpus.chunks.isEmpty()):
+def healed(corpus: Corpus, tokens: str = LETTERS.name) -> Corpus:
+    """Postings are derived: they are made again, by the tokenizer of this name, where another made them, or where there are none for
+    chunks that there are."""
+    if corpus.postings.tokenizer == tokens and (not corpus.postings.postings.isEmpty() or corpus.chunks.isEmpty()):
         return corpus
-    return Corpus(corpus.files, corpus.chunks, corpus.vectors, build_index(corpus.chunks, "id"), corpus.embedder)
+    return Corpus(corpus.files, corpus.chunks, corpus.vectors, build_index(corpus.chunks, "id", tokens=tokenizer(tokens)), corpus.embedder)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import n_tokens, tokenize
+from tidewater.functions.text import LETTERS, Tokenizer, n_tokens, tokenize, tokenizer
 from tidewater.functions.vectors import block_join, matrix, usable
 from tidewater.sources.shared import fresh_path, stored
 
@@ -21,15 +21,16 @@ K1, B, RRF = 1.2, 0.75, 60
 VECTORS = 1 << 22
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Tokenizer = LETTERS) -> DataFrame:
     """id, dl, term, tf. dl, the number of tokens, stands beside each term, so that scoring needs no second join."""
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
+    toks = docs.select(F.col(id_col).alias("id"), tokens.tokens(F.col(text_col)).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
     return toks.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, text_col: str = "text", tokens: Tokenizer = LETTERS) -> DataFrame:
     """One row: n and avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(n_tokens(F.col(text_col))).alias("avgdl"))
+    many = n_tokens(F.col(text_col)) if tokens == LETTERS else F.size(tokens.tokens(F.col(text_col)))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(many).alias("avgdl"))
 
 
 @dataclass
@@ -40,23 +41,25 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
-    tokenizer: str = "letters and digits"
+    tokenizer: str = LETTERS.name
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Tokenizer = LETTERS) -> Index:
     """Tokenise once, search often. Buckets of the id let scores be summed and cut to the best of each task without a shuffle."""
     spark = docs.sparkSession
     name, path = f"postings_{uuid.uuid4().hex}", fresh_path(spark, "postings")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings(docs, id_col, text_col).repartition(n, "id").write.bucketBy(n, "id").sortBy("term").option("path", path).saveAsTable(name)
+    postings(docs, id_col, text_col, tokens).repartition(n, "id").write.bucketBy(n, "id").sortBy("term").option("path", path).saveAsTable(name)
     table = spark.table(name)
-    return Index(table, stored(table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stored(corpus_stats(docs, text_col), "figures"))
+    return Index(table, stored(table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stored(corpus_stats(docs, text_col, tokens), "figures"), tokens.name)
 
 
 def bm25(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
     """query_id, id, score of every document that has a term of the query; from a stored index, or from texts, whose terms of no
-    query are dropped before they are counted. The one row of corpus figures joins as a broadcast."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(query_col)))).alias("term"))
+    query are dropped before they are counted. The one row of corpus figures joins as a broadcast. Queries are cut by the tokenizer
+    that made the index."""
+    cut = tokenizer(docs.tokenizer) if isinstance(docs, Index) else LETTERS
+    terms = queries.select("query_id", F.explode(F.array_distinct(cut.tokens(F.col(query_col)))).alias("term"))
     if isinstance(docs, Index):
         tf, stats = docs.postings, docs.stats
         df = docs.terms

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("retrieval", "indexing", "event_queries", "text_queries", "stream_queries")
+PLANS = ("retrieval", "indexing", "store_queries", "event_queries", "text_queries", "stream_queries")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
