@@ -314,8 +314,8 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array of int) for each row."""
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id and ids (array of int) for each row; and, if it is asked for, the text that decode() gives for them, in one pass."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared, key = spark.sparkContext.broadcast(model), f"pieces-{model.digest}"
@@ -330,9 +330,11 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ids = codec.encoded([t.decode("utf-8", "replace") for t in texts[i:j]])
                 at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), "i4"))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.ListArray.from_arrays(at, flat)], ["_id", "ids"])
+                cols = [batch.column("_id").slice(i, j - i), pa.ListArray.from_arrays(at, flat)]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(map(codec.decode, ids), pa.string())] if decoded else [])], names)
 
-    return base.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    names = ["_id", "ids", *(["text"] if decoded else [])]
+    return base.mapInArrow(run, f"_id {kind}, ids array<int>" + ", text string" * decoded).withColumnRenamed("_id", id_col)
 
 
 def decode(coded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -364,7 +366,6 @@ def op13_sentence_pieces(spark, sf_dir: str, model_path: str | None = None) -> D
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
     model = load(model_path)
-    coded = encode(read_spread(spark, f"{sf_dir}/documents.parquet"), model)
-    listed = coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"))
-    out = decode(listed, model, keep=("n_tokens", "ids_sha256"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", digest(F.col("text")).alias("decoded_sha256"))
+    out = encode(read_spread(spark, f"{sf_dir}/documents.parquet"), model, decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(listed).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))
