@@ -2,11 +2,11 @@
 
 Records are ordered by a 52-bit hash of their text, so that equal texts stand together. A sample drawn in proportion to
 size gives quantile boundaries, which cut the keys into RANGES ranges. Keys that alone hold more than 1/64 of a shard
-(large groups of equal texts) are cut by id, and other ranges over that size by key; whole units then fill the shards in
-key order. So shards are near equal in bytes, and equal texts share a shard unless their group is that large.
+(large groups of equal texts) are cut by row, whatever their ids, and other ranges over that size by key; whole units then fill
+the shards in key order. So shards are near equal in bytes, and equal texts share a shard unless their group is that large.
 
-A null text has no bytes and counts as empty; its crc is that of the empty text. Null ids are placed like others, before
-others of their unit. Repeated rows are all placed. Texts of any length are sized whole; one that is larger than a shard makes
+A null text has no bytes and counts as empty; its crc is that of the empty text. Null and repeated ids are placed like others, as
+hot groups are cut by the rows' numbers in a written table; null ids come first in their unit. Repeated rows are all placed. Texts of any length are sized whole; one that is larger than a shard makes
 its shard as much larger. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -33,13 +33,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
         docs.select(
-            F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("bigint").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.shiftrightunsigned(F.xxhash64(text), 12).alias("_key")
+            F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("bigint").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.shiftrightunsigned(F.xxhash64(text), 12).alias("_key")
         ),
         "shard-rows",
     )
     total = rows.agg(F.sum("_size")).first()[0] or 0
     full = total / shards
-    chance = F.pmod(F.xxhash64("_id", "_key", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
+    chance = F.pmod(F.xxhash64("_row", "_id", "_key", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     copies = F.floor(chance + F.col("_size") * (SAMPLE / max(total, 1))).cast("bigint")
     # About SAMPLE keys, which bounds the array.
     sample = rows.select("_key", copies.alias("_w")).where("_w > 0").select(F.explode(F.array_repeat("_key", F.col("_w").cast("int"))).alias("_key"))
@@ -52,7 +52,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     placed = rows.join(F.broadcast(hot), "_key", "left").withColumn("_range", range_of(F.col("_key"), bounds))
     over = written(placed.where("_parts is null").groupBy("_range").agg(F.sum("_size").alias("_s")).where(heavy).select("_range", parts.alias("_cuts")), "shard-ranges")
     own = F.when(F.col("_parts").isNotNull(), F.col("_key")).otherwise(F.lit(-1))
-    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_parts"))).when(F.col("_cuts").isNotNull(), F.pmod(F.xxhash64("_key"), F.col("_cuts"))).otherwise(F.lit(0))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_row", "_id"), F.col("_parts"))).when(F.col("_cuts").isNotNull(), F.pmod(F.xxhash64("_key"), F.col("_cuts"))).otherwise(F.lit(0))
     unit = ["_range", "_own", "_part"]
     units = placed.join(F.broadcast(over), "_range", "left").select("_id", "_size", "_crc", "_key", "_range", own.alias("_own"), part.alias("_part"))
     # At most RANGES units and 2 * FINE more for each shard and way of cutting.
