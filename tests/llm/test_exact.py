@@ -378,3 +378,32 @@ def test_license_headers_over_lines_and_in_prose(spark):
     got = {r.path: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")).collect()}
     assert [(got[p].license, got[p].found, got[p].line) for p, _ in files] == [("BSD-3-Clause", "header", 1), ("MIT", "header", 0), ("GPL-3.0", "header", 0), ("MPL-2.0", "header", 0), (None, "none", None)]
     assert all(got[p].score > 0.99 for p, _ in files[:4])
+
+
+def test_shards_of_null_and_repeated_ids(spark):
+    """A third of all rows hold one text and no id, or one id: bytes stay near equal, and slots have no gap."""
+    for hot in (None, 5):
+        rows = [(hot, "hot text " * 30)] * 1000 + [(i, f"text {i} " * 30) for i in range(2000)]
+        got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("shard").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
+        even = sum(r.s for r in got) / 16
+        assert len(got) == 16 and all(abs(r.s - even) < 0.06 * even and r.n == r.last + 1 for r in got)
+
+
+def test_mix_of_many_small_sources(spark):
+    """Two hundred sources of a document each: a few packets for each, and targets that are met."""
+    docs = spark.createDataFrame([(i, "w " * (50 + i % 60), f"s{i:03}") for i in range(200)], "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(abs(r.taken - r.target) <= 0.04 * r.target + 1 and r.n <= 66 for r in got)
+
+
+def test_prose_is_ruled_out_as_no_licence():
+    """English that has the words of licences, but not together, isn't looked at further; a licence within prose is."""
+    prose = "the software is provided to the user or the author and any copy of this work shall be used for the purpose of a free and open source".split()
+    common = {w.encode(): 900 for w in prose}
+    matcher = license_scan.Matcher(common, 1000, license_scan.TEMPLATES, license_scan.LEAST)
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices(prose, k=120)).encode() for _ in range(200)]
+    assert sum(bool(matcher.may(set(D.words(t)))) for t in texts) < 10
+    for name, text in license_scan.TEMPLATES:
+        k = [n for n, *_ in matcher.vectors].index(name)
+        assert any(matcher.vectors[i][0] == name for i in matcher.may(set(D.words(b"the user or the author " + text.encode())))), k
