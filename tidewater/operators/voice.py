@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.vectors import block_join, matrix, usable
+from tidewater.operators.timeline import neighbour_bounds
 
 MERGE, SCORE, MARGIN, SAME, KEEP = 0.55, 0.60, 0.10, 0.92, 8
 #: Numbers of a block of vectors.
@@ -202,6 +203,41 @@ def window_mean(rows: DataFrame, by: list[str], vec: str = "emb") -> DataFrame:
     return whole.select(*by, F.transform("_v", lambda s: s["_m"]).alias("_u"), "_n").select(*by, F.zip_with("_u", F.array_repeat("_n", F.size("_u")), lambda a, n: a / F.greatest(n, F.lit(1e-9))).alias(vec))
 
 
+# Fixed values, in seconds: what a span is padded by, should have, may borrow on a side, and must have for a vector.
+PAD, LEAST_SPAN, BORROW, SHORTEST = 0.35, 2.0, 1.0, 1.2
+
+
+def span_reach(spans: DataFrame, by: list[str], key: str, pad: float = PAD, least: float = LEAST_SPAN, most: float = BORROW) -> DataFrame:
+    """by, key, low, high, borrowed: the time whose vectors may stand for a span (start, end). A padded span shorter than `least` borrows
+    from both sides, half from before first, then what is lacking from after, then from before again; never beyond the neighbours'
+    bounds, nor more than `most` on a side. Spans without a start or end take no part."""
+    rows = spans.where("start is not null and end is not null").select(*by, key, "start", "end")
+    rows = rows.join(neighbour_bounds(rows, by, key), [*by, key])
+    a, b = F.col("start") - pad, F.col("end") + pad
+    room_low = F.greatest(F.lit(0.0), a - F.greatest(F.coalesce("low", a - most), a - most))
+    room_high = F.greatest(F.lit(0.0), F.least(F.coalesce("high", b + most), b + most) - b)
+    need = F.greatest(F.lit(0.0), least - (b - a))
+    rows = rows.select(*by, key, a.alias("_a"), b.alias("_b"), room_low.alias("_rl"), room_high.alias("_rh"), need.alias("_need"))
+    rows = rows.withColumn("_l", F.least(F.col("_need") / 2, "_rl"))
+    rows = rows.withColumn("_h", F.least(F.col("_need") - F.col("_l"), F.col("_rh")))
+    rows = rows.withColumn("_l", F.col("_l") + F.least(F.col("_need") - F.col("_l") - F.col("_h"), F.col("_rl") - F.col("_l")))
+    return rows.select(*by, key, (F.col("_a") - F.col("_l")).alias("low"), (F.col("_b") + F.col("_h")).alias("high"), (F.col("_l") + F.col("_h")).alias("borrowed"))
+
+
+def span_vectors(spans: DataFrame, windows: DataFrame, by: list[str], key: str, cell: float = LEAST_SPAN, vec: str = "emb", **reach: float) -> DataFrame:
+    """by, key, emb, n_win, borrowed: the mean, at length 1, of the windows (start, end, emb) that lie within a span's reach.
+
+    Windows meet spans by the cell of a grid in which they begin, so the join is on equal keys and a long span has as many rows as
+    it has cells; the mean is of each number. Spans without a window, or with less than SHORTEST in all, have no row. Windows with null times or vectors take no part."""
+    reached = span_reach(spans, by, key, **reach)
+    slot = lambda c: F.floor(c / cell).cast("bigint")
+    a = reached.withColumn("_cell", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
+    b = windows.where(f"start is not null and end is not null and {vec} is not null").select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(vec).alias("_v"), slot(F.col("start")).alias("_cell"))
+    met = a.where(F.col("high") - F.col("low") >= SHORTEST).join(b, [*by, "_cell"]).where("_s >= low - 1e-9 and _e <= high + 1e-9")
+    counted = met.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n_win"), F.first("borrowed").alias("borrowed"))
+    return window_mean(met.select(*by, key, F.col("_v").alias(vec)), [*by, key], vec).join(counted, [*by, key])
+
+
 def bind(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Give every row of a bound cluster its name: names (spk, name)."""
     return rows.join(names.select("spk", F.col("name").alias("_name")), "spk", "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import segmenter as G
-from tidewater.operators import relational, search, sketches
+from tidewater.operators import relational, search, sketches, voice
 from tidewater.operators.store import Store
 from tidewater.plans.retrieval import MANY, TOP, bm25_sql, many_queries, table
 from tidewater.sources.shared import fresh_path, stored
@@ -98,7 +98,18 @@ def sketch_bounds(spark, sf):
     return out.select("kind", "n", "n_users", (F.col("rows") == F.col("n")).alias("rows_right"), (F.abs(F.col("distinct") - F.col("n_users")) <= F.greatest(F.lit(1), 0.05 * F.col("n_users"))).alias("distinct_near"), (near("q50", 0.5) & near("q90", 0.9)).alias("quantiles_near"))
 
 
+def span_slices(spark, sf):
+    """Vectors of events' spans from windows of their users' other events; an hour counts as a second."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
+    e = table(spark, sf, "events").select("user_id", "event_id", F.round(t, 3).alias("t"), F.col("value").cast("double").alias("value"))
+    spans = e.where("event_id % 3 = 0").select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + 1).alias("end"))
+    windows = e.select("user_id", (F.col("t") - 0.5).alias("start"), (F.col("t") + 0.5).alias("end"), F.array("value", F.lit(1.0), F.col("event_id") % 7).alias("emb"))
+    out = voice.span_vectors(spans, windows, ["user_id"], "event_id", cell=4.0, pad=0.5, least=12.0, most=6.0)
+    return out.select("user_id", "event_id", "n_win", F.round("borrowed", 6).alias("borrowed"), *(F.round(F.get("emb", i), 6).alias(f"x{i}") for i in range(3)))
+
+
 QUERIES = {
+    "span_slices": span_slices,
     "store_sync": store_sync, "store_bm25": store_bm25, "store_compacted_terms": store_compacted_terms, "segment_words": segment_words, "not_in_rows": not_in_rows, "sketch_bounds": sketch_bounds,
 }
 
@@ -107,6 +118,15 @@ CASES = """d AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS a,
 r AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS x, 'en' AS y FROM labels)"""
 
 SQL = {
+    "span_slices": """WITH e AS (SELECT user_id, event_id, round(epoch_us(ts) / 3.6e9::DOUBLE, 3) AS t, value::DOUBLE AS value FROM events),
+s AS (SELECT user_id, event_id, t AS s0, t + 1 AS e0 FROM e WHERE event_id % 3 = 0),
+n AS (SELECT a.user_id, a.event_id, a.s0 - 0.5 AS a, a.e0 + 0.5 AS b, max(b.e0) FILTER (b.e0 <= a.s0) AS low, min(b.s0) FILTER (b.s0 >= a.e0) AS high FROM s a JOIN s b ON a.user_id = b.user_id GROUP BY ALL),
+r AS (SELECT *, greatest(0, a - greatest(coalesce(low, a - 6), a - 6)) AS rl, greatest(0, least(coalesce(high, b + 6), b + 6) - b) AS rh, greatest(0, 12 - (b - a)) AS need FROM n),
+l AS (SELECT *, least(need / 2, rl) AS l1, least(need - least(need / 2, rl), rh) AS h FROM r),
+f AS (SELECT *, l1 + least(need - l1 - h, rl - l1) AS l FROM l),
+m AS (SELECT f.user_id, f.event_id, count(*) AS n_win, any_value(l + h) AS borrowed, avg(value) AS m0, avg(1.0::DOUBLE) AS m1, avg(e.event_id % 7) AS m2
+  FROM f JOIN e ON e.user_id = f.user_id AND e.t - 0.5 >= a - l - 1e-9 AND e.t + 0.5 <= b + h + 1e-9 GROUP BY f.user_id, f.event_id)
+SELECT user_id, event_id, n_win, round(borrowed, 6) AS borrowed, round(m0 / sqrt(m0 * m0 + m1 * m1 + m2 * m2), 6) AS x0, round(m1 / sqrt(m0 * m0 + m1 * m1 + m2 * m2), 6) AS x1, round(m2 / sqrt(m0 * m0 + m1 * m1 + m2 * m2), 6) AS x2 FROM m""",
     "store_sync": """SELECT status, count(*) AS n FROM (SELECT CASE doc_id % 7 WHEN 3 THEN 'added' WHEN 4 THEN 'removed' WHEN 1 THEN 'updated' ELSE 'unchanged' END AS status FROM documents WHERE text IS NOT NULL) GROUP BY status
 UNION ALL SELECT 'skipped', count(*) FROM documents WHERE text IS NULL AND doc_id % 7 <> 4 UNION ALL SELECT 'embedded', 0""",
     "store_bm25": f"WITH {AFTER}, {bm25_sql(MANY).replace('FROM documents', 'FROM kept')} SELECT query_id, id, round(score, 6) AS score, CAST(rank0 AS BIGINT) AS rank0 FROM bmr WHERE rank0 < {TOP}",

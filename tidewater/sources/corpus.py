@@ -27,7 +27,7 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
 
 def decoded(content: str) -> Column:
     """A binary column as UTF-8 text; invalid bytes become the replacement character."""
-    return F.pandas_udf(lambda c: c.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace")), "string")(content)
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def corpus(spark: SparkSession, root: str, least: int = 40) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -34,10 +35,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """What says whether a table's files are still the same: name, length and time of each."""
+    """What says whether a table's files are still the same: path, length and time of each, in whatever folders they lie."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return ",".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(at)))
+    found, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        s = found.next()
+        out.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
+    return hashlib.sha256(",".join(sorted(out)).encode()).hexdigest()
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
