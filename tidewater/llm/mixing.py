@@ -1,8 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in shuffled order, served twice at most. What the queue sends at a time, a packet, is a
-document, or an equal piece of one that is longer than a share of its source's target: 1 / PIECES, or where a source has few
-documents, half of the mean for one, so that packets are a few times the documents however many sources there are. A packet's virtual finish time is the
+document, or an equal piece of one that is longer than 1 / PIECES of its source's target. A packet's virtual finish time is the
 number of its source's words up to its end, divided by the source's target; the mix is the packets in global order of finish
 times, cut where the words so far reach the budget, which is the sum of the targets. So each source gets its target but for
 about a packet, and a document is taken whole, in part (up to a packet, or to the budget within one) or not at all.
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import WORD, written
 
-#: Packets that a source's target is sent in where its documents are long, at most and at least, and rows of a range of an order.
-PIECES, FEWEST, RANGE = 4096, 32, 500_000
+#: Packets that a source's target is sent in at least, where its documents are long, and rows of a range of an order.
+PIECES, RANGE = 4096, 500_000
 
 
 def shuffled(id_col: Column, seed: str) -> Column:
@@ -74,10 +73,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = written(docs.select(*queued(docs, seed), "source", size.alias("size"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
     shares = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights, budget, most), "mix-targets")
-    pieces = F.least(F.lit(PIECES), F.greatest(F.lit(FEWEST), 2 * F.col("_docs")))
-    piece = F.greatest(F.lit(1), F.ceil(F.col("target") / pieces)).cast("bigint")
+    piece = F.greatest(F.lit(1), F.ceil(F.col("target") / PIECES)).cast("bigint")
     shares = shares.withColumn("_piece", piece)
-    # A source's documents are cut into a packet each, and one more for each piece that its words make.
+    # A source's documents are cut into a packet each, and one more for each piece that its words make: ranges of the order of
+    # packets are sized by that, as small sources have many packets a document.
     packets = F.coalesce(F.sum(F.col("_docs") + F.col("source_size") / F.col("_piece")), F.lit(0)).cast("bigint")
     documents, words, most_packets = shares.agg(F.coalesce(F.sum("_docs"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0)), packets).first()
     total = floor(words * min(budget, most) + 0.5)  # what the targets sum to, as a whole number
@@ -112,12 +111,12 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
   CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, docs, least(cap, coalesce((SELECT max(level) FROM l WHERE cap / w > level) * w, cap)) AS target FROM l),
-a AS (SELECT d.*, t.source_size, t.target, greatest(1, CAST(ceil(t.target / least(4096, greatest(32, 2 * t.docs))) AS BIGINT)) AS piece,
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE cap / w > level) * w, cap)) AS target FROM l),
+a AS (SELECT d.*, t.source_size, t.target, greatest(1, CAST(ceil(t.target / 4096) AS BIGINT)) AS piece,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(size / piece) AS BIGINT)))) AS packet FROM a),
