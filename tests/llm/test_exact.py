@@ -390,10 +390,10 @@ def test_shards_of_null_and_repeated_ids(spark):
 
 
 def test_mix_of_many_small_sources(spark):
-    """Two hundred sources of a document each: a few packets for each, and targets that are met."""
+    """Two hundred sources of a document each: targets are met to the word."""
     docs = spark.createDataFrame([(i, "w " * (50 + i % 60), f"s{i:03}") for i in range(200)], "doc_id bigint, text string, source string")
-    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
-    assert all(abs(r.taken - r.target) <= 0.04 * r.target + 1 and r.n <= 66 for r in got)
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 200 and all(abs(r.taken - r.target) <= 2 for r in got)
 
 
 def test_prose_is_ruled_out_as_no_licence():
@@ -407,3 +407,14 @@ def test_prose_is_ruled_out_as_no_licence():
     for name, text in license_scan.TEMPLATES:
         k = [n for n, *_ in matcher.vectors].index(name)
         assert any(matcher.vectors[i][0] == name for i in matcher.may(set(D.words(b"the user or the author " + text.encode())))), k
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    """Each row is linked by its own text, in whatever order rows come; what links to one of them doesn't depend on the other."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a), (7, b), (2, a + " more"), (9, b + " more"), (1, "else"), (7, a), (None, a)]
+    want = {(7, a): 2, (7, b): 7, (2, a + " more"): 2, (9, b + " more"): 7, (1, "else"): 1}
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        df = spark.createDataFrame([(i, t, len(t)) for i, t in order], "doc_id bigint, text string, n bigint").coalesce(1)
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_dedup(df).collect())
+        assert got == sorted((str(i), len(near_dedup.shingles(t, 2)), str(want.get((i, t))), i is not None and want[i, t] == i) for i, t in rows)

@@ -13,7 +13,8 @@ value of the signatures leave open. So links between different components are ke
 bucket's smallest node are never formed. Nothing but counts comes to the driver.
 
 Null and empty texts have no shingles and are linked with nothing. A row whose id is null is never linked and has a null
-component. Repeated rows each get a row, kept where their id is the component's. An empty table gives an empty result.
+component. Rows are linked by their own texts: repeated rows, and rows of one id with other texts, each get a row with the component
+of their text, kept where their id is the component's. An empty table gives an empty result.
 Other columns are ignored. Texts of any length are read whole.
 """
 
@@ -94,8 +95,9 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles, a 128-bit digest of the words in their order, the band keys and the bits of the signature."""
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    """id, a hash of the text, n_shingles, a 128-bit digest of the words in their order, the band keys and the bits of the signature."""
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches):
@@ -113,9 +115,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     at[full] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]), pa.int32()), pa.array(flat, pa.int64()))
                 small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at // BANDS * WORDS64)]), pa.int32()), pa.array(bits, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(many, pa.int64()), pa.array(coded.digests, pa.binary()), lists, small], ["_id", "_n", "_same", "_bands", "_bits"])
+                own = [batch.column(c).slice(i, j - i) for c in ("_id", "_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(many, pa.int64()), pa.array(coded.digests, pa.binary()), lists, small], ["_id", "_hash", "_n", "_same", "_bands", "_bits"])
 
-    return base.mapInArrow(run, f"_id {kind}, _n bigint, _same binary, _bands array<bigint>, _bits array<bigint>")
+    return base.mapInArrow(run, f"_id {kind}, _hash bigint, _n bigint, _same binary, _bands array<bigint>, _bits array<bigint>")
 
 
 def shingles(text: str | None, size: int) -> set:
@@ -123,17 +126,19 @@ def shingles(text: str | None, size: int) -> set:
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_i, _t for distinct ids (_i). Only texts whose id shares a bit of a bounded bitmap with one of them are moved."""
-    ids = written(ids, "near-ids")
-    base = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
-    base = marked(base, F.col("_i"), bitmap(ids, F.col("_i"))).where("_hit").drop("_hit")
-    return written(base.join(ids, "_i", "left_semi").dropDuplicates(["_i"]), "near-texts")
+def texts_of(nodes: DataFrame, at: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_i, _t for distinct nodes (_i). at: where a node's text is, by id and hash of the text, as rows of one id can have other texts.
+    Only texts that share a bit of a bounded bitmap with one of them are moved."""
+    wanted = written(nodes.join(at, "_i"), "near-ids")
+    text, key = F.col(text_col).cast("string"), F.xxhash64("_id", "_hash")
+    base = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_hash"))
+    base = marked(base, key, bitmap(wanted, key)).where("_hit").drop("_hit")
+    return written(base.join(wanted, ["_id", "_hash"]).select("_i", "_t").dropDuplicates(["_i"]), "near-texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, share: int) -> DataFrame:
-    """pairs (_x, _y) -> _x, _y, linked, distance, on full sets."""
-    texts = texts_of(pairs.select(F.col("_x").alias("_i")).union(pairs.select("_y")).distinct(), docs, id_col, text_col)
+def confirmed(pairs: DataFrame, at: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, share: int) -> DataFrame:
+    """pairs of nodes (_x, _y) -> _x, _y, linked, distance, on full sets."""
+    texts = texts_of(pairs.select(F.col("_x").alias("_i")).union(pairs.select("_y")).distinct(), at, docs, id_col, text_col)
     both = pairs.join(texts.select(F.col("_i").alias("_x"), F.col("_t").alias("_tx")), "_x")
     both = written(both, "near-half").join(texts.select(F.col("_i").alias("_y"), F.col("_t").alias("_ty")), "_y").select("_x", "_y", "_tx", "_ty")
     kind = both.schema["_x"].dataType.simpleString()
@@ -247,16 +252,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, share: int = 80) -> DataFrame:
     """id, n_shingles, component_id, kept for each row."""
     bounded_batches(docs.sparkSession)
-    signed = written(sign(docs, id_col, text_col, size), "near-signatures")
-    same = signed.where("_n > 0 and _id is not null").groupBy("_same").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    signed = written(sign(docs, id_col, text_col, size).withColumn("_row", F.monotonically_increasing_id()), "near-signatures")
+    # A node is a row of its own number: of the rows with its words in their order the one of the smallest id.
+    same = signed.where("_n > 0 and _id is not null").groupBy("_same").agg(F.min(F.struct("_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
     same = written(same.drop("_m"), "near-sets")
-    rep = F.coalesce("_rep", "_id")
-    nodes = signed.join(same, "_same", "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), rep).alias("_rep"), *(F.when(F.col("_id") == rep, F.col(c)).alias(c) for c in ("_bands", "_bits")))
+    rep, known = F.coalesce("_first._row", "_row"), F.col("_id").isNotNull()
+    nodes = signed.join(same, "_same", "left").select(
+        "_id", "_n", "_hash", F.when(known, rep).alias("_rep"), F.when(known, F.coalesce("_first._id", "_id")).alias("_low"), *(F.when(known & (F.col("_row") == rep), F.col(c)).alias(c) for c in ("_bands", "_bits"))
+    )
     nodes = written(nodes, "near-nodes")
+    at = nodes.where("_bands is not null").select(F.col("_rep").alias("_i"), "_id", "_hash")
     members = nodes.where("_bands is not null").select(F.explode("_bands").alias("_key"), F.col("_rep").alias("_x"))
     heads = members.groupBy("_key").agg(F.min("_x").alias("_y"), F.max("_x").alias("_z")).where("_y < _z").drop("_z")
     stars = written(members.join(written(heads, "near-heads"), "_key").where("_x != _y"), "near-stars")
-    tested = written(confirmed(written(stars.select("_x", "_y").distinct(), "near-pairs"), docs, id_col, text_col, size, share), "near-tested")
+    tested = written(confirmed(written(stars.select("_x", "_y").distinct(), "near-pairs"), at, docs, id_col, text_col, size, share), "near-tested")
     links = tested.where("linked").select("_x", "_y")
     labels = components(links)
 
@@ -268,7 +277,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = placed.where("distance = 0").select("_key", F.col("_label").alias("_main"))
     still = written(placed.where("distance > 0").join(open_keys.join(heads, "_key"), "_key"), "near-open")
     many = still.groupBy("_key").agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(F.col("_label") != F.col("_main"), 1)).alias("_outside"))
-    about = nodes.where("_bits is not null").select(F.col("_rep").alias("_x"), F.col("_n").alias("_size"), "_bits", "_bands").dropDuplicates(["_x"])
+    about = nodes.where("_bits is not null").select(F.col("_rep").alias("_x"), F.col("_n").alias("_size"), "_bits", "_bands")
     still = written(still.join(written(many, "near-many"), "_key"), "near-counted").join(written(about, "near-about"), "_x")
     still = written(still, "near-still")
     # Pairs of small buckets. One side holds only what isn't in the head's component.
@@ -280,15 +289,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = (F.col("b._label") == F.col("b._main")) | (F.col("a._x") > F.col("b._x"))
     across = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._label") != F.col("b._label")) & once & near)
     across = written(across.select(F.col("a._x").alias("_x"), F.col("b._x").alias("_y")).distinct(), "near-across")
-    more = confirmed(across, docs, id_col, text_col, size, share).where("linked").select("_x", "_y")
+    more = confirmed(across, at, docs, id_col, text_col, size, share).where("linked").select("_x", "_y")
     large = still.where(F.col("_all") > SMALL)
     if not large.isEmpty():
-        texts = texts_of(large.select(F.col("_x").alias("_i")).distinct(), docs, id_col, text_col)
+        texts = texts_of(large.select(F.col("_x").alias("_i")).distinct(), at, docs, id_col, text_col)
         more = more.union(linked_blocks(large.join(texts, large["_x"] == texts["_i"]).drop("_i"), size, share))
     more = written(more.distinct(), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
-    out = nodes.join(labels, nodes["_rep"] == labels["_v"], "left").select("_id", "_n", F.coalesce("_label", "_rep").alias("component_id"))
+    # A component is known by the smallest id of its rows.
+    ids = labels.join(at, labels["_v"] == at["_i"]).select("_v", "_label", "_id")
+    least = ids.groupBy("_label").agg(F.min("_id").alias("_least"))
+    found = written(ids.join(least, "_label").select("_v", "_least"), "near-components")
+    out = nodes.join(found, nodes["_rep"] == found["_v"], "left").select("_id", "_n", F.coalesce("_least", "_low").alias("component_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
