@@ -454,6 +454,26 @@ def test_index_scores_as_texts_do(spark, library):
     assert "Bucketed: true" in plan
 
 
+def test_postings_stay_where_they_are(spark, library):
+    """A search moves no postings and no scores whatever the sizes; texts are dealt out once to be cut, in parts of a bounded size."""
+    _, index, _, _ = library
+    q = spark.createDataFrame([(0, "alpha gamma"), (1, "delta absent")], "query_id bigint, query string")
+    plan = search.bm25(index, q)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = search.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan
+
+
+def test_parts_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = search.postings(docs)
+    monkeypatch.setattr(search, "PART", 10_000)
+    many = search.postings(docs)
+    assert few.rdd.getNumPartitions() == 4 < many.rdd.getNumPartitions() and search.parts_of(docs) == many.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_search_modes(spark, library):
     _, index, vectors, meta = library
     q = spark.createDataFrame([(0, "alpha", [0.0, 1.0, 0.0, 0.0, 0.0]), (1, "  ", [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id bigint, query string, embedding array<float>")

@@ -5,6 +5,7 @@ Queries are a table (query_id, ...), so that many run as one plan; every rank ca
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,24 @@ from tidewater.sources.shared import fresh_path, stored
 K1, B, RRF = 1.2, 0.75, 60
 #: Numbers of the query vectors that are broadcast at most, and of a block where there are more.
 VECTORS = 1 << 22
+#: Bytes of a table of texts that one task cuts into postings, and pairs of query and term that are broadcast at most.
+PART, PAIRS = 4 << 20, 1 << 18
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Tokenizer = LETTERS) -> DataFrame:
-    """id, dl, term, tf. dl, the number of tokens, stands beside each term, so that scoring needs no second join."""
-    toks = docs.select(F.col(id_col).alias("id"), tokens.tokens(F.col(text_col)).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
+def parts_of(docs: DataFrame, least: int | None = None) -> int:
+    """Tasks for a table of texts, so that what one holds doesn't grow with the table; `least` (by default as many as a shuffle has)
+    where its size isn't known."""
+    least = least or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // PART) if size < 1 << 50 else least
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Tokenizer = LETTERS, parts: int | None = None) -> DataFrame:
+    """id, dl, term, tf, dealt out by id. dl, the number of tokens, stands beside each term, so that scoring needs no second join.
+
+    The texts are dealt out, not their tokens, which are counted where they are made: one shuffle of the texts is all."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition(parts or parts_of(docs), "id")
+    toks = rows.select("id", tokens.tokens(F.col("_text")).alias("toks")).select("id", F.size("toks").cast("bigint").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
     return toks.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -36,42 +50,45 @@ def corpus_stats(docs: DataFrame, text_col: str = "text", tokens: Tokenizer = LE
 @dataclass
 class Index:
     """Stored postings: a table of (id, dl, term, tf) in buckets of the id, sorted by term; document frequencies of the terms; the
-    one row of corpus figures; and the name of the tokenizer that made them."""
+    one row of corpus figures; and the name of the tokenizer that made them. Where postings cost more than a scan, `read` gives those of
+    some terms (a small table), dealt out by id."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     tokenizer: str = LETTERS.name
+    read: Callable[[DataFrame], DataFrame] | None = None
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Tokenizer = LETTERS) -> Index:
     """Tokenise once, search often. Buckets of the id let scores be summed and cut to the best of each task without a shuffle."""
     spark = docs.sparkSession
     name, path = f"postings_{uuid.uuid4().hex}", fresh_path(spark, "postings")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings(docs, id_col, text_col, tokens).repartition(n, "id").write.bucketBy(n, "id").sortBy("term").option("path", path).saveAsTable(name)
+    n = parts_of(docs)
+    postings(docs, id_col, text_col, tokens, n).write.bucketBy(n, "id").sortBy("term").option("path", path).saveAsTable(name)
     table = spark.table(name)
     return Index(table, stored(table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stored(corpus_stats(docs, text_col, tokens), "figures"), tokens.name)
 
 
 def bm25(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query") -> DataFrame:
     """query_id, id, score of every document that has a term of the query; from a stored index, or from texts, whose terms of no
-    query are dropped before they are counted. The one row of corpus figures joins as a broadcast. Queries are cut by the tokenizer
-    that made the index."""
+    query are dropped before they are counted. The one row of corpus figures joins as a broadcast, and so do the terms of the queries if
+    they are PAIRS at most, so that postings stay where they are. Queries are cut by the tokenizer that made the index."""
     cut = tokenizer(docs.tokenizer) if isinstance(docs, Index) else LETTERS
     terms = queries.select("query_id", F.explode(F.array_distinct(cut.tokens(F.col(query_col)))).alias("term"))
+    few = F.broadcast if terms.count() <= PAIRS else lambda df: df
     if isinstance(docs, Index):
-        tf, stats = docs.postings, docs.stats
-        df = docs.terms
+        tf = docs.read(terms.select("term").distinct()) if docs.read and few is F.broadcast else docs.postings
+        df, stats = docs.terms, docs.stats
     else:
         toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))  # outer: no filter that would tokenise once more
-        tf = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tf = toks.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         df, stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_stats(docs, text_col)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    sought = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")
+    sought = few(terms).join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # Rounded, so that equal documents tie whatever the order of the sum.
-    return tf.join(sought, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    return tf.join(few(sought), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def top(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:

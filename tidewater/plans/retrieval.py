@@ -29,7 +29,7 @@ def index_of(spark: SparkSession, sf: str, name: str = "documents", id_col: str
     path = f"{sf}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path, fingerprint(spark, path))
     if key not in _indexes:
-        docs = table(spark, sf, name)
+        docs = spark.read.parquet(path)
         _indexes[key] = S.build_index(docs if name == "documents" else docs.withColumn("doc_id", F.expr(id_col)))
     return _indexes[key]
 
@@ -48,7 +48,7 @@ def tokenize_stats(spark, sf):
 
 
 def postings(spark, sf):
-    return S.postings(table(spark, sf, "documents"))
+    return S.postings(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def corpus_stats(spark, sf):
@@ -112,7 +112,7 @@ def file_top3_chunks(spark, sf):
 
 def corpus_hits(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"), F.col("source").alias("title"), F.lit("").alias("label"))
-    return S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs, "id")
+    return S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs.hint("shuffle_hash"), "id")
 
 
 def multi_rrf(spark, sf):

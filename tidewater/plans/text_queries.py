@@ -248,7 +248,7 @@ def own_first(spark, sf):
     scored = S.bm25(index_of(spark, sf), many_queries(spark, sf))
     ranked = lambda df: S.top(df, 1).join(docs, "id").select("query_id", "kb", (F.col("rank0") + 1).alias("rank"))
     pool = S.top(scored, 50).drop("rank0").join(docs, "id").join(truth.select("query_id", F.col("kb").alias("_own")), "query_id").where("kb = _own")
-    own = scored.join(docs, "id").join(truth.select("query_id", F.col("kb").alias("_own")), "query_id").where("kb = _own")
+    own = scored.join(docs.hint("shuffle_hash"), "id").join(truth.select("query_id", F.col("kb").alias("_own")), "query_id").where("kb = _own")
     return evaluate.own_first(ranked(scored), ranked(pool.select("query_id", "id", "score")), ranked(own.select("query_id", "id", "score")), truth)
 
 
@@ -302,7 +302,7 @@ def adjacent_overlap(spark, sf):
 
 def score_spread(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("right"))
-    return evaluate.score_spread(S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs, "id"))
+    return evaluate.score_spread(S.bm25(index_of(spark, sf), many_queries(spark, sf)).join(docs.hint("shuffle_hash"), "id"))
 
 
 def branch_histogram(spark, sf):
