@@ -55,6 +55,18 @@ def at(tmp_path):
     return f"file://{tmp_path}/corpus"
 
 
+def test_texts_and_postings_are_written_once(spark, at, tmp_path, monkeypatch):
+    """A sync writes chunks and postings into its segment alone, and a search deals out only the postings of its terms."""
+    monkeypatch.setattr("tidewater.sources.shared.shared_dir", lambda _: f"file://{tmp_path}/shared")
+    s = store.Store.create(spark, at)
+    s.sync(files(spark, {"a.md": f"alpha {BODY}", "b.md": f"beta {BODY}"}), "/r", chunk=whole)
+    snap, _ = s.sync(files(spark, {"a.md": f"alpha {BODY} again", "b.md": f"beta {BODY}"}, 2.0), "/r", chunk=whole)
+    assert not [p.name for p in (tmp_path / "shared").iterdir() if p.name.startswith(("chunks-", "postings-"))]
+    plan = search.bm25(snap.index(), spark.createDataFrame(QUERIES, "query_id bigint, query string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("RepartitionByExpression") < plan.find("LeftSemi")
+    same_as_rebuilt(spark, snap)
+
+
 def test_life_of_a_corpus(spark, at):
     s = store.Store.create(spark, at)
     texts = {f"{w}{i}.md": f"{w} {BODY} {i}" for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 5)} | {"short.md": "short", ".git/x.md": BODY}

@@ -28,7 +28,8 @@ def parts_of(docs: DataFrame, least: int | None = None) -> int:
     """Tasks for a table of texts, so that what one holds doesn't grow with the table; `least` (by default as many as a shuffle has)
     where its size isn't known."""
     least = least or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()  # of the tables read: a join's own estimate is a product
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(least, size // PART) if size < 1 << 50 else least
 
 

@@ -29,9 +29,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import LETTERS, tokenizer
+from tidewater.functions.text import LETTERS, Tokenizer, tokenizer
 from tidewater.operators.index import chunk_rows, manifest, skip_reason, sync_report, sync_rows, worth_indexing
-from tidewater.operators.search import Index, postings
+from tidewater.operators.search import Index, parts_of, postings
 from tidewater.sources.shared import delete, stored
 
 #: Segments of a tier that are merged, rows of the lowest tier, and rows of postings in a file.
@@ -118,13 +118,18 @@ class Snapshot:
                 out = df if out is None else out.unionByName(df)
         return out
 
-    def live(self, table: str, segments: list[Segment] | None = None) -> DataFrame | None:
-        """Rows of chunks, vectors or postings that no later segment supersedes, with their seq."""
+    def live(self, table: str, segments: list[Segment] | None = None, terms: DataFrame | None = None, least: int = 1) -> DataFrame | None:
+        """Rows of chunks, vectors or postings that no later segment supersedes, with their seq. Postings are dealt out by id, in `least`
+        parts or more; where a small table of terms is given, those of other terms are left out before that."""
         rows, dead = self.rows(table, segments), self.rows("dead")
+        if rows is not None and terms is not None:
+            rows = rows.join(F.broadcast(terms), "term", "left_semi").select(rows.columns)
+        if rows is not None and table == "postings":
+            rows = rows.repartition(max(least, sum(s.rows.get(table, 0) for s in (self.segments if segments is None else segments)) // FILE_ROWS), "id")
         if rows is None or dead is None:
             return rows
         dead = dead.groupBy("id").agg(F.max("upto").alias("upto"))
-        return rows.join(dead, "id", "left").where("upto is null or seq >= upto").drop("upto")
+        return rows.join(dead.hint("shuffle_hash"), "id", "left").where("upto is null or seq >= upto").select(rows.columns)
 
     def table(self, name: str, schema: str) -> DataFrame:
         rows = self.live(name)
@@ -147,8 +152,10 @@ class Snapshot:
         """What search.bm25 and search.search take."""
         spark, terms = self.store.spark, self.rows("terms")
         terms = spark.createDataFrame([], TABLES["terms"]) if terms is None else terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        read = (lambda asked: self.live("postings", terms=asked, least=n).drop("seq")) if self.rows("postings") is not None else None
         figures = spark.range(1).select(F.lit(self.n).cast("bigint").alias("n"), F.lit(self.tokens / self.n if self.n else None).cast("double").alias("avgdl"))
-        return Index(self.table("postings", TABLES["postings"]), terms, figures, self.tokenizer)
+        return Index(self.table("postings", TABLES["postings"]), terms, figures, self.tokenizer, read)
 
 
 def newest(files: DataFrame) -> DataFrame:
@@ -242,21 +249,26 @@ class Store:
             if not mine.join(others, "path", "left_semi").isEmpty():
                 raise Conflict("another writer has changed one of the paths")
 
-    def write(self, tables: dict[str, DataFrame | None], seq: int = 0) -> Segment:
-        """A segment with these tables. Postings lie by term within files, so that terms are pushed to the scan."""
-        name, rows = uuid.uuid4().hex, {}
+    def put(self, name: str, table: str, df: DataFrame) -> DataFrame:
+        """A table of a segment, written and read back."""
+        df.write.parquet(self.path(name, table))
+        return self.spark.read.schema(df.schema).parquet(self.path(name, table))
+
+    def write(self, tables: dict[str, DataFrame | None], seq: int = 0, name: str | None = None, there: dict[str, DataFrame] | None = None) -> Segment:
+        """A segment with these tables, and with those that are there already."""
+        name, rows = name or uuid.uuid4().hex, {}
         for table, df in tables.items():
             if df is not None:
-                path = self.path(name, table)
-                df.write.parquet(path)
-                rows[table] = self.spark.read.schema(df.schema).parquet(path).count()
-                if not rows[table]:
-                    delete(self.spark, path)
+                rows[table] = self.put(name, table, df).count()
+        rows |= {table: df.count() for table, df in (there or {}).items()}
+        for table in rows:
+            if not rows[table]:
+                delete(self.spark, self.path(name, table))
         return Segment(name, seq, rows)
 
-    def sorted_postings(self, df: DataFrame) -> DataFrame:
-        df = stored(df, "postings")
-        return df.repartition(max(1, df.count() // FILE_ROWS), "id").sortWithinPartitions("term", "id")
+    def cut(self, chunks: DataFrame, tokens: Tokenizer) -> DataFrame:
+        """Postings of chunks that are stored. They lie by term within files, so that terms are pushed to the scan."""
+        return postings(chunks, "id", tokens=tokens, parts=parts_of(chunks, 1)).sortWithinPartitions("term", "id")
 
     # --- changes
 
@@ -304,9 +316,12 @@ class Store:
         """Publish a segment of these files and chunks, in which the chunks of the paths in `gone` die; and how many were embedded."""
         tokens = tokenizer(base.tokenizer)
         dead = stored(base.chunks().join(gone, "path", "left_semi").select("id", "text"), "dead")
-        chunks = stored(chunks, "chunks") if chunks is not None else None
-        fresh = self.sorted_postings(postings(chunks, "id", tokens=tokens)) if chunks is not None else None
-        lost = postings(dead, "id", tokens=tokens).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        name, there = uuid.uuid4().hex, {}
+        if chunks is not None:
+            chunks = there["chunks"] = self.put(name, "chunks", chunks)
+            there["postings"] = self.put(name, "postings", self.cut(chunks, tokens))
+        fresh = there.get("postings")
+        lost = postings(dead, "id", tokens=tokens, parts=parts_of(dead, 1)).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
         terms = lost if fresh is None else fresh.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(lost)
         vectors, embedded = None, 0
         if chunks is not None and embed is not None:
@@ -314,10 +329,11 @@ class Store:
             old = base.vectors().join(same, "id", "left_semi")
             todo = stored(chunks.select("id", "text").join(old.select("id"), "id", "left_anti"), "todo")
             vectors, embedded = embed(todo).unionByName(old) if base.rows("vectors") is not None else embed(todo), todo.count()
-        tables = {"files": files, "dead": dead.select("id", F.lit(base.version + 1).cast("bigint").alias("upto")), "terms": terms.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), "chunks": chunks, "postings": fresh, "vectors": vectors}
-        of = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens.tokens(F.col("text")))), F.lit(0))).first() if df is not None else (0, 0)
-        (n, words), (n_dead, words_dead) = of(chunks), of(dead)
-        return self.commit(base, "write", self.write(tables), n=n - n_dead, tokens=words - words_dead), embedded
+        tables = {"files": files, "dead": dead.select("id", F.lit(base.version + 1).cast("bigint").alias("upto")), "terms": terms.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), "vectors": vectors}
+        words = fresh.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0] if fresh is not None else 0
+        n_dead, words_dead = dead.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens.tokens(F.col("text")))), F.lit(0))).first()
+        segment = self.write(tables, name=name, there=there)
+        return self.commit(base, "write", segment, n=segment.rows.get("chunks", 0) - n_dead, tokens=words - words_dead), embedded
 
     def compact(self, fan: int = FAN, tier: int = TIER) -> Snapshot:
         """Merge segments in tiers until none is due. What another writer has merged meanwhile is left to that one."""
@@ -342,7 +358,7 @@ class Store:
         live = {t: base.live(t, segments) for t in ("chunks", "vectors")} | {"postings": base.live("postings", segments)}
         out = {t: df.drop("seq") if df is not None else None for t, df in live.items()}
         if out["postings"] is not None and "postings" not in tables:
-            out["postings"] = self.sorted_postings(out["postings"])
+            out["postings"] = out["postings"].sortWithinPartitions("term", "id")
         out |= {"files": files, "dead": None if whole or dead is None else dead.drop("seq").groupBy("id").agg(F.max("upto").alias("upto"))}
         out["terms"] = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0") if terms is not None else None
         return self.write(out | tables, segments[-1].seq)
@@ -356,7 +372,7 @@ class Store:
         if not base.segments:
             return self.commit(base, "rebuild", None, tokenizer=name)
         tokens = tokenizer(name)
-        made = self.sorted_postings(postings(base.chunks(), "id", tokens=tokens))
+        made = stored(self.cut(base.chunks(), tokens), "postings")
         words = made.select("id", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
         segment = self.merged(base, base.segments, postings=made, terms=made.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         return self.commit(base, "rebuild", segment, [s.name for s in base.segments], tokens=words - base.tokens, tokenizer=name)
