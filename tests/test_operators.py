@@ -474,6 +474,51 @@ def test_parts_grow_with_the_texts(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_snippets_read_few_chunks_of_a_file(spark):
+    """Each file's first chunks against brute force; chunks that no arm has found don't meet the queries but for the first of each file."""
+    import random
+
+    draw = random.Random(3)
+    meta = [(i, f"f{draw.randrange(4)}" if i % 9 else None) for i in range(200)]
+    arms = [[(q, i, n) for q in range(5) for n, i in enumerate(draw.sample(range(200), 6))] for _ in range(2)]
+    frames = [spark.createDataFrame(a, "query_id bigint, id bigint, rank0 bigint") for a in arms]
+    got = search.file_snippets(frames, spark.createDataFrame(meta, "id bigint, path string"))
+    want = {}
+    for q in range(5):
+        r = [{i: n for k, i, n in a if k == q} for a in arms]
+        for path in {p for i, p in meta if p and (i in r[0] or i in r[1])}:
+            want[q, path] = sorted((i for i, p in meta if p == path), key=lambda i: (r[0].get(i, 10**6), r[1].get(i, 10**6), i))[:3]
+    assert {(x.query_id, x.path): [c.id for c in x.chunks] for x in got.collect()} == want
+    assert "WindowGroupLimit [path" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Every two rows of a person meet, however small the blocks, ids that stand twice included."""
+    rng = np.random.default_rng(1)
+    rows = [(int(i), int(i) % 3 if i % 31 else None, rng.normal(size=4).tolist()) for i in rng.integers(0, 300, 240)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    u = [np.asarray(v) / np.linalg.norm(v) for _, _, v in rows]
+    want = sorted({(i, p) for n, (i, p, _) in enumerate(rows) if p is not None and any(o == p and j < i and round(float(u[n] @ u[m]), 9) > 0.9 for m, (j, o, _) in enumerate(rows))})
+    assert 20 < len(want) and sorted(map(tuple, voice.near_duplicates(df, same=0.9).collect())) == want
+    monkeypatch.setattr(voice, "ROWS", 16)
+    monkeypatch.setattr(voice, "TILE", 5)
+    assert sorted(map(tuple, voice.near_duplicates(df, same=0.9).collect())) == want
+
+
+def test_knn_in_tiles(spark, monkeypatch):
+    """The k best with ties, however few scores are held at once, by a broadcast and by blocks."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, (90, 3)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(2)
+    want = sorted((q, i, n) for q in range(0, 90, 4) for n, i in enumerate(sorted(range(90), key=lambda i: (-(v[q] @ v[i]), i))[:7]))
+    ask = lambda: sorted((r.query_id, r.id, r.rank0) for r in search.knn(df, df.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id"), 7).collect())
+    assert ask() == want
+    monkeypatch.setattr(search, "TILE", 5)
+    assert ask() == want
+    monkeypatch.setattr(search, "VECTORS", 30)
+    assert ask() == want
+
+
 def test_search_modes(spark, library):
     _, index, vectors, meta = library
     q = spark.createDataFrame([(0, "alpha", [0.0, 1.0, 0.0, 0.0, 0.0]), (1, "  ", [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id bigint, query string, embedding array<float>")

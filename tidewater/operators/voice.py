@@ -14,6 +14,8 @@ from tidewater.operators.timeline import neighbour_bounds
 MERGE, SCORE, MARGIN, SAME, KEEP = 0.55, 0.60, 0.10, 0.92, 8
 #: Numbers of a block of vectors.
 NUMBERS = 1 << 22
+#: Rows of a block of a person, and of the parts of blocks that are compared at once.
+ROWS, TILE = 16384, 1024
 
 
 def match(queries: DataFrame, prints: DataFrame, least: float = SCORE, margin: float = MARGIN) -> DataFrame:
@@ -76,18 +78,35 @@ def enroll(rows: DataFrame, same: float = SAME, keep: int = KEEP, meetings: int
 
 
 def near_duplicates(rows: DataFrame, same: float = SAME, id_col: str = "vec_id", by: str = "label", vec: str = "embedding") -> DataFrame:
-    """Rows of a person that are too like an earlier one of that person, by id."""
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        x = unit(np.stack([np.asarray(v, "f8") for v in f["v"]]))
-        hit = np.zeros(len(x), bool)
-        for i in range(0, len(x), 2048):  # blocks bound the matrix, not what is compared
-            s = np.round(x[i : i + 2048] @ x[: i + 2048].T, 9) > same
-            hit[i : i + 2048] = (np.tril(s, i - 1) if s.size else s).any(1)
-        return pd.DataFrame({"id": f["id"][hit], "p": f["p"][hit]})
-
-    part = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("bigint").alias("p"), F.col(vec).alias("v"))
-    return usable(part, "v").groupBy("p").applyInPandas(fold, "id bigint, p bigint").select(F.col("id").alias(id_col), F.col("p").alias(by))
+    """Rows of a person that are too like an earlier one of that person, by id. Rows without id or person take no part.
+
+    A person of many rows is cut into blocks of ROWS, and every two of them meet in a task of their own: pairs grow with the square of a
+    person's rows, a task doesn't."""
+    part = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(by).cast("bigint").alias("p"), F.col(vec).alias("v")).where("id is not null and p is not null")
+    part = usable(part, "v")
+    large = part.groupBy("p").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > ROWS)  # one person for ROWS rows at most
+    cut = part.join(F.broadcast(large), "p", "left").withColumn("_n", F.coalesce(F.ceil(F.col("_c") / ROWS), F.lit(1)).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    met = lambda own, other, a, b: cut.select(*(F.col(c).alias(c) for c in ("id", "p", "v")), F.col("_b").alias(own), F.explode(F.sequence(a, b)).alias(other))
+    first, second = met("_i", "_j", F.col("_b"), F.col("_n") - 1), met("_j", "_i", F.lit(0), F.col("_b"))
+
+    def pair(some: pa.Table, of: pa.Table) -> pa.Table:
+        """Of one block with another (or itself), the later rows of the pairs that are too alike."""
+        a, b = some["id"].to_numpy(), of["id"].to_numpy()
+        x, y = unit(matrix(some["v"])), unit(matrix(of["v"]))
+        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for i in range(0, len(a), TILE):
+            for j in range(0, len(b), TILE):
+                near = np.round(x[i : i + TILE] @ y[j : j + TILE].T, 9) > same
+                later = a[i : i + TILE, None] > b[None, j : j + TILE]
+                hit_a[i : i + TILE] |= (near & later).any(1)
+                hit_b[j : j + TILE] |= (near & (a[i : i + TILE, None] < b[None, j : j + TILE])).any(0)
+        ids = np.unique(np.concatenate([a[hit_a], b[hit_b]]))
+        p = some["p"][0].as_py() if len(a) and len(b) else 0
+        return pa.table({"id": pa.array(ids, pa.int64()), "p": pa.array(np.full(len(ids), p), pa.int64())})
+
+    keys = ("p", "_i", "_j")
+    hits = first.groupBy(*keys).cogroup(second.groupBy(*keys)).applyInArrow(pair, "id bigint, p bigint")
+    return hits.distinct().select(F.col("id").alias(id_col), F.col("p").alias(by))
 
 
 def assign(vectors: np.ndarray, merge: float = MERGE) -> list[int]:
