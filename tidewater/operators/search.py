@@ -22,6 +22,8 @@ K1, B, RRF = 1.2, 0.75, 60
 VECTORS = 1 << 22
 #: Bytes of a table of texts that one task cuts into postings, and pairs of query and term that are broadcast at most.
 PART, PAIRS = 4 << 20, 1 << 18
+#: Queries, and rows, whose scores a task holds at once.
+TILE = 1024
 
 
 def parts_of(docs: DataFrame, least: int | None = None) -> int:
@@ -109,16 +111,27 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     held, schema = numbers(asked, "q"), "query_id bigint, id bigint, score double"
 
     def best(ids: np.ndarray, q: np.ndarray, parts) -> pa.RecordBatch:
-        """The k best for each query over parts (row ids, vectors)."""
-        best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), "i8")
+        """The k best for each query over parts (row ids, vectors), TILE queries and rows at a time."""
+        held = [(np.zeros((0,), "i8"), np.zeros((0,), "i8"), np.zeros((0,)))] * -(-len(ids) // TILE)  # query's place, row, score
         for at, x in parts:
             if not len(at) or x.shape[1] != q.shape[1]:
                 continue
-            s = np.concatenate([best_s, q @ x.T], 1)
-            i = np.concatenate([best_i, np.broadcast_to(at, (len(ids), len(at)))], 1)
-            order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
+            for n in range(len(held)):
+                some = q[n * TILE : (n + 1) * TILE]
+                for j in range(0, len(at), TILE):
+                    s = np.round(some @ x[j : j + TILE].T, 9)
+                    least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    full = np.bincount(held[n][0], minlength=len(s)) >= k
+                    worst = np.full(len(s), np.inf)
+                    np.minimum.at(worst, held[n][0], held[n][2])
+                    row, col = np.nonzero(s >= np.maximum(least, np.where(full, worst, -np.inf))[:, None])
+                    new = [np.concatenate(c) for c in zip(held[n], (row, at[j : j + TILE][col], s[row, col]), strict=True)]
+                    order = np.lexsort((new[1], -new[2], new[0]))
+                    place = new[0][order]
+                    nth = np.arange(len(place)) - np.searchsorted(place, place)
+                    held[n] = tuple(c[order][nth < k] for c in new)
+        out = [(ids[n * TILE : (n + 1) * TILE][p], i, s) for n, (p, i, s) in enumerate(held)] or [(ids, ids, np.zeros(len(ids)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "score"])
 
     if held <= VECTORS:
         got = asked.toArrow()
