@@ -229,9 +229,21 @@ def normalised(hits: DataFrame, k: int, path: str = "path") -> DataFrame:
     return best.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 4))
 
 
-def file_snippets(arms: list[DataFrame], chunks: DataFrame, path: str = "path", keep: int = 3) -> DataFrame:
-    """The first chunks of each file by rank in the first arm, then the second; a chunk that an arm hasn't found comes last."""
-    ranked = chunks
+def file_snippets(arms: list[DataFrame], meta: DataFrame, path: str = "path", keep: int = 3) -> DataFrame:
+    """The first chunks of each file that an arm has found, by rank in the first arm, then the second; a chunk that an arm hasn't found
+    comes last, by id. meta: id, path of all chunks.
+
+    Of chunks that no arm has found only a file's `keep` first by id can be among its first, so those alone meet the queries."""
+    meta = meta.where(F.col(path).isNotNull()).select(path, "id")
+    found = None
+    for arm in arms:
+        some = arm.select("query_id", "id")
+        found = some if found is None else found.union(some)
+    found = found.distinct()
+    own = found.join(meta, "id").select("query_id", path, "id")
+    head = meta.withColumn("_nth", F.row_number().over(Window.partitionBy(path).orderBy("id"))).where(F.col("_nth") <= keep).drop("_nth")
+    rest = own.select("query_id", path).distinct().join(head, path).join(found, ["query_id", "id"], "left_anti")
+    ranked = own.unionByName(rest)
     for n, arm in enumerate(arms):
         ranked = ranked.join(arm.select("query_id", "id", F.col("rank0").alias(f"r{n}")), ["query_id", "id"], "left").fillna({f"r{n}": 1_000_000})
     order = [f"r{n}" for n in range(len(arms))]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import clean, tokenize
 from tidewater.functions.vectors import hash_embed, norm, truncated
 from tidewater.operators import search as S
-from tidewater.sources.shared import fingerprint
+from tidewater.sources.shared import fingerprint, stored
 from tidewater.sources.tables import read_spread
 
 QUERY = "erheat thnt oned estion leaux ciónmente scher the"
@@ -103,10 +103,7 @@ def rrf_norm(spark, sf):
 
 def file_top3_chunks(spark, sf):
     a, meta = arms(spark, sf)
-    found = a[0].select("query_id", "id").union(a[1].select("query_id", "id")).distinct()
-    files = found.join(meta, "id").select("query_id", "path").distinct()
-    chunks = files.join(meta, "path").select("query_id", "path", "id")
-    out = S.file_snippets(a, chunks)
+    out = S.file_snippets([stored(arm, "arm") for arm in a], meta)
     return out.select("query_id", "path", F.array_join(F.transform("chunks", lambda c: c["id"].cast("string")), ",").alias("ids"))
 
 
