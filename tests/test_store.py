@@ -245,6 +245,19 @@ def test_best_path_of_the_lattice(words, run):
     assert sum(min(lattice.cost.get(p, math.inf), lattice.unknown if len(p) == 1 else math.inf) for p in path) == pytest.approx(brute_path(words, run))
 
 
+def test_large_dictionary(spark):
+    """More words than a million make a dictionary, and one that is small in memory."""
+    han = [chr(0x4E00 + i) for i in range(110)]
+    words = spark.range(1_200_000).select(F.concat(*[F.element_at(F.lit(han), (F.floor(F.col("id") / 110**k) % 110 + 1).cast("int")) for k in range(4)]).alias("word"), F.lit(2).alias("n"))
+    got = G.words_of(words)
+    assert len(got) == 1_200_000
+    lattice = G.Lattice(got)
+    held = lattice.bits.nbytes + sum(x.nbytes for t in lattice.tables.values() for x in t)
+    assert held < 60 * len(got)
+    some = [w for n, w in enumerate(got) if n % 100_000 == 7]
+    assert lattice.paths(some) == [[w] for w in some] and lattice.path("".join(some[:1]) + "龘" + some[1]) == [some[0], "龘", some[1]]
+
+
 def test_segmenter_columns(spark):
     tokens = G.segmenter(spark.createDataFrame([("天气", 3), ("天气", 2), ("今天", 4), ("", 9), (None, 1)], "word string, n bigint"))
     rows = spark.createDataFrame([("今天天气 Fine_day 2x",), ("",), (None,), ("气今",)], "text string")
