@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows; every other one runs and gives rows."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -51,3 +52,15 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan and "Python" not in plan
     read = registry.QUERIES["min_chars"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in read
+
+
+def test_score_spread_moves_no_scores(spark):
+    """Where no table is small enough to be broadcast for its size, only the documents' side moves to the scores, by id, and of these
+    each task's best by query: neither postings by term nor a score for each query and document are shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["score_spread"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)]
+    assert sorted(keys) == ["id", "query_id"] and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
