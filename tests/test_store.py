@@ -1,9 +1,12 @@
 """The durable corpus: segments, versions, two writers, merging; and the word segmenter."""
 
+import collections
 import itertools
 import json
 import math
 import random
+import re
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import segmenter as G
 from tidewater.functions import text as T
 from tidewater.operators import search, store
+from tidewater.plans import store_queries
 
 KINDS = "path string, rel string, source string, mtime double, text string"
 BODY = "words that are long enough to be worth indexing in this corpus"
@@ -245,6 +249,75 @@ def test_best_path_of_the_lattice(words, run):
     assert sum(min(lattice.cost.get(p, math.inf), lattice.unknown if len(p) == 1 else math.inf) for p in path) == pytest.approx(brute_path(words, run))
 
 
+def plain_path(lattice, run: str) -> list[str]:
+    """The cheapest words of a run, a character after the other."""
+    best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+    cost = lattice.cost
+    for end in range(1, len(run) + 1):
+        for size in range(end, 0, -1):
+            new = best[end - size] + cost.get(run[end - size : end], math.inf)
+            if new < best[end] - 1e-12:
+                best[end], back[end] = new, size
+        if best[end - 1] + lattice.unknown < best[end] - 1e-12:
+            best[end], back[end] = best[end - 1] + lattice.unknown, 1
+    out, end = [], len(run)
+    while end:
+        out.append(run[end - back[end] : end])
+        end -= back[end]
+    return out[::-1]
+
+
+@given(st.dictionaries(st.text(alphabet="天地人气今", min_size=1, max_size=5), st.integers(1, 9).map(float), max_size=12), st.lists(st.text(alphabet="天地人气今好", max_size=12), max_size=60), st.sampled_from([1, 3, 17, 1 << 19]), st.sampled_from([0, 1, 32]))
+@settings(max_examples=200, deadline=None)
+def test_many_runs_are_cut_as_each_alone(words, runs, block, few):
+    """Whatever the size of blocks and however many stretches go side by side."""
+    lattice = G.Lattice(words)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(G, "BLOCK", block)
+        m.setattr(G, "FEW", few)
+        assert lattice.paths(runs) == [plain_path(lattice, r) for r in runs]
+        mixed = ["x1 " + " Ab".join(runs), None, *runs, ""]
+        assert lattice.arrays(mixed).to_pylist() == [[w for r in G.RUNS.findall((t or "").lower()) for w in (plain_path(lattice, r) if G.HAN.match(r) else [r])] for t in mixed]
+
+
+def test_words_are_followed_by_the_block():
+    """A million characters take few calls, not some for each character or run."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("天地人气今明大小上下", k=draw.randint(2, 7))) for _ in range(3000)]
+    lattice, runs = G.Lattice(dict.fromkeys(words, 2.0)), ["".join(draw.choices(words, k=40)) for _ in range(5000)]
+    calls = 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        lattice.cut(runs)
+    finally:
+        sys.setprofile(None)
+    assert calls < sum(map(len, runs)) / 8
+
+
+def test_segment_words_moves_no_words(spark, tmp_path, monkeypatch):
+    """Words are counted within a document's row: only the vocabulary is grouped, and no words are sorted, joined or written."""
+    texts = ["Alpha beta, alpha gamma", "beta-gamma alphabeta 7", None, "", "...", "gammagamma beta"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plans = []
+    for where in (store_queries, G):
+        monkeypatch.setattr(where, "stored", lambda df, tag, kept=where.stored: plans.append(df._jdf.queryExecution().toString()) or kept(df, tag))
+    got = store_queries.segment_words(spark, str(tmp_path))
+    plans.append(got._jdf.queryExecution().toString())
+    assert not [x for plan in plans for x in ("Window", "Join") if x in plan] and sum("Explode" in p or "explode" in p for p in plans) == 1
+    listed = [re.findall("[a-z]+", (t or "").lower()) for t in texts]
+    seen = collections.Counter(w for some in listed for w in some)
+    lattice = G.Lattice({w: float(n) for w, n in seen.items() if n > 1})
+    spans = lambda words: set(zip(itertools.accumulate(map(len, words)), words, strict=False))
+    want = [(k, len(some), len(found := plain_path(lattice, "".join(some))), len(spans(some) & spans(found))) for k, some in enumerate(listed)]
+    assert sorted(map(tuple, got.collect())) == want and {r[3] for r in want} > {0, 3}
+
+
 def test_large_dictionary(spark):
     """More words than a million make a dictionary, and one that is small in memory."""
     han = [chr(0x4E00 + i) for i in range(110)]

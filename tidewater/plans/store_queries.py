@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewater.functions import segmenter as G
 from tidewater.operators import relational, search, sketches, voice
@@ -48,23 +50,36 @@ def store_compacted_terms(spark, sf):
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "天地人气今明大小上下左右东西南北春秋冬夏日月水火山石"
 
 
+@F.arrow_udf(LongType())
+def same_spans(one: pa.Array, other: pa.Array) -> pa.Array:
+    """How many words of two cuts of a text begin and end alike, from their lengths; no word is empty."""
+
+    def spans(cut):
+        sizes = cut.flatten().to_numpy().astype("i8")
+        of = np.repeat(np.arange(len(cut)), cut.value_lengths().to_numpy())
+        ends = np.cumsum(sizes)
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())[:-1]])]
+        return of, ends - before[of], sizes
+
+    (of, end, size), (of2, end2, size2) = spans(one), spans(other)
+    if not len(of) or not len(of2):
+        return pa.array(np.zeros(len(one), "i8"))
+    width = max(end.max(), end2.max()) + 1
+    there = of2 * width + end2
+    at = np.minimum(np.searchsorted(there, of * width + end), len(there) - 1)
+    return pa.array(np.bincount(of[(there[at] == of * width + end) & (size2[at] == size)], minlength=len(one)))
+
+
 def segment_words(spark, sf):
     """Documents written without spaces, in characters, and cut into words again by their own vocabulary: per document the words, the
     words found, and the words whose begin and end are both right."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = table(spark, sf, "documents").select("doc_id", F.coalesce(F.transform(words, lambda w: F.translate(w, LATIN, HAN)), F.array().cast("array<string>")).alias("words"))
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>")).alias("words"))
     vocabulary = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tokens = G.segmenter(vocabulary)
-    found = stored(rows.withColumn("found", tokens.tokens(F.array_join("words", ""))), "segmented")
-
-    def spans(c):
-        """End and length of each word, in characters of the document."""
-        each = found.select("doc_id", F.posexplode(c).alias("pos", "w")).withColumn("n", F.length("w"))
-        return each.select("doc_id", F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos")).alias("end"), "n")
-
-    right = spans("words").join(spans("found"), ["doc_id", "end", "n"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_right"))
-    counts = found.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size("found").cast("bigint").alias("n_found"))
-    return counts.join(right, "doc_id", "left").select("doc_id", "n_words", "n_found", F.coalesce("n_right", F.lit(0)).alias("n_right"))
+    tokens = G.segmenter(vocabulary.select(F.translate("word", LATIN, HAN).alias("word"), "n"))
+    sizes = lambda c: F.transform(c, lambda w: F.length(w))
+    cut = rows.select("doc_id", sizes(F.col("words")).alias("words"), sizes(tokens.tokens(F.translate(F.array_join("words", ""), LATIN, HAN))).alias("found"))
+    counts = cut.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size("found").cast("bigint").alias("n_found"), same_spans("words", "found").alias("n_right"))
+    return stored(counts, "segmented")
 
 
 def not_in_rows(spark, sf):
