@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidewater.functions import segmenter as G
 from tidewater.operators import relational, search, sketches, voice
@@ -50,16 +51,60 @@ def store_compacted_terms(spark, sf):
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "天地人气今明大小上下左右东西南北春秋冬夏日月水火山石"
 
 
-@F.arrow_udf(LongType())
-def same_spans(one: pa.Array, other: pa.Array) -> pa.Array:
-    """How many words of two cuts of a text begin and end alike, from their lengths; no word is empty."""
+def letter_runs(texts):
+    """Bytes of all runs of a-z in an Arrow array of texts, their lengths, and how many runs each text has."""
+    texts = texts.fill_null("")
+    at = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8") if len(texts) else np.zeros(1, "i8")
+    text = np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]
+    at -= at[0]
+    held = text - np.uint8(97) < 26
+    begins = held.copy()
+    begins[1:] &= ~held[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = held[first]  # a text goes on with no word of the one before
+    count = np.concatenate([[0], np.cumsum(begins)])
+    letters = np.concatenate([[0], np.cumsum(held)])
+    sizes = np.diff(letters[np.flatnonzero(begins)], append=letters[-1])
+    return text[held], sizes, np.diff(count[at])
+
+
+def parted(*columns):
+    """Slices of a batch's columns, by the size of the first one's texts or lists."""
+    sizes = pc.list_value_length(columns[0]) if pa.types.is_list(columns[0].type) else pc.binary_length(columns[0])
+    for a, b in G.parts(sizes.fill_null(0).to_numpy().astype("i8")):
+        yield [c.slice(a, b - a) for c in columns]
+
+
+def word_counts(batches):
+    """word, n of a few MB of texts at a time."""
+    for texts in (some for batch in batches for (some,) in parted(batch.column(0))):
+        letters, sizes, _ = letter_runs(texts)
+        words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.py_buffer(letters))
+        counts = words.value_counts()
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+
+
+def run_of(texts: pa.Array) -> pa.Array:
+    letters, sizes, n = letter_runs(texts)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    chars = np.frombuffer(HAN.encode(), "u1").reshape(len(LATIN), -1)[letters - 97]
+    at = np.concatenate([[0], np.cumsum(sizes)])[ends] * chars.shape[1]
+    runs = pa.StringArray.from_buffers(len(n), pa.py_buffer(at.astype("i4")), pa.py_buffer(chars.tobytes()))
+    return pa.StructArray.from_arrays([runs, pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(sizes.astype("i4")))], ["run", "words"])
 
+
+@F.arrow_udf(StructType([StructField("run", StringType()), StructField("words", ArrayType(IntegerType()))]))
+def without_spaces(texts: pa.Array) -> pa.Array:
+    """A text's words in one run, as characters, and their lengths."""
+    return pa.concat_arrays([run_of(some) for (some,) in parted(texts)])
+
+
+def same_of(one: pa.Array, other: pa.Array) -> pa.Array:
     def spans(cut):
-        sizes = cut.flatten().to_numpy().astype("i8")
-        of = np.repeat(np.arange(len(cut)), cut.value_lengths().to_numpy())
+        n, sizes = cut.value_lengths().to_numpy().astype("i8"), cut.flatten().to_numpy().astype("i8")
         ends = np.cumsum(sizes)
-        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())[:-1]])]
-        return of, ends - before[of], sizes
+        before = np.concatenate([[0], ends])[np.cumsum(n) - n]
+        return np.repeat(np.arange(len(cut)), n), ends - np.repeat(before, n), sizes
 
     (of, end, size), (of2, end2, size2) = spans(one), spans(other)
     if not len(of) or not len(of2):
@@ -70,14 +115,20 @@ def same_spans(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(np.bincount(of[(there[at] == of * width + end) & (size2[at] == size)], minlength=len(one)))
 
 
+@F.arrow_udf(LongType())
+def same_spans(one: pa.Array, other: pa.Array) -> pa.Array:
+    """How many words of two cuts of a text begin and end alike, from their lengths; no word is empty."""
+    return pa.concat_arrays([same_of(*some) for some in parted(one, other)])
+
+
 def segment_words(spark, sf):
     """Documents written without spaces, in characters, and cut into words again by their own vocabulary: per document the words, the
     words found, and the words whose begin and end are both right."""
-    rows = table(spark, sf, "documents").select("doc_id", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>")).alias("words"))
-    vocabulary = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    vocabulary = rows.select("text").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     tokens = G.segmenter(vocabulary.select(F.translate("word", LATIN, HAN).alias("word"), "n"))
-    sizes = lambda c: F.transform(c, lambda w: F.length(w))
-    cut = rows.select("doc_id", sizes(F.col("words")).alias("words"), sizes(tokens.tokens(F.translate(F.array_join("words", ""), LATIN, HAN))).alias("found"))
+    whole = rows.select("doc_id", without_spaces("text").alias("w"))
+    cut = whole.select("doc_id", "w.words", F.transform(tokens.tokens(F.col("w.run")), lambda w: F.length(w)).alias("found"))
     counts = cut.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size("found").cast("bigint").alias("n_found"), same_spans("words", "found").alias("n_right"))
     return stored(counts, "segmented")
 
