@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewater.functions import segmenter as G
 from tidewater.operators import relational, search, sketches, voice
@@ -69,9 +69,8 @@ def letter_runs(texts):
 
 
 def parted(*columns):
-    """Slices of a batch's columns, by the size of the first one's texts or lists."""
-    sizes = pc.list_value_length(columns[0]) if pa.types.is_list(columns[0].type) else pc.binary_length(columns[0])
-    for a, b in G.parts(sizes.fill_null(0).to_numpy().astype("i8")):
+    """Slices of a batch's columns, by the size of the first one's texts."""
+    for a, b in G.parts(pc.binary_length(columns[0]).fill_null(0).to_numpy().astype("i8")):
         yield [c.slice(a, b - a) for c in columns]
 
 
@@ -86,16 +85,14 @@ def word_counts(batches):
 
 def run_of(texts: pa.Array) -> pa.Array:
     letters, sizes, n = letter_runs(texts)
-    ends = np.concatenate([[0], np.cumsum(n)])
     chars = np.frombuffer(HAN.encode(), "u1").reshape(len(LATIN), -1)[letters - 97]
-    at = np.concatenate([[0], np.cumsum(sizes)])[ends] * chars.shape[1]
-    runs = pa.StringArray.from_buffers(len(n), pa.py_buffer(at.astype("i4")), pa.py_buffer(chars.tobytes()))
-    return pa.StructArray.from_arrays([runs, pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(sizes.astype("i4")))], ["run", "words"])
+    at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])] * chars.shape[1]
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(at.astype("i4")), pa.py_buffer(chars.tobytes()))
 
 
-@F.arrow_udf(StructType([StructField("run", StringType()), StructField("words", ArrayType(IntegerType()))]))
+@F.arrow_udf(StringType())
 def without_spaces(texts: pa.Array) -> pa.Array:
-    """A text's words in one run, as characters, and their lengths."""
+    """A text's words in one run, as characters."""
     return pa.concat_arrays([run_of(some) for (some,) in parted(texts)])
 
 
@@ -115,10 +112,16 @@ def same_of(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(np.bincount(of[(there[at] == of * width + end) & (size2[at] == size)], minlength=len(one)))
 
 
-@F.arrow_udf(LongType())
-def same_spans(one: pa.Array, other: pa.Array) -> pa.Array:
-    """How many words of two cuts of a text begin and end alike, from their lengths; no word is empty."""
-    return pa.concat_arrays([same_of(*some) for some in parted(one, other)])
+def judged_of(texts: pa.Array, found: pa.Array) -> pa.Array:
+    _, sizes, n = letter_runs(texts)
+    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("i4")), pa.array(sizes.astype("i4")))
+    return pa.StructArray.from_arrays([pa.array(n.astype("i8")), same_of(words, found)], ["n_words", "n_right"])
+
+
+@F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_right", LongType())]))
+def judged(texts: pa.Array, found: pa.Array) -> pa.Array:
+    """How many words a text has, and how many of those found, given by their lengths, begin and end as one of them; no word is empty."""
+    return pa.concat_arrays([judged_of(*some) for some in parted(texts, found)])
 
 
 def segment_words(spark, sf):
@@ -127,9 +130,8 @@ def segment_words(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
     vocabulary = rows.select("text").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     tokens = G.segmenter(vocabulary.select(F.translate("word", LATIN, HAN).alias("word"), "n"))
-    whole = rows.select("doc_id", without_spaces("text").alias("w"))
-    cut = whole.select("doc_id", "w.words", F.transform(tokens.tokens(F.col("w.run")), lambda w: F.length(w)).alias("found"))
-    counts = cut.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size("found").cast("bigint").alias("n_found"), same_spans("words", "found").alias("n_right"))
+    cut = rows.select("doc_id", "text", F.transform(tokens.tokens(without_spaces("text")), lambda w: F.length(w)).alias("found"))
+    counts = cut.select("doc_id", F.size("found").cast("bigint").alias("n_found"), judged("text", "found").alias("j")).select("doc_id", "j.n_words", "n_found", "j.n_right")
     return stored(counts, "segmented")
 
 
